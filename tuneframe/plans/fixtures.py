@@ -35,3 +35,14 @@ def dirty_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     copies = c.filter(cid % 7 == 1).select((cid + 1000000).alias("conv_id"), turn, role, text)
     return dirty.unionByName(copies)
+
+
+def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a raw-text dataset: one ``{"text": ...}`` record per doc."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("idx"),
+        F.to_json(F.struct("text")).alias("raw"),
+        F.expr("to_variant_object(named_struct('text', text))").alias("v"),
+        F.lit("raw_text").alias("fmt"),
+    )

@@ -92,6 +92,75 @@ SELECT category, CAST(category_order AS INTEGER) AS category_order, CAST(count A
 FROM per_cat, totals"""
 
 
+WSRE = "'[\\s\\x0b\\x1c-\\x1f]+'"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, {WSRE}), lambda x: x <> '')"
+
+
+# Per-record metrics over a long turn table ``t`` -> recs(idx, n_turns, n_tokens, words, ...).
+RECS = """
+recs AS (
+  SELECT conv_id AS idx, count(*) AS n_turns,
+         list(role ORDER BY turn) AS roles,
+         list(text ORDER BY turn) AS texts,
+         list(struct_pack(r := role, c := trim(text, {ws})) ORDER BY turn) AS k,
+         NOT bool_or(role = 'assistant') OR bool_or(role = 'assistant' AND trim(text, {ws}) = '') AS is_empty
+  FROM {t} GROUP BY conv_id
+),
+rm AS (
+  SELECT r.*, len({words}) AS n_tokens, {words} AS words,
+         coalesce(f.role_mismatch, false) AS is_role_mismatch
+  FROM recs r LEFT JOIN flags f ON f.conv_id = r.idx
+)"""
+
+DOCS = """
+rm AS (
+  SELECT doc_id AS idx, 1 AS n_turns, ['user'] AS roles, trim(text, {ws}) AS k,
+         true AS is_empty, false AS is_role_mismatch,
+         len({words}) AS n_tokens, {words} AS words
+  FROM documents
+)"""
+
+
+def rm_conv(t: str) -> str:
+    return flags_over(t) + "," + RECS.format(t=t, ws=WS, words=_words("array_to_string(texts, ' ')"))
+
+
+def rm_docs() -> str:
+    return DOCS.format(ws=WS, words=_words("text"))
+
+
+def hist_sql(col: str, buckets) -> str:
+    parts = []
+    for i, (lo, hi) in enumerate(buckets):
+        label = f"{lo}-{hi}" if hi is not None else f"{lo}+"
+        cond = f"{col} >= {lo}" + (f" AND {col} < {hi}" if hi is not None else "")
+        parts.append(f"SELECT '{label}' AS bucket, {i} AS bucket_order, CAST(count_if({cond}) AS BIGINT) AS n FROM rm")
+    return "SELECT bucket, CAST(bucket_order AS INTEGER) AS bucket_order, n FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+ENTROPY = """
+SELECT CAST(count(*) AS BIGINT) AS distinct_words,
+       coalesce(round(CASE WHEN count(*) > 1 THEN (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / log2(count(*))
+                      ELSE log2(sum(c)) - sum(c * log2(c)) / sum(c) END, 4), 0.0) AS entropy_score
+FROM (SELECT lower(w) AS w, count(*) AS c FROM (SELECT unnest(list_slice(words, 1, 5000)) AS w FROM rm) GROUP BY 1)"""
+
+DUPS = """
+SELECT CAST(count(*) AS BIGINT) AS num_examples,
+       CAST(count(*) - count(DISTINCT k) AS BIGINT) AS duplicate_examples,
+       round((count(*) - count(DISTINCT k)) / count(*), 4) AS duplicate_ratio
+FROM rm"""
+
+QUALITY = """
+SELECT CAST(n AS BIGINT) AS num_examples, CAST(e AS BIGINT) AS empty_count, CAST(r AS BIGINT) AS role_mismatch_count,
+       dr AS duplicate_ratio,
+       greatest(0.0, least(100.0, round(100.0 - e / n * 40 - dr * 30 - r / n * 30, 2))) AS quality_score
+FROM (SELECT count(*) AS n, count_if(is_empty) AS e, count_if(is_role_mismatch) AS r,
+             round((count(*) - count(DISTINCT k)) / count(*), 4) AS dr FROM rm)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -108,4 +177,32 @@ FROM conversations"""
     ]:
         q[name] = base + f"SELECT conv_id AS idx FROM flagged WHERE {col}"
     q["validation_report"] = base + "," + report_sql()
+
+    from tuneframe.functions.buckets import TOKEN_BUCKETS, TURN_BUCKETS
+
+    conv = f"WITH {DIRTY},\n{rm_conv('dirty')}\n"
+    docs = f"WITH {rm_docs()}\n"
+    q["turn_stats"] = conv + "SELECT round(avg(n_turns), 3) AS avg_turns, CAST(min(n_turns) AS BIGINT) AS min_turns, CAST(max(n_turns) AS BIGINT) AS max_turns FROM rm"
+    q["role_counts"] = conv + "SELECT role, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(roles) AS role FROM rm) GROUP BY role"
+    q["assistant_user_ratio"] = conv + """
+SELECT CAST(u AS BIGINT) AS user_turns, CAST(a AS BIGINT) AS assistant_turns,
+       CASE WHEN u > 0 THEN round(a / u, 4) END AS assistant_user_ratio
+FROM (SELECT count_if(role = 'user') AS u, count_if(role = 'assistant') AS a FROM (SELECT unnest(roles) AS role FROM rm))"""
+    q["dup_ratio"] = conv + DUPS
+    q["doc_dup_ratio"] = docs + DUPS
+    q["token_stats"] = docs + "SELECT round(avg(n_tokens), 2) AS avg_tokens, CAST(min(n_tokens) AS BIGINT) AS min_tokens, CAST(max(n_tokens) AS BIGINT) AS max_tokens FROM rm"
+    q["token_hist"] = docs + hist_sql("n_tokens", TOKEN_BUCKETS)
+    q["turn_hist"] = conv + hist_sql("n_turns", TURN_BUCKETS)
+    q["entropy"] = docs + ENTROPY
+    q["entropy_conversations"] = conv + ENTROPY
+    q["quality_score"] = conv + QUALITY
+    q["profile"] = conv + f"""
+SELECT qs.*, ts.*, ar.assistant_user_ratio, du.duplicate_examples, tk.*, en.entropy_score
+FROM ({QUALITY}) qs,
+     (SELECT round(avg(n_turns), 3) AS avg_turns, CAST(min(n_turns) AS BIGINT) AS min_turns, CAST(max(n_turns) AS BIGINT) AS max_turns FROM rm) ts,
+     (SELECT CASE WHEN count_if(role = 'user') > 0 THEN round(count_if(role = 'assistant') / count_if(role = 'user'), 4) END AS assistant_user_ratio
+        FROM (SELECT unnest(roles) AS role FROM rm)) ar,
+     (SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) AS duplicate_examples FROM rm) du,
+     (SELECT round(avg(n_tokens), 2) AS avg_tokens, CAST(min(n_tokens) AS BIGINT) AS min_tokens, CAST(max(n_tokens) AS BIGINT) AS max_tokens FROM rm) tk,
+     ({ENTROPY}) en"""
     return q

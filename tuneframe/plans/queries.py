@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneframe.operators import normalize as N
+from tuneframe.operators import profile as P
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -60,3 +61,76 @@ for _name, _col in [
 @register("validation_report")
 def q_validation_report(spark, sf):
     return V.validation_report(_dirty_flags(spark, sf))
+
+
+# ---------------------------------------------------------------- step 2: T
+
+
+def _dirty_metrics(spark, sf):
+    return P.record_metrics(N.fold_turns(X.dirty_conversations(spark, sf)))
+
+
+def _doc_metrics(spark, sf):
+    return P.record_metrics(N.to_messages(X.documents_as_records(spark, sf)))
+
+
+@register("turn_stats")
+def q_turn_stats(spark, sf):
+    return P.turn_stats(_dirty_metrics(spark, sf))
+
+
+@register("role_counts")
+def q_role_counts(spark, sf):
+    return P.role_counts(_dirty_metrics(spark, sf))
+
+
+@register("assistant_user_ratio")
+def q_ratio(spark, sf):
+    return P.assistant_user_ratio(_dirty_metrics(spark, sf))
+
+
+@register("dup_ratio")
+def q_dup_ratio(spark, sf):
+    return P.duplicate_stats(_dirty_metrics(spark, sf))
+
+
+@register("doc_dup_ratio")
+def q_doc_dup_ratio(spark, sf):
+    return P.duplicate_stats(_doc_metrics(spark, sf))
+
+
+@register("token_stats")
+def q_token_stats(spark, sf):
+    return P.token_stats(_doc_metrics(spark, sf))
+
+
+@register("token_hist")
+def q_token_hist(spark, sf):
+    return P.token_histogram(_doc_metrics(spark, sf))
+
+
+@register("turn_hist")
+def q_turn_hist(spark, sf):
+    return P.turn_histogram(_dirty_metrics(spark, sf))
+
+
+@register("entropy")
+def q_entropy(spark, sf):
+    return P.entropy(_doc_metrics(spark, sf))
+
+
+@register("entropy_conversations")
+def q_entropy_conv(spark, sf):
+    return P.entropy(_dirty_metrics(spark, sf))
+
+
+@register("quality_score")
+def q_quality(spark, sf):
+    return P.quality_score(_dirty_metrics(spark, sf))
+
+
+@register("profile")
+def q_profile(spark, sf):
+    return P.profile(N.fold_turns(X.dirty_conversations(spark, sf))).drop(
+        "role_counts", "token_histogram", "turn_histogram"
+    )
