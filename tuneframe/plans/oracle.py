@@ -161,6 +161,34 @@ FROM (SELECT count(*) AS n, count_if(is_empty) AS e, count_if(is_role_mismatch)
              round((count(*) - count(DISTINCT k)) / count(*), 4) AS dr FROM rm)"""
 
 
+REPAIR = """
+d AS (SELECT conv_id AS idx, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM dirty),
+fo AS (SELECT idx, min(pos) FILTER (WHERE role IN ('system', 'user')) AS first_ok, count(*) AS n0 FROM d GROUP BY idx),
+r1 AS (SELECT d.idx, d.role, d.text, d.pos - fo.first_ok + 1 AS pos
+       FROM d JOIN fo USING (idx) WHERE fo.first_ok IS NOT NULL AND d.pos >= fo.first_ok),
+isl AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> role OR role = 'system' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY idx ORDER BY pos) AS g
+        FROM (SELECT *, lag(role) OVER (PARTITION BY idx ORDER BY pos) AS prev FROM r1)),
+r2 AS (SELECT idx, g AS pos, any_value(role) AS role,
+              list_reduce(list(text ORDER BY pos), lambda a, b: trim(a || chr(10) || b, {ws})) AS content
+       FROM isl GROUP BY idx, g),
+keep AS (SELECT idx FROM r2 GROUP BY idx
+         HAVING bool_or(role = 'assistant') AND NOT bool_or(role = 'assistant' AND trim(content, {ws}) = '')),
+r4 AS (SELECT r2.idx, r2.pos, r2.role, left(r2.content, {trunc}) AS content, length(r2.content) > {trunc} AS cut
+       FROM r2 JOIN keep USING (idx)),
+r5 AS (SELECT *, (pos - 1) // {split} AS chunk FROM r4),
+ch AS (SELECT idx, chunk, count(*) AS n_msgs,
+              list(struct_pack(r := role, c := trim(content, {ws})) ORDER BY pos) AS k,
+              arg_min(content, pos) AS first_content
+       FROM r5 GROUP BY idx, chunk),
+firsts AS (SELECT k, min(struct_pack(i := idx, c := chunk)) AS f FROM ch GROUP BY k),
+out AS (SELECT ch.* FROM ch JOIN firsts USING (k) WHERE f.i = ch.idx AND f.c = ch.chunk)"""
+
+
+def repair_sql(trunc: int = 1000000000, split: int = 1000000000) -> str:
+    return f"WITH {DIRTY},\n" + REPAIR.format(ws=WS, trunc=trunc, split=split) + "\n"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -205,4 +233,28 @@ FROM ({QUALITY}) qs,
      (SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) AS duplicate_examples FROM rm) du,
      (SELECT round(avg(n_tokens), 2) AS avg_tokens, CAST(min(n_tokens) AS BIGINT) AS min_tokens, CAST(max(n_tokens) AS BIGINT) AS max_tokens FROM rm) tk,
      ({ENTROPY}) en"""
+
+    r = repair_sql()
+    q["fix_roles"] = r + """
+SELECT fo.idx, CAST(CASE WHEN fo.first_ok IS NULL THEN 0 ELSE fo.n0 - fo.first_ok + 1 END AS BIGINT) AS n_turns,
+       (fo.first_ok IS NULL OR fo.first_ok > 1) AS roles_fixed
+FROM fo"""
+    q["merge_turns"] = r + "SELECT idx, CAST(pos - 1 AS INTEGER) AS pos, role, content FROM r2"
+    q["drop_empty"] = r + "SELECT idx FROM keep"
+    q["truncate"] = repair_sql(trunc=200) + "SELECT idx, CAST(pos - 1 AS INTEGER) AS pos, role, content FROM r4"
+    q["split"] = repair_sql(split=2) + "SELECT idx, CAST(chunk AS BIGINT) AS chunk, CAST(n_msgs AS BIGINT) AS n_msgs FROM ch"
+    rows = "SELECT idx, CAST(chunk AS BIGINT) AS chunk, CAST(n_msgs AS BIGINT) AS n_msgs, first_content FROM out"
+    q["dedupe"] = repair_sql(200, 2) + rows
+    q["repair_shuffle"] = repair_sql(200, 2) + rows
+    q["repair_summary"] = repair_sql(200, 2) + """
+SELECT
+  (SELECT CAST(count(*) AS BIGINT) FROM fo) AS input_count,
+  (SELECT CAST(count_if(first_ok IS NULL OR first_ok > 1) AS BIGINT) FROM fo) AS roles_fixed,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT idx FROM isl GROUP BY idx HAVING max(g) < count(*))) AS merged_turns,
+  (SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) FROM ch) AS duplicates_removed,
+  (SELECT CAST((SELECT count(*) FROM fo) - count(*) AS BIGINT) FROM keep) AS empty_responses_removed,
+  (SELECT CAST(count_if(cut) AS BIGINT) FROM r4) AS turns_truncated,
+  (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT idx, count(DISTINCT chunk) AS c FROM r5 GROUP BY idx)) AS examples_split,
+  false AS shuffled,
+  (SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch) AS output_count"""
     return q

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.operators import normalize as N
 from tuneframe.operators import profile as P
+from tuneframe.operators import repair as R
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -134,3 +135,68 @@ def q_profile(spark, sf):
     return P.profile(N.fold_turns(X.dirty_conversations(spark, sf))).drop(
         "role_counts", "token_histogram", "turn_histogram"
     )
+
+
+# ---------------------------------------------------------------- step 3: R
+
+REPAIR_OPTS = R.RepairOptions(max_turn_chars=200, split_oversized=2)
+
+
+def _dirty_msgs(spark, sf):
+    return N.fold_turns(X.dirty_conversations(spark, sf))
+
+
+@register("fix_roles")
+def q_fix_roles(spark, sf):
+    s = R.repair_stages(_dirty_msgs(spark, sf), R.RepairOptions(merge_consecutive_same_role=False))
+    return s.select("idx", F.size(F.col("chunks")[0]).cast("bigint").alias("n_turns"), "roles_fixed")
+
+
+@register("merge_turns")
+def q_merge_turns(spark, sf):
+    s = R.repair_stages(_dirty_msgs(spark, sf), R.RepairOptions(remove_empty_responses=False))
+    return N.explode_messages(s.select("idx", F.col("chunks")[0].alias("messages")))
+
+
+@register("drop_empty")
+def q_drop_empty(spark, sf):
+    s = R.repair_stages(_dirty_msgs(spark, sf))
+    return s.filter(F.col("usable") & ~F.col("empty_removed")).select("idx")
+
+
+@register("truncate")
+def q_truncate(spark, sf):
+    opts = R.RepairOptions(max_turn_chars=200, remove_duplicates=False)
+    return N.explode_messages(R.repair(_dirty_msgs(spark, sf), opts).select("idx", "messages"))
+
+
+@register("split")
+def q_split(spark, sf):
+    opts = R.RepairOptions(split_oversized=2, remove_duplicates=False)
+    out = R.repair(_dirty_msgs(spark, sf), opts)
+    return out.select("idx", F.col("chunk").cast("bigint").alias("chunk"), F.size("messages").cast("bigint").alias("n_msgs"))
+
+
+def _repaired_rows(df):
+    return df.select(
+        "idx",
+        F.col("chunk").cast("bigint").alias("chunk"),
+        F.size("messages").cast("bigint").alias("n_msgs"),
+        F.col("messages")[0]["content"].alias("first_content"),
+    )
+
+
+@register("dedupe")
+def q_dedupe(spark, sf):
+    return _repaired_rows(R.repair(_dirty_msgs(spark, sf), REPAIR_OPTS))
+
+
+@register("repair_shuffle")
+def q_repair_shuffle(spark, sf):
+    opts = R.RepairOptions(max_turn_chars=200, split_oversized=2, shuffle=True)
+    return _repaired_rows(R.repair(_dirty_msgs(spark, sf), opts))
+
+
+@register("repair_summary")
+def q_repair_summary(spark, sf):
+    return R.repair_summary(_dirty_msgs(spark, sf), REPAIR_OPTS)
