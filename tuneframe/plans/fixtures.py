@@ -46,3 +46,110 @@ def documents_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("to_variant_object(named_struct('text', text))").alias("v"),
         F.lit("raw_text").alias("fmt"),
     )
+
+
+# ------------------------------------------------------------ format fixtures
+
+# Dataset code used to interleave the formats into one mixed file.
+FORMAT_CODES = {
+    "sharegpt": 0,
+    "chatml": 1,
+    "alpaca": 2,
+    "llama": 3,
+    "preference": 4,
+    "raw_text": 5,
+    "unknown": 6,
+}
+PAIR_BLOCK = 64
+
+
+def _folded(spark, sf_dir):
+    from tuneframe.operators.normalize import fold_turns
+
+    return fold_turns(table(spark, sf_dir, "conversations"))
+
+
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good (quality 1) and bad (quality 0) documents of one language, paired
+    by rank inside blocks of 64 document ids (bounded windows, no hot key)."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.withColumn("_blk", F.floor(F.col("doc_id") / PAIR_BLOCK))
+    w = Window.partitionBy("lang", "_blk").orderBy("doc_id")
+    good = d.filter(F.col("quality") == 1).withColumn("_rn", F.row_number().over(w))
+    bad = d.filter(F.col("quality") == 0).withColumn("_rn", F.row_number().over(w))
+    return good.alias("g").join(bad.alias("b"), ["lang", "_blk", "_rn"]).select(
+        F.col("g.doc_id").alias("idx"),
+        F.col("b.doc_id").alias("rejected_id"),
+        F.substring(F.col("g.text"), 1, 40).alias("prompt"),
+        F.col("g.text").alias("chosen"),
+        F.col("b.text").alias("rejected"),
+    )
+
+
+def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(dataset, idx, value)``: one JSON line per record for every format."""
+    m = _folded(spark, sf_dir)
+    sharegpt = m.select(
+        F.lit("sharegpt").alias("dataset"),
+        "idx",
+        F.expr(
+            "to_json(named_struct('conversations', transform(messages, x -> named_struct("
+            "'from', CASE x.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE x.role END, "
+            "'value', x.content))))"
+        ).alias("value"),
+    )
+    chatml = m.select(F.lit("chatml").alias("dataset"), "idx", F.to_json(F.struct("messages")).alias("value"))
+    fu = "cast(array_position(transform(messages, x -> x.role = 'user'), true) AS INT)"
+    alpaca = m.select(
+        F.lit("alpaca").alias("dataset"),
+        "idx",
+        F.expr(
+            f"to_json(named_struct('instruction', try_element_at(messages, {fu}).content, "
+            f"'input', CASE WHEN idx % 3 = 0 THEN concat('Context ', idx) END, "
+            f"'output', try_element_at(filter(slice(messages, {fu} + 1, size(messages)), x -> x.role = 'assistant'), 1).content))"
+        ).alias("value"),
+    )
+    pair = (
+        "transform(filter(sequence(1, size(messages)), i -> messages[i - 1].role = 'user'), i -> concat("
+        "'[INST] ', CASE WHEN i > 1 AND messages[i - 2].role = 'system' "
+        "THEN concat('<<SYS>>', messages[i - 2].content, '<</SYS>> ') ELSE '' END, "
+        "messages[i - 1].content, ' [/INST] ', "
+        "CASE WHEN i < size(messages) AND messages[i].role = 'assistant' THEN messages[i].content ELSE '' END))"
+    )
+    llama = m.select(
+        F.lit("llama").alias("dataset"),
+        "idx",
+        F.to_json(F.struct(F.expr(f"array_join({pair}, ' ')").alias("text"))).alias("value"),
+    )
+    prefs = preference_pairs(spark, sf_dir).select(
+        F.lit("preference").alias("dataset"),
+        "idx",
+        F.to_json(F.struct("prompt", "chosen", "rejected")).alias("value"),
+    )
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.lit("raw_text").alias("dataset"), F.col("doc_id").alias("idx"), F.to_json(F.struct("text")).alias("value"))
+    unknown = docs.select(
+        F.lit("unknown").alias("dataset"), F.col("doc_id").alias("idx"), F.to_json(F.struct("doc_id", "source")).alias("value")
+    )
+    parts = [sharegpt, chatml, alpaca, llama, prefs, raw, unknown]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def format_records(spark: SparkSession, sf_dir: str, with_mixed: bool = True) -> DataFrame:
+    """Parsed records ``(dataset, idx, raw, v)`` for every format, plus
+    ``mixed``: all of them interleaved (``idx * 8 + format code``)."""
+    from tuneframe.sources.readers import records_from_lines
+
+    lines = format_lines(spark, sf_dir)
+    if with_mixed:
+        code = F.element_at(
+            F.create_map(*[x for k, c in FORMAT_CODES.items() for x in (F.lit(k), F.lit(c))]), F.col("dataset")
+        )
+        mixed = lines.select(F.lit("mixed").alias("dataset"), (F.col("idx") * 8 + code).alias("idx"), "value")
+        lines = lines.unionByName(mixed)
+    return records_from_lines(lines)

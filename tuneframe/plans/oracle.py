@@ -189,6 +189,103 @@ def repair_sql(trunc: int = 1000000000, split: int = 1000000000) -> str:
     return f"WITH {DIRTY},\n" + REPAIR.format(ws=WS, trunc=trunc, split=split) + "\n"
 
 
+# Format fixtures rebuilt in DuckDB: JSON records and the messages each
+# record must normalise to.
+FORMATS_SQL = """
+conv AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+alp AS (
+  SELECT conv_id AS idx,
+         arg_min(text, pos) FILTER (WHERE role = 'user') AS instruction,
+         min(pos) FILTER (WHERE role = 'user') AS fu,
+         CASE WHEN conv_id % 3 = 0 THEN 'Context ' || conv_id END AS inp
+  FROM conv GROUP BY conv_id
+),
+alp2 AS (
+  SELECT a.*, (SELECT arg_min(c.text, c.pos) FROM conv c WHERE c.conv_id = a.idx AND c.pos > a.fu AND c.role = 'assistant') AS output
+  FROM alp a
+),
+dl AS (SELECT d.doc_id, d.text, d.lang, l.quality, d.doc_id // 64 AS blk FROM documents d JOIN labels l USING (doc_id)),
+good AS (SELECT *, row_number() OVER (PARTITION BY lang, blk ORDER BY doc_id) AS rn FROM dl WHERE quality = 1),
+bad AS (SELECT *, row_number() OVER (PARTITION BY lang, blk ORDER BY doc_id) AS rn FROM dl WHERE quality = 0),
+pairs AS (SELECT g.doc_id AS idx, left(g.text, 40) AS prompt, g.text AS chosen, b.text AS rejected
+          FROM good g JOIN bad b USING (lang, blk, rn)),
+llama_pairs AS (
+  SELECT c.conv_id, c.pos,
+         '[INST] ' || CASE WHEN p.role = 'system' THEN '<<SYS>>' || p.text || '<</SYS>> ' ELSE '' END
+         || c.text || ' [/INST] ' || CASE WHEN n.role = 'assistant' THEN n.text ELSE '' END AS piece
+  FROM conv c
+  LEFT JOIN conv p ON p.conv_id = c.conv_id AND p.pos = c.pos - 1
+  LEFT JOIN conv n ON n.conv_id = c.conv_id AND n.pos = c.pos + 1
+  WHERE c.role = 'user'
+),
+recs AS (
+  SELECT 'sharegpt' AS dataset, conv_id AS idx,
+         json_object('conversations', to_json(list(json_object('from', CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, 'value', text) ORDER BY turn))) AS j
+  FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT 'chatml', conv_id, json_object('messages', to_json(list(json_object('role', role, 'content', text) ORDER BY turn)))
+  FROM conversations GROUP BY conv_id
+  UNION ALL
+  SELECT 'alpaca', idx, json_merge_patch(json_object('instruction', instruction),
+                                         CASE WHEN inp IS NOT NULL THEN json_object('input', inp) ELSE '{{}}' END,
+                                         CASE WHEN output IS NOT NULL THEN json_object('output', output) ELSE '{{}}' END)
+  FROM alp2
+  UNION ALL
+  SELECT 'llama', conv_id, json_object('text', string_agg(piece, ' ' ORDER BY pos)) FROM llama_pairs GROUP BY conv_id
+  UNION ALL
+  SELECT 'preference', idx, json_object('prompt', prompt, 'chosen', chosen, 'rejected', rejected) FROM pairs
+  UNION ALL
+  SELECT 'raw_text', doc_id, json_object('text', text) FROM documents
+  UNION ALL
+  SELECT 'unknown', doc_id, json_object('doc_id', doc_id, 'source', source) FROM documents
+),
+expected AS (
+  SELECT 'sharegpt' AS dataset, conv_id AS idx, pos - 1 AS pos, role, text AS content FROM conv
+  UNION ALL SELECT 'chatml', conv_id, pos - 1, role, text FROM conv
+  UNION ALL SELECT 'llama', conv_id, pos - 1, role, text FROM conv
+  UNION ALL SELECT 'alpaca', idx, 0, 'user',
+                   CASE WHEN coalesce(inp, '') <> '' THEN trim(instruction || chr(10) || chr(10) || inp, {ws}) ELSE instruction END
+            FROM alp2
+  UNION ALL SELECT 'alpaca', idx, 1, 'assistant', output FROM alp2 WHERE coalesce(output, '') <> ''
+  UNION ALL SELECT 'preference', idx, 0, 'user', prompt FROM pairs WHERE prompt <> ''
+  UNION ALL SELECT 'preference', idx, CASE WHEN prompt <> '' THEN 1 ELSE 0 END, 'assistant', chosen FROM pairs
+  UNION ALL SELECT 'raw_text', doc_id, 0, 'user', text FROM documents
+  UNION ALL SELECT 'unknown', doc_id, 0, 'user', '{{"doc_id":' || doc_id || ',"source":' || to_json(source) || '}}' FROM documents
+),
+codes AS (SELECT * FROM (VALUES ('sharegpt', 0), ('chatml', 1), ('alpaca', 2), ('llama', 3), ('preference', 4),
+                                ('raw_text', 5), ('unknown', 6)) t(dataset, code)),
+all_recs AS (
+  SELECT dataset, idx, j FROM recs
+  UNION ALL SELECT 'mixed', idx * 8 + code, j FROM recs JOIN codes USING (dataset)
+),
+classified AS (
+  SELECT dataset, idx, CASE
+    WHEN json_type(j, '$.conversations') = 'ARRAY' AND json_array_length(j, '$.conversations') > 0
+         AND list_bool_and(list_transform(json_extract(j, '$.conversations[*]'),
+             lambda c: json_type(c) = 'OBJECT' AND (json_exists(c, '$.from') OR json_exists(c, '$.role')))) THEN 'sharegpt'
+    WHEN json_type(j, '$.messages') = 'ARRAY' AND json_array_length(j, '$.messages') > 0
+         AND list_bool_and(list_transform(json_extract(j, '$.messages[*]'),
+             lambda c: json_type(c) = 'OBJECT' AND json_exists(c, '$.role'))) THEN 'chatml'
+    WHEN json_exists(j, '$.chosen') AND json_exists(j, '$.rejected') THEN 'preference'
+    WHEN json_exists(j, '$.instruction') AND (json_exists(j, '$.output') OR json_exists(j, '$.response')) THEN 'alpaca'
+    WHEN json_exists(j, '$.text') AND len(json_keys(j)) <= 2 AND json_type(j, '$.text') = 'VARCHAR'
+         AND regexp_matches(j ->> '$.text', '\\[/?INST\\]|<\\|.*?\\|>|<<SYS>>|<</SYS>>') THEN 'llama'
+    WHEN json_exists(j, '$.text') AND len(json_keys(j)) <= 2 AND json_type(j, '$.text') = 'VARCHAR' THEN 'raw_text'
+  END AS vote
+  FROM all_recs
+),
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY idx) AS rn FROM classified) WHERE rn <= 200),
+votes AS (SELECT dataset, vote, count(*) AS n FROM head GROUP BY dataset, vote),
+ranks AS (SELECT * FROM (VALUES ('alpaca', 1), ('sharegpt', 2), ('chatml', 3), ('openai', 4), ('llama', 5),
+                                ('preference', 6), ('raw_text', 7), ('unknown', 8)) t(vote, r)),
+best AS (
+  SELECT dataset, sum(n) AS sampled,
+         arg_max(vote, n * 100 - coalesce(r, 0)) FILTER (WHERE vote IS NOT NULL) AS bvote,
+         max(n) FILTER (WHERE vote IS NOT NULL) AS bn
+  FROM votes LEFT JOIN ranks USING (vote) GROUP BY dataset
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -257,4 +354,20 @@ SELECT
   (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT idx, count(DISTINCT chunk) AS c FROM r5 GROUP BY idx)) AS examples_split,
   false AS shuffled,
   (SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch) AS output_count"""
+
+    fx = "WITH " + FORMATS_SQL.format(ws=WS) + "\n"
+    q["detect_format"] = fx + """
+SELECT dataset, coalesce(bvote, 'unknown') AS format,
+       CASE WHEN coalesce(bn, 0) > 0 THEN round(bn / sampled, 4) ELSE 0.0 END AS confidence,
+       CAST(sampled AS BIGINT) AS sampled, CAST(coalesce(bn, 0) AS BIGINT) AS votes
+FROM best"""
+    for name in ["sharegpt", "chatml", "alpaca", "llama", "preference", "raw_text", "unknown"]:
+        q[f"normalize_{name}"] = fx + f"""
+SELECT idx, CAST(pos AS INTEGER) AS pos, role, content FROM expected WHERE dataset = '{name}'"""
+    q["normalize_mixed"] = fx + """
+SELECT e.idx * 8 + c.code AS idx, CAST(e.pos AS INTEGER) AS pos, e.role, e.content
+FROM expected e JOIN codes c USING (dataset)"""
+    q["jsonl_roundtrip"] = fx + """
+SELECT CAST(dense_rank() OVER (ORDER BY idx) - 1 AS BIGINT) AS file_idx, CAST(pos AS INTEGER) AS pos, role, content
+FROM expected WHERE dataset = 'sharegpt'"""
     return q

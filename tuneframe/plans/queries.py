@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tuneframe.operators import normalize as N
 from tuneframe.operators import profile as P
 from tuneframe.operators import repair as R
+from tuneframe.operators import detect as D
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -200,3 +201,40 @@ def q_repair_shuffle(spark, sf):
 @register("repair_summary")
 def q_repair_summary(spark, sf):
     return R.repair_summary(_dirty_msgs(spark, sf), REPAIR_OPTS)
+
+
+# ---------------------------------------------------------------- step 4: S, F, N
+
+
+@register("detect_format")
+def q_detect_format(spark, sf):
+    recs = X.format_records(spark, sf)
+    return D.detect_format(recs, by=["dataset"]).drop("scores")
+
+
+def _normalize_query(dataset: str) -> Query:
+    def q(spark, sf):
+        recs = X.format_records(spark, sf, with_mixed=(dataset == "mixed")).filter(F.col("dataset") == dataset)
+        fmt = None if dataset == "mixed" else dataset
+        return N.explode_messages(N.to_messages(recs.drop("dataset"), fmt))
+
+    return q
+
+
+for _fmt in ["sharegpt", "chatml", "alpaca", "llama", "preference", "raw_text", "unknown", "mixed"]:
+    register(f"normalize_{_fmt}")(_normalize_query(_fmt))
+
+
+@register("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark, sf):
+    """S9 -> S1 -> S7: write the ShareGPT lines as JSONL, read them back,
+    index them in file order and normalise."""
+    from tuneframe.session import scratch_path
+    from tuneframe.sources.readers import read_jsonl
+
+    lines = X.format_lines(spark, sf).filter(F.col("dataset") == "sharegpt").orderBy("idx")
+    path = scratch_path(spark, "sharegpt-jsonl")
+    lines.select("value").write.text(path)
+    recs = read_jsonl(spark, path)
+    msgs = N.to_messages(recs, "sharegpt").select("idx", "messages")
+    return N.explode_messages(msgs).select(F.col("idx").alias("file_idx"), "pos", "role", "content")
