@@ -370,4 +370,55 @@ FROM expected e JOIN codes c USING (dataset)"""
     q["jsonl_roundtrip"] = fx + """
 SELECT CAST(dense_rank() OVER (ORDER BY idx) - 1 AS BIGINT) AS file_idx, CAST(pos AS INTEGER) AS pos, role, content
 FROM expected WHERE dataset = 'sharegpt'"""
+
+    sft = """,
+sft AS (SELECT conv_id AS idx, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
+        FROM conversations GROUP BY conv_id HAVING bool_or(text <> ''))"""
+    q["sft_texts"] = fx + sft + " SELECT idx, text FROM sft"
+    q["sft_texts_sharegpt"] = q["sft_texts"]
+    q["sft_texts_alpaca"] = fx + """
+SELECT idx, 'user: ' || CASE WHEN coalesce(inp, '') <> '' THEN trim(instruction || chr(10) || chr(10) || inp, {ws})
+                             ELSE instruction END || chr(10) || 'assistant: ' || coalesce(output, '') AS text
+FROM alp2""".replace("{ws}", WS)
+    q["train_eval_split"] = fx + sft + """
+SELECT idx, CAST(rn - 1 AS BIGINT) AS rank,
+       CASE WHEN rn - 1 < CASE WHEN n > 20 THEN greatest(1, CAST(floor(n * (1.0 - 0.05)) AS BIGINT)) ELSE n END
+            THEN 'train' ELSE 'eval' END AS split
+FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS rn, count(*) OVER () AS n FROM sft)"""
+    q["preference_triples"] = fx + "SELECT idx, prompt, chosen, rejected FROM pairs"
+    q["kto_unpivot"] = fx + """
+SELECT idx, prompt, chosen AS completion, true AS label, 0 AS ord FROM pairs
+UNION ALL SELECT idx, prompt, rejected, false, 1 FROM pairs"""
+    tok = """,
+tc AS (SELECT conv_id AS idx, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt
+       FROM conversations GROUP BY conv_id),
+tk AS (SELECT idx, prompt, len({words}) AS n_tokens FROM tc)""".replace("{words}", _words("prompt"))
+    analysis = """
+SELECT CAST(s AS BIGINT) AS sampled_examples, CAST(t AS BIGINT) AS total_examples,
+       round(sm / s, 2) AS avg_tokens_per_example, CAST(mn AS BIGINT) AS min_tokens, CAST(mx AS BIGINT) AS max_tokens,
+       CAST(round(sm * CASE WHEN s < t THEN t / s ELSE 1.0 END) AS BIGINT) AS estimated_total_tokens,
+       CAST(256 AS BIGINT) AS max_seq_len, CAST(o AS BIGINT) AS sampled_examples_over_limit,
+       round(o / s, 4) AS fraction_over_limit, CAST(round(o / s * t) AS BIGINT) AS estimated_total_over_limit,
+       fp AS first_prompt, CAST(fn AS BIGINT) AS first_token_count
+FROM (SELECT (SELECT count(*) FROM tk) AS t, count(*) AS s, sum(n_tokens) AS sm, min(n_tokens) AS mn, max(n_tokens) AS mx,
+             count_if(n_tokens > 256) AS o, arg_min(prompt, idx) AS fp, arg_min(n_tokens, idx) AS fn
+      FROM tk {where})"""
+    q["token_analysis"] = fx + tok + analysis.replace("{where}", "")
+    q["truncation_sampled"] = fx + tok + """
+SELECT sampled_examples, total_examples, estimated_total_tokens, sampled_examples_over_limit,
+       fraction_over_limit, estimated_total_over_limit FROM (""" + analysis.replace("{where}", "WHERE idx < 50") + ")"
+    q["token_hist_rendered"] = fx + tok + ", rm AS (SELECT * FROM tk) " + hist_sql("n_tokens", TOKEN_BUCKETS)
+    q["runtime_estimate"] = fx + tok + """
+SELECT CAST(e AS BIGINT) AS estimated_total_tokens, CAST(round(e * 3.0) AS BIGINT) AS total_training_tokens,
+       CAST(2000.0 AS DOUBLE) AS assumed_tokens_per_sec, round(e * 3.0 / 2000.0 / 3600.0, 3) AS estimate_runtime_hours,
+       CASE WHEN e <= 0 THEN 0.0 ELSE round(1000000.0 / e, 4) END AS estimated_epochs_for_target_tokens
+FROM (SELECT sum(n_tokens) AS e FROM tk)"""
+    q["encode_rows"] = """
+WITH toks AS (
+  SELECT doc_id AS idx, unnest(w) AS token, unnest(generate_series(0, len(w) - 1)) AS pos
+  FROM (SELECT doc_id, {words} AS w FROM documents)
+),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM toks GROUP BY token)
+SELECT idx, CAST(pos AS INTEGER) AS pos, CAST(id AS BIGINT) AS id, token, false AS is_special
+FROM toks JOIN vocab USING (token)""".replace("{words}", _words("text"))
     return q

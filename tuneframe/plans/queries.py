@@ -15,6 +15,8 @@ from tuneframe.operators import normalize as N
 from tuneframe.operators import profile as P
 from tuneframe.operators import repair as R
 from tuneframe.operators import detect as D
+from tuneframe.operators import prepare as PR
+from tuneframe.operators import tokens as K
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -238,3 +240,96 @@ def q_jsonl_roundtrip(spark, sf):
     recs = read_jsonl(spark, path)
     msgs = N.to_messages(recs, "sharegpt").select("idx", "messages")
     return N.explode_messages(msgs).select(F.col("idx").alias("file_idx"), "pos", "role", "content")
+
+
+# ---------------------------------------------------------------- step 5: P
+
+
+def _fixture(spark, sf, dataset):
+    return X.format_records(spark, sf, with_mixed=False).filter(F.col("dataset") == dataset).drop("dataset")
+
+
+@register("sft_texts")
+def q_sft_texts(spark, sf):
+    return PR.sft_texts(_fixture(spark, sf, "chatml"), "chatml")
+
+
+@register("sft_texts_alpaca")
+def q_sft_texts_alpaca(spark, sf):
+    return PR.sft_texts(_fixture(spark, sf, "alpaca"), "alpaca")
+
+
+@register("sft_texts_sharegpt")
+def q_sft_texts_sharegpt(spark, sf):
+    return PR.sft_texts(_fixture(spark, sf, "sharegpt"), "sharegpt")
+
+
+@register("train_eval_split")
+def q_train_eval_split(spark, sf):
+    return PR.train_eval_split(PR.sft_texts(_fixture(spark, sf, "chatml"), "chatml")).select("idx", "rank", "split")
+
+
+@register("preference_triples")
+def q_preference_triples(spark, sf):
+    return PR.preference_triples(_fixture(spark, sf, "preference"))
+
+
+@register("kto_unpivot")
+def q_kto(spark, sf):
+    return PR.kto_rows(PR.preference_triples(_fixture(spark, sf, "preference")))
+
+
+@register("pack_examples")
+def q_pack(spark, sf):
+    texts = PR.sft_texts(_fixture(spark, sf, "chatml"), "chatml")
+    sized = texts.withColumn("n_tokens", K.whitespace_token_count(F.col("text")))
+    return PR.pack(sized, "n_tokens", 512)
+
+
+# ---------------------------------------------------------------- step 6: K
+
+
+def _chatml_tokens(spark, sf):
+    return K.token_counts(N.to_messages(_fixture(spark, sf, "chatml"), "chatml"))
+
+
+@register("token_analysis")
+def q_token_analysis(spark, sf):
+    return K.token_analysis(_chatml_tokens(spark, sf), max_seq_len=256)
+
+
+@register("truncation_sampled")
+def q_truncation(spark, sf):
+    a = K.token_analysis(_chatml_tokens(spark, sf), max_seq_len=256, sample_size=50)
+    return a.select(
+        "sampled_examples",
+        "total_examples",
+        "estimated_total_tokens",
+        "sampled_examples_over_limit",
+        "fraction_over_limit",
+        "estimated_total_over_limit",
+    )
+
+
+@register("token_hist_rendered")
+def q_token_hist_rendered(spark, sf):
+    return K.token_histogram(_chatml_tokens(spark, sf))
+
+
+@register("runtime_estimate")
+def q_runtime(spark, sf):
+    a = K.token_analysis(_chatml_tokens(spark, sf), max_seq_len=256)
+    return K.runtime_estimate(a, epochs=3.0, target_tokens=1_000_000).select(
+        "estimated_total_tokens",
+        "total_training_tokens",
+        "assumed_tokens_per_sec",
+        "estimate_runtime_hours",
+        "estimated_epochs_for_target_tokens",
+    )
+
+
+@register("encode_rows")
+def q_encode_rows(spark, sf):
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text")
+    vocab = K.build_vocabulary(docs)
+    return K.encode_rows(docs, vocab)
