@@ -153,3 +153,44 @@ def format_records(spark: SparkSession, sf_dir: str, with_mixed: bool = True) ->
         mixed = lines.select(F.lit("mixed").alias("dataset"), (F.col("idx") * 8 + code).alias("idx"), "value")
         lines = lines.unionByName(mixed)
     return records_from_lines(lines)
+
+
+# ------------------------------------------------------------ run event logs
+
+# How event types of ``events`` stand in for run events.
+RUN_EVENT_KIND = {
+    "click": "metric",
+    "view": "checkpoint",
+    "error": "error",
+    "signup": "stage",
+    "purchase": "done",
+}
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9 run events derived from ``events`` (run = user, step = event id)."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.create_map(*[x for k, v in RUN_EVENT_KIND.items() for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    step = F.col("event_id")
+    metric = kind == "metric"
+    v = F.col("value")
+    from tuneframe.operators.runs import conform_events
+
+    return conform_events(e.select(
+        F.col("user_id").alias("run_id"),
+        kind.alias("event"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
+        step.alias("step"),
+        (step / F.lit(1000.0)).alias("epoch"),
+        F.when(metric, v).alias("loss"),
+        F.when(metric & (step % 5 == 0), v).alias("eval_loss"),
+        F.when(metric, F.lit(0.0002) * k / F.lit(100.0)).alias("learning_rate"),
+        F.when(metric, F.when(step % 7 == 0, F.lit(None)).when(step % 11 == 0, F.lit(1e-5)).otherwise(v / 10.0)).alias(
+            "grad_norm"
+        ),
+        F.when(metric, v / 50.0).alias("gpu_mem_used_gb"),
+        F.when(metric, F.when(k > 20, k * 100).otherwise(0)).cast("bigint").alias("total_steps"),
+        F.when(kind == "error", F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("message"),
+        F.when(kind == "stage", F.concat(F.lit("stage_"), (k % 4).cast("string"))).alias("stage"),
+    ))

@@ -286,6 +286,31 @@ best AS (
 )"""
 
 
+RUN_EVENTS = """
+run_events AS (
+  SELECT user_id AS run_id,
+         CASE event_type WHEN 'click' THEN 'metric' WHEN 'view' THEN 'checkpoint' WHEN 'error' THEN 'error'
+                         WHEN 'signup' THEN 'stage' WHEN 'purchase' THEN 'done' END AS event,
+         epoch_us(ts) / 1e6 AS ts, event_id AS step, event_id / 1000.0 AS epoch,
+         CASE WHEN event_type = 'click' THEN value END AS loss,
+         CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN value END AS eval_loss,
+         CASE WHEN event_type = 'click' THEN 0.0002 * CAST(json_extract(props, '$.k') AS INTEGER) / 100.0 END AS learning_rate,
+         CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 1e-5
+                                                  ELSE value / 10.0 END END AS grad_norm,
+         CASE WHEN event_type = 'click' THEN value / 50.0 END AS gpu_mem_used_gb,
+         CASE WHEN event_type = 'click' THEN CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 20
+              THEN CAST(json_extract(props, '$.k') AS INTEGER) * 100 ELSE 0 END END AS total_steps,
+         CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS message,
+         CASE WHEN event_type = 'signup' THEN 'stage_' || (CAST(json_extract(props, '$.k') AS INTEGER) % 4) END AS stage
+  FROM events
+),
+pts AS (SELECT run_id, ts, coalesce(step, 0) AS step, coalesce(epoch, 0.0) AS epoch, loss, eval_loss, learning_rate,
+               grad_norm, gpu_mem_used_gb, total_steps FROM run_events WHERE event = 'metric'),
+ck AS (SELECT run_id, coalesce(step, 0) AS step, coalesce(epoch, 0.0) AS epoch,
+              'runs/run_' || run_id || '/checkpoint-' || coalesce(step, 0) AS path, CAST(0 AS BIGINT) AS size_bytes
+       FROM run_events WHERE event = 'checkpoint')"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -421,4 +446,48 @@ WITH toks AS (
 vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM toks GROUP BY token)
 SELECT idx, CAST(pos AS INTEGER) AS pos, CAST(id AS BIGINT) AS id, token, false AS is_special
 FROM toks JOIN vocab USING (token)""".replace("{words}", _words("text"))
+
+    rv = "WITH " + RUN_EVENTS + "\n"
+    q["metric_history"] = rv + """
+SELECT run_id, CAST(step AS BIGINT) AS step, epoch, loss, eval_loss, learning_rate, grad_norm, gpu_mem_used_gb FROM pts"""
+    q["latest_state"] = rv + """
+SELECT run_id, CAST(s.step AS BIGINT) AS current_step, s.epoch AS current_epoch, CAST(coalesce(t, 0) AS BIGINT) AS total_steps,
+       s.loss, s.eval_loss, s.learning_rate, s.grad_norm, s.gpu_mem_used_gb,
+       round(CASE WHEN coalesce(t, 0) > 0 THEN least(100.0, s.step * 100.0 / t) ELSE 0.0 END, 4) AS progress_pct
+FROM (SELECT run_id, arg_max(struct_pack(step := step, epoch := epoch, loss := loss, eval_loss := eval_loss,
+                                         learning_rate := learning_rate, grad_norm := grad_norm,
+                                         gpu_mem_used_gb := gpu_mem_used_gb), ts) AS s,
+             arg_max(total_steps, ts) FILTER (WHERE total_steps > 0) AS t
+      FROM pts GROUP BY run_id)"""
+    q["run_status"] = rv + """
+SELECT run_id,
+       CASE arg_max(event, ts) FILTER (WHERE event IN ('error', 'done', 'cancelled'))
+            WHEN 'error' THEN 'failed' WHEN 'done' THEN 'completed' WHEN 'cancelled' THEN 'cancelled' ELSE 'running' END AS status,
+       CASE WHEN arg_max(event, ts) FILTER (WHERE event IN ('error', 'done', 'cancelled')) = 'error'
+            THEN coalesce(arg_max(message, ts) FILTER (WHERE event = 'error'), 'Unknown training error')
+            ELSE arg_max(message, ts) FILTER (WHERE event = 'error') END AS error_message
+FROM run_events GROUP BY run_id"""
+    q["grad_anomaly"] = rv + """
+SELECT run_id, CAST(step AS BIGINT) AS step, grad_norm,
+       CASE WHEN grad_norm > 10 AND (prev IS NULL OR grad_norm > prev * 3) THEN 'explosion'
+            WHEN grad_norm < 1e-4 THEN 'vanishing' END AS alert
+FROM (SELECT *, lag(grad_norm) OVER (PARTITION BY run_id ORDER BY ts) AS prev FROM pts)
+WHERE grad_norm IS NOT NULL AND (grad_norm > 10 AND (prev IS NULL OR grad_norm > prev * 3) OR grad_norm < 1e-4)"""
+    q["checkpoint_log"] = rv + "SELECT run_id, CAST(step AS BIGINT) AS step, epoch, path, size_bytes FROM ck"
+    q["best_checkpoint"] = rv + """,
+ev AS (SELECT run_id, step, eval_loss FROM pts WHERE eval_loss IS NOT NULL),
+wl AS (SELECT ck.run_id, ck.step, ev.eval_loss FROM ck ASOF LEFT JOIN ev ON ck.run_id = ev.run_id AND ck.step >= ev.step),
+best AS (SELECT run_id, arg_min(step, struct_pack(l := eval_loss, s := step)) AS bs FROM wl WHERE eval_loss IS NOT NULL GROUP BY run_id)
+SELECT wl.run_id, CAST(wl.step AS BIGINT) AS step, wl.eval_loss, coalesce(wl.step = best.bs, false) AS is_best
+FROM wl LEFT JOIN best USING (run_id)"""
+    q["retention"] = rv + """
+SELECT run_id, CAST(step AS BIGINT) AS step, path
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS r FROM ck) WHERE r > 3"""
+    q["log_tail"] = rv + """
+SELECT run_id, ts, line FROM (
+  SELECT run_id, ts, CASE event WHEN 'stage' THEN '[stage] ' || stage WHEN 'checkpoint' THEN '[checkpoint] step ' || step
+                               WHEN 'error' THEN '[error] ' || message END AS line,
+         row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) AS r
+  FROM run_events WHERE event IN ('stage', 'checkpoint', 'error', 'info')) WHERE r <= 101"""
+    q["dedupe_events"] = rv + "SELECT event, CAST(count(*) AS BIGINT) AS n FROM run_events GROUP BY event"
     return q

@@ -17,6 +17,7 @@ from tuneframe.operators import repair as R
 from tuneframe.operators import detect as D
 from tuneframe.operators import prepare as PR
 from tuneframe.operators import tokens as K
+from tuneframe.operators import runs as M
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -333,3 +334,53 @@ def q_encode_rows(spark, sf):
     docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text")
     vocab = K.build_vocabulary(docs)
     return K.encode_rows(docs, vocab)
+
+
+# ---------------------------------------------------------------- step 7: M
+
+
+@register("metric_history")
+def q_metric_history(spark, sf):
+    return M.metric_points(X.run_events(spark, sf)).drop("ts")
+
+
+@register("latest_state")
+def q_latest_state(spark, sf):
+    return M.latest_state(X.run_events(spark, sf))
+
+
+@register("run_status")
+def q_run_status(spark, sf):
+    return M.run_status(X.run_events(spark, sf))
+
+
+@register("grad_anomaly")
+def q_grad_anomaly(spark, sf):
+    return M.grad_alerts(X.run_events(spark, sf)).select("run_id", "step", "grad_norm", "alert")
+
+
+@register("checkpoint_log")
+def q_checkpoint_log(spark, sf):
+    return M.checkpoint_log(X.run_events(spark, sf))
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    return M.best_checkpoint(X.run_events(spark, sf)).select("run_id", "step", "eval_loss", "is_best")
+
+
+@register("retention")
+def q_retention(spark, sf):
+    return M.retention(M.checkpoint_log(X.run_events(spark, sf)), 3).select("run_id", "step", "path")
+
+
+@register("log_tail")
+def q_log_tail(spark, sf):
+    return M.log_tail(X.run_events(spark, sf)).select("run_id", "ts", "line")
+
+
+@register("dedupe_events")
+def q_dedupe_events(spark, sf):
+    ev = X.run_events(spark, sf)
+    doubled = ev.unionByName(ev.filter(F.col("event") == "metric"))
+    return M.dedupe_events(doubled).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
