@@ -194,3 +194,146 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("message"),
         F.when(kind == "stage", F.concat(F.lit("stage_"), (k % 4).cast("string"))).alias("stage"),
     ))
+
+
+# ------------------------------------------------------------ catalog, sizing
+
+BASE_TS = "2024-01-01 00:00:00"
+
+
+def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model catalog derived from ``part`` (repo = name + key)."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    size = F.col("p_size").cast("bigint")
+    hidden = (F.lit(512) * (size % 8 + 1)).cast("bigint")
+    vocab = F.when(key % 4 == 0, F.lit(None).cast("bigint")).otherwise(F.lit(32000) + (key % 5) * 1000).cast("bigint")
+    params = F.when(key % 9 == 0, F.lit(None).cast("bigint")).otherwise(size * 1000000000)
+    even = key % 2 == 0
+    config = F.when(
+        even,
+        F.to_json(
+            F.struct(
+                F.array(F.lit("LlamaForCausalLM")).alias("architectures"),
+                F.lit("llama").alias("model_type"),
+                hidden.alias("hidden_size"),
+                size.alias("num_hidden_layers"),
+                vocab.alias("vocab_size"),
+                F.lit(4096).alias("max_position_embeddings"),
+                params.alias("num_parameters"),
+            )
+        ),
+    ).otherwise(
+        F.to_json(
+            F.struct(
+                F.array(F.lit("GPT2LMHeadModel")).alias("architectures"),
+                F.lit("gpt2").alias("model_type"),
+                hidden.alias("n_embd"),
+                size.alias("n_layer"),
+                F.lit(2048).alias("n_positions"),
+                params.alias("num_parameters"),
+            )
+        )
+    )
+    tag2 = (
+        F.when(F.col("p_type") == "PROMO", "Vision-encoder")
+        .when(F.col("p_type") == "LARGE", "image-text-to-text")
+        .when(F.col("p_type") == "SMALL", "tiny-VL")
+        .when(F.col("p_type") == "MEDIUM", "vision")
+        .otherwise("text-generation")
+    )
+    return p.select(
+        F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-"), key.cast("string")).alias("repo_id"),
+        F.initcap("p_name").alias("display_name"),
+        F.col("p_brand").alias("family"),
+        params.alias("param_count"),
+        hidden.alias("hidden_size"),
+        size.alias("num_layers"),
+        vocab.alias("vocab_size"),
+        F.array(F.lower("p_type"), tag2).alias("tags"),
+        F.when(key % 4 == 1, "image-text-to-text").otherwise("text-generation").alias("pipeline_tag"),
+        ((F.col("p_retailprice") * 100).cast("bigint") + key).alias("downloads"),
+        (F.to_timestamp(F.lit(BASE_TS)) + F.make_interval(mins=key.cast("int"))).alias("created_at"),
+        F.parse_json(config).alias("config"),
+        key.alias("_key"),
+    )
+
+
+def model_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloaded / bookmarked state for a third of the catalog."""
+    m = model_catalog(spark, sf_dir).filter(F.col("_key") % 3 == 0)
+    k = F.col("_key")
+    return m.select(
+        "repo_id",
+        (k % 2 == 0).alias("downloaded"),
+        (k % 5 == 0).alias("bookmarked"),
+        F.when(k % 4 == 0, F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("last_used_at"),
+        F.concat(F.lit("models/"), F.col("repo_id")).alias("local_path"),
+        "_key",
+    )
+
+
+def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry row per ``documents`` source, profiled in one grouped job."""
+    from tuneframe.operators.normalize import to_messages
+    from tuneframe.operators.profile import profile
+
+    d = table(spark, sf_dir, "documents")
+    recs = d.select(
+        "source",
+        F.col("doc_id").alias("idx"),
+        F.to_json(F.struct("text")).alias("raw"),
+        F.expr("to_variant_object(named_struct('text', text))").alias("v"),
+        F.lit("raw_text").alias("fmt"),
+    )
+    prof = profile(to_messages(recs), by=["source"])
+    sid = F.regexp_extract("source", r"(\d+)$", 1).cast("bigint")
+    return prof.select(
+        sid.alias("dataset_id"),
+        F.col("source").alias("name"),
+        "num_examples",
+        "quality_score",
+        (F.to_timestamp(F.lit(BASE_TS)) + F.make_interval(hours=sid.cast("int"))).alias("created_at"),
+    )
+
+
+def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per run: created at its first event, dataset by run id."""
+    from tuneframe.operators.runs import run_status
+
+    ev = run_events(spark, sf_dir)
+    first = ev.groupBy("run_id").agg(F.min("ts").alias("_t"))
+    st = run_status(ev)
+    return first.join(st, "run_id").select(
+        "run_id",
+        (F.col("run_id") % 25).alias("dataset_id"),
+        F.timestamp_micros((F.col("_t") * 1e6).cast("bigint")).alias("created_at"),
+        "status",
+    )
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host snapshots with one or two devices, scaled from ``events``."""
+    e = table(spark, sf_dir, "events")
+    v = F.col("value")
+    eid = F.col("event_id")
+
+    def gpu(i: int):
+        return F.struct(
+            F.lit(i).alias("index"),
+            F.lit(f"GPU-{i}").alias("name"),
+            (v / 5.0 + i).alias("utilization_pct"),
+            (v * 1e7).cast("bigint").alias("memory_used_bytes"),
+            F.lit(8 * 1024**3).cast("bigint").alias("memory_total_bytes"),
+            F.when((eid % 3 == 0) & F.lit(i == 1), F.lit(None).cast("double")).otherwise(v * 1000.0).alias("power_mw"),
+            (F.lit(30.0) + v / 10.0).alias("temperature_c"),
+        )
+
+    return e.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("user_id") % 8).alias("host"),
+        (v / 5.0).alias("cpu_pct"),
+        F.lit(64 * 1024**3).cast("bigint").alias("ram_total"),
+        (F.lit(64 * 1024**3) - (v * 1e8).cast("bigint")).cast("bigint").alias("ram_available"),
+        F.when(eid % 2 == 0, F.array(gpu(0))).otherwise(F.array(gpu(0), gpu(1))).alias("gpus"),
+    )

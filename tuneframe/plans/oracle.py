@@ -311,6 +311,93 @@ ck AS (SELECT run_id, coalesce(step, 0) AS step, coalesce(epoch, 0.0) AS epoch,
        FROM run_events WHERE event = 'checkpoint')"""
 
 
+CATALOG = """
+mc AS (
+  SELECT replace(p_name, ' ', '-') || '-' || p_partkey AS repo_id,
+         array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS display_name,
+         p_brand AS family,
+         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 1000000000 END AS param_count,
+         CAST(512 * (p_size % 8 + 1) AS BIGINT) AS hidden_size, CAST(p_size AS BIGINT) AS num_layers,
+         CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 32000 + (p_partkey % 5) * 1000 END AS vocab_size,
+         [lower(p_type), CASE p_type WHEN 'PROMO' THEN 'Vision-encoder' WHEN 'LARGE' THEN 'image-text-to-text'
+                                     WHEN 'SMALL' THEN 'tiny-VL' WHEN 'MEDIUM' THEN 'vision' ELSE 'text-generation' END] AS tags,
+         CASE WHEN p_partkey % 4 = 1 THEN 'image-text-to-text' ELSE 'text-generation' END AS pipeline_tag,
+         CAST(trunc(p_retailprice * 100) AS BIGINT) + p_partkey AS downloads,
+         TIMESTAMP '2024-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS created_at,
+         p_partkey AS k
+  FROM part
+),
+vis AS (
+  SELECT repo_id, list_bool_or(list_transform(tags, lambda t: contains(t, 'vision') OR contains(lower(t), 'vl')
+                                                   OR contains(t, 'image-text')))
+                  OR contains(lower(repo_id), 'llava') OR contains(lower(repo_id), '-vl')
+                  OR contains(lower(repo_id), 'vision') AS is_vision
+  FROM mc
+),
+lib AS (
+  SELECT repo_id, k % 2 = 0 AS downloaded, k % 5 = 0 AS bookmarked,
+         CASE WHEN k % 4 = 0 THEN created_at + INTERVAL 1 DAY END AS last_used_at, 'models/' || repo_id AS local_path, k
+  FROM mc WHERE k % 3 = 0
+),
+cl AS (
+  SELECT mc.*, coalesce(lib.downloaded, false) AS downloaded, coalesce(lib.bookmarked, false) AS bookmarked
+  FROM mc LEFT JOIN lib USING (repo_id)
+),
+models AS (
+  SELECT mc.repo_id,
+         CASE WHEN k % 2 = 0 THEN 'LlamaForCausalLM' ELSE 'GPT2LMHeadModel' END AS architecture,
+         hidden_size, num_layers, CAST(CASE WHEN k % 2 = 0 THEN 4096 ELSE 2048 END AS BIGINT) AS context_length,
+         coalesce(param_count, 12 * num_layers * hidden_size * hidden_size
+                               + 2 * coalesce(CASE WHEN k % 2 = 0 THEN vocab_size END, 32000) * hidden_size) AS param_count,
+         param_count IS NULL AS param_count_is_estimate
+  FROM mc
+),
+grid AS (SELECT * FROM (VALUES ('lora', 'bf16', 2.0, 0.02, 2.5), ('qlora', 'nf4', 0.5, 0.01, 2.0), ('full', 'bf16', 2.0, 1.0, 4.0))
+         t(method, dtype, bpp, frac, act)),
+vparts AS (
+  SELECT repo_id, param_count, method, dtype,
+         param_count * bpp / 1073741824.0 AS w,
+         CASE WHEN method = 'full' THEN param_count * bpp / 1073741824.0 ELSE param_count * frac * bpp / 1073741824.0 END AS g,
+         param_count * frac * 8.0 / 1073741824.0 AS o,
+         act * greatest(1.0, param_count * bpp / 1073741824.0 / 8.0) AS a
+  FROM models, grid WHERE param_count IS NOT NULL
+),
+vram AS (
+  SELECT repo_id, param_count, method, dtype, round(w, 2) AS model_weights_gb, round(g, 2) AS gradients_gb,
+         round(o, 2) AS optimizer_states_gb, round(a, 2) AS activations_gb, round(w + g + o + a, 2) AS total_estimated_gb
+  FROM vparts
+),
+registry AS (
+  SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS dataset_id, source AS name, count(*) AS num_examples,
+         greatest(0.0, least(100.0, round(100.0 - 40.0 - round((count(*) - count(DISTINCT trim(text, {ws}))) / count(*), 4) * 30, 2))) AS quality_score
+  FROM documents GROUP BY source
+),
+runs AS (
+  SELECT user_id AS run_id, user_id % 25 AS dataset_id, min(ts) AS min_ts,
+         CASE arg_max(event_type, ts) FILTER (WHERE event_type IN ('error', 'purchase'))
+              WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status
+  FROM events GROUP BY user_id
+),
+devices AS (
+  SELECT e.ts, e.user_id % 8 AS host, g.i AS device, 'GPU-' || g.i AS name, e.value / 5.0 + g.i AS utilization_pct,
+         CAST(trunc(e.value * 1e7) AS BIGINT) / 1048576 AS memory_used_mib, CAST(8192 AS DOUBLE) AS memory_total_mib,
+         CASE WHEN e.event_id % 3 = 0 AND g.i = 1 THEN NULL ELSE e.value * 1000.0 / 1000.0 END AS power_w,
+         30.0 + e.value / 10.0 AS temperature_c, e.value / 5.0 AS cpu_pct,
+         CAST(trunc(e.value * 1e8) AS BIGINT) / 1073741824 AS ram_used_gb, CAST(64 AS DOUBLE) AS ram_total_gb
+  FROM events e, (SELECT unnest([0, 1]) AS i) g
+  WHERE g.i = 0 OR e.event_id % 2 = 1
+),
+rollup AS (
+  SELECT host, device, time_bucket(INTERVAL 1 MINUTE, ts) AS ws, count(*) AS n,
+         round(avg(utilization_pct), 6) AS avg_utilization_pct, max(utilization_pct) AS max_utilization_pct,
+         round(avg(memory_used_mib), 6) AS avg_memory_used_mib, max(memory_used_mib) AS max_memory_used_mib,
+         round(avg(power_w), 6) AS avg_power_w, max(temperature_c) AS max_temperature_c
+  FROM devices GROUP BY ALL
+)"""
+
+F_TS = "'%Y-%m-%d %H:%M:%S'"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -490,4 +577,86 @@ SELECT run_id, ts, line FROM (
          row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) AS r
   FROM run_events WHERE event IN ('stage', 'checkpoint', 'error', 'info')) WHERE r <= 101"""
     q["dedupe_events"] = rv + "SELECT event, CAST(count(*) AS BIGINT) AS n FROM run_events GROUP BY event"
+
+    cat = "WITH " + CATALOG.format(ws=WS) + "\n"
+    q["vision_flag"] = cat + "SELECT repo_id, is_vision FROM vis"
+    q["catalog_left_join"] = cat + "SELECT repo_id, downloaded, bookmarked FROM cl"
+    q["list_models"] = cat + f"""
+SELECT repo_id, strftime(created_at, {F_TS}) AS created_at FROM cl JOIN vis USING (repo_id) WHERE bookmarked AND NOT is_vision"""
+    q["recent_models"] = cat + f"""
+SELECT repo_id, strftime(last_used_at, {F_TS}) AS last_used_at FROM lib WHERE last_used_at IS NOT NULL
+ORDER BY last_used_at DESC LIMIT 10"""
+    q["model_search"] = cat + """
+SELECT repo_id, downloads FROM mc WHERE pipeline_tag = 'text-generation' AND contains(lower(repo_id), 'red')
+ORDER BY downloads DESC, repo_id LIMIT 20"""
+    q["upsert_models"] = cat + """,
+cur AS (SELECT mc.repo_id, display_name, CAST(NULL AS VARCHAR) AS architecture, param_count, CAST(2048 AS BIGINT) AS context_length,
+               '' AS license, vis.is_vision, CAST(NULL AS VARCHAR) AS local_path, false AS downloaded, k % 10 = 0 AS bookmarked
+        FROM mc JOIN vis USING (repo_id) WHERE k % 2 = 0),
+dl AS (SELECT lib.repo_id, CASE WHEN lib.k % 2 = 1 THEN 'New ' || lib.repo_id ELSE '' END AS display_name,
+              mc.family AS architecture, CAST(0 AS BIGINT) AS param_count,
+              CAST(CASE WHEN lib.k % 4 = 0 THEN 4096 ELSE 0 END AS BIGINT) AS context_length, 'apache-2.0' AS license,
+              mc.tags, lib.local_path
+       FROM lib JOIN mc USING (repo_id))
+SELECT repo_id,
+       coalesce(nullif(d.display_name, ''), c.display_name, repo_id) AS display_name,
+       coalesce(nullif(d.architecture, ''), c.architecture) AS architecture,
+       coalesce(nullif(d.param_count, 0), c.param_count) AS param_count,
+       coalesce(nullif(d.context_length, 0), c.context_length) AS context_length,
+       coalesce(nullif(d.license, ''), c.license) AS license,
+       CASE WHEN c.display_name IS NULL AND c.is_vision IS NULL THEN
+            list_bool_or(list_transform(d.tags, lambda t: contains(t, 'vision') OR contains(lower(t), 'vl') OR contains(t, 'image-text')))
+            OR contains(lower(repo_id), 'llava') OR contains(lower(repo_id), '-vl') OR contains(lower(repo_id), 'vision')
+            ELSE c.is_vision END AS is_vision,
+       coalesce(d.local_path, c.local_path) AS local_path,
+       d.local_path IS NOT NULL OR coalesce(c.downloaded, false) AS downloaded,
+       coalesce(c.bookmarked, false) AS bookmarked
+FROM cur c FULL OUTER JOIN dl d USING (repo_id)"""
+    q["list_datasets"] = cat + """
+SELECT dataset_id, name, CAST(num_examples AS BIGINT) AS num_examples, quality_score,
+       CASE WHEN quality_score IS NULL THEN 'n/a' WHEN quality_score < 50 THEN 'red' WHEN quality_score < 80 THEN 'amber'
+            ELSE 'green' END AS quality_band
+FROM registry"""
+    q["runs_with_dataset"] = cat + "SELECT run_id, runs.dataset_id, name, status FROM runs JOIN registry USING (dataset_id)"
+    q["orphan_runs"] = cat + "SELECT run_id, dataset_id FROM runs WHERE dataset_id NOT IN (SELECT dataset_id FROM registry)"
+    q["dashboard"] = cat + """
+SELECT CAST(count(*) AS BIGINT) AS total_runs, CAST(count_if(status IN ('running', 'preparing')) AS BIGINT) AS active_runs,
+       CAST(count_if(status = 'completed') AS BIGINT) AS completed_runs, CAST(count_if(status = 'failed') AS BIGINT) AS failed_runs,
+       (SELECT CAST(count(*) AS BIGINT) FROM cl) AS total_models,
+       (SELECT CAST(count_if(downloaded) AS BIGINT) FROM cl) AS downloaded_models
+FROM runs"""
+    q["newest_runs"] = cat + f"""
+SELECT run_id, strftime(min_ts, {F_TS}) AS created_at, status FROM runs ORDER BY min_ts DESC, run_id DESC LIMIT 6"""
+    q["param_estimate"] = cat + "SELECT * FROM models"
+    q["vram_matrix"] = cat + "SELECT * FROM vram"
+    q["fit_tiers"] = cat + """
+SELECT repo_id, method, dtype, total_estimated_gb,
+       CASE WHEN total_estimated_gb <= 8 THEN 8 WHEN total_estimated_gb <= 16 THEN 16 WHEN total_estimated_gb <= 24 THEN 24
+            WHEN total_estimated_gb <= 48 THEN 48 END AS smallest_tier_gb
+FROM vram"""
+    q["hparams"] = cat + """
+SELECT repo_id, param_count,
+       CASE WHEN 24.0 >= 4 * b THEN 'full' WHEN 24.0 >= 0.75 * b THEN 'lora' ELSE 'qlora' END AS method,
+       CASE WHEN b <= 1.5 THEN 8 WHEN b <= 4 THEN 16 WHEN b <= 9 THEN 32 ELSE 64 END AS lora_r,
+       2 * CASE WHEN b <= 1.5 THEN 8 WHEN b <= 4 THEN 16 WHEN b <= 9 THEN 32 ELSE 64 END AS lora_alpha,
+       CASE WHEN b <= 4 THEN 2e-4 WHEN b <= 9 THEN 1e-4 ELSE 5e-5 END AS learning_rate,
+       2 AS per_device_train_batch_size, 4 AS gradient_accumulation_steps,
+       NOT (24.0 >= 0.75 * b) AS load_in_4bit,
+       b >= 3 AS gradient_checkpointing
+FROM (SELECT repo_id, param_count, param_count / 1e9 AS b FROM models WHERE param_count IS NOT NULL)"""
+    q["telemetry_devices"] = cat + f"SELECT * REPLACE (strftime(ts, {F_TS}) AS ts) FROM devices"
+    q["latest_devices"] = cat + f"""
+SELECT host, device, strftime(l.ts, {F_TS}) AS ts, l.u AS utilization_pct, l.p AS power_w, l.r AS ram_used_gb
+FROM (SELECT host, device, arg_max(struct_pack(ts := ts, u := utilization_pct, p := power_w, r := ram_used_gb), ts) AS l
+      FROM devices GROUP BY host, device)"""
+    roll = f"""
+SELECT host, device, strftime(ws, {F_TS}) AS window_start, strftime(ws + INTERVAL 1 MINUTE, {F_TS}) AS window_end,
+       CAST(n AS BIGINT) AS n, avg_utilization_pct, max_utilization_pct, avg_memory_used_mib, max_memory_used_mib,
+       avg_power_w, max_temperature_c
+FROM rollup"""
+    q["telemetry_rollup"] = cat + roll
+    q["stream_telemetry_rollup"] = cat + roll + " WHERE ws + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events)"
+    q["stream_grad_alerts"] = q["grad_anomaly"]
+    q["stream_run_state"] = rv + ",\nls AS (" + q["latest_state"][len(rv):] + "),\nrs AS (" + q["run_status"][len(rv):] + """)
+SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.status FROM ls JOIN rs USING (run_id)"""
     return q

@@ -18,6 +18,10 @@ from tuneframe.operators import detect as D
 from tuneframe.operators import prepare as PR
 from tuneframe.operators import tokens as K
 from tuneframe.operators import runs as M
+from tuneframe.operators import catalog as C
+from tuneframe.operators import sizing as Z
+from tuneframe.operators import telemetry as G
+from tuneframe.streaming import runs as ST
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
 
@@ -384,3 +388,212 @@ def q_dedupe_events(spark, sf):
     ev = X.run_events(spark, sf)
     doubled = ev.unionByName(ev.filter(F.col("event") == "metric"))
     return M.dedupe_events(doubled).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- step 8: C, Z, G
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+def _ts(c: str):
+    return F.date_format(F.col(c), TS_FMT)
+
+
+def _models(spark, sf):
+    return Z.with_param_count(Z.flatten_config(X.model_catalog(spark, sf).drop("hidden_size", "vocab_size", "param_count", "num_layers")))
+
+
+@register("vision_flag")
+def q_vision(spark, sf):
+    m = X.model_catalog(spark, sf)
+    return m.select("repo_id", C.is_vision(F.col("tags"), F.col("repo_id")).alias("is_vision"))
+
+
+@register("catalog_left_join")
+def q_catalog_left_join(spark, sf):
+    j = C.catalog_with_library(X.model_catalog(spark, sf).drop("config"), X.model_library(spark, sf))
+    return j.select("repo_id", "downloaded", "bookmarked")
+
+
+@register("list_models")
+def q_list_models(spark, sf):
+    j = C.catalog_with_library(X.model_catalog(spark, sf).drop("config"), X.model_library(spark, sf))
+    j = j.withColumn("is_vision", C.is_vision(F.col("tags"), F.col("repo_id")))
+    return C.list_models(j, bookmarked_only=True, vision=False).select("repo_id", _ts("created_at").alias("created_at"))
+
+
+@register("recent_models")
+def q_recent(spark, sf):
+    lib = X.model_library(spark, sf)
+    return C.recent_models(lib, 10).select("repo_id", _ts("last_used_at").alias("last_used_at"))
+
+
+@register("model_search")
+def q_search(spark, sf):
+    return C.search_models(X.model_catalog(spark, sf), "red", limit=20).select("repo_id", "downloads")
+
+
+@register("upsert_models")
+def q_upsert(spark, sf):
+    cat = X.model_catalog(spark, sf)
+    current = cat.filter(F.col("_key") % 2 == 0).select(
+        "repo_id",
+        "display_name",
+        F.lit(None).cast("string").alias("architecture"),
+        "param_count",
+        F.lit(2048).cast("bigint").alias("context_length"),
+        F.lit("").alias("license"),
+        C.is_vision(F.col("tags"), F.col("repo_id")).alias("is_vision"),
+        F.lit(None).cast("string").alias("local_path"),
+        F.lit(False).alias("downloaded"),
+        (F.col("_key") % 10 == 0).alias("bookmarked"),
+    )
+    lib = X.model_library(spark, sf).join(cat.select("repo_id", "tags", "family"), "repo_id")
+    downloads = lib.select(
+        "repo_id",
+        F.when(F.col("_key") % 2 == 1, F.concat(F.lit("New "), F.col("repo_id"))).otherwise(F.lit("")).alias("display_name"),
+        F.col("family").alias("architecture"),
+        F.lit(0).cast("bigint").alias("param_count"),
+        F.when(F.col("_key") % 4 == 0, F.lit(4096)).otherwise(F.lit(0)).cast("bigint").alias("context_length"),
+        F.lit("apache-2.0").alias("license"),
+        "tags",
+        "local_path",
+    )
+    return C.upsert_models(current, downloads)
+
+
+@register("list_datasets")
+def q_list_datasets(spark, sf):
+    reg = X.dataset_registry(spark, sf)
+    return C.list_datasets(reg).select("dataset_id", "name", "num_examples", "quality_score", "quality_band")
+
+
+@register("runs_with_dataset")
+def q_runs_with_dataset(spark, sf):
+    runs = X.runs_table(spark, sf)
+    ds = X.dataset_registry(spark, sf).select("dataset_id", "name")
+    return C.runs_with_dataset(runs, ds).select("run_id", "dataset_id", "name", "status")
+
+
+@register("orphan_runs")
+def q_orphans(spark, sf):
+    runs = X.runs_table(spark, sf)
+    ds = X.dataset_registry(spark, sf).select("dataset_id")
+    return C.orphan_runs(runs, ds).select("run_id", "dataset_id")
+
+
+@register("dashboard")
+def q_dashboard(spark, sf):
+    runs = X.runs_table(spark, sf)
+    models = C.catalog_with_library(X.model_catalog(spark, sf).drop("config"), X.model_library(spark, sf))
+    return C.dashboard(runs, models)
+
+
+@register("newest_runs")
+def q_newest_runs(spark, sf):
+    return C.newest_runs(X.runs_table(spark, sf), 6).select("run_id", _ts("created_at").alias("created_at"), "status")
+
+
+@register("param_estimate")
+def q_param_estimate(spark, sf):
+    return _models(spark, sf).select(
+        "repo_id", "architecture", "hidden_size", "num_layers", "context_length", "param_count", "param_count_is_estimate"
+    )
+
+
+@register("vram_matrix")
+def q_vram(spark, sf):
+    return Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+
+
+@register("fit_tiers")
+def q_fit(spark, sf):
+    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+    return Z.smallest_fit(v, Z.tiers(spark)).select("repo_id", "method", "dtype", "total_estimated_gb", "smallest_tier_gb")
+
+
+@register("hparams")
+def q_hparams(spark, sf):
+    m = _models(spark, sf).filter(F.col("param_count").isNotNull()).select("repo_id", "param_count")
+    out = Z.suggest_hyperparams(m, F.lit(24.0))
+    return out.drop("rationale")
+
+
+@register("telemetry_devices")
+def q_telemetry_devices(spark, sf):
+    d = G.device_rows(X.telemetry(spark, sf))
+    return d.withColumn("ts", _ts("ts"))
+
+
+@register("latest_devices")
+def q_latest_devices(spark, sf):
+    d = G.latest_devices(G.device_rows(X.telemetry(spark, sf)))
+    return d.select("host", "device", _ts("ts").alias("ts"), "utilization_pct", "power_w", "ram_used_gb")
+
+
+@register("telemetry_rollup")
+def q_rollup(spark, sf):
+    r = G.rollup(G.device_rows(X.telemetry(spark, sf)), "1 minute")
+    return _rollup_out(r)
+
+
+def _rollup_out(r):
+    avgs = [c for c in r.columns if c.startswith("avg_")]
+    for c in avgs:
+        r = r.withColumn(c, F.round(c, 6))
+    return r.withColumn("window_start", _ts("window_start")).withColumn("window_end", _ts("window_end"))
+
+
+# ---------------------------------------------------------------- streaming = batch
+
+
+def _write_event_log(spark, sf, path, before: bool):
+    ev = X.run_events(spark, sf)
+    cut = F.col("ts") < F.lit(1705276800.0)  # 2024-01-15 00:00:00 UTC: two deliveries
+    part = ev.filter(cut if before else ~cut)
+    (
+        part.repartition("run_id")
+        .sortWithinPartitions("run_id", "ts")
+        .write.mode("append")
+        .partitionBy("run_id")
+        .json(path)
+    )
+
+
+def _two_deliveries(spark, sf, run):
+    """Deliver the log in two rounds; the same checkpoint carries state across."""
+    from tuneframe.session import scratch_path
+
+    src, ck = scratch_path(spark, "events"), scratch_path(spark, "ckpt")
+    out = scratch_path(spark, "out")
+    for before in (True, False):
+        _write_event_log(spark, sf, src, before)
+        q = run(ST.stream_events(spark, src), out, ck)
+        q.awaitTermination()
+    return out
+
+
+@register("stream_run_state")
+def q_stream_run_state(spark, sf):
+    out = _two_deliveries(spark, sf, lambda ev, o, ck: ST.start_run_state(ev, o, ck, available_now=True))
+    return ST.read_run_state(spark, out).select("run_id", "current_step", "total_steps", "loss", "progress_pct", "status")
+
+
+@register("stream_grad_alerts")
+def q_stream_grad_alerts(spark, sf):
+    out = _two_deliveries(spark, sf, lambda ev, o, ck: ST.start_to_table(ST.grad_alert_stream(ev), o, ck))
+    return spark.read.parquet(out).select("run_id", "step", "grad_norm", "alert")
+
+
+@register("stream_telemetry_rollup")
+def q_stream_rollup(spark, sf):
+    """G3 on a stream: watermark + tumbling window, append mode."""
+    from tuneframe.session import scratch_path
+
+    src, ck, out = scratch_path(spark, "telemetry"), scratch_path(spark, "ckpt"), scratch_path(spark, "out")
+    snaps = X.telemetry(spark, sf)
+    snaps.write.parquet(src)
+    stream = spark.readStream.schema(snaps.schema).parquet(src)
+    r = G.rollup(G.device_rows(stream), "1 minute", watermark="0 seconds")
+    ST.start_to_table(r, out, ck).awaitTermination()
+    return _rollup_out(spark.read.parquet(out))
