@@ -659,4 +659,10 @@ FROM rollup"""
     q["stream_grad_alerts"] = q["grad_anomaly"]
     q["stream_run_state"] = rv + ",\nls AS (" + q["latest_state"][len(rv):] + "),\nrs AS (" + q["run_status"][len(rv):] + """)
 SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.status FROM ls JOIN rs USING (run_id)"""
+
+    q["langid_documents"] = "SELECT doc_id AS idx, lang AS language FROM documents"
+    q["lang_distribution"] = f"""
+WITH h AS (SELECT lang FROM documents WHERE doc_id < 100 AND length(trim(text, {WS})) >= 8)
+SELECT lang AS language, CAST(count(*) AS BIGINT) AS n, (SELECT CAST(count(*) AS BIGINT) FROM h) AS sampled
+FROM h GROUP BY lang ORDER BY n DESC, lang LIMIT 5"""
     return q

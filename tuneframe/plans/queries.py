@@ -21,6 +21,7 @@ from tuneframe.operators import runs as M
 from tuneframe.operators import catalog as C
 from tuneframe.operators import sizing as Z
 from tuneframe.operators import telemetry as G
+from tuneframe.operators import langid as LI
 from tuneframe.streaming import runs as ST
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
@@ -597,3 +598,24 @@ def q_stream_rollup(spark, sf):
     r = G.rollup(G.device_rows(stream), "1 minute", watermark="0 seconds")
     ST.start_to_table(r, out, ck).awaitTermination()
     return _rollup_out(spark.read.parquet(out))
+
+
+# ---------------------------------------------------------------- U2, T9
+
+
+def _doc_texts(spark, sf):
+    return X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text", "lang")
+
+
+@register("langid_documents")
+def q_langid(spark, sf):
+    docs = _doc_texts(spark, sf)
+    model = LI.fit_langid(docs)
+    return LI.detect_languages(docs, model).select("idx", "language")
+
+
+@register("lang_distribution")
+def q_lang_distribution(spark, sf):
+    docs = _doc_texts(spark, sf)
+    model = LI.fit_langid(docs)
+    return LI.language_distribution(docs, model)
