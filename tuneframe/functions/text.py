@@ -42,9 +42,29 @@ def n_words(col) -> Column:
     return F.size(words(col))
 
 
+# The literal alternatives of INST_TAG_PATTERN; the remaining one,
+# ``<\|.*?\|>``, can only match where ``<|`` occurs.
+INST_TAG_LITERALS = ["[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+
+
+def has_inst_tags_sql(text: str) -> str:
+    """F4 as SQL: substring tests first, the regex only behind ``<|``.
+
+    Equal to ``text RLIKE INST_TAG_PATTERN`` but avoids a lazy scan from
+    every ``<`` of long texts.
+    """
+    lits = " OR ".join(f"instr({text}, '{lit}') > 0" for lit in INST_TAG_LITERALS)
+    return f"({lits} OR (instr({text}, '<|') > 0 AND {text} RLIKE '<\\\\|.*?\\\\|>'))"
+
+
 def has_inst_tags(col) -> Column:
     """llama chat tags anywhere in the text ('.' excludes newline)."""
-    return _c(col).rlike(INST_TAG_PATTERN)
+    c = _c(col)
+    lits = None
+    for lit in INST_TAG_LITERALS:
+        hit = F.instr(c, lit) > 0
+        lits = hit if lits is None else lits | hit
+    return lits | ((F.instr(c, "<|") > 0) & c.rlike(r"<\|.*?\|>"))
 
 
 def has_control_chars(col) -> Column:

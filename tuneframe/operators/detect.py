@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.functions.text import INST_TAG_PATTERN
-from tuneframe.operators.normalize import FORMATS, _sql_str, has
+from tuneframe.functions.text import has_inst_tags_sql
+from tuneframe.operators.normalize import FORMATS, has
 
 DETECTION_SAMPLE = 200
 
@@ -28,7 +28,7 @@ def classify_sql(v: str = "v", raw: str = "raw") -> str:
     """the format this record votes for, or NULL (ordered, falling through)."""
     conv = f"try_variant_get({v}, '$.conversations', 'array<variant>')"
     msgs = f"try_variant_get({v}, '$.messages', 'array<variant>')"
-    nkeys = f"size(array_distinct(json_object_keys({raw})))"
+    nkeys = f"size(try_variant_get({v}, '$', 'map<string,variant>'))"
     text_is_str = f"(schema_of_variant(try_variant_get({v}, '$.text', 'variant')) = 'STRING')"
     text = f"try_variant_get({v}, '$.text', 'string')"
     return (
@@ -36,7 +36,7 @@ def classify_sql(v: str = "v", raw: str = "raw") -> str:
         f"WHEN size({msgs}) > 0 AND forall({msgs}, c -> {_obj_with('c', ['role'])}) THEN 'chatml' "
         f"WHEN {has(v, 'chosen')} AND {has(v, 'rejected')} THEN 'preference' "
         f"WHEN {has(v, 'instruction')} AND ({has(v, 'output')} OR {has(v, 'response')}) THEN 'alpaca' "
-        f"WHEN {has(v, 'text')} AND {nkeys} <= 2 AND {text_is_str} AND {text} RLIKE {_sql_str(INST_TAG_PATTERN)} THEN 'llama' "
+        f"WHEN {has(v, 'text')} AND {nkeys} <= 2 AND {text_is_str} AND {has_inst_tags_sql(text)} THEN 'llama' "
         f"WHEN {has(v, 'text')} AND {nkeys} <= 2 AND {text_is_str} THEN 'raw_text' "
         f"END"
     )

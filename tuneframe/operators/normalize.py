@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneframe.functions.messages import MESSAGE_TYPE
-from tuneframe.functions.text import INST_TAG_PATTERN, WS_CHARS
+from tuneframe.functions.text import WS_CHARS, has_inst_tags_sql
 
 # Dataset formats in their declared order (ties in the format
 # vote go to the earlier one).
@@ -185,11 +185,11 @@ def raw_text_sql(v: str = "v") -> str:
 
 def unknown_sql(v: str = "v", raw: str = "raw") -> str:
     """The record's own JSON text as one user turn; empty record -> none."""
-    return f"CASE WHEN {raw} IS NULL OR size(json_object_keys({raw})) = 0 THEN {_empty()} ELSE array({_msg(_sql_str('user'), raw)}) END"
+    return f"CASE WHEN {v} IS NULL OR schema_of_variant({v}) = 'OBJECT<>' THEN {_empty()} ELSE array({_msg(_sql_str('user'), raw)}) END"
 
 
 def _tags_sql(v: str) -> str:
-    return f"(coalesce({get_str(v, 'text')}, '') RLIKE {_sql_str(INST_TAG_PATTERN)})"
+    return has_inst_tags_sql(f"coalesce({get_str(v, 'text')}, '')")
 
 
 def messages_sql(fmt: str = "fmt", v: str = "v", raw: str = "raw") -> str:

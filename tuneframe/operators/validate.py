@@ -79,7 +79,7 @@ def flag_records(df: DataFrame) -> DataFrame:
     has_record = "v" in df.columns
     m = F.col("messages")
     empty_record = (
-        F.expr("raw IS NULL OR size(json_object_keys(raw)) = 0") if has_record else F.lit(False)
+        F.expr("v IS NULL OR schema_of_variant(v) = 'OBJECT<>'") if has_record else F.lit(False)
     )
     invalid = empty_record | F.coalesce(F.col("norm_error"), F.lit(False)) | m.isNull() | (F.size(m) == 0)
     missing = (

@@ -35,6 +35,7 @@ def builder(master: str = "local[8]", shuffle_partitions: int = 8):
         SparkSession.builder.master(master)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
