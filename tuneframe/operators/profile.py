@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneframe.functions.buckets import TOKEN_BUCKETS, TURN_BUCKETS, histogram
+from tuneframe.functions.buckets import TOKEN_BUCKETS, TURN_BUCKETS, bucket_labels, histogram
 from tuneframe.functions.messages import content_hash, empty_messages, join_content
 from tuneframe.functions.text import n_words, words
 from tuneframe.operators.validate import empty_response, role_mismatch
@@ -184,38 +184,100 @@ def quality_score(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def _hist_map():
-    # At most six buckets per group: a bounded collect.
-    ordered = F.array_sort(F.collect_list(F.struct("bucket_order", "bucket", "n")))
-    return F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["bucket"], x["n"])))
+def keyed_counts(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Everything T1-T8 need, counted in ONE shuffle.
+
+    Each record emits tagged keys ``(kind, key)``: its turn count, its token
+    count, its empty / role-mismatch flags, its roles, its content hash and
+    its first 5000 lower-cased words. One ``groupBy(by, kind, key)`` with
+    partial aggregation counts them (hot words and hashes combine map-side);
+    the statistics are then read off these value distributions.
+    """
+    by = by or []
+    w = F.slice(words(join_content("messages", " ")), 1, ENTROPY_WORDS_PER_RECORD)
+
+    def tag(kind: str, key):
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+
+    empty = F.array().cast("array<struct<kind:string,key:string>>")
+    tags = F.concat(
+        F.array(tag("turns", F.col("n_turns")), tag("tokens", F.col("n_tokens"))),
+        F.when(F.col("is_empty"), F.array(tag("empty", F.lit("")))).otherwise(empty),
+        F.when(F.col("is_role_mismatch"), F.array(tag("role_mismatch", F.lit("")))).otherwise(empty),
+        F.transform("messages", lambda m: tag("role", m["role"])),
+        F.when(F.col("content_hash").isNotNull(), F.array(tag("hash", F.hex("content_hash")))).otherwise(empty),
+        F.transform(w, lambda x: tag("word", F.lower(x))),
+    )
+    t = rm.select(*by, F.explode(tags).alias("t"))
+    return t.groupBy(*by, F.col("t.kind").alias("kind"), F.col("t.key").alias("key")).agg(F.count(F.lit(1)).alias("c"))
 
 
 def profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per group with T1, T3-T8 as columns and T2/T5/T6 as maps.
+    """One row per group with T1-T8 (T2/T5/T6 as maps).
 
-    The record metrics are computed once; each report is a small aggregate
-    and the one-row (or one-row-per-group) results are joined.
+    One pass over the records and one shuffle (:func:`keyed_counts`), then a
+    single small aggregate of filtered sums over the counted keys.
     """
     by = by or []
-    rm = record_metrics(df, by)
-    parts = [
-        quality_score(rm, by),
-        turn_stats(rm, by),
-        assistant_user_ratio(rm, by).select(*by, "assistant_user_ratio"),
-        duplicate_stats(rm, by).select(*by, "duplicate_examples"),
-        token_stats(rm, by),
-        entropy(rm, by).select(*by, "entropy_score"),
-        role_counts(rm, by)
-        .groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("role_counts")),
-        token_histogram(rm, by)
-        .groupBy(*by)
-        .agg(_hist_map().alias("token_histogram")),
-        turn_histogram(rm, by)
-        .groupBy(*by)
-        .agg(_hist_map().alias("turn_histogram")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p) if not by else out.join(p, on=by, how="left")
-    return out
+    kc = keyed_counts(record_metrics(df, by), by)
+    kind, key, c = F.col("kind"), F.col("key"), F.col("c")
+    num = F.expr("try_cast(key AS double)")
+
+    def s(cond):
+        return F.sum(F.when(cond, c))
+
+    hist = []
+    for name, k, buckets in (("token_histogram", "tokens", TOKEN_BUCKETS), ("turn_histogram", "turns", TURN_BUCKETS)):
+        pairs = []
+        for (lo, hi), label in zip(buckets, bucket_labels(buckets)):
+            cond = (kind == k) & (num >= lo) & ((num < hi) if hi is not None else F.lit(True))
+            pairs += [F.lit(label), F.coalesce(s(cond), F.lit(0)).cast("bigint")]
+        hist.append(F.create_map(*pairs).alias(name))
+    g = kc.groupBy(*by) if by else kc.groupBy()
+    a = g.agg(
+        s(kind == "turns").alias("_n"),
+        F.sum(F.when(kind == "turns", num * c)).alias("_turns"),
+        F.min(F.when(kind == "turns", num)).alias("_min_turns"),
+        F.max(F.when(kind == "turns", num)).alias("_max_turns"),
+        F.sum(F.when(kind == "tokens", num * c)).alias("_tokens"),
+        F.min(F.when(kind == "tokens", num)).alias("_min_tokens"),
+        F.max(F.when(kind == "tokens", num)).alias("_max_tokens"),
+        s(kind == "empty").alias("_empty"),
+        s(kind == "role_mismatch").alias("_rm"),
+        s((kind == "role") & (key == "user")).alias("_u"),
+        s((kind == "role") & (key == "assistant")).alias("_a"),
+        F.map_from_entries(F.collect_list(F.when(kind == "role", F.struct(key, c)))).alias("role_counts"),
+        F.sum(F.when(kind == "hash", c - 1)).alias("_dup"),
+        s(kind == "word").alias("_wn"),
+        F.count(F.when(kind == "word", c)).alias("_wd"),
+        F.sum(F.when(kind == "word", c * F.log2(c))).alias("_ws"),
+        *hist,
+    )
+    n = F.col("_n")
+    empty_count = F.coalesce(F.col("_empty"), F.lit(0))
+    rm_count = F.coalesce(F.col("_rm"), F.lit(0))
+    dup = F.coalesce(F.col("_dup"), F.lit(0))
+    ratio = F.round(dup / n, 4)
+    score = F.lit(100.0) - empty_count / n * EMPTY_WEIGHT - ratio * DUP_WEIGHT - rm_count / n * ROLE_WEIGHT
+    h = F.log2("_wn") - F.col("_ws") / F.col("_wn")
+    entropy_score = F.coalesce(F.round(F.when(F.col("_wd") > 1, h / F.log2("_wd")).otherwise(h), 4), F.lit(0.0))
+    return a.select(
+        *by,
+        n.cast("bigint").alias("num_examples"),
+        empty_count.cast("bigint").alias("empty_count"),
+        rm_count.cast("bigint").alias("role_mismatch_count"),
+        ratio.alias("duplicate_ratio"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 2))).alias("quality_score"),
+        F.round(F.col("_turns") / n, 3).alias("avg_turns"),
+        F.col("_min_turns").cast("bigint").alias("min_turns"),
+        F.col("_max_turns").cast("bigint").alias("max_turns"),
+        F.when(F.col("_u") > 0, F.round(F.coalesce(F.col("_a"), F.lit(0)) / F.col("_u"), 4)).alias("assistant_user_ratio"),
+        dup.cast("bigint").alias("duplicate_examples"),
+        F.round(F.col("_tokens") / n, 2).alias("avg_tokens"),
+        F.col("_min_tokens").cast("bigint").alias("min_tokens"),
+        F.col("_max_tokens").cast("bigint").alias("max_tokens"),
+        entropy_score.alias("entropy_score"),
+        "role_counts",
+        "token_histogram",
+        "turn_histogram",
+    )

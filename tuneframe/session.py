@@ -44,6 +44,20 @@ def builder(master: str = "local[8]", shuffle_partitions: int = 8):
     return b
 
 
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    Small files with one row group scan as one task; row-heavy work on them
+    (parsing, normalising, splitting) would then run on a single core. Large
+    inputs already have many more splits than cores and pass unchanged. The
+    check reads the planned partition count; it runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
