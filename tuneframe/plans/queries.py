@@ -214,15 +214,24 @@ def q_repair_summary(spark, sf):
 # ---------------------------------------------------------------- step 4: S, F, N
 
 
+def _all_formats(spark, sf):
+    """Every fixture dataset parsed once and checkpointed: the union of
+    seven derivations would otherwise carry a copy of each downstream
+    projection into every branch."""
+    return X.format_records(spark, sf).checkpoint(eager=True)
+
+
 @register("detect_format")
 def q_detect_format(spark, sf):
-    recs = X.format_records(spark, sf)
-    return D.detect_format(recs, by=["dataset"]).drop("scores")
+    return D.detect_format(_all_formats(spark, sf), by=["dataset"]).drop("scores")
 
 
 def _normalize_query(dataset: str) -> Query:
     def q(spark, sf):
-        recs = X.format_records(spark, sf, with_mixed=(dataset == "mixed")).filter(F.col("dataset") == dataset)
+        if dataset == "mixed":
+            recs = _all_formats(spark, sf).filter(F.col("dataset") == "mixed")
+        else:
+            recs = X.format_records(spark, sf, with_mixed=False).filter(F.col("dataset") == dataset)
         fmt = None if dataset == "mixed" else dataset
         return N.explode_messages(N.to_messages(recs.drop("dataset"), fmt))
 

@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods above 8 KB of bytecode are not JIT-compiled by the
+    # JVM; fall back to per-expression code instead of running them interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
