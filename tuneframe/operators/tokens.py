@@ -23,6 +23,7 @@ DEFAULT_TOKENS_PER_SEC = 2000.0
 DEFAULT_MAX_SEQ_LEN = 2048
 
 
+
 def render(messages: Column, generation_prompt: bool = False, system_prompt: str | None = None) -> Column:
     """K1/K2: ``role: content`` lines joined by newlines ('' for no messages).
 

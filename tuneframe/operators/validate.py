@@ -71,7 +71,7 @@ def missing_fields_expr(fmt: str = "fmt", v: str = "v") -> str:
     )
 
 
-def flag_records(df: DataFrame) -> DataFrame:
+def flag_records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """V9: row-level flags for V1-V7 over ``(idx, messages, norm_error[, v, raw, fmt])``.
 
     Adds boolean columns named after ``CATEGORIES`` plus ``content_hash``.
@@ -104,24 +104,27 @@ def flag_records(df: DataFrame) -> DataFrame:
         (ok & unsupported_tokens(m)).alias("unsupported_tokens"),
         F.when(ok, content_hash(m)).alias("content_hash"),
     )
-    return mark_duplicates(base)
+    return mark_duplicates(base, by=by)
 
 
-def mark_duplicates(df: DataFrame, hash_col: str = "content_hash", order: str = "idx") -> DataFrame:
+def mark_duplicates(
+    df: DataFrame, hash_col: str = "content_hash", order: str = "idx", by: list[str] | None = None
+) -> DataFrame:
     """V7: second and later records with an equal hash (first by ``order`` is clean).
 
     ``groupBy(hash).min(order)`` combines map-side, so the shuffle carries one
     row per (partition, hash); the join back is a sort-merge join on the hash
     whose skewed partitions AQE splits.
     """
+    keys = [*(by or []), hash_col]
     firsts = (
         df.filter(F.col(hash_col).isNotNull())
-        .groupBy(hash_col)
+        .groupBy(*keys)
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1)
-        .select(hash_col, "_first")
+        .select(*keys, "_first")
     )
-    out = df.join(firsts, on=hash_col, how="left")
+    out = df.join(firsts, on=keys, how="left")
     return out.withColumn(
         "duplicate_samples", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
     ).drop("_first")

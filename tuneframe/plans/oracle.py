@@ -398,6 +398,71 @@ rollup AS (
 F_TS = "'%Y-%m-%d %H:%M:%S'"
 
 
+VALIDATE_BY_DATASET = """,
+branch AS (SELECT * FROM (VALUES ('sharegpt', 1), ('chatml', 2), ('preference', 3), ('alpaca', 4), ('llama', 5),
+                                 ('raw_text', 6), ('unknown', 7)) t(src, own_b)),
+fb AS (SELECT dataset, coalesce(bvote, 'unknown') AS f,
+              CASE coalesce(bvote, 'unknown') WHEN 'sharegpt' THEN 1 WHEN 'chatml' THEN 2 WHEN 'openai' THEN 2
+                   WHEN 'preference' THEN 3 WHEN 'alpaca' THEN 4 WHEN 'llama' THEN 5 ELSE 99 END AS fbr FROM best),
+allrec AS (
+  SELECT dataset, idx, dataset AS src, idx AS src_idx FROM recs
+  UNION ALL SELECT 'mixed', idx * 8 + code, dataset, idx FROM recs JOIN codes USING (dataset)
+),
+rb AS (SELECT a.*, b.own_b, fb.f, fb.fbr FROM allrec a JOIN branch b USING (src) JOIN fb USING (dataset)),
+msgs AS (
+  SELECT rb.dataset, rb.idx, e.pos, e.role, e.content
+  FROM rb JOIN expected e ON e.dataset = rb.src AND e.idx = rb.src_idx WHERE rb.own_b <= rb.fbr
+  UNION ALL SELECT rb.dataset, rb.idx, 0, 'user', a.instruction
+  FROM rb JOIN alp2 a ON a.idx = rb.src_idx WHERE rb.own_b > rb.fbr AND rb.f = 'preference' AND rb.src = 'alpaca'
+  UNION ALL SELECT dataset, idx, CASE WHEN src = 'alpaca' THEN 1 ELSE 0 END, 'assistant', ''
+  FROM rb WHERE own_b > fbr AND f = 'preference'
+  UNION ALL SELECT dataset, idx, 0, 'user', '' FROM rb WHERE own_b > fbr AND f = 'alpaca'
+  UNION ALL SELECT rb.dataset, rb.idx, 0, 'user', CASE WHEN rb.src = 'raw_text' THEN d.text ELSE '' END
+  FROM rb LEFT JOIN documents d ON d.doc_id = rb.src_idx AND rb.src = 'raw_text' WHERE rb.own_b > rb.fbr AND rb.f = 'llama'
+),
+mflags AS (
+  SELECT dataset, idx,
+         bool_or(pos = 0 AND role NOT IN ('system', 'user')) OR bool_or(prev = role AND role <> 'system') AS role_mismatch,
+         NOT bool_or(role = 'assistant') OR bool_or(role = 'assistant' AND trim(content, {ws}) = '') AS empty_responses,
+         bool_or(contains(content, chr(65533))) AS broken_utf8,
+         bool_or(regexp_matches(content, {ctrl})) AS unsupported_tokens,
+         list(struct_pack(r := role, c := trim(content, {ws})) ORDER BY pos) AS k
+  FROM (SELECT *, lag(role) OVER (PARTITION BY dataset, idx ORDER BY pos) AS prev FROM msgs) GROUP BY dataset, idx
+),
+firsts AS (SELECT dataset, k, min(idx) AS first_id FROM mflags GROUP BY dataset, k),
+vflags AS (
+  SELECT rb.dataset, rb.idx AS conv_id,
+         CASE rb.f WHEN 'alpaca' THEN rb.src <> 'alpaca' WHEN 'sharegpt' THEN rb.src <> 'sharegpt'
+                   WHEN 'chatml' THEN rb.src <> 'chatml' WHEN 'openai' THEN rb.src <> 'chatml'
+                   WHEN 'preference' THEN rb.src <> 'preference' ELSE false END AS missing_fields,
+         m.idx IS NULL AS invalid_conversation,
+         coalesce(m.role_mismatch, false) AS role_mismatch,
+         coalesce(m.empty_responses, false) AS empty_responses,
+         coalesce(m.broken_utf8, false) AS broken_utf8,
+         coalesce(m.unsupported_tokens, false) AS unsupported_tokens,
+         coalesce(m.idx > fi.first_id, false) AS duplicate_samples
+  FROM rb LEFT JOIN mflags m ON m.dataset = rb.dataset AND m.idx = rb.idx
+          LEFT JOIN firsts fi ON fi.dataset = m.dataset AND fi.k = m.k
+)"""
+
+
+def report_by_dataset(flagged: str = "vflags") -> str:
+    unions = "\nUNION ALL\n".join(
+        f"SELECT dataset, '{c}' AS category, {i} AS category_order, count_if({c}) AS count, "
+        f"coalesce(array_to_string(list_slice(list(conv_id ORDER BY conv_id) FILTER (WHERE {c}), 1, 5), ','), '') AS sample_indices "
+        f"FROM {flagged} GROUP BY dataset"
+        for i, c in enumerate(CATS)
+    )
+    return f""",
+per_cat AS ({unions}),
+totals AS (SELECT dataset, count(*) AS num_examples_checked FROM {flagged} GROUP BY dataset)
+SELECT dataset, category, CAST(category_order AS INTEGER) AS category_order, CAST(count AS BIGINT) AS count,
+       sample_indices,
+       CAST(sum(count) OVER (PARTITION BY dataset) AS BIGINT) AS issues_found,
+       CAST(num_examples_checked AS BIGINT) AS num_examples_checked
+FROM per_cat JOIN totals USING (dataset)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["fold_turns"] = """
@@ -665,4 +730,20 @@ SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.
 WITH h AS (SELECT lang FROM documents WHERE doc_id < 100 AND length(trim(text, {WS})) >= 8)
 SELECT lang AS language, CAST(count(*) AS BIGINT) AS n, (SELECT CAST(count(*) AS BIGINT) FROM h) AS sampled
 FROM h GROUP BY lang ORDER BY n DESC, lang LIMIT 5"""
+
+    q["generation_prompts"] = """
+SELECT conv_id AS idx, 'system: You are helpful.' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)
+       || chr(10) || 'assistant:' AS prompt
+FROM conversations GROUP BY conv_id"""
+    q["vocab_lookup"] = """
+WITH dw AS (SELECT unnest({w}) AS token FROM documents),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM dw GROUP BY token),
+cw AS (SELECT DISTINCT unnest({cw}) AS token FROM conversations)
+SELECT CAST(id AS BIGINT) AS id, token, false AS is_special FROM vocab JOIN cw USING (token)""".format(
+        w=_words("text"), cw=_words("text"))
+    q["limit_tokens"] = f"""
+SELECT conv_id, turn, CAST(len(list_slice({_words("text")}, 1, 16)) AS BIGINT) AS n_tokens,
+       list_slice({_words("text")}, 1, 16)[-1] AS last_token
+FROM conversations"""
+    q["validate_by_dataset"] = fx + VALIDATE_BY_DATASET.format(ws=WS, ctrl=CTRL) + "\n" + report_by_dataset()
     return q

@@ -628,3 +628,42 @@ def q_lang_distribution(spark, sf):
     docs = _doc_texts(spark, sf)
     model = LI.fit_langid(docs)
     return LI.language_distribution(docs, model)
+
+
+# ---------------------------------------------------------------- remaining K, P, V by dataset
+
+
+@register("generation_prompts")
+def q_generation_prompts(spark, sf):
+    m = N.to_messages(_fixture(spark, sf, "chatml"), "chatml")
+    return m.select("idx", K.render(F.col("messages"), generation_prompt=True, system_prompt="You are helpful.").alias("prompt"))
+
+
+@register("vocab_lookup")
+def q_vocab_lookup(spark, sf):
+    """K9: ids of the words used in conversations (by the documents
+    vocabulary), mapped back to their text."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text")
+    vocab = K.build_vocabulary(docs, specials=["<pad>", "<eos>"])
+    conv_words = X.table(spark, sf, "conversations").select(F.explode(K.words(F.col("text"))).alias("token")).distinct()
+    ids = conv_words.join(vocab, "token").select("id")
+    return K.lookup_ids(vocab, ids).select("id", "token", "is_special")
+
+
+@register("limit_tokens")
+def q_limit_tokens(spark, sf):
+    c = X.table(spark, sf, "conversations").select("conv_id", "turn", K.words(F.col("text")).alias("tokens"))
+    out = PR.limit_tokens(c, "tokens", 16)
+    return out.select(
+        "conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), F.element_at("tokens", -1).alias("last_token")
+    )
+
+
+@register("validate_by_dataset")
+def q_validate_by_dataset(spark, sf):
+    """Ingest path per dataset: detect -> attach format -> normalise -> flag -> report."""
+    recs = _all_formats(spark, sf)
+    fmt = D.detect_format(recs, by=["dataset"])
+    msgs = N.to_messages(D.attach_format(recs, fmt, by=["dataset"]))
+    flags = V.flag_records(msgs.select("dataset", "idx", "raw", "v", "fmt", "messages", "norm_error"), by=["dataset"])
+    return V.validation_report(flags, by=["dataset"])
