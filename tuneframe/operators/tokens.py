@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tuneframe.functions.buckets import TOKEN_BUCKETS, histogram
 from tuneframe.functions.text import words
@@ -49,9 +51,6 @@ def tokenizer_udf(make_encoder: Callable[[], Callable[[str], list[int]]]):
     ``make_encoder`` runs once per Python worker (not per row); the returned
     function maps one text to its token ids.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(T.ArrayType(T.LongType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = make_encoder()
