@@ -2,8 +2,8 @@
 
 F1 is one ``CASE`` over VARIANT predicates. F2 looks only at the first 200
 records in file order: without ``by`` that is a ``TakeOrdered`` (each task
-keeps 200), with ``by`` a salted two-level rank so a dataset holding a third
-of all rows is still ranked by many tasks. The vote itself is a tiny
+keeps 200), with ``by`` a ``row_number() <= 200`` whose partial
+``WindowGroupLimit`` keeps 200 rows per task and dataset before the shuffle. The vote itself is a tiny
 aggregate; the winner can be broadcast back to the records (one row per
 dataset) without a driver round trip.
 """
@@ -46,19 +46,13 @@ def classify_records(records: DataFrame) -> DataFrame:
     return records.withColumn("vote", F.expr(classify_sql()))
 
 
-def _head(records: DataFrame, by: list[str], n: int, salts: int = 64) -> DataFrame:
+def _head(records: DataFrame, by: list[str], n: int) -> DataFrame:
+    """First ``n`` records in file order: ``TakeOrdered`` without groups, else
+    ``row_number() <= n`` (partial ``WindowGroupLimit`` before the shuffle)."""
     if not by:
         return records.orderBy("idx").limit(n)
-    salt = F.pmod(F.xxhash64("idx"), F.lit(salts))
-    w1 = Window.partitionBy(*by, salt).orderBy("idx")
-    w2 = Window.partitionBy(*by).orderBy("idx")
-    return (
-        records.withColumn("_r", F.row_number().over(w1))
-        .filter(F.col("_r") <= n)
-        .withColumn("_r", F.row_number().over(w2))
-        .filter(F.col("_r") <= n)
-        .drop("_r")
-    )
+    w = Window.partitionBy(*by).orderBy("idx")
+    return records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def detect_format(records: DataFrame, by: list[str] | None = None, sample: int = DETECTION_SAMPLE) -> DataFrame:

@@ -126,21 +126,12 @@ def asof_join(
     return out.select(*lcols, *[F.col(f"_r_{c}").alias(c) for c in cols])
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, salts: int = 64, salt_col: str | None = None) -> DataFrame:
+def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, **_unused) -> DataFrame:
     """The first ``k`` rows per group under ``order`` (Column expressions).
 
-    Two-level: rank inside ``(group, salt)`` first, keep ``k``, then rank the
-    at most ``k * salts`` survivors per group. A group holding a third of all
-    rows is therefore ranked by ``salts`` tasks, never by one.
+    ``row_number() <= k`` is planned with a partial ``WindowGroupLimit``
+    before the shuffle, so each task ships at most ``k`` rows per group and
+    a group holding a third of all rows never reaches one task whole.
     """
-    salt_src = F.col(salt_col) if salt_col else F.struct(*[F.col(c) for c in df.columns])
-    salt = F.pmod(F.xxhash64(salt_src), F.lit(salts))
-    w1 = Window.partitionBy(*group, salt).orderBy(*order)
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_r", F.row_number().over(w1))
-        .filter(F.col("_r") <= k)
-        .withColumn("_r", F.row_number().over(w2))
-        .filter(F.col("_r") <= k)
-        .drop("_r")
-    )
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -133,9 +133,11 @@ def mark_duplicates(
 def validation_report(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
     """V8 in long form: ``(*by, category, count, sample_indices)`` plus totals.
 
-    Counts come from one aggregate. The first five indices per category come
-    from a ``TakeOrdered`` per category (each partition keeps its own five),
-    so no task ever holds more than five indices per category.
+    Two passes over the flags: one aggregate for the counts, and one exploded
+    ``(category, idx)`` pass for the first five indices per category. The
+    latter is ``row_number() <= 5`` per category, which Spark plans with a
+    partial ``WindowGroupLimit`` before the shuffle: each task ships at most
+    five indices per category, however many records a category holds.
     ``issues_found`` / ``num_examples_checked`` repeat on every row.
     """
     by = by or []
@@ -150,7 +152,7 @@ def validation_report(flags: DataFrame, by: list[str] | None = None) -> DataFram
         sum((F.col(c) for c in CATEGORIES), F.lit(0)).alias("issues_found"),
         F.expr(f"stack({len(CATEGORIES)}, {stack}) as (category, category_order, count)"),
     )
-    samples = _first_indices(flags, by)
+    samples = first_indices(flags, by)
     out = long.join(samples, on=[*by, "category"], how="left")
     return out.select(
         *by,
@@ -163,29 +165,16 @@ def validation_report(flags: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
-def _first_indices(flags: DataFrame, by: list[str], salts: int = 64) -> DataFrame:
-    parts = []
-    for c in CATEGORIES:
-        sel = flags.filter(F.col(c)).select(*by, F.lit(c).alias("category"), "idx")
-        parts.append(sel if by else sel.orderBy("idx").limit(SAMPLE_SIZE))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    if by:
-        # Two-level top-k: keep five per (group, category, salt) first, so a
-        # group holding a third of all rows is ranked by ``salts`` tasks and
-        # the final rank sees at most ``5 * salts`` rows per group.
-        salt = F.pmod(F.xxhash64("idx"), F.lit(salts))
-        w1 = Window.partitionBy(*by, "category", salt).orderBy("idx")
-        w2 = Window.partitionBy(*by, "category").orderBy("idx")
-        union = (
-            union.withColumn("_r", F.row_number().over(w1))
-            .filter(F.col("_r") <= SAMPLE_SIZE)
-            .withColumn("_r", F.row_number().over(w2))
-            .filter(F.col("_r") <= SAMPLE_SIZE)
-            .drop("_r")
-        )
-    return union.groupBy(*by, "category").agg(
+def first_indices(flags: DataFrame, by: list[str] | None = None, k: int = SAMPLE_SIZE) -> DataFrame:
+    """The ``k`` smallest flagged indices per (group, category), comma-joined."""
+    by = by or []
+    cats = F.filter(
+        F.array(*[F.when(F.col(c), F.lit(c)) for c in CATEGORIES]), lambda x: x.isNotNull()
+    )
+    ex = flags.select(*by, "idx", F.explode(cats).alias("category"))
+    w = Window.partitionBy(*by, "category").orderBy("idx")
+    top = ex.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    return top.groupBy(*by, "category").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("idx")), lambda x: x.cast("string")), ",").alias(
             "sample_indices"
         )
