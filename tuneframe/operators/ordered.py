@@ -21,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuneframe.session import materialize
+
 
 def _sorted(df: DataFrame, key: list[str], order: list[str], partitions: int | None) -> DataFrame:
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     s = df.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order)
-    return s.withColumn("_p", F.spark_partition_id()).checkpoint(eager=True)
+    return materialize(s.withColumn("_p", F.spark_partition_id()))
 
 
 def range_scan(

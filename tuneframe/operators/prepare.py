@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.operators.normalize import get_str, to_training_messages
+from tuneframe.session import materialize
 from tuneframe.operators.tokens import render
 
 DEFAULT_EVAL_RATIO = 0.05
@@ -41,7 +42,7 @@ def dense_rank(df: DataFrame, order: str = "idx", partitions: int | None = None)
         .withColumn("_p", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    s = s.checkpoint(eager=True)
+    s = materialize(s)
     per = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

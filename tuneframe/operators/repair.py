@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tuneframe.functions.messages import MESSAGE_TYPE, content_hash
 from tuneframe.functions.text import WS_CHARS
 from tuneframe.operators.validate import empty_response
+from tuneframe.session import materialize
 
 
 @dataclass(frozen=True)
@@ -186,7 +187,7 @@ def repair_job(df: DataFrame, opts: RepairOptions = RepairOptions(), min_rows: i
 
     Fails when nothing is left, like the reference's repair endpoint.
     """
-    rows = repair(df, opts).checkpoint(eager=True)
+    rows = materialize(repair(df, opts))
     if rows.isEmpty():
         raise ValueError("repair left no examples")
     return rows, repair_summary(df, opts)

@@ -218,7 +218,7 @@ def _all_formats(spark, sf):
     """Every fixture dataset parsed once and checkpointed: the union of
     seven derivations would otherwise carry a copy of each downstream
     projection into every branch."""
-    return X.format_records(spark, sf).checkpoint(eager=True)
+    return materialize(X.format_records(spark, sf))
 
 
 @register("detect_format")
@@ -246,7 +246,7 @@ for _fmt in ["sharegpt", "chatml", "alpaca", "llama", "preference", "raw_text",
 def q_jsonl_roundtrip(spark, sf):
     """S9 -> S1 -> S7: write the ShareGPT lines as JSONL, read them back,
     index them in file order and normalise."""
-    from tuneframe.session import scratch_path
+    from tuneframe.session import scratch_path, materialize
     from tuneframe.sources.readers import read_jsonl
 
     lines = X.format_lines(spark, sf).filter(F.col("dataset") == "sharegpt").orderBy("idx")

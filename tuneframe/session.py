@@ -78,6 +78,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Checkpoint ``df`` eagerly into the shared checkpoint folder (lineage cut)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
