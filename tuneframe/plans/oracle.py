@@ -744,6 +744,20 @@ SELECT CAST(id AS BIGINT) AS id, token, false AS is_special FROM vocab JOIN cw U
     q["limit_tokens"] = f"""
 SELECT conv_id, turn, CAST(len(list_slice({_words("text")}, 1, 16)) AS BIGINT) AS n_tokens,
        list_slice({_words("text")}, 1, 16)[-1] AS last_token
+FROM conversations"""
+    q["csv_roundtrip"] = fx + """
+SELECT CAST(dense_rank() OVER (ORDER BY idx) - 1 AS BIGINT) AS file_idx, CAST(pos AS INTEGER) AS pos, role, content
+FROM expected WHERE dataset = 'alpaca'"""
+    q["txt_roundtrip"] = f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line
+  FROM documents
+)
+SELECT CAST(row_number() OVER (ORDER BY doc_id, ln) - 1 AS BIGINT) AS line_idx, line AS text
+FROM lines WHERE trim(line, {WS}) <> ''"""
+    q["parquet_roundtrip"] = """
+SELECT CAST(dense_rank() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS file_idx,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, text AS content
 FROM conversations"""
     q["validate_by_dataset"] = fx + VALIDATE_BY_DATASET.format(ws=WS, ctrl=CTRL) + "\n" + report_by_dataset()
     return q

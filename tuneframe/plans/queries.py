@@ -667,3 +667,55 @@ def q_validate_by_dataset(spark, sf):
     msgs = N.to_messages(D.attach_format(recs, fmt, by=["dataset"]))
     flags = V.flag_records(msgs.select("dataset", "idx", "raw", "v", "fmt", "messages", "norm_error"), by=["dataset"])
     return V.validation_report(flags, by=["dataset"])
+
+
+# ---------------------------------------------------------------- S3-S5 round trips
+
+
+def _scratch(spark, name):
+    from tuneframe.session import scratch_path
+
+    return scratch_path(spark, name)
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """S3: the alpaca fixture as CSV (header, quoted multi-line cells) -> read -> normalise."""
+    from tuneframe.sources.readers import read_csv
+
+    recs = _fixture(spark, sf, "alpaca")
+    cols = recs.select(
+        "idx",
+        F.expr("try_variant_get(v, '$.instruction', 'string')").alias("instruction"),
+        F.expr("try_variant_get(v, '$.input', 'string')").alias("input"),
+        F.expr("try_variant_get(v, '$.output', 'string')").alias("output"),
+    )
+    path = _scratch(spark, "alpaca-csv")
+    cols.orderBy("idx").write.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    back = read_csv(spark, path)
+    out = N.explode_messages(N.to_messages(back, "alpaca"))
+    return out.select(F.col("idx").alias("file_idx"), "pos", "role", "content")
+
+
+@register("txt_roundtrip")
+def q_txt_roundtrip(spark, sf):
+    """Document texts as a text file, one record per non-blank line."""
+    from tuneframe.sources.readers import read_txt
+
+    path = _scratch(spark, "docs-txt")
+    X.table(spark, sf, "documents").orderBy("doc_id").select("text").write.text(path)
+    back = read_txt(spark, path)
+    return back.select(F.col("idx").alias("line_idx"), F.expr("try_variant_get(v, '$.text', 'string')").alias("text"))
+
+
+@register("parquet_roundtrip")
+def q_parquet_roundtrip(spark, sf):
+    """Folded conversations written as a ``messages`` parquet dataset."""
+    from tuneframe.sources.readers import read_parquet
+
+    path = _scratch(spark, "conv-parquet")
+    N.fold_turns(X.table(spark, sf, "conversations")).orderBy("idx").select("messages").write.parquet(path)
+    back = read_parquet(spark, path)
+    fmt = D.detect_format(back)
+    msgs = N.to_messages(D.attach_format(back, fmt))
+    return N.explode_messages(msgs).select(F.col("idx").alias("file_idx"), "pos", "role", "content")
