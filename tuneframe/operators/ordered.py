@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.session import materialize
+from tuneframe.session import materialize, parallelism
 
 
 def _sorted(df: DataFrame, key: list[str], order: list[str], partitions: int | None) -> DataFrame:
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(df.sparkSession)
     s = df.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order)
     return materialize(s.withColumn("_p", F.spark_partition_id()))
 

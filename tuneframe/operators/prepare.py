@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.operators.normalize import get_str, to_training_messages
-from tuneframe.session import materialize
+from tuneframe.session import materialize, parallelism
 from tuneframe.operators.tokens import render
 
 DEFAULT_EVAL_RATIO = 0.05
@@ -35,7 +35,7 @@ def dense_rank(df: DataFrame, order: str = "idx", partitions: int | None = None)
     partition) give the offsets. The sorted frame is checkpointed so the
     ranks are fixed once computed.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(df.sparkSession)
     s = (
         df.repartitionByRange(n, order)
         .sortWithinPartitions(order)
@@ -106,7 +106,7 @@ def pack(df: DataFrame, length_col: str, max_len: int, partitions: int | None =
     Examples longer than ``max_len`` are cut to it. ``pack_id`` is
     ``partition << 32 | local pack number``.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(df.sparkSession)
     limit = int(max_len)
     s = df.select("idx", F.col(length_col).cast("long").alias("_len")).repartitionByRange(n, "idx").sortWithinPartitions("idx")
     s = s.withColumn("_p", F.spark_partition_id())
