@@ -699,6 +699,13 @@ SELECT repo_id, method, dtype, total_estimated_gb,
        CASE WHEN total_estimated_gb <= 8 THEN 8 WHEN total_estimated_gb <= 16 THEN 16 WHEN total_estimated_gb <= 24 THEN 24
             WHEN total_estimated_gb <= 48 THEN 48 END AS smallest_tier_gb
 FROM vram"""
+    q["fit_hosts"] = cat + """,
+ld AS (SELECT host, device, arg_max(struct_pack(u := memory_used_mib, t := memory_total_mib), ts) AS l
+       FROM devices GROUP BY host, device),
+free AS (SELECT host, device, (l.t - l.u) / 1024.0 AS free_gb FROM ld)
+SELECT host, device, method, dtype, CAST(count(*) AS BIGINT) AS models_that_fit, max(param_count) AS largest_param_count
+FROM vram JOIN free ON vram.total_estimated_gb <= free.free_gb
+GROUP BY host, device, method, dtype"""
     q["hparams"] = cat + """
 SELECT repo_id, param_count,
        CASE WHEN 24.0 >= 4 * b THEN 'full' WHEN 24.0 >= 0.75 * b THEN 'lora' ELSE 'qlora' END AS method,

@@ -523,6 +523,16 @@ def q_fit(spark, sf):
     return Z.smallest_fit(v, Z.tiers(spark)).select("repo_id", "method", "dtype", "total_estimated_gb", "smallest_tier_gb")
 
 
+@register("fit_hosts")
+def q_fit_hosts(spark, sf):
+    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+    dev = G.latest_devices(G.device_rows(X.telemetry(spark, sf)))
+    out = Z.fit_hosts(v, dev)
+    return out.groupBy("host", "device", "method", "dtype").agg(
+        F.count(F.lit(1)).alias("models_that_fit"), F.max("param_count").alias("largest_param_count")
+    )
+
+
 @register("hparams")
 def q_hparams(spark, sf):
     m = _models(spark, sf).filter(F.col("param_count").isNotNull()).select("repo_id", "param_count")
