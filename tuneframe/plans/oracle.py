@@ -721,6 +721,7 @@ FROM (SELECT repo_id, param_count, param_count / 1e9 AS b FROM models WHERE para
 SELECT host, device, strftime(l.ts, {F_TS}) AS ts, l.u AS utilization_pct, l.p AS power_w, l.r AS ram_used_gb
 FROM (SELECT host, device, arg_max(struct_pack(ts := ts, u := utilization_pct, p := power_w, r := ram_used_gb), ts) AS l
       FROM devices GROUP BY host, device)"""
+    q["stream_latest_devices"] = q["latest_devices"]
     roll = f"""
 SELECT host, device, strftime(ws, {F_TS}) AS window_start, strftime(ws + INTERVAL 1 MINUTE, {F_TS}) AS window_end,
        CAST(n AS BIGINT) AS n, avg_utilization_pct, max_utilization_pct, avg_memory_used_mib, max_memory_used_mib,

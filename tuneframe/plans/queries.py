@@ -730,3 +730,18 @@ def q_parquet_roundtrip(spark, sf):
     fmt = D.detect_format(back)
     msgs = N.to_messages(D.attach_format(back, fmt))
     return N.explode_messages(msgs).select(F.col("idx").alias("file_idx"), "pos", "role", "content")
+
+
+@register("stream_latest_devices")
+def q_stream_latest_devices(spark, sf):
+    """G2 on a stream: newest reading per device, delivered in two rounds."""
+    src, ck, out = _scratch(spark, "telemetry"), _scratch(spark, "ckpt"), _scratch(spark, "out")
+    snaps = X.telemetry(spark, sf)
+    cut = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")
+    for part in (snaps.filter(cut), snaps.filter(~cut)):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(snaps.schema).parquet(src)
+        agg = G.latest_devices(G.device_rows(stream))
+        ST.start_update_sink(agg, out, ck).awaitTermination()
+    d = ST.read_latest_updates(spark, out, ["host", "device"])
+    return d.select("host", "device", _ts("ts").alias("ts"), "utilization_pct", "power_w", "ram_used_gb")

@@ -10,6 +10,8 @@
 * late / duplicate events (M10): a watermark on event time plus
   ``dropDuplicatesWithinWatermark``; nothing is dropped for being late.
 * routing (M1): ``foreachBatch`` writes each event kind to its own folder.
+* telemetry (G2, G3): the same update sink for the latest reading per device;
+  watermark + tumbling windows in append mode for rollups.
 
 The file source reads each file once: writers must rotate files (a file
 appended to after it was read is not re-read); append-only logs are read by
@@ -102,22 +104,12 @@ def run_state_aggregate(events: DataFrame) -> DataFrame:
 
 def start_run_state(events: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Run the state aggregate; append changed runs per micro-batch."""
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-    w = run_state_aggregate(events).writeStream.outputMode("update").foreachBatch(write_batch)
-    w = w.option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+    return start_update_sink(run_state_aggregate(events), sink, checkpoint, available_now)
 
 
 def read_run_state(spark: SparkSession, sink: str) -> DataFrame:
     """Newest update per run from the append-only state sink."""
-    u = spark.read.parquet(sink)
-    cols = [c for c in u.columns if c not in ("run_id", "batch_id")]
-    latest = u.groupBy("run_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_s"))
-    return latest.select("run_id", *[F.col(f"_s.{c}").alias(c) for c in cols])
+    return read_latest_updates(spark, sink, ["run_id"])
 
 
 def _alerts(key, batches: Iterator, state) -> Iterator:
@@ -164,3 +156,22 @@ def start_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "appen
     w = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
+
+
+def start_update_sink(agg: DataFrame, sink: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Any update-mode aggregate to append-only per-batch folders (idempotent by batch id)."""
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    w = agg.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def read_latest_updates(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
+    """Newest update per key from an append-only update sink."""
+    u = spark.read.parquet(sink)
+    cols = [c for c in u.columns if c not in (*keys, "batch_id")]
+    latest = u.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_s"))
+    return latest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in cols])
