@@ -3,11 +3,11 @@
 The built-in detector is a character-trigram naive Bayes model:
 
 * fit: explode the trigrams of every labelled text, ``groupBy(trigram,
-  lang)`` (partial aggregation absorbs hot trigrams), add-one smoothing
-  against each language's trigram total -> ``(trigram, lang, logp)``;
-* apply: explode the trigrams of the texts to label, equi-join the model on
-  the trigram (broadcast only when the model's estimated size is small),
-  ``groupBy(id, lang)`` sum + log prior, ``max_by(lang, score)`` per id.
+  lang)`` (partial aggregation absorbs hot trigrams) -> a sparse model of
+  seen pairs; add-one smoothing is folded into a per-language table;
+* apply: explode the trigrams of the texts to label, equi-join the sparse
+  model on the trigram (broadcast only when its estimated size is small),
+  sum per (text, language), then pick the best language per text.
 
 Whole texts are used; nothing is truncated. A different detector can be
 plugged in as an Arrow UDF ``text -> lang`` via :func:`detect_with_udf`.
@@ -41,41 +41,72 @@ def trigrams(text: Column) -> Column:
 
 
 def fit_langid(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(trigram, lang, logp, log_prior)`` from labelled texts."""
+    """Sparse model ``(trigram, lang, c, log_count)`` with ``log_count = log(c + 1)``.
+
+    Add-one smoothing is ``log((c + 1) / (n_lang + V)) = log_count +
+    log_unseen(lang)``, so only seen (trigram, language) pairs are stored;
+    :func:`language_table` holds the per-language terms.
+    """
     lab = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     grams = lab.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("trigram"))
     counts = grams.groupBy("trigram", "lang").agg(F.count(F.lit(1)).alias("c"))
-    per_lang = counts.groupBy("lang").agg(F.sum("c").alias("n_lang"))
-    vocab = counts.agg(F.countDistinct("trigram").alias("v"))
+    return counts.select("trigram", "lang", "c", F.log(F.col("c") + 1.0).alias("log_count"))
+
+
+def language_table(labelled: DataFrame, model: DataFrame, lang: str = "lang") -> DataFrame:
+    """One row per language: ``log_unseen = -log(n_lang + V)`` and the log prior."""
+    lab = labelled.filter(F.col(lang).isNotNull())
+    per_lang = model.groupBy("lang").agg(F.sum("c").alias("n_lang"))
+    vocab = model.agg(F.countDistinct("trigram").alias("v"))
     docs = lab.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
-    total_docs = docs.agg(F.sum("d").alias("dn"))
-    langs = per_lang.join(docs, "lang").crossJoin(vocab).crossJoin(total_docs)
-    langs = langs.select(
-        "lang",
-        F.log(F.lit(1.0) / (F.col("n_lang") + F.col("v"))).alias("log_unseen"),
-        F.log(F.col("d") / F.col("dn")).alias("log_prior"),
-        "n_lang",
-        "v",
-    )
-    # Every trigram gets a row for every language (languages are few).
-    grid = counts.select("trigram").distinct().crossJoin(F.broadcast(langs))
-    model = grid.join(counts, ["trigram", "lang"], "left").select(
-        "trigram",
-        "lang",
-        F.log((F.coalesce(F.col("c"), F.lit(0)) + 1.0) / (F.col("n_lang") + F.col("v"))).alias("logp"),
-        "log_prior",
+    total = docs.agg(F.sum("d").alias("dn"))
+    return (
+        per_lang.join(docs, "lang")
+        .crossJoin(vocab)
+        .crossJoin(total)
+        .select(
+            "lang",
+            (-F.log(F.col("n_lang") + F.col("v"))).alias("log_unseen"),
+            F.log(F.col("d") / F.col("dn")).alias("log_prior"),
+        )
     )
-    return model
 
 
-def detect_languages(texts: DataFrame, model: DataFrame, key: str = "idx", text: str = "text") -> DataFrame:
-    """``(key, language, score)`` for each text; unseen trigrams are ignored."""
+def detect_languages(texts: DataFrame, model: DataFrame, languages: DataFrame, key: str = "idx", text: str = "text") -> DataFrame:
+    """``(key, language, score)``; trigrams unseen in every language are ignored.
+
+    score(L) = known * log_unseen(L) + sum over matched trigrams of
+    k * log_count(t, L) + log_prior(L), where ``known`` counts the text's
+    trigrams seen in any language. One sparse join on the trigram, one
+    aggregate per text; the language list (one row per language) is attached
+    as a single array.
+    """
     grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("trigram"))
     per_gram = grams.groupBy(key, "trigram").agg(F.count(F.lit(1)).alias("k"))
-    scored = join_small(per_gram, model, on="trigram")
-    sums = scored.groupBy(key, "lang").agg((F.sum(F.col("k") * F.col("logp")) + F.max("log_prior")).alias("score"))
-    best = sums.groupBy(key).agg(F.max_by("lang", F.struct("score", "lang")).alias("language"), F.max("score").alias("score"))
-    return best
+    matched = join_small(per_gram, model, on="trigram")
+    known = join_small(per_gram, model.select("trigram").distinct(), on="trigram", how="left_semi")
+    per_text = (
+        matched.groupBy(key, "lang")
+        .agg(F.sum(F.col("k") * F.col("log_count")).alias("s"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("_m"))
+        .join(known.groupBy(key).agg(F.sum("k").alias("_known")), key)
+    )
+    langs = languages.agg(F.collect_list(F.struct("lang", "log_unseen", "log_prior")).alias("_langs"))
+    j = per_text.crossJoin(F.broadcast(langs))
+    scores = F.transform(
+        "_langs",
+        lambda L: F.struct(
+            (
+                F.col("_known") * L["log_unseen"]
+                + F.coalesce(F.element_at(F.col("_m"), L["lang"]), F.lit(0.0))
+                + L["log_prior"]
+            ).alias("score"),
+            L["lang"].alias("lang"),
+        ),
+    )
+    best = F.array_max(scores)
+    return j.select(key, best["lang"].alias("language"), best["score"].alias("score"))
 
 
 def detect_with_udf(texts: DataFrame, detector, key: str = "idx", text: str = "text") -> DataFrame:
@@ -84,7 +115,12 @@ def detect_with_udf(texts: DataFrame, detector, key: str = "idx", text: str = "t
 
 
 def language_distribution(
-    records_text: DataFrame, model: DataFrame, key: str = "idx", text: str = "text", sample: int = REPORT_SAMPLE
+    records_text: DataFrame,
+    model: DataFrame,
+    languages: DataFrame,
+    key: str = "idx",
+    text: str = "text",
+    sample: int = REPORT_SAMPLE,
 ) -> DataFrame:
     """Over the first ``sample`` texts (file order) with at least 8
     characters after strip: the top 5 languages with counts and the number
@@ -92,7 +128,7 @@ def language_distribution(
     """
     head = records_text.filter(F.col(key) < int(sample)).select(key, py_strip(F.col(text)).alias("_t"))
     head = head.filter(F.char_length("_t") >= MIN_CHARS)
-    labelled = detect_languages(head.withColumnRenamed("_t", text), model, key, text)
+    labelled = detect_languages(head.withColumnRenamed("_t", text), model, languages, key, text)
     counts = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     sampled = labelled.agg(F.count(F.lit(1)).alias("sampled"))
     top = counts.orderBy(F.col("n").desc(), F.col("language")).limit(REPORT_TOP)

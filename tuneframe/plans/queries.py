@@ -631,14 +631,14 @@ def _doc_texts(spark, sf):
 def q_langid(spark, sf):
     docs = _doc_texts(spark, sf)
     model = LI.fit_langid(docs)
-    return LI.detect_languages(docs, model).select("idx", "language")
+    return LI.detect_languages(docs, model, LI.language_table(docs, model)).select("idx", "language")
 
 
 @register("lang_distribution")
 def q_lang_distribution(spark, sf):
     docs = _doc_texts(spark, sf)
     model = LI.fit_langid(docs)
-    return LI.language_distribution(docs, model)
+    return LI.language_distribution(docs, model, LI.language_table(docs, model))
 
 
 # ---------------------------------------------------------------- remaining K, P, V by dataset
