@@ -53,8 +53,8 @@ HEADLINE = [
 def profile_replicated(spark, sf, copies: int = 20):
     """T10 over ``documents`` replicated ``copies`` times (ids shifted per copy)."""
     recs = X.documents_as_records(spark, sf)
-    rep = spark.range(copies).withColumnRenamed("id", "_copy")
-    big = recs.crossJoin(F.broadcast(rep)).withColumn("idx", F.col("idx") + F.col("_copy") * 10_000_000).drop("_copy")
+    big = recs.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    big = big.withColumn("idx", F.col("idx") + F.col("_copy") * 10_000_000).drop("_copy")
     return P.profile(N.to_messages(big)).drop("role_counts", "token_histogram", "turn_histogram")
 
 

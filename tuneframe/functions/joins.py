@@ -29,3 +29,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYT
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """``left.join(right)`` broadcasting ``right`` only behind the size check."""
     return left.join(broadcast_if_small(right, max_bytes), on=on, how=how)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame (a global aggregate) to every row.
+
+    ``one_row`` comes from an ungrouped ``agg`` and has exactly one row, so
+    the broadcast is a single row and no pairs are formed.
+    """
+    return df.crossJoin(F.broadcast(one_row))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneframe.functions.joins import join_small
+from tuneframe.functions.joins import join_small, attach_row
 
 # Quality bands of the dataset list.
 QUALITY_RED_BELOW, QUALITY_AMBER_BELOW = 50.0, 80.0
@@ -141,7 +141,7 @@ def dashboard(runs: DataFrame, models: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_models"),
         F.count_if(F.col("downloaded")).alias("downloaded_models"),
     )
-    return r.crossJoin(m)
+    return attach_row(r, m)
 
 
 def newest_runs(runs: DataFrame, n: int = 6) -> DataFrame:

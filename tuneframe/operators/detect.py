@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.functions.text import has_inst_tags_sql
 from tuneframe.operators.normalize import FORMATS, has
+from tuneframe.functions.joins import attach_row
 
 DETECTION_SAMPLE = 200
 
@@ -93,7 +94,7 @@ def attach_format(records: DataFrame, detected: DataFrame, by: list[str] | None
     by = by or []
     d = detected.select(*by, F.col("format").alias("fmt"))
     if not by:
-        return records.drop("fmt").crossJoin(F.broadcast(d))
+        return attach_row(records.drop("fmt"), d)
     return records.drop("fmt").join(F.broadcast(d), on=by, how="left")
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneframe.functions.joins import join_small
+from tuneframe.functions.joins import join_small, attach_row
 from tuneframe.functions.text import py_strip
 
 NGRAM = 3
@@ -61,9 +61,7 @@ def language_table(labelled: DataFrame, model: DataFrame, lang: str = "lang") ->
     docs = lab.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
     total = docs.agg(F.sum("d").alias("dn"))
     return (
-        per_lang.join(docs, "lang")
-        .crossJoin(vocab)
-        .crossJoin(total)
+        attach_row(attach_row(per_lang.join(docs, "lang"), vocab), total)
         .select(
             "lang",
             (-F.log(F.col("n_lang") + F.col("v"))).alias("log_unseen"),
@@ -93,7 +91,7 @@ def detect_languages(texts: DataFrame, model: DataFrame, languages: DataFrame, k
         .join(known.groupBy(key).agg(F.sum("k").alias("_known")), key)
     )
     langs = languages.agg(F.collect_list(F.struct("lang", "log_unseen", "log_prior")).alias("_langs"))
-    j = per_text.crossJoin(F.broadcast(langs))
+    j = attach_row(per_text, langs)
     scores = F.transform(
         "_langs",
         lambda L: F.struct(
@@ -132,4 +130,4 @@ def language_distribution(
     counts = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     sampled = labelled.agg(F.count(F.lit(1)).alias("sampled"))
     top = counts.orderBy(F.col("n").desc(), F.col("language")).limit(REPORT_TOP)
-    return top.crossJoin(sampled).select("language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint"))
+    return attach_row(top, sampled).select("language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint"))

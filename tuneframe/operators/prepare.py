@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tuneframe.operators.normalize import get_str, to_training_messages
 from tuneframe.session import materialize, parallelism
 from tuneframe.operators.tokens import render
+from tuneframe.functions.joins import attach_row
 
 DEFAULT_EVAL_RATIO = 0.05
 MIN_ROWS_FOR_EVAL = 20
@@ -64,7 +65,7 @@ def train_eval_split(df: DataFrame, ratio: float = DEFAULT_EVAL_RATIO, order: st
         F.col("_total") > MIN_ROWS_FOR_EVAL,
         F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(1.0 - ratio)).cast("bigint")),
     ).otherwise(F.col("_total"))
-    j = ranked.crossJoin(F.broadcast(n))
+    j = attach_row(ranked, n)
     return j.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("eval")).drop("_total")
 
 

@@ -16,6 +16,7 @@ from tuneframe.functions.buckets import TOKEN_BUCKETS, TURN_BUCKETS, bucket_labe
 from tuneframe.functions.messages import content_hash, empty_messages, join_content
 from tuneframe.functions.text import n_words, words
 from tuneframe.operators.validate import empty_response, role_mismatch
+from tuneframe.functions.joins import attach_row
 
 # Words per record that enter the entropy, and quality weights.
 ENTROPY_WORDS_PER_RECORD = 5000
@@ -166,7 +167,7 @@ def quality_score(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     tot = _record_totals(rm, by)
     dup = duplicate_stats(rm, by).select(*by, "duplicate_ratio")
-    j = tot.crossJoin(dup) if not by else tot.join(dup, on=by)
+    j = attach_row(tot, dup) if not by else tot.join(dup, on=by)
     n = F.col("num_examples")
     score = (
         F.lit(100.0)

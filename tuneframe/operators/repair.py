@@ -20,6 +20,7 @@ from tuneframe.functions.messages import MESSAGE_TYPE, content_hash
 from tuneframe.functions.text import WS_CHARS
 from tuneframe.operators.validate import empty_response
 from tuneframe.session import materialize
+from tuneframe.functions.joins import attach_row
 
 
 @dataclass(frozen=True)
@@ -165,7 +166,7 @@ def repair_summary(df: DataFrame, opts: RepairOptions = RepairOptions()) -> Data
         )
     else:
         ch = chunks.agg(F.lit(0).alias("duplicates_removed"), F.count(F.lit(1)).alias("output_count"))
-    out = rec.crossJoin(ch)
+    out = attach_row(rec, ch)
     cols = [
         "input_count",
         "roles_fixed",

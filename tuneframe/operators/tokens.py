@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tuneframe.functions.buckets import TOKEN_BUCKETS, histogram
 from tuneframe.functions.text import words
+from tuneframe.functions.joins import attach_row
 
 # Assumed adapter-training throughput and default sequence length.
 DEFAULT_TOKENS_PER_SEC = 2000.0
@@ -96,7 +97,7 @@ def token_analysis(
         F.count_if(F.col("n_tokens") > int(max_seq_len)).alias("over_limit"),
         F.min_by(F.struct("prompt", "n_tokens"), "idx").alias("_first"),
     )
-    j = total.join(st, on=by, how="left") if by else total.crossJoin(st)
+    j = total.join(st, on=by, how="left") if by else attach_row(total, st)
     n = F.col("sampled_examples")
     scale = F.when((n > 0) & (n < F.col("total_examples")), F.col("total_examples") / n).otherwise(F.lit(1.0))
     frac = F.when(n > 0, F.col("over_limit") / n)

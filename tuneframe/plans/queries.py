@@ -514,18 +514,18 @@ def q_param_estimate(spark, sf):
 
 @register("vram_matrix")
 def q_vram(spark, sf):
-    return Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+    return Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
 
 
 @register("fit_tiers")
 def q_fit(spark, sf):
-    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
     return Z.smallest_fit(v, Z.tiers(spark)).select("repo_id", "method", "dtype", "total_estimated_gb", "smallest_tier_gb")
 
 
 @register("fit_hosts")
 def q_fit_hosts(spark, sf):
-    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid(spark))
+    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
     dev = G.latest_devices(G.device_rows(X.telemetry(spark, sf)))
     out = Z.fit_hosts(v, dev)
     return out.groupBy("host", "device", "method", "dtype").agg(
