@@ -294,7 +294,7 @@ run_events AS (
          epoch_us(ts) / 1e6 AS ts, event_id AS step, event_id / 1000.0 AS epoch,
          CASE WHEN event_type = 'click' THEN value END AS loss,
          CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN value END AS eval_loss,
-         CASE WHEN event_type = 'click' THEN 0.0002 * CAST(json_extract(props, '$.k') AS INTEGER) / 100.0 END AS learning_rate,
+         CASE WHEN event_type = 'click' THEN CAST(0.0002 AS DOUBLE) * CAST(json_extract(props, '$.k') AS INTEGER) / CAST(100.0 AS DOUBLE) END AS learning_rate,
          CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 1e-5
                                                   ELSE value / 10.0 END END AS grad_norm,
          CASE WHEN event_type = 'click' THEN value / 50.0 END AS gpu_mem_used_gb,
