@@ -137,3 +137,35 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, **_unu
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def range_position(df: DataFrame, key: list[str], order: list[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """1-based position of each row within its key under ``order``.
+
+    Same range-partitioned layout as :func:`range_scan`: a row number inside
+    each (partition, key) plus the number of rows the key had in earlier
+    partitions (a running sum over the one-row-per-partition edge table).
+    """
+    s = _sorted(df, key, order, partitions)
+    kst = F.struct(*[F.col(k) for k in key])
+    ost = F.struct(*[F.col(k) for k in key], *[F.col(o) for o in order])
+    w = Window.partitionBy("_p", *key).orderBy(*order)
+    s = s.withColumn("_rn", F.row_number().over(w))
+    ends = s.groupBy("_p").agg(F.min_by(kst, ost).alias("_fk"), F.max_by(kst, ost).alias("_lk"))
+    tail = (
+        s.join(F.broadcast(ends.select("_p", "_lk")), "_p")
+        .filter(kst == F.col("_lk"))
+        .groupBy("_p")
+        .agg(F.count(F.lit(1)).alias("_own"))
+    )
+    edges = ends.join(tail, "_p")
+    run = Window.partitionBy("_lk").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.withColumn("_out", F.sum("_own").over(run))
+    prev = Window.orderBy("_p")
+    carry = edges.select(
+        "_p", "_fk", (F.lag("_lk").over(prev) == F.col("_fk")).alias("_cont"), F.lag("_out").over(prev).alias("_carry")
+    )
+    j = s.join(F.broadcast(carry), "_p", "left")
+    same_key = F.coalesce(F.col("_cont"), F.lit(False)) & (kst == F.col("_fk"))
+    j = j.withColumn(out, (F.col("_rn") + F.when(same_key, F.col("_carry")).otherwise(F.lit(0))).cast("bigint"))
+    return j.drop("_p", "_rn", "_fk", "_cont", "_carry")

@@ -479,6 +479,7 @@ FROM conversations"""
     ]:
         q[name] = base + f"SELECT conv_id AS idx FROM flagged WHERE {col}"
     q["validation_report"] = base + "," + report_sql()
+    q["validation_report_turns"] = q["validation_report"]
 
     from tuneframe.functions.buckets import TOKEN_BUCKETS, TURN_BUCKETS
 

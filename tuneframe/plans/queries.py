@@ -745,3 +745,11 @@ def q_stream_latest_devices(spark, sf):
         ST.start_update_sink(agg, out, ck).awaitTermination()
     d = ST.read_latest_updates(spark, out, ["host", "device"])
     return d.select("host", "device", _ts("ts").alias("ts"), "utilization_pct", "power_w", "ram_used_gb")
+
+
+@register("validation_report_turns")
+def q_validation_report_turns(spark, sf):
+    """The flagship report computed on the turn table without folding."""
+    from tuneframe.operators.turns import flag_turns
+
+    return V.validation_report(flag_turns(X.dirty_conversations(spark, sf)))
