@@ -30,6 +30,7 @@ from tuneframe.session import builder  # noqa: E402
 
 HEADLINE = [
     "validation_report",
+    "validation_report_turns",
     "profile",
     "repair_summary",
     "dedupe",
