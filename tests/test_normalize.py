@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests import mini_oracle as O
 from tuneframe.operators import detect as D

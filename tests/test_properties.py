@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from tests.conftest import SF01
 from tuneframe.operators import normalize as N

@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tuneframe.operators import prepare as PR
 from tuneframe.sources.readers import records_from_lines
