@@ -754,6 +754,11 @@ SELECT CAST(id AS BIGINT) AS id, token, false AS is_special FROM vocab JOIN cw U
 SELECT conv_id, turn, CAST(len(list_slice({_words("text")}, 1, 16)) AS BIGINT) AS n_tokens,
        list_slice({_words("text")}, 1, 16)[-1] AS last_token
 FROM conversations"""
+    q["preview_chat"] = """
+SELECT file_idx, CAST(pos AS INTEGER) AS pos, role, content FROM (
+  SELECT CAST(dense_rank() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS file_idx,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text AS content
+  FROM conversations) WHERE file_idx < 20"""
     q["csv_roundtrip"] = fx + """
 SELECT CAST(dense_rank() OVER (ORDER BY idx) - 1 AS BIGINT) AS file_idx, CAST(pos AS INTEGER) AS pos, role, content
 FROM expected WHERE dataset = 'alpaca'"""

@@ -753,3 +753,15 @@ def q_validation_report_turns(spark, sf):
     from tuneframe.operators.turns import flag_turns
 
     return V.validation_report(flag_turns(X.dirty_conversations(spark, sf)))
+
+
+@register("preview_chat")
+def q_preview_chat(spark, sf):
+    """The first 20 records of a JSONL file, shown as chat messages."""
+    from tuneframe.sources.readers import preview, read_jsonl
+
+    path = _scratch(spark, "chatml-jsonl")
+    X.format_lines(spark, sf).filter(F.col("dataset") == "chatml").orderBy("idx").select("value").write.text(path)
+    head = preview(read_jsonl(spark, path), 20)
+    out = N.explode_messages(N.to_messages(head, "chatml"))
+    return out.select(F.col("idx").alias("file_idx"), "pos", "role", "content")
