@@ -49,7 +49,7 @@ def ascii_lower(col: Column) -> Column:
 
 
 def slots(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "slot",
-          rows_per_bucket: int = 50_000, size: str | None = None) -> DataFrame:
+          rows_per_bucket: int = 4_000, size: str | None = None) -> DataFrame:
     """Number the rows of each group from 0 without holding a group in one task.
 
     Rows are dealt by a hash of ``order`` to buckets of about
