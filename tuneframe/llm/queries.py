@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.llm import ann, chat, line_dedup, mixing, packing, sharding, topk
+from tuneframe.llm import ann, chat, line_dedup, mixing, ngram_join, packing, sharding, topk, toxicity
 from tuneframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels.filter(~held_out())))
+    out = toxicity.tag(docs, model)
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), word_bpe())
     return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -59,6 +71,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
@@ -77,8 +94,10 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_topk_search": op8_topk_search,
     "op9_ann_search": op9_ann_search,
 }
