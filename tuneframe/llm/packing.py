@@ -11,19 +11,20 @@ ids stay where they were made.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.common import cut
 
-CACHE_WORDS = 150_000
-ENCODE_WORDS = 20_000
+CACHE_WORDS = 300_000
+CACHE_PIECES = 300_000
 
 
 class CapacityTree:
@@ -78,34 +79,69 @@ def best_fit_decreasing(lengths, window: int) -> list[tuple[int, int]]:
     return out
 
 
-class WordEncoder:
-    """Token ids of a text as little-endian bytes, through a bounded cache of its words.
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte that byte-level vocabularies use: itself, or the next free letter from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, free = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else free))
+        free += b not in plain
+    return out
+
+
+class WordEncoder(dict):
+    """Token ids of a blank-separated word as little-endian bytes, in a bounded cache.
 
     The vocabulary's pre-tokenizer never joins across a blank, so a text's
-    ids are the ids of its blank-separated words one after the other.
+    ids are the ids of its words one after the other. Words of ASCII signs
+    and Western letters are cut into the pre-tokenizer's pieces here and only
+    new pieces are merged by the vocabulary; any other word, and words that
+    could hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), ENCODE_WORDS):
-            some = words[k : k + ENCODE_WORDS]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        # Fixed values of the vocabulary's pre-tokenizer, for lower-case letters of the safe alphabet.
+        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+        self.safe = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+        self.letter = _byte_letters()
+
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else "".join(self.letter[b] for b in piece.encode())
+            got = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if self.safe(word) and "<|" not in word:
+            got = b"".join(map(self.piece, self.cut(word.lower())))
+        else:
+            got = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = got
+        return got
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = {w for w in words if w not in self.cache}
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = set(words)
-            self.learn(list(new))
-        return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker: its cache outlives a task."""
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, ids: bool = False,
@@ -118,7 +154,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5 + ids)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -181,8 +217,6 @@ def sequences(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 40
     placed = place(made.drop("ids"), window, bucket_tokens)
     # Equal pieces of repeated rows are interchangeable: they are numbered on both sides.
     key = ["id", "start", "ids_crc32", "length"]
-    from pyspark.sql import Window
-
     a = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("sequence_id", "offset")))
     b = made.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("doc_tokens")))
     cond = F.col("a._n") == F.col("b._n")
