@@ -41,6 +41,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in smaller pieces: what a worker holds besides a batch stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that when every character is ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.llm import ann, chat, line_dedup, mixing, ngram_join, packing, sharding, topk, toxicity
+from tuneframe.llm import ann, chat, line_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk, toxicity
 from tuneframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors.filter("id % 20 = 0"), vectors)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_topk_search": op8_topk_search,
     "op9_ann_search": op9_ann_search,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _STRIP = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
