@@ -13,11 +13,14 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import re
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tuneframe.llm.common import WORD, cut, slots
+from tuneframe.llm.common import WORD, cut, slices, slots
 
 
 def targets(sizes: list[int], weights: list[float], limit: float = 3.0) -> list[float]:
@@ -156,3 +159,66 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 8, seed: int = 7, id_col
     taken = F.aggregate(F.transform(F.col("uses"), words), F.lit(0).cast("long"), lambda x, y: x + y)
     out = laid.withColumn("uses", uses).withColumn("taken", taken)
     return out.select("id", "source", "text_hash", "size", "source_size", "target", "position", "uses", "taken"), recipe
+
+
+def mixed_texts(docs: DataFrame, block: int = 1024, shards: int = 8, seed: int = 7, id_col: str = "doc_id",
+                text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: a row for each pass that takes words of a document, with all columns of ``docs``.
+
+    Pass k takes the blocks that are used k times or more. The text is the
+    document's own from the first to the last word of each stretch of taken
+    blocks, stretches joined by a line feed; a pass that takes all words keeps the text as it is.
+    Documents without words are not taken.
+    """
+    taken, _ = mix(docs, block, shards, seed, id_col, text_col, source_col)
+    # Equal rows are interchangeable; they are told apart by their number.
+    rows = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_i", F.col(f"`{id_col}`"))
+    same = taken.groupBy("id", "text_hash", "source").count().filter("count > 1").limit(1).count()
+    left, right = rows.withColumn("_n", F.lit(1)), taken.withColumn("n", F.lit(1))
+    if same:
+        left = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h", source_col).orderBy("_h")))
+        right = taken.withColumn("n", F.row_number().over(Window.partitionBy("id", "text_hash", "source").orderBy("position")))
+    right = right.filter("taken > 0").select("id", "text_hash", F.col("source").alias("src"), "n", "position", "uses")
+    joined = left.join(right, (left["_h"] == right["text_hash"]) & (left["_n"] == right["n"]) & left["_i"].eqNullSafe(right["id"])
+                       & left[source_col].cast("string").eqNullSafe(right["src"]))
+    at = docs.columns.index(text_col)
+    picked = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "position", "uses")
+
+    def run(batches):
+        for batch in slices(batches):
+            keep, texts = [], []
+            for k, (text, position, uses) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, -2, -1)), strict=True)):
+                for made in passes(text, position, uses, block):
+                    keep.append(k)
+                    texts.append(made)
+            cols = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-2]]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    out = picked.mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def passes(text: str, position: int, uses: list[int], block: int) -> list[str]:
+    """The words each pass takes of a text whose first word stands at ``position`` of its source's line."""
+    words = [m.span() for m in re.finditer(WORD, text)]
+    first = position // block
+    out = []
+    for turn in range(1, max(uses, default=0) + 1):
+        if min(uses) >= turn:
+            out.append(text)
+            continue
+        parts, k = [], 0
+        while k < len(uses):
+            if uses[k] < turn:
+                k += 1
+                continue
+            start = k
+            while k < len(uses) and uses[k] >= turn:
+                k += 1
+            a = max(0, (first + start) * block - position)
+            b = min(len(words), (first + k) * block - position)
+            parts.append(text[words[a][0] : words[b - 1][1]])
+        out.append("\n".join(parts))
+    return out
