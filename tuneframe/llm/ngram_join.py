@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,43 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.llm.common import LOWER, UPPER, components, cut, scratch
+from tuneframe.llm.bytehash import MULT, scramble, word_hashes
+from tuneframe.llm.common import components, cut, scratch, slices
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-FOLD = str.maketrans(UPPER, LOWER)
-MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-SKETCH_BITS = 20
-CACHE_WORDS = 200_000
-BLOCK_BYTES = 16 << 20
+SKETCH_BITS = 22
+BLOCK_BYTES = 6 << 20
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, made once per distinct word; bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
-
-
-def scramble(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * MIX[1]
-    h = (h ^ (h >> np.uint64(27))) * MIX[3]
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: str | None, known: WordHashes, words: int) -> np.ndarray:
+def shingles(raw: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a text with fewer words is one shingle, one without words none."""
-    found = WORD.findall(text.translate(FOLD)) if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    a = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+    a = word_hashes(raw or b"")
+    if not len(a):
+        return a
     n = min(words, len(a))
     # A short sequence must not equal a part of a longer one.
     h = np.full(len(a) - n + 1, n, dtype=np.uint64)
     for k in range(n):
-        h = scramble(h * MIX[0] + a[k : len(a) - n + 1 + k])
+        h = scramble(h * MULT + a[k : len(a) - n + 1 + k])
     return np.unique(h)
 
 
@@ -92,21 +72,23 @@ def node_id(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set of 48-bit tokens; ``frequent`` flags the tokens of the second class."""
+def signatures(s: np.ndarray, rank: np.ndarray, often: int, percent: int) -> np.ndarray:
+    """Signatures of one set of 48-bit tokens.
+
+    ``rank`` is each token's frequency rank; from ``often`` on it belongs to
+    the second class. Tokens are ordered by rank, then by hash.
+    """
     n = len(s)
     e = n - -(-percent * n // 100)
-    order = np.argsort(scramble(s), kind="stable")  # an order unrelated to the sketch's cells
-    s, frequent = s[order], frequent[order]
-    rare, often = s[~frequent], s[frequent]
-    n1 = len(rare)
-    single = scramble(rare[: e + 1] + MIX[0])
+    mixed = scramble(s)
+    order = np.lexsort((mixed, rank))
+    s, n1 = s[order], int((rank < often).sum())
+    single = scramble(s[: min(n1, e + 1)] + MULT)
     if n1 > e:
         return single
     d = n * (100 - percent) // percent - n1
-    m = max(2, d + 2 + e - n1)
-    p = often[:m]
-    pairs = scramble(scramble(p[:-1] * MIX[0] + MIX[2]) + p[1:])
+    p = s[n1 : n1 + max(2, d + 2 + e - n1)]
+    pairs = scramble(scramble(p[:-1] * MULT + np.uint64(1)) + p[1:])
     return np.concatenate([single, pairs])
 
 
@@ -200,65 +182,65 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     path = scratch(spark, "shingles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            rows = [shingles(t.as_py(), known, words) for t in batch.column(1)]
+        for batch in slices(batches):
+            rows = [shingles(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(h) for h in rows], pa.int64()),
                  pa.array([node_id(h) for h in rows], pa.int64()), pa.array([pack48(h) for h in rows], pa.binary())],
                 names=["id", "n", "node", "tokens"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     # Hashes do not compress; trying to would only cost time.
     picked.mapInArrow(sets, "id long, n long, node long, tokens binary").write.option("compression", "none").parquet(path)
     known = spark.read.parquet(path)
 
-    # Token frequencies by hash cell: 2 ** 20 counters, whatever the corpus. Any estimate is right for any
-    # token, as the classes only need to be the same everywhere.
-    cells = 1 << SKETCH_BITS
-    part = cells >> 5
+    # Token frequencies by hash cell: 2 ** 22 counters, whatever the corpus. Any estimate is right for any
+    # token, as order and classes only need to be the same everywhere.
+    cells, parts = 1 << SKETCH_BITS, 32
+    part = cells // parts
 
     def cell(t: np.ndarray) -> np.ndarray:
         return (t >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            if raw:
-                total += np.bincount(cell(unpack48(raw)), minlength=cells)
-        chunks = [(k, total[k * part : (k + 1) * part]) for k in range(32)]
-        chunks = [(k, c) for k, c in chunks if c.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()),
-                                          pa.array([c.astype("<i8").tobytes() for _, c in chunks], pa.binary())], names=["k", "c"])
+        total = np.zeros(cells, np.uint32)
+        for batch in slices(batches):
+            found, times = np.unique(cell(unpack48(b"".join(batch.column(0).to_pylist()))), return_counts=True)
+            total[found] += times.astype(np.uint32)
+        chunks = [(k, total[k * part : (k + 1) * part]) for k in range(parts)]
+        chunks = [(k, zlib.compress(c.astype("<u4").tobytes(), 1)) for k, c in chunks if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())],
+                                         names=["k", "c"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, np.int64)
         for c in pdf["c"]:
-            total += np.frombuffer(c, "<i8")
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "c": [total.astype("<i8").tobytes()]})
+            total += np.frombuffer(zlib.decompress(c), "<u4")
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "c": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
     counted = known.select("tokens").mapInArrow(sketch, "k int, c binary").groupBy("k").applyInPandas(add, "k int, c binary")
     count = np.zeros(cells, np.int64)
-    for r in counted.collect():
-        count[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(r["c"], "<i8")
+    for r in counted.toLocalIterator():
+        count[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(zlib.decompress(r["c"]), "<i8")
     rows = known.count()
-    # A cell's mean load is noise that every token in it carries.
-    noise = count.mean() + 8 * math.sqrt(count.mean() + 1)
-    often = np.packbits(count >= noise + max(8.0, frequent_share * rows)).tobytes()
-    shared = spark.sparkContext.broadcast(often)
+    # A cell's mean load is noise that every token in it carries; ranks are bytes, linear around that load.
+    mean = float(count.mean())
+    border = mean + 8 * math.sqrt(mean + 1) + max(8.0, frequent_share * rows)
+    often = 200
+    ranks = np.minimum(count * often / border, 255).astype(np.uint8)
+    del count
+    shared = spark.sparkContext.broadcast(ranks.tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in slices(batches):
             out, node, size = [], [], []
             for raw, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = unpack48(raw)
-                # Sets of up to 100 / (100 - percent) tokens can only link with themselves.
-                if len(s) * (100 - percent) < 100 - (100 - percent):
+                # Sets this small can only link with their equals, which are the same node.
+                if len(s) * (100 - percent) < percent:
                     continue
-                c = cell(s)
-                sig = signatures(s, (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool), percent)
+                sig = signatures(s, table[cell(s)], often, percent)
                 out.append(sig)
                 node.append(np.full(len(sig), x, np.int64))
                 size.append(np.full(len(sig), len(s), np.int32))
@@ -279,16 +261,19 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     lead = stars.select(F.col("leader").alias("node")).distinct().select(F.col("node").alias("leader"), "node")
     members = stars.withColumn("lead", F.lit(False)).union(lead.withColumn("lead", F.lit(True)))
 
-    # Sets of the documents that have a candidate, one copy per node.
-    wanted = members.select("node").distinct()
-    n_wanted = wanted.count()
-    if n_wanted <= 1_000_000:  # 8 bytes each: a checked bound; beyond it the planner sorts and merges
-        wanted = F.broadcast(wanted)
-    tokens = known.join(wanted, "node").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    loaded = cut(members.join(tokens, "node"))
-    per = loaded.groupBy("leader").agg(F.sum(F.octet_length("tokens") + 200).alias("bytes"))
+    # One row of ``documents`` lends each node its set; blocks of a group follow its bytes. All narrow.
+    holders = known.select("node", "id", "n").join(members.select("node").distinct(), "node")
+    holders = holders.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    members = members.join(holders, "node")
+    per = members.groupBy("leader").agg(F.sum(F.col("n") * 6 + 200).alias("bytes"))
     per = per.select("leader", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    dealt = loaded.join(per, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = cut(members.join(per, "leader").drop("n"))
+    small = members.count() <= 1_000_000  # a checked bound of some 40 bytes a row; beyond it the planner sorts and merges
+    side = F.broadcast(members) if small else members
+    dealt = known.select("node", "id", "tokens").alias("s").join(
+        side.alias("m"), (F.col("s.node") == F.col("m.node")) & F.col("s.id").eqNullSafe(F.col("m.id"))
+    ).select("m.leader", "m.node", "m.lead", "m.blocks", "s.tokens")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # The leader sits in every block of its group.
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
 
@@ -299,7 +284,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         return pd.DataFrame({"a": pd.Series([node[i] for i, _ in links], dtype="int64"), "b": pd.Series([node[j] for _, j in links], dtype="int64")})
 
     edges = dealt.groupBy("leader", "block").applyInPandas(inside, "a long, b long")
-    several = per.filter("blocks > 1")
+    several = members.filter("lead and blocks > 1")
     if several.limit(1).count():
         # Documents linked with their leader are connected; the others still have to meet the other blocks.
         edges = cut(edges)
@@ -338,10 +323,14 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """Keep one document of each class: the row with the smallest id.
 
     Texts without words are classes of their own, so all of them stay. Rows
-    that repeat the kept id with an equal text stay once.
+    that repeat the kept id with an equal text stay once; different texts
+    under the kept id all stay.
     """
     found = classes(docs, words, percent, id_col, text_col)
-    keep = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id"), "node", "n_shingles")
-    keep = keep.groupBy("_id").agg(F.first("node").alias("_node"))
-    out = docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("_id"))).drop("_id", "_node")
-    return out.dropDuplicates([id_col, text_col])
+    keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")))
+    ids = keep.distinct()
+    rows, kept = keep.count(), ids.count()
+    if kept <= 1_000_000:  # 8 bytes each: a checked bound
+        ids = F.broadcast(ids)
+    out = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return out if rows == kept else out.dropDuplicates([id_col, text_col])
