@@ -40,6 +40,7 @@ from tuneframe.llm.common import components, cut, scratch, slices
 
 SKETCH_BITS = 22
 BLOCK_BYTES = 6 << 20
+PARITY_GROUP = 8192
 
 
 def shingles(raw: bytes | None, words: int) -> np.ndarray:
@@ -92,6 +93,29 @@ def signatures(s: np.ndarray, rank: np.ndarray, often: int, percent: int) -> np.
     return np.concatenate([single, pairs])
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """2048 bits: how many tokens fall on each, odd or even. Two sets differ in at least as many tokens as bits."""
+    on = np.bincount((scramble(tokens + MULT) & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
+    return np.packbits(on.astype(np.uint8)).tobytes()
+
+
+def may_link(bits: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Members that another member could be linked with, by their parities: never false for one that is."""
+    b = np.frombuffer(b"".join(bits), dtype="<u8").reshape(len(bits), -1)
+    out = np.zeros(len(bits), bool)
+    for k in range(len(bits)):
+        if out[k]:
+            continue
+        differ = np.bitwise_count(b ^ b[k]).sum(1, dtype=np.int64)
+        ok = differ * (100 + percent) <= (sizes + sizes[k]) * (100 - percent)
+        ok[k] = False
+        if ok.any():
+            # Only the partners found here are settled; the others are looked at in their own turn.
+            out[k] = True
+            out |= ok
+    return out
+
+
 def linked(n: int, m: int, both, percent: int):
     """The threshold in whole numbers."""
     return 100 * both >= percent * (n + m - both)
@@ -265,6 +289,31 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     holders = known.select("node", "id", "n").join(members.select("node").distinct(), "node")
     holders = holders.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     members = members.join(holders, "node")
+    # Parities sort out most candidates that share a token by chance, before any set is moved. Groups of
+    # more than PARITY_GROUP documents go on as they are.
+    size = members.groupBy("leader").agg(F.count(F.lit(1)).alias("_count"))
+    members = cut(members.join(size, "leader"))
+    lenders = members.select("node", "id").distinct()
+    if lenders.count() <= 1_000_000:  # a checked bound of 16 bytes a row
+        lenders = F.broadcast(lenders)
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([parity(unpack48(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "bits"])
+
+    lent = known.select("node", "id", "tokens").alias("s").join(
+        lenders.alias("m"), (F.col("s.node") == F.col("m.node")) & F.col("s.id").eqNullSafe(F.col("m.id")))
+    bits = lent.select("s.node", "s.tokens").mapInArrow(parities, "node long, bits binary").dropDuplicates(["node"])
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[may_link(pdf["bits"].tolist(), pdf["n"].to_numpy(), percent)].drop(columns="bits")
+
+    few = members.filter(F.col("_count") <= PARITY_GROUP).drop("_count").join(bits, "node")
+    kinds = "node long, leader long, lead boolean, id long, n long"
+    few = few.select("node", "leader", "lead", "id", "n", "bits").groupBy("leader").applyInPandas(sift, kinds)
+    many = members.filter(F.col("_count") > PARITY_GROUP).select("node", "leader", "lead", "id", "n")
+    members = cut(few.union(many))
     per = members.groupBy("leader").agg(F.sum(F.col("n") * 6 + 200).alias("bytes"))
     per = per.select("leader", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
     members = cut(members.join(per, "leader").drop("n"))
@@ -274,7 +323,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         side.alias("m"), (F.col("s.node") == F.col("m.node")) & F.col("s.id").eqNullSafe(F.col("m.id"))
     ).select("m.leader", "m.node", "m.lead", "m.blocks", "s.tokens")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # The leader sits in every block of its group.
+    # The leader sits in every block of its group (unless it was sorted out: then every pair of blocks is met in full).
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +333,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         return pd.DataFrame({"a": pd.Series([node[i] for i, _ in links], dtype="int64"), "b": pd.Series([node[j] for _, j in links], dtype="int64")})
 
     edges = dealt.groupBy("leader", "block").applyInPandas(inside, "a long, b long")
-    several = members.filter("lead and blocks > 1")
+    several = per.filter("blocks > 1")
     if several.limit(1).count():
         # Documents linked with their leader are connected; the others still have to meet the other blocks.
         edges = cut(edges)
