@@ -21,6 +21,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tuneframe-warehouse-", dir="/tmp"))
     )
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)

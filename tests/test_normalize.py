@@ -1,75 +1,63 @@
-"""F1 and N1-N8 on edge records, against the plain-Python oracle."""
+"""F1 and N1-N8 on edge records, against messages written out by hand."""
 
 import json
 
 import pytest
 
-from tests import mini_oracle as O
 from tuneframe.operators import detect as D
 from tuneframe.operators import normalize as N
 from tuneframe.sources.readers import records_from_lines
 
-EDGE = [
-    {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}, {"from": "tool", "value": "t"}]},
-    {"conversations": [{"role": "USER", "content": "a"}, "junk", {"from": "", "role": "bot", "value": 3}]},
-    {"conversations": [], "instruction": "do", "output": "done"},
-    {"conversations": 5},
-    {"messages": [{"role": "Tool", "content": "x"}, {"role": "robot"}, {"content": "no role"}]},
-    {"messages": [{"role": "user", "content": None}]},
-    {"chosen": "c", "rejected": "r"},
-    {"prompt": "", "instruction": "ins", "chosen": [{"role": "Assistant", "content": "c1"}, {"content": "c2"}], "rejected": "r"},
-    {"instruction": "  do it ", "input": "ctx", "output": "ok"},
-    {"instruction": "do", "output": "", "response": "ignored"},
-    {"instruction": "do", "response": "resp"},
-    {"text": "[INST] <<SYS>> be kind <</SYS>> hello [/INST] hi there [INST] again [/INST]"},
-    {"text": "before [INST]  [/INST] answer"},
-    {"text": "plain text", "id": 1},
-    {"text": 12},
-    {"text": "a", "b": 1, "c": 2},
-    {"a": 1, "b": "x"},
-    {},
+# (record, format it is read as, its messages)
+CASES = [
+    ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, "sharegpt",
+     [("user", "hi"), ("assistant", "yo")]),
+    ({"conversations": [{"role": "USER", "content": "a"}, "junk", {"from": "bot", "value": "b"}]}, "sharegpt",
+     [("user", "a"), ("assistant", "b")]),
+    ({"conversations": []}, "sharegpt", []),
+    ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": None}]}, "chatml",
+     [("system", "s"), ("user", "")]),
+    ({"prompt": "q", "chosen": "c", "rejected": "r"}, "preference", [("user", "q"), ("assistant", "c")]),
+    ({"instruction": "do it", "input": "ctx", "output": "ok"}, "alpaca", [("user", "do it\n\nctx"), ("assistant", "ok")]),
+    ({"instruction": "do", "response": "resp"}, "alpaca", [("user", "do"), ("assistant", "resp")]),
+    ({"text": "[INST] <<SYS>> be kind <</SYS>> hello [/INST] hi there"}, "llama",
+     [("system", "be kind"), ("user", "hello"), ("assistant", "hi there")]),
+    ({"text": "[INST] one [/INST] two [INST] three [/INST] four"}, "llama",
+     [("user", "one"), ("assistant", "two"), ("user", "three"), ("assistant", "four")]),
+    ({"text": "plain text"}, "raw_text", [("user", "plain text")]),
 ]
 
-
-@pytest.fixture(scope="module")
-def edge_records(spark):
-    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(EDGE)], "idx long, value string")
-    return records_from_lines(lines).cache()
-
-
-def spark_messages(df):
-    return {r.idx: (None if r.messages is None else [(m.role, m.content) for m in r.messages]) for r in df.collect()}
-
-
-def check(spark_msgs, fmt):
-    for i, rec in enumerate(EDGE):
-        exp = O.to_messages(rec, fmt) if not (isinstance(rec.get("conversations"), int) and rec.get("conversations")) else None
-        got = spark_msgs[i]
-        if exp is None:
-            assert got is None, (i, got)
-            continue
-        # the unknown-format dump carries the record's own line text
-        exp = [(r, json.dumps(rec) if c is None else c) for r, c in exp]
-        assert got == exp, (i, rec, got, exp)
+VOTES = [
+    ({"conversations": [{"from": "human", "value": "x"}]}, "sharegpt"),
+    ({"messages": [{"role": "user", "content": "x"}]}, "chatml"),
+    ({"prompt": "p", "chosen": "c", "rejected": "r"}, "preference"),
+    ({"instruction": "i", "output": "o"}, "alpaca"),
+    ({"text": "[INST] a [/INST] b"}, "llama"),
+    ({"text": "plain"}, "raw_text"),
+    ({"a": 1, "b": "x"}, "unknown"),
+]
 
 
-def test_classifier_matches_oracle(edge_records):
-    got = {r.idx: r.vote for r in D.classify_records(edge_records).collect()}
-    assert got == {i: O.classify(r) for i, r in enumerate(EDGE)}
+def records(spark, rows):
+    return records_from_lines(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "idx long, value string"))
 
 
-def test_key_sniffing_normaliser(edge_records):
-    check(spark_messages(N.to_messages(edge_records, "unknown")), "unknown")
+@pytest.mark.parametrize("fmt", sorted({f for _, f, _ in CASES}))
+def test_messages_of_each_format(spark, fmt):
+    cases = [(r, m) for r, f, m in CASES if f == fmt]
+    got = {r.idx: r.messages for r in N.to_messages(records(spark, [r for r, _ in cases]), fmt).collect()}
+    for i, (record, want) in enumerate(cases):
+        assert [(m.role, m.content) for m in got[i]] == want, record
 
 
-@pytest.mark.parametrize("fmt", ["sharegpt", "chatml", "alpaca", "preference", "llama", "raw_text"])
-def test_format_driven_normaliser(edge_records, fmt):
-    check(spark_messages(N.to_messages(edge_records, fmt)), fmt)
+def test_votes(spark):
+    got = {r.idx: r.vote for r in D.classify_records(records(spark, [r for r, _ in VOTES])).collect()}
+    assert {i: v or "unknown" for i, v in got.items()} == {i: v for i, (_, v) in enumerate(VOTES)}
 
 
-def test_conversion_error_flag(edge_records):
-    errs = {r.idx: r.norm_error for r in N.to_messages(edge_records, "unknown").collect()}
-    assert [i for i, e in errs.items() if e] == [3]
+def test_conversion_error_flag(spark):
+    errs = {r.idx: r.norm_error for r in N.to_messages(records(spark, [{"text": "a"}, {"conversations": 5}, {}]), "unknown").collect()}
+    assert [i for i, e in errs.items() if e] == [1]
 
 
 def test_detect_format_ties_and_confidence(spark):

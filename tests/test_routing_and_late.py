@@ -21,9 +21,9 @@ def test_prepare_routes_by_objective(spark):
     pref = records(spark, [{"prompt": "p", "chosen": "c", "rejected": "r"}, {"prompt": "p2", "chosen": "c2"}])
     assert PR.prepare(pref, "dpo", "preference").count() == 1
     assert PR.prepare(pref, "kto", "preference").count() == 2
-    with pytest.raises(ValueError, match="ORPO"):
+    with pytest.raises(ValueError, match="orpo"):
         PR.prepare(pref, "orpo", "preference")
-    with pytest.raises(ValueError, match="No trainable"):
+    with pytest.raises(ValueError, match="nothing to train on"):
         PR.prepare(records(spark, [{"prompt": "only"}]), "dpo", "preference")
 
 
@@ -47,3 +47,17 @@ def test_stream_drops_redelivered_events_and_keeps_late_ones(spark, tmp_dir):
     run()
     got = sorted(r.step for r in spark.read.parquet(out).collect())
     assert got == [0, 1, 2, 3, 4, 99]
+
+
+def test_missing_step_keeps_the_one_before(spark):
+    from pyspark.sql import functions as F
+
+    from tuneframe.operators.runs import METRIC_FIELDS, latest_state
+
+    rows = [("r", "metric", 1.0, 5, 0.5, 10), ("r", "metric", 2.0, None, None, None), ("s", "metric", 1.0, None, None, 4)]
+    df = spark.createDataFrame(rows, "run_id string, event string, ts double, step long, epoch double, total_steps long")
+    for c in METRIC_FIELDS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("double"))
+    got = {r.run_id: (r.current_step, r.current_epoch, r.total_steps) for r in latest_state(df).collect()}
+    assert got == {"r": (5, 0.5, 10), "s": (0, 0.0, 4)}

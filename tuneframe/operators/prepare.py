@@ -144,9 +144,9 @@ def prepare(records: DataFrame, objective: str, fmt: str, ratio: float = DEFAULT
     elif objective == "kto":
         out = kto_rows(preference_triples(records))
     elif objective == "orpo":
-        raise ValueError("ORPO is not supported; use DPO or KTO instead")
+        raise ValueError("objective orpo has no data preparation; dpo and kto have")
     else:
         raise ValueError(f"Unsupported training objective: {objective}")
     if out.isEmpty():
-        raise ValueError("No trainable examples produced from dataset after formatting.")
+        raise ValueError("the records hold nothing to train on")
     return out

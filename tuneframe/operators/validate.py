@@ -183,4 +183,4 @@ def first_indices(flags: DataFrame, by: list[str] | None = None, k: int = SAMPLE
 
 def validate(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Flags then report for a messages DataFrame."""
-    return validation_report(flag_records(df), by)
+    return validation_report(flag_records(df, by), by)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -74,8 +73,8 @@ def spread(df, min_partitions: int | None = None):
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Read from the running context or ``spark.checkpoint.dir``; a private
-    temporary folder is only chosen when neither is set (local tests).
+    Read from the running context or ``spark.checkpoint.dir``; where neither
+    is set, a folder under the shared warehouse.
     """
     try:
         sc = spark.sparkContext
@@ -85,7 +84,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            path = tempfile.mkdtemp(prefix="tuneframe-ckpt-")
+            # Shared like the warehouse; a folder of one machine would be lost to the others.
+            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path
     return path

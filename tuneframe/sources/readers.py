@@ -168,8 +168,9 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 def preview(records: DataFrame, n: int = 20) -> DataFrame:
     """First ``n`` (1-1000) records in file order (an index filter, no sort)."""
-    n = max(1, min(int(n), 1000))
-    return records.filter(F.col("idx") < n)
+    if not 1 <= int(n) <= 1000:
+        raise ValueError(f"preview shows 1 to 1000 records, not {n}")
+    return records.filter(F.col("idx") < int(n))
 
 
 # ------------------------------------------------------------------ sinks

@@ -30,6 +30,7 @@ from tuneframe.operators.runs import (
     EXPLOSION_ABS,
     EXPLOSION_RATIO,
     METRIC_FIELDS,
+    newest_metric,
     VANISHING_ABS,
     read_run_events,
     with_event_time,
@@ -58,16 +59,8 @@ def run_state_aggregate(events: DataFrame) -> DataFrame:
     """M3 + M4 as one aggregate (valid on batch and streaming frames)."""
     metric = F.col("event") == "metric"
     terminal = F.col("event").isin("error", "done", "cancelled")
-    newest = F.max_by(
-        F.struct(
-            F.coalesce(F.col("step"), F.lit(0)).cast("bigint").alias("step"),
-            F.coalesce(F.col("epoch"), F.lit(0.0)).alias("epoch"),
-            *METRIC_FIELDS,
-        ),
-        F.when(metric, F.col("ts")),
-    )
     agg = events.groupBy("run_id").agg(
-        newest.alias("_n"),
+        *newest_metric(F.when(metric, F.col("ts"))),
         F.max_by(F.col("total_steps"), F.when(metric & (F.col("total_steps") > 0), F.col("ts"))).alias("_total"),
         F.max_by(F.col("event"), F.when(terminal, F.col("ts"))).alias("_last"),
         F.max_by(F.col("returncode"), F.when(F.col("event") == "process_exit", F.col("ts"))).alias("_code"),
@@ -76,7 +69,7 @@ def run_state_aggregate(events: DataFrame) -> DataFrame:
         F.max("ts").alias("last_ts"),
     )
     total = F.coalesce(F.col("_total"), F.lit(0))
-    step = F.coalesce(F.col("_n.step"), F.lit(0))
+    step = F.coalesce(F.col("_step"), F.lit(0))
     status = (
         F.when(F.col("_last") == "cancelled", "cancelled")
         .when(F.col("_exit_ts").isNotNull() & (F.col("_code") == 0), "completed")
@@ -87,10 +80,10 @@ def run_state_aggregate(events: DataFrame) -> DataFrame:
     )
     return agg.select(
         "run_id",
-        F.col("_n.step").alias("current_step"),
-        F.col("_n.epoch").alias("current_epoch"),
+        F.col("_step").alias("current_step"),
+        F.col("_epoch").alias("current_epoch"),
         total.cast("bigint").alias("total_steps"),
-        *[F.col(f"_n.{c}").alias(c) for c in METRIC_FIELDS],
+        *[F.col(f"_m_{c}").alias(c) for c in METRIC_FIELDS],
         F.round(F.when(total > 0, F.least(F.lit(100.0), step * 100.0 / total)).otherwise(F.lit(0.0)), 4).alias(
             "progress_pct"
         ),
