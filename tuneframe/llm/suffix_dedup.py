@@ -8,17 +8,20 @@ Every byte covered by a string of ``length`` bytes that also starts earlier
    same anchor form one segment, about one in 35 bytes; equal strings have
    equal anchors, so they meet wherever their segments meet. Segments are
    known by a hash of their bytes, and copies of a segment are combined
-   before anything else: the first holder stays, all others are repeats.
-2. *Collections.* Different segments with the same anchor are dealt to one collection,
-   many anchors to a collection of bounded size. Its Burrows-Wheeler
+   before anything else, first inside a task, so that a hot passage costs a
+   few rows a task: the first holder stays, all others are repeats.
+2. *Collections.* A string reaches at least ``(length - anchor) / 2`` bytes
+   beyond its anchor on one of its sides. Only segments that share the anchor
+   and that much of a side with another segment lend their bytes. They are
+   dealt to collections by anchor, many anchors to a collection of bounded
+   size; an anchor with more segments than that is dealt by its sides.
+   A collection's Burrows-Wheeler
    transform is built column by column: each round inserts the next symbol
    of every segment, from the last to the first, into the transform and the
    array of common prefixes, which are kept in sequential files and merged
    in one pass per round.
 3. *Runs.* Neighbours in the finished order whose common prefix reaches
    ``length`` are equal strings; all but the earliest start are repeats.
-
-Only segments whose anchor occurs twice ever carry their bytes.
 """
 
 from __future__ import annotations
@@ -49,18 +52,28 @@ def window_min_first(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """``(first start, number of starts, anchor hash, segment hash)`` of each run of starts with the same anchor.
+    """``(first start, starts, anchor hash, segment hash, left, right)`` of each run of starts with the same anchor.
 
-    Both hashes have 64 bits of their own bases; segments are compared within equal anchors, so by 128 bits.
+    The first two hashes have 64 bits of their own bases; segments are compared within equal anchors, so by 128 bits.
+    ``left`` and ``right`` are 32-bit hashes of the bytes next to the anchor, -1 where the segment ends before.
     """
     data = np.frombuffer(raw, np.uint8)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = Prefix(data, 0).grams(anchor)
+        return (*[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2)
+    near, far = Prefix(data, 0), Prefix(data, 1)
+    h = near.grams(anchor)
     at = window_min_first(h, length - anchor + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     starts = np.diff(np.concatenate([first, [len(at)]]))
-    return first, starts, h[at[first]], Prefix(data, 1).part(first, first + starts + length - 1)
+    end, mid = first + starts + length - 1, at[first]
+    side = -(-(length - anchor) // 2)
+
+    def beside(a: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        a = np.where(ok, a, 0)
+        return np.where(ok, (near.part(a, a + side) >> np.uint64(32)).astype(np.int64), -1)
+
+    left, right = beside(mid - side, mid - side >= first), beside(mid + anchor, mid + anchor + side <= end)
+    return first, starts, h[mid], far.part(first, end), left, right
 
 
 # ---------------------------------------------------------------- column-wise construction
@@ -92,73 +105,79 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     only the counts of that byte in the transform up to there. Ends sort
     before any byte, and equal suffixes by string. Common prefixes are
     carried along: that of a new pair is one more than the smallest between
-    the two shorter suffixes, and is kept up to ``cap``.
+    the two shorter suffixes, and is kept up to ``cap``; only the new
+    suffixes and those right behind them form new pairs. Whose suffixes they
+    are is read off the finished transform, from the ends on.
     """
     m = len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     width = int(lengths.max(initial=0))
-    # Column r holds the r-th byte from the end of each string.
-    column = np.zeros((width, m), dtype=np.int16)
+    # Symbols are numbered from 1 as they occur; 0 stands before a string's first byte.
+    present = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+    kind = np.uint8 if len(present) < 256 else np.int16
+    code = np.zeros(256, kind)
+    code[present] = np.arange(1, len(present) + 1)
+    # Column r holds the r-th byte from the end of each string, 0 beyond its first.
+    column = np.zeros((width + 1, m), dtype=kind)
     for k, s in enumerate(strings):
-        column[: len(s), k] = np.frombuffer(s, np.uint8)[::-1]
+        column[: len(s), k] = code[np.frombuffer(s, np.uint8)[::-1]]
     with tempfile.TemporaryDirectory() as folder:
         files = ColumnFiles(folder)
-        # Round 0: the ends. symbol[i] is the byte before suffix i, -1 at a string's start.
-        symbol = np.where(lengths > 0, column[0] if width else -1, -1).astype(np.int16)
-        files.write(symbol=symbol, owner=np.arange(m, dtype=np.int32), size=np.zeros(m, np.int16), lcp=np.zeros(m, np.int16))
-        live = np.arange(m)[lengths > 0]
-        place = np.arange(m)[lengths > 0]  # where each live string's latest suffix stands
+        # Round 0: the ends. symbol[i] is the byte before suffix i.
+        files.write(symbol=column[0], lcp=np.zeros(m, np.int16))
+        live = np.flatnonzero(lengths > 0)
+        place = live  # where each live string's latest suffix stands
         for r in range(1, width + 1):
-            symbol, owner = files.read("symbol", np.int16), files.read("owner", np.int32)
-            size, lcp = files.read("size", np.int16), files.read("lcp", np.int16)
-            n = len(symbol)
-            c = column[r - 1, live]
-            # Last-first mapping: rank of each latest suffix among those preceded by the same byte. Every
-            # suffix's longer neighbour is inserted already or just now, so the ranks give the new order.
-            by_symbol = np.argsort(symbol, kind="stable")
-            begun = int((symbol < 0).sum())
-            rank = np.empty(n, np.int64)
-            rank[by_symbol] = np.arange(n)
-            # Order now: the m ends, then all others by first byte and the order of their rests.
-            new_place = m + rank[place] - begun
-            total = n + len(live)
-            is_new = np.zeros(total, bool)
-            is_new[new_place] = True
-            old = np.flatnonzero(~is_new)
-            out_symbol, out_owner = np.empty(total, np.int16), np.empty(total, np.int32)
-            out_size = np.empty(total, np.int16)
-            out_symbol[old], out_owner[old], out_size[old] = symbol, owner, size
+            symbol, lcp = files.read("symbol", kind), files.read("lcp", np.int16)
+            by_symbol, rank, begun = last_first(symbol)
+            # Every suffix's longer neighbour is inserted already or just now, so ranks among the symbols
+            # give the new order: the m ends, then all others by first byte and the order of their rests.
+            k = rank[place]
+            new_place = m - begun + k
+            total = m - begun + len(symbol)
+            keep = np.ones(total, bool)
+            keep[new_place] = False
+            out_symbol, out_lcp = np.empty(total, kind), np.empty(total, np.int16)
+            out_symbol[keep], out_lcp[keep] = symbol, lcp
+            out_symbol[new_place] = column[r, live]
+            pair = np.unique(np.concatenate([k, k + 1]))
+            pair = pair[pair < len(symbol)]
+            out_lcp[m - begun + pair] = pair_prefixes(symbol, lcp, by_symbol, begun, pair, cap)
+            files.write(symbol=out_symbol, lcp=out_lcp)
             more = lengths[live] > r
-            nxt = np.where(more, column[min(r, width - 1), live], -1)
-            out_symbol[new_place], out_owner[new_place], out_size[new_place] = nxt, live, r
-            # Common prefixes: of neighbours with the same first byte, one more than that of their rests.
-            rest = by_symbol[begun:]
-            first_byte = symbol[rest]
-            same = np.r_[False, first_byte[1:] == first_byte[:-1]]
-            between = range_minimum(lcp, rest)
-            out_lcp = np.zeros(total, np.int16)
-            out_lcp[m:] = np.where(same, np.minimum(between + 1, cap), 0)
-            files.write(symbol=out_symbol, owner=out_owner, size=out_size, lcp=out_lcp)
             live, place = live[more], new_place[more]
-        owner, size, lcp = files.read("owner", np.int32), files.read("size", np.int16), files.read("lcp", np.int16)
-    return owner.astype(np.int64), lengths[owner] - size, lcp.astype(np.int64)
-
-
-def range_minimum(lcp: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Smallest ``lcp`` in ``(at[k - 1], at[k]]`` for each k with ``at[k - 1] < at[k]``, else 0 (one per k)."""
-    n = len(at)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    lo, hi = at[:-1] + 1, at[1:]
-    ok = np.flatnonzero(hi >= lo)
-    if not len(ok):
-        return out
-    # reduceat over [lo, hi + 1): pairs of borders; the odd ones are thrown away.
-    padded = np.append(lcp, np.iinfo(np.int16).max)
-    borders = np.empty(2 * len(ok), np.int64)
-    borders[0::2], borders[1::2] = lo[ok], hi[ok] + 1
-    out[ok + 1] = np.minimum.reduceat(padded, borders)[0::2]
+        symbol, lcp = files.read("symbol", kind), files.read("lcp", np.int16)
+    _, rank, _ = last_first(symbol)
+    owner, size = np.empty(len(symbol), np.int64), np.empty(len(symbol), np.int64)
+    live = at = np.arange(m)
+    for r in range(width + 1):
+        owner[at], size[at] = live, r
+        more = lengths[live] > r
+        live, at = live[more], rank[at[more]]
+    return owner, lengths[owner] - size, lcp.astype(np.int64)
+
+
+def last_first(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions in the order of their symbols, each position's rank in it, and how many have none (0)."""
+    by_symbol = np.argsort(symbol, kind="stable")
+    rank = np.empty(len(symbol), np.int64)
+    rank[by_symbol] = np.arange(len(symbol))
+    return by_symbol, rank, len(symbol) - int(np.count_nonzero(symbol))
+
+
+def pair_prefixes(symbol: np.ndarray, lcp: np.ndarray, by_symbol: np.ndarray, begun: int, pair: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of the suffixes at ranks ``pair`` with those a rank lower: 0 across first bytes."""
+    out = np.zeros(len(pair), np.int16)
+    ok = np.flatnonzero(pair > begun)
+    ok = ok[symbol[by_symbol[pair[ok]]] == symbol[by_symbol[pair[ok] - 1]]]
+    if len(ok):
+        lo, hi = by_symbol[pair[ok] - 1] + 1, by_symbol[pair[ok]]
+        # reduceat over pairs of borders; from the last range to the first, so that what lies between costs nothing.
+        order = np.argsort(-lo)
+        borders = np.empty(2 * len(ok), np.int64)
+        borders[0::2], borders[1::2] = lo[order], hi[order] + 1
+        smallest = np.minimum.reduceat(np.append(lcp, np.int16(0)), borders)[0::2]
+        out[ok[order]] = np.minimum(smallest + 1, cap)
     return out
 
 
@@ -174,10 +193,11 @@ def earlier_starts(strings: list[bytes], doc: np.ndarray, start: np.ndarray, len
     owner, at, run = owner[whole], at[whole], run[whole]
     order = np.lexsort((start[owner] + at, doc[owner], run))
     later = np.r_[False, run[order][1:] == run[order][:-1]] if len(order) else np.zeros(0, bool)
-    out: list[list[int]] = [[] for _ in strings]
-    for k in order[later].tolist():
-        out[owner[k]].append(int(at[k]))
-    return [np.array(sorted(x), dtype=np.int64) for x in out]
+    picked = order[later]
+    owner, at = owner[picked], at[picked]
+    by_owner = np.lexsort((at, owner))
+    return np.split(at[by_owner], np.cumsum(np.bincount(owner, minlength=len(strings)))[:-1])
+
 
 # ---------------------------------------------------------------- the operator
 
@@ -186,20 +206,32 @@ def _rows(columns: dict, types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), types, strict=True)], names=list(columns))
 
 
+SEGMENTS_HELD = 1 << 18  # segments that a scan task combines at once, some 20 MB
+
+
 def _segment_rows(length: int, anchor: int):
-    """Scan step: one narrow row per segment."""
+    """Scan step: one narrow row per segment. ``copy`` marks those with an earlier holder among the rows at hand."""
+    def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, start, starts, mark, seg, left, right = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        order = np.lexsort((start, doc, seg, mark))
+        copy = np.zeros(len(order), bool)
+        m, s = mark[order], seg[order]
+        copy[order[1:]] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
+        columns = [doc, start, starts.astype(np.int16), mark.view(np.int64), seg.view(np.int64), left, right, copy]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "starts", "mark", "seg", "left", "right", "copy"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in slices(batches):
-            parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py() or b""
-                first, starts, mark, seg = segments_of(raw, length, anchor)
-                parts.append((np.full(len(first), doc, np.int64), first, starts, mark, seg))
-            cols = [np.concatenate([p[k] for p in parts]) for k in range(5)] if parts else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.int16)),
-                 pa.array(cols[3].view(np.int64)), pa.array(cols[4].view(np.int64))],
-                names=["doc", "start", "starts", "mark", "seg"])
+                found = segments_of(text.as_py() or b"", length, anchor)
+                parts.append((np.full(len(found[0]), doc, np.int64), *found))
+                held += len(found[0])
+                if held >= SEGMENTS_HELD:
+                    yield combined(parts)
+                    parts, held = [], 0
+        if held:
+            yield combined(parts)
     return run
 
 
@@ -221,26 +253,35 @@ def _collection(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collection_rows: int = 512) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collection_rows: int = 1024) -> DataFrame:
     """Runs of repeated starts of ``docs(doc, bytes)``: ``doc, at, n`` says that the strings at
     ``at .. at + n - 1`` also start earlier. ``doc`` is a dense order of the documents, unique.
     """
     scanned = docs.select("doc", "bytes").mapInArrow(
-        _segment_rows(length, anchor), "doc long, start long, starts short, mark long, seg long")
-    # One shuffle by anchor. Copies of a segment are neighbours in its order: all but the first are repeats.
-    order = Window.partitionBy("mark").orderBy("seg", "doc", "start")
-    told = scanned.withColumn("_mark", F.lag("seg").over(order)).withColumn("_copy", F.col("_mark") == F.col("seg"))
-    told = told.withColumn("_copy", F.coalesce("_copy", F.lit(False)))
-    # Whether the anchor has another segment at all: the first segment of the anchor is its own lower
-    # neighbour only if it is alone.
-    edges = Window.partitionBy("mark").orderBy("seg", "doc", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = told.withColumn("_alone", F.first("seg").over(edges) == F.last("seg").over(edges))
-    told = cut(told.filter("_copy or not _alone").select("doc", "start", "starts", "mark", "seg", "_copy"))
-    copies = told.filter("_copy").select("doc", F.col("start").alias("at"), F.col("starts").cast("long").alias("n"))
-    needed = told.filter("not _copy").select("doc", "start", "starts", "mark")
+        _segment_rows(length, anchor), "doc long, start long, starts short, mark long, seg long, left long, right long, copy boolean")
+    # One shuffle by anchor, which every window below keeps. Copies told apart in the scan are spread.
+    scanned = scanned.withColumn("mark", F.when(F.col("copy"), F.xxhash64("doc", "start")).otherwise(F.col("mark")))
+    held = Window.partitionBy("mark", "seg", "copy").orderBy("doc", "start")
+    told = scanned.withColumn("copy", F.col("copy") | F.lag("seg").over(held).isNotNull())
+    # All that are no copies differ within their anchor. Who shares a side with another one?
+    for name in ("left", "right"):
+        w = Window.partitionBy("mark", name, "copy").orderBy("seg")
+        near = F.lag("seg").over(w).isNotNull() | F.lead("seg").over(w).isNotNull()
+        told = told.withColumn(f"_{name}", near & (F.col(name) >= 0) & ~F.col("copy"))
+    told = cut(told.filter("copy or _left or _right").drop("seg"))
+    copies = told.filter("copy").select("doc", F.col("start").alias("at"), F.col("starts").cast("long").alias("n"))
+    needed = told.filter("not copy")
     n = needed.count()
     if not n:
         return copies
+    # An anchor with more segments than a collection should hold is dealt by its sides: whoever shares a
+    # string shares one of them.
+    many = cut(needed.groupBy("mark").count().filter(F.col("count") > collection_rows).select("mark", F.lit(True).alias("_many")))
+    sides = F.filter(F.array(F.when(F.col("_left"), F.xxhash64("mark", "left", F.lit(0))),
+                             F.when(F.col("_right"), F.xxhash64("mark", "right", F.lit(1)))), lambda x: x.isNotNull())
+    if many.limit(1).count():
+        needed = needed.join(many, "mark", "left").withColumn("mark", F.explode(F.when(F.col("_many"), sides).otherwise(F.array("mark"))))
+    needed = needed.select("doc", "start", "starts", "mark")
     # The bytes of the segments that differ: each document lends them in one pass.
     asked = needed.groupBy("doc").agg(F.collect_list(F.struct("start", "starts", "mark")).alias("asked"))
     lent = docs.join(asked, "doc").select("doc", "bytes", F.explode("asked").alias("a"))
