@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import closing
 
 import numpy as np
 import pandas as pd
@@ -40,15 +41,15 @@ from tuneframe.llm.common import cut, slices
 
 def window_min_first(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest value of every ``w`` neighbours, the leftmost of equal ones."""
-    n = len(h)
-    pos = np.arange(n)
+    least, pos = h, np.arange(len(h), dtype=np.int32)
     have = 1
     while have < w:
         step = min(have, w - have)
-        a, b = pos[: len(pos) - step], pos[step:]
-        pos = np.where(h[b] < h[a], b, a)
+        n = len(least) - step
+        later = least[step:] < least[:n]
+        least, pos = np.where(later, least[step:], least[:n]), np.where(later, pos[step:], pos[:n])
         have += step
-    return pos
+    return pos.astype(np.int64)
 
 
 def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -80,18 +81,32 @@ def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
 
 
 class ColumnFiles:
-    """The transform, the owners and the common prefixes of the order so far, as sequential files."""
+    """The transform and the common prefixes of the order so far, as sequential files: read from one, written to the other."""
 
-    def __init__(self, folder: str):
-        self.folder, self.turn = folder, 0
+    def __init__(self, folder: str, names: tuple[str, ...] = ("symbol", "lcp")):
+        self.turn, self.rows = 0, 0
+        self.files = {(name, t): open(f"{folder}/{name}{t}", "w+b", buffering=0) for name in names for t in (0, 1)}
 
     def write(self, **arrays: np.ndarray) -> None:
         self.turn ^= 1
         for name, a in arrays.items():
-            a.tofile(f"{self.folder}/{name}{self.turn}")
+            file, left = self.files[name, self.turn], memoryview(np.ascontiguousarray(a)).cast("B")
+            file.seek(0)
+            while len(left):
+                left = left[file.write(left):]
+            self.rows = len(a)
 
     def read(self, name: str, kind) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/{name}{self.turn}", dtype=kind)
+        file, out = self.files[name, self.turn], np.empty(self.rows, kind)
+        file.seek(0)
+        left = memoryview(out).cast("B")
+        while len(left):
+            left = left[file.readinto(left):]
+        return out
+
+    def close(self) -> None:
+        for file in self.files.values():
+            file.close()
 
 
 def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,8 +136,7 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     column = np.zeros((width + 1, m), dtype=kind)
     for k, s in enumerate(strings):
         column[: len(s), k] = code[np.frombuffer(s, np.uint8)[::-1]]
-    with tempfile.TemporaryDirectory() as folder:
-        files = ColumnFiles(folder)
+    with tempfile.TemporaryDirectory() as folder, closing(ColumnFiles(folder)) as files:
         # Round 0: the ends. symbol[i] is the byte before suffix i.
         files.write(symbol=column[0], lcp=np.zeros(m, np.int16))
         live = np.flatnonzero(lengths > 0)
@@ -140,8 +154,9 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
             out_symbol, out_lcp = np.empty(total, kind), np.empty(total, np.int16)
             out_symbol[keep], out_lcp[keep] = symbol, lcp
             out_symbol[new_place] = column[r, live]
-            pair = np.unique(np.concatenate([k, k + 1]))
-            pair = pair[pair < len(symbol)]
+            touched = np.zeros(len(symbol) + 1, bool)
+            touched[k] = touched[k + 1] = True
+            pair = np.flatnonzero(touched[:-1])
             out_lcp[m - begun + pair] = pair_prefixes(symbol, lcp, by_symbol, begun, pair, cap)
             files.write(symbol=out_symbol, lcp=out_lcp)
             more = lengths[live] > r
