@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.llm.bytehash import Prefix
-from tuneframe.llm.common import cut, slices
+from tuneframe.llm.bytehash import Prefix, scramble
+from tuneframe.llm.common import cut, scratch, slices
 
 def window_min_first(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest value of every ``w`` neighbours, the leftmost of equal ones."""
@@ -53,14 +53,14 @@ def window_min_first(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """``(first start, starts, anchor hash, segment hash, left, right)`` of each run of starts with the same anchor.
+    """``(first start, starts, anchor hash, segment hash, sides)`` of each run of starts with the same anchor.
 
-    The first two hashes have 64 bits of their own bases; segments are compared within equal anchors, so by 128 bits.
-    ``left`` and ``right`` are 32-bit hashes of the bytes next to the anchor, -1 where the segment ends before.
+    Segments are copies if both hashes agree, 32 bits and 64 bits of bases of their own. ``sides`` are 16 bits for
+    the bytes before the anchor and 16 for those behind it, 0 where the segment ends before.
     """
     data = np.frombuffer(raw, np.uint8)
     if len(data) < length:
-        return (*[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
     near, far = Prefix(data, 0), Prefix(data, 1)
     h = near.grams(anchor)
     at = window_min_first(h, length - anchor + 1)
@@ -71,10 +71,12 @@ def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
 
     def beside(a: np.ndarray, ok: np.ndarray) -> np.ndarray:
         a = np.where(ok, a, 0)
-        return np.where(ok, (near.part(a, a + side) >> np.uint64(32)).astype(np.int64), -1)
+        return np.where(ok, np.maximum((near.part(a, a + side) >> np.uint64(48)).astype(np.uint32), np.uint32(1)), np.uint32(0))
 
     left, right = beside(mid - side, mid - side >= first), beside(mid + anchor, mid + anchor + side <= end)
-    return first, starts, h[mid], far.part(first, end), left, right
+    # The anchor is the window's smallest hash, so its upper bits are not spread evenly.
+    mark = scramble(h[mid]).astype(np.uint32).view(np.int32)
+    return first, starts, mark, far.part(first, end).view(np.int64), (left << np.uint32(16) | right).view(np.int32)
 
 
 # ---------------------------------------------------------------- column-wise construction
@@ -225,15 +227,19 @@ SEGMENTS_HELD = 1 << 18  # segments that a scan task combines at once, some 20 M
 
 
 def _segment_rows(length: int, anchor: int):
-    """Scan step: one narrow row per segment. ``copy`` marks those with an earlier holder among the rows at hand."""
+    """Scan step: one narrow row per segment: ``doc, place, mark, seg, sides``.
+
+    ``place`` is the first start times 2**16 plus the number of starts; it is
+    negative for segments with an earlier holder among the rows at hand.
+    """
     def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, start, starts, mark, seg, left, right = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        doc, start, starts, mark, seg, sides = (np.concatenate([p[k] for p in parts]) for k in range(6))
         order = np.lexsort((start, doc, seg, mark))
         copy = np.zeros(len(order), bool)
         m, s = mark[order], seg[order]
         copy[order[1:]] = (m[1:] == m[:-1]) & (s[1:] == s[:-1])
-        columns = [doc, start, starts.astype(np.int16), mark.view(np.int64), seg.view(np.int64), left, right, copy]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "starts", "mark", "seg", "left", "right", "copy"])
+        place = (start << 16 | starts) * np.where(copy, -1, 1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, place, mark, seg, sides)], names=["doc", "place", "mark", "seg", "sides"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -272,28 +278,36 @@ def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collect
     """Runs of repeated starts of ``docs(doc, bytes)``: ``doc, at, n`` says that the strings at
     ``at .. at + n - 1`` also start earlier. ``doc`` is a dense order of the documents, unique.
     """
-    scanned = docs.select("doc", "bytes").mapInArrow(
-        _segment_rows(length, anchor), "doc long, start long, starts short, mark long, seg long, left long, right long, copy boolean")
+    if not 0 < anchor <= length < 1 << 16:
+        raise ValueError("0 < anchor <= length < 65536")
+    spark = docs.sparkSession
+    scanned = docs.select("doc", "bytes").mapInArrow(_segment_rows(length, anchor), "doc long, place long, mark int, seg long, sides int")
     # One shuffle by anchor, which every window below keeps. Copies told apart in the scan are spread.
-    scanned = scanned.withColumn("mark", F.when(F.col("copy"), F.xxhash64("doc", "start")).otherwise(F.col("mark")))
-    held = Window.partitionBy("mark", "seg", "copy").orderBy("doc", "start")
-    told = scanned.withColumn("copy", F.col("copy") | F.lag("seg").over(held).isNotNull())
+    scanned = scanned.withColumn("mark", F.when(F.col("place") < 0, F.hash("doc", "place")).otherwise(F.col("mark")))
+    told = scanned.repartition("mark").withColumn("copy", F.col("place") < 0)
+    held = Window.partitionBy("mark", "copy", "seg").orderBy("doc", "place")
+    told = told.withColumn("copy", F.col("copy") | F.lag("seg").over(held).isNotNull())
     # All that are no copies differ within their anchor. Who shares a side with another one?
-    for name in ("left", "right"):
-        w = Window.partitionBy("mark", name, "copy").orderBy("seg")
+    for name, value in (("left", F.shiftrightunsigned("sides", 16)), ("right", F.col("sides").bitwiseAND(0xFFFF))):
+        told = told.withColumn(name, value)
+        w = Window.partitionBy("mark", "copy", name).orderBy("seg")
         near = F.lag("seg").over(w).isNotNull() | F.lead("seg").over(w).isNotNull()
-        told = told.withColumn(f"_{name}", near & (F.col(name) >= 0) & ~F.col("copy"))
-    told = cut(told.filter("copy or _left or _right").drop("seg"))
-    copies = told.filter("copy").select("doc", F.col("start").alias("at"), F.col("starts").cast("long").alias("n"))
-    needed = told.filter("not copy")
+        told = told.withColumn(name, F.when(near & (F.col(name) > 0) & ~F.col("copy"), F.col(name)))
+    path = scratch(spark, "segments")
+    told = told.filter("copy or left is not null or right is not null")
+    told.select("doc", "place", "mark", "left", "right", "copy").write.parquet(path)
+    told = spark.read.parquet(path).withColumn("place", F.abs("place"))
+    told = told.withColumn("start", F.shiftright("place", 16)).withColumn("starts", F.col("place").bitwiseAND(0xFFFF))
+    copies = told.filter("copy").select("doc", F.col("start").alias("at"), F.col("starts").alias("n"))
+    needed = told.filter("not copy").withColumn("mark", F.col("mark").cast("long"))
     n = needed.count()
     if not n:
         return copies
     # An anchor with more segments than a collection should hold is dealt by its sides: whoever shares a
     # string shares one of them.
     many = cut(needed.groupBy("mark").count().filter(F.col("count") > collection_rows).select("mark", F.lit(True).alias("_many")))
-    sides = F.filter(F.array(F.when(F.col("_left"), F.xxhash64("mark", "left", F.lit(0))),
-                             F.when(F.col("_right"), F.xxhash64("mark", "right", F.lit(1)))), lambda x: x.isNotNull())
+    sides = F.filter(F.array(F.when(F.col("left").isNotNull(), F.xxhash64("mark", "left", F.lit(0))),
+                             F.when(F.col("right").isNotNull(), F.xxhash64("mark", "right", F.lit(1)))), lambda x: x.isNotNull())
     if many.limit(1).count():
         needed = needed.join(many, "mark", "left").withColumn("mark", F.explode(F.when(F.col("_many"), sides).otherwise(F.array("mark"))))
     needed = needed.select("doc", "start", "starts", "mark")
@@ -333,10 +347,11 @@ def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_co
             F.col("b.id").alias("id"), "bytes", (F.col("r.rank") * span + F.col("_n")).alias("doc"))
         base = cut(base)
     else:
-        base = base.withColumn("doc", F.col("id"))
+        # The same two columns for both joins below, so that they share one shuffle of the texts.
+        base = base.select(F.col("id").alias("doc"), "bytes").filter("doc is not null")
     runs = repeated_spans(base, length, anchor)
     gone = runs.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("runs"))
-    joined = base.join(gone, "doc", "left").select("id", "bytes", "runs")
+    joined = base.join(gone, "doc", "left").select("id" if twice else F.col("doc").alias("id"), "bytes", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
