@@ -2,9 +2,9 @@
 
 Every flag is a projection except ``duplicate_samples``, which needs the
 smallest record index per content hash: a hash aggregate with map-side
-partial aggregation, joined back on the 32-byte hash. A hot hash (one text
-copied a billion times) only skews the probe side of that join, which AQE's
-skew-join rule splits at run time.
+partial aggregation, joined back on the record index and the hash. A hot hash
+(one text copied a billion times) costs that join nothing, since its records
+differ in their index.
 """
 
 from __future__ import annotations
@@ -113,21 +113,13 @@ def mark_duplicates(
     """V7: second and later records with an equal hash (first by ``order`` is clean).
 
     ``groupBy(hash).min(order)`` combines map-side, so the shuffle carries one
-    row per (partition, hash); the join back is a sort-merge join on the hash
-    whose skewed partitions AQE splits.
+    row per (partition, hash); firsts are joined back on ``(order, hash)``, a
+    key that no two records of a group share.
     """
     keys = [*(by or []), hash_col]
-    firsts = (
-        df.filter(F.col(hash_col).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-        .filter(F.col("_copies") > 1)
-        .select(*keys, "_first")
-    )
-    out = df.join(firsts, on=keys, how="left")
-    return out.withColumn(
-        "duplicate_samples", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))
-    ).drop("_first")
+    firsts = df.filter(F.col(hash_col).isNotNull()).groupBy(*keys).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    out = df.join(firsts, on=[*keys, order], how="left").select(*df.columns, "_first")
+    return out.withColumn("duplicate_samples", F.col(hash_col).isNotNull() & F.col("_first").isNull()).drop("_first")
 
 
 def validation_report(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
