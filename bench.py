@@ -26,6 +26,7 @@ from tuneframe.operators import normalize as N  # noqa: E402
 from tuneframe.operators import profile as P  # noqa: E402
 from tuneframe.plans import fixtures as X  # noqa: E402
 from tuneframe.plans.queries import REGISTRY  # noqa: E402
+from tuneframe.plans.fixtures import SCAN_PARTITIONS  # noqa: E402
 from tuneframe.session import builder  # noqa: E402
 
 HEADLINE = [
@@ -67,6 +68,8 @@ def main() -> None:
     names = chosen.split(",") if chosen else HEADLINE
     spark = builder(master=f"local[{cpus}]", shuffle_partitions=2 * cpus).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # The tables are files of one row group each: deal their rows to all cores.
+    spark.conf.set(SCAN_PARTITIONS, str(cpus))
 
     queries = {n: REGISTRY[n] for n in names if n in REGISTRY}
     if not chosen:

@@ -9,7 +9,6 @@ from tuneframe.operators import normalize as N
 from tuneframe.operators import repair as R
 from tuneframe.operators import tokens as K
 from tuneframe.plans import fixtures as X
-from tuneframe.session import spread
 from tuneframe.sources import readers as S
 from tuneframe.streaming import runs as ST
 
@@ -32,11 +31,13 @@ def test_preview_filter_reaches_the_scan(spark, tmp_dir):
     assert "LessThan(idx,20)" in p
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert spread(wide) is wide
-    narrow = spark.range(0, 1000, 1, 1)
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_scans_are_dealt_only_where_the_session_asks(spark):
+    assert "Exchange" not in plan(X.table(spark, SF001, "documents"))
+    spark.conf.set(X.SCAN_PARTITIONS, "6")
+    try:
+        assert "RoundRobinPartitioning(6)" in plan(X.table(spark, SF001, "documents"))
+    finally:
+        spark.conf.unset(X.SCAN_PARTITIONS)
 
 
 def test_tokenizer_plugin_is_batched(spark):

@@ -123,3 +123,12 @@ def test_jsonl_sink_roundtrip(spark, tmp_dir):
     S.write_jsonl(df, f"{tmp_dir}/out")
     back = S.read_jsonl(spark, f"{tmp_dir}/out")
     assert json.loads(back.collect()[0].raw) == {"messages": [{"role": "user", "content": "héllo"}, {"role": "assistant", "content": "ok"}]}
+
+
+def test_strict_reader_takes_no_bare_object(spark, tmp_dir):
+    for name, doc, want in (("bare", {"text": "x"}, 0), ("data", {"data": [{"text": "x"}, {"text": "y"}]}, 2), ("list", [{"text": "x"}], 1)):
+        path = os.path.join(tmp_dir, f"{name}.json")
+        with open(path, "w") as f:
+            json.dump(doc, f)
+        assert S.read_training_records(spark, path).count() == want
+    assert S.read_json(spark, os.path.join(tmp_dir, "bare.json")).count() == 1

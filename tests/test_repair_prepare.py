@@ -5,8 +5,10 @@ import json
 from pyspark.sql import functions as F
 
 from tests.conftest import SF01
+from tuneframe.operators import detect as D
 from tuneframe.operators import normalize as N
 from tuneframe.operators import prepare as PR
+from tuneframe.operators import profile as P
 from tuneframe.operators import repair as R
 from tuneframe.operators import validate as V
 from tuneframe.plans import fixtures as X
@@ -64,23 +66,64 @@ def test_split_950_50(spark):
     df = spark.range(1000).withColumnRenamed("id", "idx")
     counts = {r.split: r["count"] for r in PR.train_eval_split(df).groupBy("split").count().collect()}
     assert counts == {"train": 950, "eval": 50}
-    small = PR.train_eval_split(spark.range(20).withColumnRenamed("id", "idx"))
-    assert small.filter("split = 'eval'").count() == 0
-
-
-def test_packing_invariants(spark):
-    lens = [5, 300, 1200, 512, 1, 0, 700, 512, 100, 30] * 20
-    df = spark.createDataFrame(list(enumerate(lens)), "idx long, n long")
-    packs = PR.pack(df, "n", 512, partitions=4).collect()
-    assert sorted(r.idx for r in packs) == list(range(len(lens)))
-    by_pack = {}
-    for r in packs:
-        by_pack.setdefault(r.pack_id, []).append(r)
-        assert r.len == min(lens[r.idx], 512)
-    for rows in by_pack.values():
-        rows.sort(key=lambda r: r.offset)
-        assert sum(r.len for r in rows) <= 512
-        assert [r.offset for r in rows] == [sum(x.len for x in rows[:i]) for i in range(len(rows))]
+    small = spark.range(20).withColumnRenamed("id", "idx")
+    assert PR.train_eval_split(small).filter("split = 'eval'").count() == 1
+    assert PR.train_eval_split(small, min_rows=20).filter("split = 'eval'").count() == 0
+    assert PR.train_eval_split(small.filter("idx < 0")).count() == 0
+
+
+def test_packing_lays_examples_end_to_end(spark):
+    lens = [5, 300, 1200, 512, 1, 0, 700, 512, 100, None] * 20
+    # Ids far apart, so that the running total crosses blocks.
+    df = spark.createDataFrame([(i * 30_011, n) for i, n in enumerate(lens)], "idx long, n long")
+    want, at = [], 0
+    for i, n in enumerate(lens):
+        start, end = at, at + (n or 0)
+        at = end
+        for k in range(start // 512, max(end - 1, start) // 512 + 1):
+            lo, hi = max(start, k * 512), min(end, (k + 1) * 512)
+            want.append((k, i * 30_011, lo - k * 512, hi - lo))
+    for parts in (1, 7):
+        got = [tuple(r) for r in PR.pack(df.repartition(parts), "n", 512).collect()]
+        assert sorted(got) == sorted(want)
+    assert PR.pack(df.filter("idx < 0"), "n", 512).collect() == []
+
+
+def test_long_records_and_late_format_changes_count(spark):
+    long = " ".join(f"w{i}" for i in range(6000))
+    recs = records_from_lines(spark.createDataFrame([(0, json.dumps({"text": long}))], "idx long, value string"))
+    m = N.to_messages(recs, "raw_text")
+    assert P.entropy(P.record_metrics(m)).collect()[0].distinct_words == 6000
+    assert P.entropy(P.record_metrics(m), words_per_record=5000).collect()[0].distinct_words == 5000
+    lines = [json.dumps({"text": "plain"})] * 200 + [json.dumps({"instruction": "i", "output": "o"})] * 300
+    many = records_from_lines(spark.createDataFrame(list(enumerate(lines)), "idx long, value string"))
+    d = D.detect_format(many).collect()[0]
+    assert (d.format, d.sampled, d.votes, d.confidence) == ("alpaca", 500, 300, 0.6)
+    assert D.detect_format(many, sample=200).collect()[0].format == "raw_text"
+
+
+def test_profile_of_no_records(spark):
+    none = records_from_lines(spark.createDataFrame([], "idx long, value string"))
+    rm = P.record_metrics(N.to_messages(none, "raw_text"))
+    p = P.profile(N.to_messages(none, "raw_text")).collect()[0]
+    assert (p.num_examples, p.quality_score, p.duplicate_ratio, p.avg_turns, p.role_counts) == (0, 0.0, 0.0, None, {})
+    q = P.quality_score(rm).collect()[0]
+    assert (q.num_examples, q.duplicate_ratio, q.quality_score) == (0, 0.0, 0.0)
+
+
+def test_falsy_values_make_no_turn(spark):
+    recs = [
+        ({"instruction": "i", "input": [], "output": 0}, [("user", "i")]),
+        ({"instruction": "i", "input": False, "output": {}}, [("user", "i")]),
+        ({"instruction": "i", "input": "0", "output": "false"}, [("user", "i\n\n0"), ("assistant", "false")]),
+        ({"instruction": "i", "input": 7, "output": 0.0}, [("user", "i\n\n7")]),
+        ({"prompt": 0, "instruction": "q", "chosen": "c", "rejected": "r"}, [("user", "q"), ("assistant", "c")]),
+        ({"prompt": [], "chosen": "c", "rejected": "r"}, [("assistant", "c")]),
+    ]
+    lines = [(i, json.dumps(r)) for i, (r, _) in enumerate(recs)]
+    got = N.to_messages(records_from_lines(spark.createDataFrame(lines, "idx long, value string")))
+    by = {r.idx: [(m.role, m.content) for m in r.messages] for r in got.collect()}
+    assert by == {i: w for i, (_, w) in enumerate(recs)}
 
 
 def test_kto_positives_first(spark):

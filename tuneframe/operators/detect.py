@@ -1,23 +1,21 @@
 """Per-record format classification and the dataset format vote.
 
-F1 is one ``CASE`` over VARIANT predicates. F2 looks only at the first 200
-records in file order: without ``by`` that is a ``TakeOrdered`` (each task
-keeps 200), with ``by`` a ``row_number() <= 200`` whose partial
-``WindowGroupLimit`` keeps 200 rows per task and dataset before the shuffle. The vote itself is a tiny
-aggregate; the winner can be broadcast back to the records (one row per
+F1 is one ``CASE`` over VARIANT predicates. F2 lets every record vote: tasks
+count their own votes per dataset and ship a row per dataset and format.
+Where a ``sample`` is asked for, the first records in file order vote: without
+``by`` a ``TakeOrdered``, with ``by`` a ``row_number() <= n`` with a partial
+``WindowGroupLimit``. The winner is joined back to the records (one row per
 dataset) without a driver round trip.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.functions.text import has_inst_tags_sql
 from tuneframe.operators.normalize import FORMATS, has
-from tuneframe.functions.joins import attach_row
-
-DETECTION_SAMPLE = 200
+from tuneframe.functions.joins import attach_row, join_small
 
 
 def _obj_with(item: str, keys: list[str]) -> str:
@@ -56,14 +54,16 @@ def _head(records: DataFrame, by: list[str], n: int) -> DataFrame:
     return records.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def detect_format(records: DataFrame, by: list[str] | None = None, sample: int = DETECTION_SAMPLE) -> DataFrame:
+def detect_format(records: DataFrame, by: list[str] | None = None, sample: int | None = None) -> DataFrame:
     """F2 + F3: ``(*by, format, confidence, sampled, votes, scores)``.
 
     Ties go to the earlier format in declared order; no votes -> unknown with
     confidence 0.0; the denominator counts records that voted for nothing.
     """
     by = by or []
-    head = _head(records.select(*by, "idx", "raw", "v"), by, sample)
+    head = records.select(*by, "idx", "raw", "v")
+    if sample is not None:
+        head = _head(head, by, int(sample))
     voted = head.select(*by, F.expr(classify_sql()).alias("vote"))
     rank = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("vote"))
     per = voted.groupBy(*by, "vote").agg(F.count(F.lit(1)).alias("n"))
@@ -90,13 +90,9 @@ def detect_format(records: DataFrame, by: list[str] | None = None, sample: int =
 
 
 def attach_format(records: DataFrame, detected: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Attach the detected format as column ``fmt`` (broadcast: one row per dataset)."""
+    """Attach the detected format as column ``fmt`` (one row per dataset)."""
     by = by or []
     d = detected.select(*by, F.col("format").alias("fmt"))
     if not by:
         return attach_row(records.drop("fmt"), d)
-    return records.drop("fmt").join(F.broadcast(d), on=by, how="left")
-
-
-def format_rank(col: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(f) for f in FORMATS]), col)
+    return join_small(records.drop("fmt"), d, on=by, how="left")

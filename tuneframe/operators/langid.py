@@ -22,11 +22,8 @@ from tuneframe.functions.joins import join_small, attach_row
 from tuneframe.functions.text import py_strip
 
 NGRAM = 3
-# Texts shorter than this (after strip) are not labelled, and
-# the report looks at the first 100 texts and keeps the top 5 languages.
+# Fixed value: texts shorter than this (after strip) are not labelled.
 MIN_CHARS = 8
-REPORT_SAMPLE = 100
-REPORT_TOP = 5
 
 
 def trigrams(text: Column) -> Column:
@@ -118,16 +115,22 @@ def language_distribution(
     languages: DataFrame,
     key: str = "idx",
     text: str = "text",
-    sample: int = REPORT_SAMPLE,
+    sample: int | None = None,
+    top: int | None = None,
 ) -> DataFrame:
-    """Over the first ``sample`` texts (file order) with at least 8
-    characters after strip: the top 5 languages with counts and the number
-    of texts labelled. ``(language, n, sampled)``; none -> no rows.
+    """Over all texts with at least 8 characters after strip: languages with
+    counts and the number of texts labelled. ``(language, n, sampled)``; none
+    -> no rows. ``sample`` reads the first texts in file order and ``top`` keeps
+    the most frequent languages, where that is asked for.
     """
-    head = records_text.filter(F.col(key) < int(sample)).select(key, py_strip(F.col(text)).alias("_t"))
+    head = records_text
+    if sample is not None:
+        head = head.orderBy(key).limit(int(sample))
+    head = head.select(key, py_strip(F.col(text)).alias("_t"))
     head = head.filter(F.char_length("_t") >= MIN_CHARS)
     labelled = detect_languages(head.withColumnRenamed("_t", text), model, languages, key, text)
     counts = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     sampled = labelled.agg(F.count(F.lit(1)).alias("sampled"))
-    top = counts.orderBy(F.col("n").desc(), F.col("language")).limit(REPORT_TOP)
-    return attach_row(top, sampled).select("language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint"))
+    if top is not None:
+        counts = counts.orderBy(F.col("n").desc(), F.col("language")).limit(int(top))
+    return attach_row(counts, sampled).select("language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint"))

@@ -58,6 +58,17 @@ def get_str(obj: str, key: str) -> str:
     return f"try_variant_get({obj}, '$.{key}', 'string')"
 
 
+def get_truthy(obj: str, key: str) -> str:
+    """:func:`get_str`, but SQL NULL for ``""``, ``false``, zero, ``[]`` and ``{}`` (a text ``"0"`` is kept)."""
+    text = get_str(obj, key)
+    first = f"left(to_json(try_variant_get({obj}, '$.{key}', 'variant')), 1)"
+    return (
+        f"CASE WHEN {text} = '' THEN NULL "
+        f"WHEN {text} RLIKE '^(false|\\\\[\\\\]|\\\\{{\\\\}}|-?0([.]0*)?([eE][-+]?[0-9]+)?)$' AND {first} <> '\"' THEN NULL "
+        f"ELSE {text} END"
+    )
+
+
 def _is_object(e: str) -> str:
     return f"(schema_of_variant({e}) LIKE 'OBJECT%')"
 
@@ -114,8 +125,7 @@ def chatml_sql(v: str = "v") -> str:
 def preference_sql(v: str = "v") -> str:
     """Prompt turn, then the chosen answer (list roles kept verbatim)."""
     prompt = (
-        f"coalesce(nullif({get_str(v, 'prompt')}, ''), nullif({get_str(v, 'instruction')}, ''), "
-        f"nullif({get_str(v, 'input')}, ''), '')"
+        f"coalesce({get_truthy(v, 'prompt')}, {get_truthy(v, 'instruction')}, {get_truthy(v, 'input')}, '')"
     )
     chosen_arr = f"try_variant_get({v}, '$.chosen', 'array<variant>')"
     item_role = f"coalesce({get_str('c', 'role')}, 'assistant')"
@@ -134,10 +144,10 @@ def preference_sql(v: str = "v") -> str:
 def alpaca_sql(v: str = "v") -> str:
     """N4."""
     instruction = f"coalesce({get_str(v, 'instruction')}, '')"
-    inp = f"coalesce({get_str(v, 'input')}, '')"
+    inp = f"coalesce({get_truthy(v, 'input')}, '')"
     output = (
-        f"coalesce(CASE WHEN {has(v, 'output')} THEN {get_str(v, 'output')} "
-        f"ELSE {get_str(v, 'response')} END, '')"
+        f"coalesce(CASE WHEN {has(v, 'output')} THEN {get_truthy(v, 'output')} "
+        f"ELSE {get_truthy(v, 'response')} END, '')"
     )
     joined = f"concat({instruction}, {_sql_str(chr(10) * 2)}, {inp})"
     user = f"CASE WHEN {inp} <> '' THEN {_strip(joined)} ELSE {instruction} END"

@@ -2,16 +2,16 @@
 
 SFT: trainer normaliser -> drop empty examples -> render -> head/tail split.
 DPO/KTO: strict triples, KTO unpivots them. The split needs each example's
-rank in file order; that is a range-partitioned sort plus per-partition
-offsets (one row per partition, broadcast), materialised once with
-``checkpoint`` so both evaluations agree even if executors are lost.
+rank in file order: a running total over blocks of ids, without a sort of
+the whole data. Vocabularies rank by :func:`dense_rank`, a range-partitioned
+sort plus per-partition offsets, materialised once with ``checkpoint`` so both
+evaluations agree even if executors are lost.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tuneframe.operators.normalize import get_str, to_training_messages
 from tuneframe.session import materialize, parallelism
@@ -19,7 +19,8 @@ from tuneframe.operators.tokens import render
 from tuneframe.functions.joins import attach_row
 
 DEFAULT_EVAL_RATIO = 0.05
-MIN_ROWS_FOR_EVAL = 20
+# Ids that one window task takes in a running total.
+TOTAL_BLOCK = 1 << 16
 
 
 def sft_texts(records: DataFrame, fmt: str) -> DataFrame:
@@ -53,18 +54,37 @@ def dense_rank(df: DataFrame, order: str = "idx", partitions: int | None = None)
     )
 
 
-def train_eval_split(df: DataFrame, ratio: float = DEFAULT_EVAL_RATIO, order: str = "idx") -> DataFrame:
-    """head/tail split in file order; adds ``split`` = train | eval.
+def running_total(df: DataFrame, value, name: str, order: str = "idx") -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before this one, by the
+    unique integer id ``order`` (a file-order index).
 
-    More than 20 examples: the first ``max(1, int(n * (1 - ratio)))`` train,
-    the rest eval. Otherwise everything trains and there is no eval set.
+    Ids fall into blocks of 65,536: a window inside each block, and a running
+    sum over the blocks' totals (a row per block of ids, not per row). The same
+    on every cluster, whatever its partitions.
     """
-    ranked = dense_rank(df, order)
-    n = ranked.agg(F.count(F.lit(1)).alias("_total"))
-    cut = F.when(
-        F.col("_total") > MIN_ROWS_FOR_EVAL,
-        F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(1.0 - ratio)).cast("bigint")),
-    ).otherwise(F.col("_total"))
+    b = df.withColumn("_blk", F.floor(F.col(order) / TOTAL_BLOCK)).withColumn("_val", value)
+    inside = Window.partitionBy("_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = b.groupBy("_blk").agg(F.sum("_val").alias("_sum"))
+    blocks = blocks.select("_blk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    here = b.withColumn("_in", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
+    out = here.join(blocks, "_blk").withColumn(name, (F.col("_off") + F.col("_in")).cast("bigint"))
+    return out.drop("_blk", "_val", "_in", "_off")
+
+
+def train_eval_split(
+    df: DataFrame, ratio: float = DEFAULT_EVAL_RATIO, order: str = "idx", min_rows: int | None = None
+) -> DataFrame:
+    """head/tail split in file order; adds ``rank`` and ``split`` = train | eval.
+
+    The first ``max(1, int(n * (1 - ratio)))`` examples train, the rest eval.
+    With ``min_rows``, data of no more rows than that trains as a whole.
+    """
+    ranked = running_total(df, F.lit(1).cast("bigint"), "rank", order)
+    n = df.agg(F.count(F.lit(1)).alias("_total"))
+    cut = F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(1.0 - ratio)).cast("bigint"))
+    if min_rows is not None:
+        cut = F.when(F.col("_total") > int(min_rows), cut).otherwise(F.col("_total"))
     j = attach_row(ranked, n)
     return j.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("eval")).drop("_total")
 
@@ -88,51 +108,25 @@ def limit_tokens(df: DataFrame, col: str, max_len: int) -> DataFrame:
     return df.withColumn(col, F.slice(F.col(col), 1, int(max_len)))
 
 
-PACK_SCHEMA = T.StructType(
-    [
-        T.StructField("pack_id", T.LongType()),
-        T.StructField("idx", T.LongType()),
-        T.StructField("offset", T.LongType()),
-        T.StructField("len", T.LongType()),
-    ]
-)
+def _div(total, limit: int):
+    """Whole quotient of 64-bit numbers."""
+    return F.call_function("div", total, F.lit(limit))
 
 
-def pack(df: DataFrame, length_col: str, max_len: int, partitions: int | None = None) -> DataFrame:
-    """Greedy packing of examples, in file order, into ``max_len`` sequences.
+def pack(df: DataFrame, length_col: str, max_len: int) -> DataFrame:
+    """Examples in file order laid end to end and cut every ``max_len`` tokens.
 
-    Range-partitioned by ``idx`` and sorted within partitions; each
-    partition packs its own run of examples in one sequential pass (the only
-    step that is inherently sequential), so packs never cross partitions.
-    Examples longer than ``max_len`` are cut to it. ``pack_id`` is
-    ``partition << 32 | local pack number``.
+    One row per piece ``(pack_id, idx, offset, len)``: an example may straddle
+    sequences; one without tokens (or of null length) gives a piece of length 0.
     """
-    n = partitions or parallelism(df.sparkSession)
     limit = int(max_len)
-    s = df.select("idx", F.col(length_col).cast("long").alias("_len")).repartitionByRange(n, "idx").sortWithinPartitions("idx")
-    s = s.withColumn("_p", F.spark_partition_id())
-
-    def greedy(batches):
-        import numpy as np
-        import pandas as pd
-
-        pack_no, used, part = -1, None, None
-        for b in batches:
-            if b.empty:
-                continue
-            lens = np.minimum(b["_len"].to_numpy(dtype="int64"), limit)
-            ids = np.empty(len(b), dtype="int64")
-            offs = np.empty(len(b), dtype="int64")
-            part = int(b["_p"].iloc[0]) if part is None else part
-            for i, ln in enumerate(lens):
-                if used is None or used + ln > limit:
-                    pack_no, used = pack_no + 1, 0
-                ids[i] = (part << 32) | pack_no
-                offs[i] = used
-                used += ln
-            yield pd.DataFrame({"pack_id": ids, "idx": b["idx"].to_numpy(dtype="int64"), "offset": offs, "len": lens})
-
-    return s.mapInPandas(greedy, PACK_SCHEMA)
+    size = F.coalesce(F.col(length_col).cast("bigint"), F.lit(0))
+    s = running_total(df.select("idx", size.alias("_len")), F.col("_len"), "_start")
+    last = F.greatest(F.col("_start") + F.col("_len") - 1, F.col("_start"))
+    pieces = s.withColumn("pack_id", F.explode(F.sequence(_div(F.col("_start"), limit), _div(last, limit))))
+    begin = F.greatest(F.col("_start"), F.col("pack_id") * limit)
+    end = F.least(F.col("_start") + F.col("_len"), (F.col("pack_id") + 1) * limit)
+    return pieces.select("pack_id", "idx", (begin - F.col("pack_id") * limit).alias("offset"), (end - begin).alias("len"))
 
 
 def prepare(records: DataFrame, objective: str, fmt: str, ratio: float = DEFAULT_EVAL_RATIO) -> DataFrame:

@@ -18,8 +18,7 @@ from tuneframe.functions.text import n_words, words
 from tuneframe.operators.validate import empty_response, role_mismatch
 from tuneframe.functions.joins import attach_row
 
-# Words per record that enter the entropy, and quality weights.
-ENTROPY_WORDS_PER_RECORD = 5000
+# Quality weights.
 EMPTY_WEIGHT, DUP_WEIGHT, ROLE_WEIGHT = 40.0, 30.0, 30.0
 
 
@@ -100,9 +99,9 @@ def duplicate_stats(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     agg = per_hash.groupBy(*by).agg(F.sum("_extra").alias("duplicate_examples"), F.sum("_c").alias("num_examples"))
     return agg.select(
         *by,
-        F.col("num_examples").cast("bigint").alias("num_examples"),
-        F.col("duplicate_examples").cast("bigint").alias("duplicate_examples"),
-        F.round(F.col("duplicate_examples") / F.col("num_examples"), 4).alias("duplicate_ratio"),
+        F.coalesce("num_examples", F.lit(0)).cast("bigint").alias("num_examples"),
+        F.coalesce("duplicate_examples", F.lit(0)).cast("bigint").alias("duplicate_examples"),
+        F.round(_share(F.col("duplicate_examples"), F.col("num_examples")), 4).alias("duplicate_ratio"),
     )
 
 
@@ -126,17 +125,23 @@ def turn_histogram(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     return histogram(rm, "n_turns", TURN_BUCKETS, by)
 
 
-def entropy(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Normalised Shannon entropy of lower-cased words (first 5000 per record).
+def _record_words(words_per_record: int | None):
+    w = words(join_content("messages", " "))
+    return w if words_per_record is None else F.slice(w, 1, int(words_per_record))
+
+
+def entropy(rm: DataFrame, by: list[str] | None = None, words_per_record: int | None = None) -> DataFrame:
+    """Normalised Shannon entropy of all lower-cased words.
+
+    ``words_per_record`` keeps only a record's first words where that is asked for.
 
     ``H = log2(N) - sum(c log2 c) / N`` over word counts ``c``: one
     ``groupBy(word)`` (partial aggregation absorbs hot words) and one global
     aggregate; no window, no collect.
     """
     by = by or []
-    w = F.slice(words(join_content("messages", " ")), 1, ENTROPY_WORDS_PER_RECORD)
     counts = (
-        rm.select(*by, F.explode(w).alias("w"))
+        rm.select(*by, F.explode(_record_words(words_per_record)).alias("w"))
         .groupBy(*by, F.lower("w").alias("w"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -162,8 +167,18 @@ def _record_totals(rm: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _share(part, n):
+    """``part / n``; 0 of no records."""
+    return F.coalesce(F.try_divide(part, n), F.lit(0.0))
+
+
+def _clamped(score, n):
+    """Score within 0 to 100; 0 without records."""
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 2)))).otherwise(F.lit(0.0))
+
+
 def quality_score(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """100 - 40 empty - 30 duplicate(ratio, 4 dp) - 30 role mismatch, clamped."""
+    """100 - 40 empty - 30 duplicate(ratio, 4 dp) - 30 role mismatch, clamped; 0 without records."""
     by = by or []
     tot = _record_totals(rm, by)
     dup = duplicate_stats(rm, by).select(*by, "duplicate_ratio")
@@ -171,9 +186,9 @@ def quality_score(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     n = F.col("num_examples")
     score = (
         F.lit(100.0)
-        - F.col("empty_count") / n * EMPTY_WEIGHT
+        - _share(F.col("empty_count"), n) * EMPTY_WEIGHT
         - F.col("duplicate_ratio") * DUP_WEIGHT
-        - F.col("role_mismatch_count") / n * ROLE_WEIGHT
+        - _share(F.col("role_mismatch_count"), n) * ROLE_WEIGHT
     )
     return j.select(
         *by,
@@ -181,21 +196,21 @@ def quality_score(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.col("empty_count").cast("bigint").alias("empty_count"),
         F.col("role_mismatch_count").cast("bigint").alias("role_mismatch_count"),
         F.col("duplicate_ratio"),
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 2))).alias("quality_score"),
+        _clamped(score, n).alias("quality_score"),
     )
 
 
-def keyed_counts(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
+def keyed_counts(rm: DataFrame, by: list[str] | None = None, words_per_record: int | None = None) -> DataFrame:
     """Everything T1-T8 need, counted in ONE shuffle.
 
     Each record emits tagged keys ``(kind, key)``: its turn count, its token
     count, its empty / role-mismatch flags, its roles, its content hash and
-    its first 5000 lower-cased words. One ``groupBy(by, kind, key)`` with
+    its lower-cased words. One ``groupBy(by, kind, key)`` with
     partial aggregation counts them (hot words and hashes combine map-side);
     the statistics are then read off these value distributions.
     """
     by = by or []
-    w = F.slice(words(join_content("messages", " ")), 1, ENTROPY_WORDS_PER_RECORD)
+    w = _record_words(words_per_record)
 
     def tag(kind: str, key):
         return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
@@ -213,14 +228,16 @@ def keyed_counts(rm: DataFrame, by: list[str] | None = None) -> DataFrame:
     return t.groupBy(*by, F.col("t.kind").alias("kind"), F.col("t.key").alias("key")).agg(F.count(F.lit(1)).alias("c"))
 
 
-def profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, by: list[str] | None = None, words_per_record: int | None = None) -> DataFrame:
     """One row per group with T1-T8 (T2/T5/T6 as maps).
 
+    Without records the one ungrouped row has counts and a quality of 0.
+
     One pass over the records and one shuffle (:func:`keyed_counts`), then a
     single small aggregate of filtered sums over the counted keys.
     """
     by = by or []
-    kc = keyed_counts(record_metrics(df, by), by)
+    kc = keyed_counts(record_metrics(df, by), by, words_per_record)
     kind, key, c = F.col("kind"), F.col("key"), F.col("c")
     num = F.expr("try_cast(key AS double)")
 
@@ -254,12 +271,17 @@ def profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum(F.when(kind == "word", c * F.log2(c))).alias("_ws"),
         *hist,
     )
-    n = F.col("_n")
+    n = F.coalesce(F.col("_n"), F.lit(0))
     empty_count = F.coalesce(F.col("_empty"), F.lit(0))
     rm_count = F.coalesce(F.col("_rm"), F.lit(0))
     dup = F.coalesce(F.col("_dup"), F.lit(0))
-    ratio = F.round(dup / n, 4)
-    score = F.lit(100.0) - empty_count / n * EMPTY_WEIGHT - ratio * DUP_WEIGHT - rm_count / n * ROLE_WEIGHT
+    ratio = F.round(_share(dup, n), 4)
+    score = (
+        F.lit(100.0)
+        - _share(empty_count, n) * EMPTY_WEIGHT
+        - ratio * DUP_WEIGHT
+        - _share(rm_count, n) * ROLE_WEIGHT
+    )
     h = F.log2("_wn") - F.col("_ws") / F.col("_wn")
     entropy_score = F.coalesce(F.round(F.when(F.col("_wd") > 1, h / F.log2("_wd")).otherwise(h), 4), F.lit(0.0))
     return a.select(
@@ -268,13 +290,13 @@ def profile(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         empty_count.cast("bigint").alias("empty_count"),
         rm_count.cast("bigint").alias("role_mismatch_count"),
         ratio.alias("duplicate_ratio"),
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(score, 2))).alias("quality_score"),
-        F.round(F.col("_turns") / n, 3).alias("avg_turns"),
+        _clamped(score, n).alias("quality_score"),
+        F.round(F.try_divide(F.col("_turns"), n), 3).alias("avg_turns"),
         F.col("_min_turns").cast("bigint").alias("min_turns"),
         F.col("_max_turns").cast("bigint").alias("max_turns"),
         F.when(F.col("_u") > 0, F.round(F.coalesce(F.col("_a"), F.lit(0)) / F.col("_u"), 4)).alias("assistant_user_ratio"),
         dup.cast("bigint").alias("duplicate_examples"),
-        F.round(F.col("_tokens") / n, 2).alias("avg_tokens"),
+        F.round(F.try_divide(F.col("_tokens"), n), 2).alias("avg_tokens"),
         F.col("_min_tokens").cast("bigint").alias("min_tokens"),
         F.col("_max_tokens").cast("bigint").alias("max_tokens"),
         entropy_score.alias("entropy_score"),

@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.session import configure, spread
+from tuneframe.session import configure
+
+# Deals every scanned table to so many partitions, where a session sets it: a
+# file of one row group is one task otherwise. Unset, scans stay as planned.
+SCAN_PARTITIONS = "spark.tuneframe.scanPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def dirty_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +66,6 @@ FORMAT_CODES = {
     "raw_text": 5,
     "unknown": 6,
 }
-PAIR_BLOCK = 64
 
 
 def _folded(spark, sf_dir):
@@ -70,21 +75,15 @@ def _folded(spark, sf_dir):
 
 
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good (quality 1) and bad (quality 0) documents of one language, paired
-    by rank inside blocks of 64 document ids (bounded windows, no hot key)."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    d = d.withColumn("_blk", F.floor(F.col("doc_id") / PAIR_BLOCK))
-    w = Window.partitionBy("lang", "_blk").orderBy("doc_id")
-    good = d.filter(F.col("quality") == 1).withColumn("_rn", F.row_number().over(w))
-    bad = d.filter(F.col("quality") == 0).withColumn("_rn", F.row_number().over(w))
-    return good.alias("g").join(bad.alias("b"), ["lang", "_blk", "_rn"]).select(
-        F.col("g.doc_id").alias("idx"),
-        F.col("b.doc_id").alias("rejected_id"),
-        F.substring(F.col("g.text"), 1, 40).alias("prompt"),
-        F.col("g.text").alias("chosen"),
-        F.col("b.text").alias("rejected"),
+    """Every document in one pair: an even id is chosen over the odd id after it."""
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("_k"), "doc_id", "text", "lang")
+    even = d.filter(F.col("doc_id") % 2 == 0).alias("e")
+    odd = d.filter(F.col("doc_id") % 2 == 1).alias("o")
+    return even.join(odd, F.col("e._k") == F.col("o._k"), "full_outer").select(
+        (F.coalesce("e._k", "o._k") * 2).alias("idx"),
+        F.concat(F.lit("Write a text in "), F.coalesce("e.lang", "o.lang"), F.lit(".")).alias("prompt"),
+        F.coalesce("e.text", F.lit("")).alias("chosen"),
+        F.coalesce("o.text", F.lit("")).alias("rejected"),
     )
 
 
@@ -101,14 +100,21 @@ def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("value"),
     )
     chatml = m.select(F.lit("chatml").alias("dataset"), "idx", F.to_json(F.struct("messages")).alias("value"))
-    fu = "cast(array_position(transform(messages, x -> x.role = 'user'), true) AS INT)"
-    alpaca = m.select(
-        F.lit("alpaca").alias("dataset"),
+    # One record per user turn; a turn's place in its conversation stays below a million.
+    asked = m.select(
         "idx",
         F.expr(
-            f"to_json(named_struct('instruction', try_element_at(messages, {fu}).content, "
-            f"'input', CASE WHEN idx % 3 = 0 THEN concat('Context ', idx) END, "
-            f"'output', try_element_at(filter(slice(messages, {fu} + 1, size(messages)), x -> x.role = 'assistant'), 1).content))"
+            "inline(transform(filter(sequence(0, size(messages) - 1), i -> messages[i].role = 'user'), i -> named_struct("
+            "'place', i, 'instruction', messages[i].content, "
+            "'output', CASE WHEN get(messages, i + 1).role = 'assistant' THEN get(messages, i + 1).content ELSE '' END)))"
+        ),
+    )
+    alpaca = asked.select(
+        F.lit("alpaca").alias("dataset"),
+        (F.col("idx") * 1000000 + F.col("place")).alias("idx"),
+        F.expr(
+            "to_json(named_struct('instruction', instruction, "
+            "'input', CASE WHEN idx % 3 = 0 THEN concat('Context ', idx) END, 'output', output))"
         ).alias("value"),
     )
     pair = (

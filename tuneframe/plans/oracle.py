@@ -145,7 +145,7 @@ ENTROPY = """
 SELECT CAST(count(*) AS BIGINT) AS distinct_words,
        coalesce(round(CASE WHEN count(*) > 1 THEN (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / log2(count(*))
                       ELSE log2(sum(c)) - sum(c * log2(c)) / sum(c) END, 4), 0.0) AS entropy_score
-FROM (SELECT lower(w) AS w, count(*) AS c FROM (SELECT unnest(list_slice(words, 1, 5000)) AS w FROM rm) GROUP BY 1)"""
+FROM (SELECT lower(w) AS w, count(*) AS c FROM (SELECT unnest(words) AS w FROM rm) GROUP BY 1)"""
 
 DUPS = """
 SELECT CAST(count(*) AS BIGINT) AS num_examples,
@@ -193,22 +193,17 @@ def repair_sql(trunc: int = 1000000000, split: int = 1000000000) -> str:
 # record must normalise to.
 FORMATS_SQL = """
 conv AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
-alp AS (
-  SELECT conv_id AS idx,
-         arg_min(text, pos) FILTER (WHERE role = 'user') AS instruction,
-         min(pos) FILTER (WHERE role = 'user') AS fu,
-         CASE WHEN conv_id % 3 = 0 THEN 'Context ' || conv_id END AS inp
-  FROM conv GROUP BY conv_id
-),
 alp2 AS (
-  SELECT a.*, (SELECT arg_min(c.text, c.pos) FROM conv c WHERE c.conv_id = a.idx AND c.pos > a.fu AND c.role = 'assistant') AS output
-  FROM alp a
+  SELECT u.conv_id * 1000000 + u.pos - 1 AS idx, u.text AS instruction,
+         CASE WHEN u.conv_id % 3 = 0 THEN 'Context ' || u.conv_id END AS inp,
+         CASE WHEN n.role = 'assistant' THEN n.text ELSE '' END AS output
+  FROM conv u LEFT JOIN conv n ON n.conv_id = u.conv_id AND n.pos = u.pos + 1
+  WHERE u.role = 'user'
 ),
-dl AS (SELECT d.doc_id, d.text, d.lang, l.quality, d.doc_id // 64 AS blk FROM documents d JOIN labels l USING (doc_id)),
-good AS (SELECT *, row_number() OVER (PARTITION BY lang, blk ORDER BY doc_id) AS rn FROM dl WHERE quality = 1),
-bad AS (SELECT *, row_number() OVER (PARTITION BY lang, blk ORDER BY doc_id) AS rn FROM dl WHERE quality = 0),
-pairs AS (SELECT g.doc_id AS idx, left(g.text, 40) AS prompt, g.text AS chosen, b.text AS rejected
-          FROM good g JOIN bad b USING (lang, blk, rn)),
+dl AS (SELECT doc_id, doc_id // 2 AS k, text, lang FROM documents),
+pairs AS (SELECT 2 * coalesce(e.k, o.k) AS idx, 'Write a text in ' || coalesce(e.lang, o.lang) || '.' AS prompt,
+                 coalesce(e.text, '') AS chosen, coalesce(o.text, '') AS rejected
+          FROM (SELECT * FROM dl WHERE doc_id % 2 = 0) e FULL JOIN (SELECT * FROM dl WHERE doc_id % 2 = 1) o ON e.k = o.k),
 llama_pairs AS (
   SELECT c.conv_id, c.pos,
          '[INST] ' || CASE WHEN p.role = 'system' THEN '<<SYS>>' || p.text || '<</SYS>> ' ELSE '' END
@@ -274,8 +269,7 @@ classified AS (
   END AS vote
   FROM all_recs
 ),
-head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY idx) AS rn FROM classified) WHERE rn <= 200),
-votes AS (SELECT dataset, vote, count(*) AS n FROM head GROUP BY dataset, vote),
+votes AS (SELECT dataset, vote, count(*) AS n FROM classified GROUP BY dataset, vote),
 ranks AS (SELECT * FROM (VALUES ('alpaca', 1), ('sharegpt', 2), ('chatml', 3), ('openai', 4), ('llama', 5),
                                 ('preference', 6), ('raw_text', 7), ('unknown', 8)) t(vote, r)),
 best AS (
@@ -560,7 +554,7 @@ SELECT idx, 'user: ' || CASE WHEN coalesce(inp, '') <> '' THEN trim(instruction
 FROM alp2""".replace("{ws}", WS)
     q["train_eval_split"] = fx + sft + """
 SELECT idx, CAST(rn - 1 AS BIGINT) AS rank,
-       CASE WHEN rn - 1 < CASE WHEN n > 20 THEN greatest(1, CAST(floor(n * (1.0 - 0.05)) AS BIGINT)) ELSE n END
+       CASE WHEN rn - 1 < greatest(1, CAST(floor(n * (1.0 - 0.05)) AS BIGINT))
             THEN 'train' ELSE 'eval' END AS split
 FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS rn, count(*) OVER () AS n FROM sft)"""
     q["preference_triples"] = fx + "SELECT idx, prompt, chosen, rejected FROM pairs"
@@ -585,6 +579,12 @@ FROM (SELECT (SELECT count(*) FROM tk) AS t, count(*) AS s, sum(n_tokens) AS sm,
     q["truncation_sampled"] = fx + tok + """
 SELECT sampled_examples, total_examples, estimated_total_tokens, sampled_examples_over_limit,
        fraction_over_limit, estimated_total_over_limit FROM (""" + analysis.replace("{where}", "WHERE idx < 50") + ")"
+    q["pack_examples"] = fx + tok + """,
+span AS (SELECT idx, sum(n_tokens) OVER (ORDER BY idx) - n_tokens AS s, n_tokens AS n FROM tk),
+piece AS (SELECT *, unnest(generate_series(CAST(s // 512 AS BIGINT), CAST(greatest(s + n - 1, s) // 512 AS BIGINT))) AS pack_id FROM span)
+SELECT pack_id, idx, CAST(greatest(s - pack_id * 512, 0) AS BIGINT) AS "offset",
+       CAST(least(s + n, (pack_id + 1) * 512) - greatest(s, pack_id * 512) AS BIGINT) AS len
+FROM piece"""
     q["token_hist_rendered"] = fx + tok + ", rm AS (SELECT * FROM tk) " + hist_sql("n_tokens", TOKEN_BUCKETS)
     q["runtime_estimate"] = fx + tok + """
 SELECT CAST(e AS BIGINT) AS estimated_total_tokens, CAST(round(e * 3.0) AS BIGINT) AS total_training_tokens,
@@ -736,9 +736,9 @@ SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.
 
     q["langid_documents"] = "SELECT doc_id AS idx, lang AS language FROM documents"
     q["lang_distribution"] = f"""
-WITH h AS (SELECT lang FROM documents WHERE doc_id < 100 AND length(trim(text, {WS})) >= 8)
+WITH h AS (SELECT lang FROM documents WHERE length(trim(text, {WS})) >= 8)
 SELECT lang AS language, CAST(count(*) AS BIGINT) AS n, (SELECT CAST(count(*) AS BIGINT) FROM h) AS sampled
-FROM h GROUP BY lang ORDER BY n DESC, lang LIMIT 5"""
+FROM h GROUP BY lang"""
 
     q["generation_prompts"] = """
 SELECT conv_id AS idx, 'system: You are helpful.' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)

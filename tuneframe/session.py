@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -54,22 +53,6 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    Small files with one row group scan as one task; row-heavy work on them
-    (parsing, normalising, splitting) would then run on a single core. Large
-    inputs already have many more splits than cores and pass unchanged. The
-    check reads the planned partition count; it runs no job.
-    """
-    target = min_partitions or parallelism(df.sparkSession)
-    try:
-        planned = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view: leave the scan as planned
-        return df
-    return df.repartition(target) if planned < target else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
@@ -101,12 +84,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tuneframe/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can reach a local path."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def is_local(path: str) -> bool:
-    return path.startswith("file:") or path.startswith("/") or os.path.exists(path)

@@ -74,7 +74,9 @@ def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
     items = (
         f"CASE WHEN schema_of_variant(_d) LIKE 'ARRAY%' THEN try_variant_get(_d, '$', 'array<variant>') "
         + "".join(f"WHEN {a} IS NOT NULL THEN {a} " for a in arrays)
-        + "WHEN schema_of_variant(_d) LIKE 'OBJECT%' THEN array(_d) ELSE array() END"
+        # The trainer's reader takes no single record: an object without the wrapper key holds none.
+        + ("" if strict else "WHEN schema_of_variant(_d) LIKE 'OBJECT%' THEN array(_d) ")
+        + "ELSE array() END"
     )
     exploded = docs.select("_file", "_block", F.posexplode(F.expr(items)).alias("_pos", "_v"))
     is_obj = F.expr("schema_of_variant(_v) LIKE 'OBJECT%'")
