@@ -52,3 +52,10 @@ def test_top_k_per_group(spark):
     got = top_k_per_group(df, ["k"], [F.col("t").desc()], 3)
     exp = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").desc()))).filter("r <= 3")
     assert sorted(map(tuple, got.select("k", "t").collect())) == sorted(map(tuple, exp.select("k", "t").collect()))
+
+
+def test_top_k_beyond_the_group_limit(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 10 < 9 THEN 0 ELSE 1 END AS g", "id AS v")
+    got = top_k_per_group(df, ["g"], [F.col("v").desc()], 1500).collect()
+    want = {0: [v for v in range(4999, -1, -1) if v % 10 < 9][:1500], 1: [v for v in range(4999, -1, -1) if v % 10 == 9]}
+    assert {g: sorted((r.v for r in got if r.g == g), reverse=True) for g in (0, 1)} == want

@@ -2,11 +2,9 @@
 
 from tuneframe.functions.text import (  # noqa: F401
     has_inst_tags,
-    has_control_chars,
     py_strip,
     words,
     n_words,
-    truthy_str,
     WS_CHARS,
     WS_REGEX,
 )
@@ -19,7 +17,6 @@ from tuneframe.functions.messages import (  # noqa: F401
 from tuneframe.functions.buckets import (  # noqa: F401
     TOKEN_BUCKETS,
     TURN_BUCKETS,
-    bucket_label,
     bucket_labels,
     histogram,
 )

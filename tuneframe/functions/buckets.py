@@ -14,15 +14,6 @@ def bucket_labels(buckets) -> list[str]:
     return [f"{lo}-{hi}" if hi is not None else f"{lo}+" for lo, hi in buckets]
 
 
-def bucket_label(col, buckets) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    expr = None
-    for (lo, hi), label in zip(buckets, bucket_labels(buckets)):
-        cond = c >= lo if hi is None else (c >= lo) & (c < hi)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr
-
-
 def histogram(df: DataFrame, col, buckets, by: list[str] | None = None) -> DataFrame:
     """Long-form histogram ``(*by, bucket, bucket_order, n)``; empty buckets are 0.
 

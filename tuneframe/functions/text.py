@@ -65,12 +65,3 @@ def has_inst_tags(col) -> Column:
         hit = F.instr(c, lit) > 0
         lits = hit if lits is None else lits | hit
     return lits | ((F.instr(c, "<|") > 0) & c.rlike(r"<\|.*?\|>"))
-
-
-def has_control_chars(col) -> Column:
-    return _c(col).rlike(CONTROL_CHAR_PATTERN)
-
-
-def truthy_str(*cols) -> Column:
-    """First value that Python would call truthy (null and '' skipped)."""
-    return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])

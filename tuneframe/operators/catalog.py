@@ -59,8 +59,8 @@ def recent_models(models: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def list_runs(runs: DataFrame) -> DataFrame:
-    """C4: newest first."""
-    return runs.orderBy(F.col("created_at").desc())
+    """C4: newest first, the larger id first on ties."""
+    return runs.orderBy(F.col("created_at").desc(), F.col("run_id").desc())
 
 
 def _truthy(c: Column, dtype: str) -> Column:
@@ -74,11 +74,16 @@ def _truthy(c: Column, dtype: str) -> Column:
 def upsert_models(current: DataFrame, downloads: DataFrame) -> DataFrame:
     """New repos are inserted; existing ones get the new path and
     downloaded=true, other fields only from truthy new values; is_vision is
-    computed on insert only. A full outer join on ``repo_id`` makes the new
-    snapshot."""
+    computed on insert only; further columns of ``current`` stay, renewed by a
+    non-null value of the same name. A repo that comes more than once counts by
+    its last ``_order``, without that column by its largest row. A full outer
+    join on ``repo_id`` makes the new snapshot."""
     fields = ["architecture", "param_count", "context_length", "license"]
     types = dict(current.dtypes)
-    c, d = current.alias("c"), downloads.alias("d")
+    rest = [c for c in downloads.columns if c not in ("repo_id", "_order")]
+    first = ["_order"] if "_order" in downloads.columns else []
+    one = downloads.groupBy("repo_id").agg(F.max(F.struct(*first, *rest)).alias("_d")).select("repo_id", "_d.*")
+    c, d = current.alias("c"), one.alias("d")
     j = c.join(d, on="repo_id", how="full_outer")
     new = F.col("c.display_name").isNull() & F.col("c.is_vision").isNull()
     cols = [F.col("repo_id")]
@@ -92,6 +97,9 @@ def upsert_models(current: DataFrame, downloads: DataFrame) -> DataFrame:
     cols.append(F.coalesce(F.col("d.local_path"), F.col("c.local_path")).alias("local_path"))
     cols.append((F.col("d.local_path").isNotNull() | F.coalesce(F.col("c.downloaded"), F.lit(False))).alias("downloaded"))
     cols.append(F.coalesce(F.col("c.bookmarked"), F.lit(False)).alias("bookmarked"))
+    known = {"repo_id", "display_name", *fields, "is_vision", "local_path", "downloaded", "bookmarked"}
+    for x in [x for x in current.columns if x not in known]:
+        cols.append((F.coalesce(F.col(f"d.{x}"), F.col(f"c.{x}")) if x in rest else F.col(f"c.{x}")).alias(x))
     return j.select(*cols)
 
 
@@ -105,12 +113,13 @@ def search_models(models: DataFrame, query: str, pipeline_tag: str = "text-gener
 def catalog_with_library(catalog: DataFrame, library: DataFrame) -> DataFrame:
     """Every catalog row with downloaded/bookmarked flags (false when absent).
 
-    The library is reduced to one row per repo first (last entry wins), then
-    left-joined; broadcast only when its estimated size is small.
+    The library is reduced to one row per repo first (the last by ``_order``;
+    without that column a flag set in any of them holds), then left-joined;
+    broadcast only when its estimated size is small.
     """
-    lib = library.groupBy("repo_id").agg(
-        F.max_by(F.struct("downloaded", "bookmarked"), F.col("_order")).alias("_l")
-    ) if "_order" in library.columns else library.select("repo_id", F.struct("downloaded", "bookmarked").alias("_l"))
+    last = F.max_by(F.struct("downloaded", "bookmarked"), F.col("_order"))
+    either = F.struct(F.max("downloaded").alias("downloaded"), F.max("bookmarked").alias("bookmarked"))
+    lib = library.groupBy("repo_id").agg((last if "_order" in library.columns else either).alias("_l"))
     j = join_small(catalog, lib, on="repo_id", how="left")
     return j.select(
         *catalog.columns,

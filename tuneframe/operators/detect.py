@@ -73,8 +73,8 @@ def detect_format(records: DataFrame, by: list[str] | None = None, sample: int |
             F.struct(F.col("vote"), F.col("n")),
             F.when(F.col("vote").isNotNull(), F.struct(F.col("n"), -rank)),
         ).alias("_best"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("vote").isNotNull(), F.struct(F.col("vote"), F.col("n"))))
+        F.create_map(
+            *[x for f in FORMATS for x in (F.lit(f), F.coalesce(F.sum(F.when(F.col("vote") == f, F.col("n"))), F.lit(0)))]
         ).alias("scores"),
     )
     best_n = F.coalesce(F.col("_best.n"), F.lit(0))

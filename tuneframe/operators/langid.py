@@ -9,8 +9,7 @@ The built-in detector is a character-trigram naive Bayes model:
   model on the trigram (broadcast only when its estimated size is small),
   sum per (text, language), then pick the best language per text.
 
-Whole texts are used; nothing is truncated. A different detector can be
-plugged in as an Arrow UDF ``text -> lang`` via :func:`detect_with_udf`.
+Whole texts are used; nothing is truncated.
 """
 
 from __future__ import annotations
@@ -104,11 +103,6 @@ def detect_languages(texts: DataFrame, model: DataFrame, languages: DataFrame, k
     return j.select(key, best["lang"].alias("language"), best["score"].alias("score"))
 
 
-def detect_with_udf(texts: DataFrame, detector, key: str = "idx", text: str = "text") -> DataFrame:
-    """U2 plug-in: an Arrow UDF ``text -> language`` (loaded once per worker)."""
-    return texts.select(key, detector(F.col(text)).alias("language"))
-
-
 def language_distribution(
     records_text: DataFrame,
     model: DataFrame,

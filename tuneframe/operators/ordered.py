@@ -128,13 +128,25 @@ def asof_join(
     return out.select(*lcols, *[F.col(f"_r_{c}").alias(c) for c in cols])
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int, **_unused) -> DataFrame:
+# Shares that a group is dealt into before its first rows are taken.
+TOP_K_SHARES = 64
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows per group under ``order`` (Column expressions).
 
     ``row_number() <= k`` is planned with a partial ``WindowGroupLimit``
     before the shuffle, so each task ships at most ``k`` rows per group and
-    a group holding a third of all rows never reaches one task whole.
+    a group holding a third of all rows never reaches one task whole. Spark
+    plans that only up to ``spark.sql.optimizer.windowGroupLimitThreshold``;
+    beyond it the first ``k`` rows of 64 shares of each group are taken first.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        share = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(TOP_K_SHARES))
+        shares = Window.partitionBy(*group, "_share").orderBy(*order)
+        df = df.withColumn("_share", share).withColumn("_r", F.row_number().over(shares))
+        df = df.filter(F.col("_r") <= k).drop("_r", "_share")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 

@@ -493,6 +493,12 @@ FROM (SELECT count_if(role = 'user') AS u, count_if(role = 'assistant') AS a FRO
     q["entropy"] = docs + ENTROPY
     q["entropy_conversations"] = conv + ENTROPY
     q["quality_score"] = conv + QUALITY
+    q["profile_maps"] = conv + (
+        "SELECT 'role_counts' AS report, role AS key, CAST(count(*) AS BIGINT) AS n"
+        " FROM (SELECT unnest(roles) AS role FROM rm) GROUP BY role"
+        f" UNION ALL SELECT 'token_histogram', bucket, n FROM ({hist_sql('n_tokens', TOKEN_BUCKETS)})"
+        f" UNION ALL SELECT 'turn_histogram', bucket, n FROM ({hist_sql('n_turns', TURN_BUCKETS)})"
+    )
     q["profile"] = conv + f"""
 SELECT qs.*, ts.*, ar.assistant_user_ratio, du.duplicate_examples, tk.*, en.entropy_score
 FROM ({QUALITY}) qs,
@@ -533,6 +539,10 @@ SELECT dataset, coalesce(bvote, 'unknown') AS format,
        CASE WHEN coalesce(bn, 0) > 0 THEN round(bn / sampled, 4) ELSE 0.0 END AS confidence,
        CAST(sampled AS BIGINT) AS sampled, CAST(coalesce(bn, 0) AS BIGINT) AS votes
 FROM best"""
+    q["format_scores"] = fx + """
+SELECT d.dataset, ranks.vote AS format, CAST(coalesce(v.n, 0) AS BIGINT) AS votes
+FROM (SELECT DISTINCT dataset FROM votes) d CROSS JOIN ranks
+LEFT JOIN votes v ON v.dataset = d.dataset AND v.vote = ranks.vote"""
     for name in ["sharegpt", "chatml", "alpaca", "llama", "preference", "raw_text", "unknown"]:
         q[f"normalize_{name}"] = fx + f"""
 SELECT idx, CAST(pos AS INTEGER) AS pos, role, content FROM expected WHERE dataset = '{name}'"""
@@ -693,6 +703,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_runs, CAST(count_if(status IN ('running
 FROM runs"""
     q["newest_runs"] = cat + f"""
 SELECT run_id, strftime(min_ts, {F_TS}) AS created_at, status FROM runs ORDER BY min_ts DESC, run_id DESC LIMIT 6"""
+    q["list_runs"] = cat + f"SELECT run_id, strftime(min_ts, {F_TS}) AS created_at, status FROM runs"
     q["param_estimate"] = cat + "SELECT * FROM models"
     q["vram_matrix"] = cat + "SELECT * FROM vram"
     q["fit_tiers"] = cat + """
@@ -729,7 +740,7 @@ SELECT host, device, strftime(ws, {F_TS}) AS window_start, strftime(ws + INTERVA
        avg_power_w, max_temperature_c
 FROM rollup"""
     q["telemetry_rollup"] = cat + roll
-    q["stream_telemetry_rollup"] = cat + roll + " WHERE ws + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events)"
+    q["stream_telemetry_rollup"] = q["telemetry_rollup"]
     q["stream_grad_alerts"] = q["grad_anomaly"]
     q["stream_run_state"] = rv + ",\nls AS (" + q["latest_state"][len(rv):] + "),\nrs AS (" + q["run_status"][len(rv):] + """)
 SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.status FROM ls JOIN rs USING (run_id)"""

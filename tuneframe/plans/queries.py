@@ -147,6 +147,16 @@ def q_profile(spark, sf):
     )
 
 
+@register("profile_maps")
+def q_profile_maps(spark, sf):
+    """T10's maps of T2, T5 and T6 in long form."""
+    p = P.profile(N.fold_turns(X.dirty_conversations(spark, sf)))
+    maps = ["role_counts", "token_histogram", "turn_histogram"]
+    parts = F.array(*[F.struct(F.lit(m).alias("report"), F.col(m).alias("m")) for m in maps])
+    long = p.select(F.explode(parts).alias("p")).select("p.report", F.explode("p.m").alias("key", "n"))
+    return long.withColumn("n", F.col("n").cast("bigint"))
+
+
 # ---------------------------------------------------------------- step 3: R
 
 REPAIR_OPTS = R.RepairOptions(max_turn_chars=200, split_oversized=2)
@@ -227,6 +237,13 @@ def q_detect_format(spark, sf):
     return D.detect_format(_all_formats(spark, sf), by=["dataset"]).drop("scores")
 
 
+@register("format_scores")
+def q_format_scores(spark, sf):
+    """votes for every format, the zeros too."""
+    d = D.detect_format(_all_formats(spark, sf), by=["dataset"])
+    return d.select("dataset", F.explode("scores").alias("format", "votes")).withColumn("votes", F.col("votes").cast("bigint"))
+
+
 def _normalize_query(dataset: str) -> Query:
     def q(spark, sf):
         if dataset == "mixed":
@@ -505,6 +522,11 @@ def q_newest_runs(spark, sf):
     return C.newest_runs(X.runs_table(spark, sf), 6).select("run_id", _ts("created_at").alias("created_at"), "status")
 
 
+@register("list_runs")
+def q_list_runs(spark, sf):
+    return C.list_runs(X.runs_table(spark, sf)).select("run_id", _ts("created_at").alias("created_at"), "status")
+
+
 @register("param_estimate")
 def q_param_estimate(spark, sf):
     return _models(spark, sf).select(
@@ -608,7 +630,7 @@ def q_stream_grad_alerts(spark, sf):
 
 @register("stream_telemetry_rollup")
 def q_stream_rollup(spark, sf):
-    """G3 on a stream: watermark + tumbling window, append mode."""
+    """G3 on a stream: tumbling windows in update mode, so open windows count too."""
     from tuneframe.session import scratch_path
 
     src, ck, out = scratch_path(spark, "telemetry"), scratch_path(spark, "ckpt"), scratch_path(spark, "out")
@@ -616,8 +638,8 @@ def q_stream_rollup(spark, sf):
     snaps.write.parquet(src)
     stream = spark.readStream.schema(snaps.schema).parquet(src)
     r = G.rollup(G.device_rows(stream), "1 minute", watermark="0 seconds")
-    ST.start_to_table(r, out, ck).awaitTermination()
-    return _rollup_out(spark.read.parquet(out))
+    ST.start_update_sink(r, out, ck).awaitTermination()
+    return _rollup_out(ST.read_latest_updates(spark, out, ["host", "device", "window_start"]))
 
 
 # ---------------------------------------------------------------- U2, T9

@@ -49,7 +49,13 @@ def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | N
 
 
 def dedupe_late(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop re-delivered events; late events are kept, not discarded."""
+    """Drop re-delivered events.
+
+    An event is known for ``delay`` after it; one that arrives later than
+    that behind the newest event is dropped. Give the longest delay that the
+    event source can have; :func:`tuneframe.operators.runs.dedupe_events` on
+    the written log keeps every event.
+    """
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
         ["run_id", "event", "step", "ts"]
     )
