@@ -280,9 +280,9 @@ def model_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One registry row per ``documents`` source, profiled in one grouped job."""
+    """One registry row per ``documents`` source, scored in one grouped job."""
     from tuneframe.operators.normalize import to_messages
-    from tuneframe.operators.profile import profile
+    from tuneframe.operators.profile import quality_score, record_metrics
 
     d = table(spark, sf_dir, "documents")
     recs = d.select(
@@ -292,7 +292,7 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("to_variant_object(named_struct('text', text))").alias("v"),
         F.lit("raw_text").alias("fmt"),
     )
-    prof = profile(to_messages(recs), by=["source"])
+    prof = quality_score(record_metrics(to_messages(recs), ["source"]), by=["source"])
     sid = F.regexp_extract("source", r"(\d+)$", 1).cast("bigint")
     return prof.select(
         sid.alias("dataset_id"),

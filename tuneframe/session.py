@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     # Records are dynamic JSON: a duplicated key keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Casts and divisions are written for ANSI rules.
+    "spark.sql.ansi.enabled": "true",
     # Event times are epoch seconds; render and bucket them in UTC.
     "spark.sql.session.timeZone": "UTC",
     # Runtime re-planning: coalesce small shuffles, split skewed join sides.
