@@ -73,6 +73,25 @@ def test_edited_copies_equal_brute_force(spark):
         assert got == [(i, *b) for (i, _), b in zip(rows, brute(rows, length))]
 
 
+def hot_edges(rng, n):
+    """Documents around one passage: at each of its edges very many different segments share an anchor."""
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    made = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    rows = []
+    for i in range(n):
+        t = made(rng.randrange(20, 60)) + passage + made(rng.randrange(20, 60))
+        rows.append((i, t if rng.random() < 0.8 else t + passage[: rng.randrange(20, 90)] + t[:50]))
+    return rows
+
+
+def test_anchors_with_many_segments_equal_brute_force(spark):
+    rows = hot_edges(random.Random(5), 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for length, anchor, most in ((20, 8, 1), (20, 8, 16), (40, 16, 8), (40, 32, 64)):
+        got = sorted(ours(df, length=length, anchor=anchor, collection_rows=most))
+        assert got == [(i, *b) for (i, _), b in zip(rows, brute(rows, length))], (length, anchor, most)
+
+
 def test_query_equals_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in table(spark, SF001, "documents").collect())
     got = sorted(map(tuple, op10_suffix_dedup(spark, SF001).collect()))

@@ -259,6 +259,8 @@ def _segment_rows(length: int, anchor: int):
 def _collection(length: int):
     """One collection: the different segments of its anchors, each with its first holder."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A segment dealt by both of its sides may come twice; it is no repeat of itself.
+        pdf = pdf.drop_duplicates(["doc", "start"])
         strings = pdf["bytes"].tolist()
         doc, start = pdf["doc"].to_numpy(), pdf["start"].to_numpy()
         gone = earlier_starts(strings, doc, start, length)
@@ -323,7 +325,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collect
     return copies.union(found)
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_col: str = "doc_id", text_col: str = "text",
+                    collection_rows: int = 1024) -> DataFrame:
     """Remove repeated bytes: ``id, n_bytes, n_removed, n_spans, kept`` (binary), and ``spans (start, end)``.
 
     Every byte covered by a ``length``-byte string that also starts earlier
@@ -349,7 +352,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_co
     else:
         # The same two columns for both joins below, so that they share one shuffle of the texts.
         base = base.select(F.col("id").alias("doc"), "bytes").filter("doc is not null")
-    runs = repeated_spans(base, length, anchor)
+    runs = repeated_spans(base, length, anchor, collection_rows)
     gone = runs.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("runs"))
     joined = base.join(gone, "doc", "left").select("id" if twice else F.col("doc").alias("id"), "bytes", "runs")
 
