@@ -1,7 +1,9 @@
 """Suffix-array dedup against brute force."""
 
 import hashlib
+import os
 import random
+import uuid
 
 import pytest
 
@@ -92,6 +94,27 @@ def test_anchors_with_many_segments_equal_brute_force(spark):
         assert got == [(i, *b) for (i, _), b in zip(rows, brute(rows, length))], (length, anchor, most)
 
 
+def test_no_collection_outgrows_its_bound(spark, tmp_dir, monkeypatch):
+    """Documents around one passage: however many share an anchor and a side, no task gets them as one group."""
+    made = S._collection
+
+    def noted(length):
+        run = made(length)
+
+        def counted(pdf):
+            with open(f"{tmp_dir}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(pdf)))
+            return run(pdf)
+        return counted
+
+    monkeypatch.setattr(S, "_collection", noted)
+    rows = hot_edges(random.Random(6), 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(ours(df, length=40, anchor=16, collection_rows=20))
+    assert got == [(i, *b) for (i, _), b in zip(rows, brute(rows, 40))]
+    assert max((int(open(f"{tmp_dir}/{x}").read()) for x in os.listdir(tmp_dir)), default=0) <= 4 * 20
+
+
 def test_query_equals_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in table(spark, SF001, "documents").collect())
     got = sorted(map(tuple, op10_suffix_dedup(spark, SF001).collect()))

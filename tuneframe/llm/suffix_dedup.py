@@ -14,8 +14,9 @@ Every byte covered by a string of ``length`` bytes that also starts earlier
    beyond its anchor on one of its sides. Only segments that share the anchor
    and that much of a side with another segment lend their bytes. They are
    dealt to collections by anchor, many anchors to a collection of bounded
-   size; an anchor with more segments than that is dealt by its sides.
-   A collection's Burrows-Wheeler
+   size; the segments of an anchor with more than that are taken apart into
+   their strings, which are compared by a 128-bit hash each, copies combined
+   inside a task first. A collection's Burrows-Wheeler
    transform is built column by column: each round inserts the next symbol
    of every segment, from the last to the first, into the transform and the
    array of common prefixes, which are kept in sequential files and merged
@@ -259,8 +260,6 @@ def _segment_rows(length: int, anchor: int):
 def _collection(length: int):
     """One collection: the different segments of its anchors, each with its first holder."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A segment dealt by both of its sides may come twice; it is no repeat of itself.
-        pdf = pdf.drop_duplicates(["doc", "start"])
         strings = pdf["bytes"].tolist()
         doc, start = pdf["doc"].to_numpy(), pdf["start"].to_numpy()
         gone = earlier_starts(strings, doc, start, length)
@@ -276,6 +275,48 @@ def _collection(length: int):
     return run
 
 
+STRINGS_HELD = 1 << 18  # strings that a task combines at once, some 20 MB
+
+
+def _string_rows(length: int):
+    """Strings of segments: ``doc, at, n, h1, h2, copy``.
+
+    A row is the first holder of a string among those at hand, known by two
+    64-bit hashes, or a run of ``n`` strings that all have an earlier holder
+    among them (``copy``).
+    """
+    def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, at, h1, h2 = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((at, doc, h2, h1))
+        copy = np.zeros(len(order), bool)
+        x, y = h1[order], h2[order]
+        copy[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        gone = np.flatnonzero(copy)
+        gone = gone[np.lexsort((at[gone], doc[gone]))]
+        d, a = doc[gone], at[gone]
+        cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]) if len(gone) else gone
+        n, first = np.diff(np.append(cuts, len(gone))), ~copy
+        columns = {"doc": np.r_[doc[first], d[cuts]], "at": np.r_[at[first], a[cuts]], "n": np.r_[np.ones(first.sum(), np.int64), n],
+                   "h1": np.r_[h1[first], np.zeros(len(cuts), np.int64)], "h2": np.r_[h2[first], np.zeros(len(cuts), np.int64)],
+                   "copy": np.r_[np.zeros(first.sum(), bool), np.ones(len(cuts), bool)]}
+        return _rows(columns, [pa.int64()] * 5 + [pa.bool_()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in slices(batches):
+            for doc, start, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                h1, h2 = (Prefix(data, k).grams(length).view(np.int64) for k in (0, 1))
+                parts.append((np.full(len(h1), doc, np.int64), start + np.arange(len(h1)), h1, h2))
+                held += len(h1)
+                if held >= STRINGS_HELD:
+                    yield combined(parts)
+                    parts, held = [], 0
+        if held:
+            yield combined(parts)
+    return run
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collection_rows: int = 1024) -> DataFrame:
     """Runs of repeated starts of ``docs(doc, bytes)``: ``doc, at, n`` says that the strings at
     ``at .. at + n - 1`` also start earlier. ``doc`` is a dense order of the documents, unique.
@@ -305,24 +346,36 @@ def repeated_spans(docs: DataFrame, length: int = 100, anchor: int = 32, collect
     n = needed.count()
     if not n:
         return copies
-    # An anchor with more segments than a collection should hold is dealt by its sides: whoever shares a
-    # string shares one of them.
-    many = cut(needed.groupBy("mark").count().filter(F.col("count") > collection_rows).select("mark", F.lit(True).alias("_many")))
-    sides = F.filter(F.array(F.when(F.col("left").isNotNull(), F.xxhash64("mark", "left", F.lit(0))),
-                             F.when(F.col("right").isNotNull(), F.xxhash64("mark", "right", F.lit(1)))), lambda x: x.isNotNull())
-    if many.limit(1).count():
-        needed = needed.join(many, "mark", "left").withColumn("mark", F.explode(F.when(F.col("_many"), sides).otherwise(F.array("mark"))))
-    needed = needed.select("doc", "start", "starts", "mark")
-    # The bytes of the segments that differ: each document lends them in one pass.
+    # An anchor with more segments than a collection should hold is no collection of its own, however many
+    # share a side: its segments are taken apart into strings.
+    many = cut(needed.groupBy("mark").count().filter(F.col("count") > collection_rows).select("mark", F.lit(True).alias("many")))
+    if not many.limit(1).count():
+        return copies.union(_in_collections(docs, needed, n, length, collection_rows))
+    needed = needed.join(many, "mark", "left")
+    few = needed.filter("many is null")
+    lent = _lent(docs, needed.filter("many"), length).select("doc", "start", "bytes")
+    strings = lent.mapInArrow(_string_rows(length), "doc long, at long, n long, h1 long, h2 long, copy boolean")
+    # Copies told apart are spread; of any other string a task keeps one row.
+    strings = strings.withColumn("h1", F.when(F.col("copy"), F.xxhash64("doc", "at")).otherwise(F.col("h1")))
+    held = Window.partitionBy("h1", "h2", "copy").orderBy("doc", "at")
+    again = strings.withColumn("again", F.col("copy") | F.lag("doc").over(held).isNotNull()).filter("again").select("doc", "at", "n")
+    # A string that is not the first of its collection is a repeat in every copy of its segment, which the
+    # copies' rows say already.
+    return copies.union(again).union(_in_collections(docs, few, n, length, collection_rows))
+
+
+def _lent(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
+    """The bytes of segments that differ, ``doc, start, mark, bytes``: each document lends them in one pass."""
     asked = needed.groupBy("doc").agg(F.collect_list(F.struct("start", "starts", "mark")).alias("asked"))
     lent = docs.join(asked, "doc").select("doc", "bytes", F.explode("asked").alias("a"))
-    lent = lent.select("doc", F.col("a.start").alias("start"), F.col("a.mark").alias("mark"),
+    return lent.select("doc", F.col("a.start").alias("start"), F.col("a.mark").alias("mark"),
                        F.substring("bytes", (F.col("a.start") + 1).cast("int"), (F.col("a.starts") + length - 1).cast("int")).alias("bytes"))
-    lent = lent.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(max(1, -(-n // collection_rows)))))
-    found = lent.groupBy("part").applyInPandas(_collection(length), "doc long, at long, n long")
-    # A string that is not the first of its collection is a repeat in every copy of its segment, which the
-    # copies' rows say already.
-    return copies.union(found)
+
+
+def _in_collections(docs: DataFrame, needed: DataFrame, n: int, length: int, collection_rows: int) -> DataFrame:
+    """Repeats among the segments of anchors that fit a collection; ``n`` segments at most."""
+    lent = _lent(docs, needed, length).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(max(1, -(-n // collection_rows)))))
+    return lent.groupBy("part").applyInPandas(_collection(length), "doc long, at long, n long")
 
 
 def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_col: str = "doc_id", text_col: str = "text",
