@@ -167,6 +167,24 @@ def test_targets_are_filled_like_water():
     assert goal[0] == 30 and goal[1] == 300 and goal[2] == pytest.approx(780) and goal[3] == 0
 
 
+@pytest.mark.parametrize("block", [64, 1024])
+def test_small_sources_come_near_their_targets(spark, block):
+    words = {"big": 30000, "mid": 700, "s1": 1, "s2": 2, "s3": 3, "s5": 20, "s6": 31, "s7": 100, None: 9}
+    rows = [(100 * k + d, " ".join(f"w{i}" for i in range(n // 4 if d else n - 3 * (n // 4))), s)
+            for k, (s, n) in enumerate(words.items()) for d in range(4)]
+    df = spark.createDataFrame([*rows, (-1, " \n", "blank"), (-2, None, "blank")], "doc_id long, text string, source string")
+    names = sorted([*words, "blank"], key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([words.get(s, 0) for s in names], [float(1 + i % 3) for i in range(len(names))])
+    mixed, recipe = mixing.mix(df, block=block)
+    texts = mixing.mixed_texts(df, block=block).collect()
+    took = {s: sum(r["taken"] for r in mixed.collect() if r["source"] == s) for s in names}
+    for s, t in zip(names, goal):
+        assert abs(took[s] - t) <= 3 * max(1, min(t, words.get(s, 0)) / 8), (s, t, took[s])
+        assert (took[s] > 0) == (t > 0)
+        assert took[s] == sum(len(WORDS.findall(r["text"])) for r in texts if r["source"] == s)
+    assert all(sum(r["shard_quota"]) == r["quota"] for r in recipe.collect())
+
+
 def test_mix_odd_rows(spark, odd):
     mixed, recipe = mixing.mix(odd, block=4)
     rows = mixed.collect()

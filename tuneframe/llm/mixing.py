@@ -3,7 +3,10 @@
 Each source is laid out as one line of words in a seeded order and cut into
 blocks of equal length. Blocks are awarded to sources one by one by highest
 quotient ``target / (2 * awarded + 1)``; shard ``k`` of the mix is the
-``k``-th interval of that sequence, which gives integer quotas per shard.
+``k``-th interval of that sequence, which gives integer quotas per shard. A source whose words or target make up
+fewer than ``LEAST_BLOCKS`` blocks has its block halved until they do; sources
+of equal blocks are apportioned among themselves, so that a small one is not
+rounded away.
 Which blocks fill a quota is a seeded permutation of the source's blocks,
 so selection needs no sort: an affine map modulo the number of blocks.
 """
@@ -22,6 +25,8 @@ from pyspark.sql.types import StructField, StructType
 
 from tuneframe.llm.common import WORD, cut, slices, slots
 
+LEAST_BLOCKS = 8
+
 
 def targets(sizes: list[int], weights: list[float], limit: float = 3.0) -> list[float]:
     """Share all words by weight; nobody above ``limit`` times its size, the excess reshared."""
@@ -88,6 +93,13 @@ def permutation(blocks: int, seed: str) -> tuple[int, int]:
     return a, c
 
 
+def block_of(words: float, block: int) -> int:
+    """``block``, halved until ``words`` make up ``LEAST_BLOCKS`` of it; a source without words keeps it."""
+    while words > 0 and block > 1 and words < LEAST_BLOCKS * block:
+        block //= 2
+    return block
+
+
 def plan(spark, sources: list[tuple[str | None, int]], block: int, shards: int, seed: int, limit: int = 3) -> DataFrame:
     """One row per source: its target, its blocks, its quota in all and per shard, its permutation.
 
@@ -99,15 +111,23 @@ def plan(spark, sources: list[tuple[str | None, int]], block: int, shards: int,
     ranked = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
     sizes, weights = [s[1] for s in ranked], [float(1 + i % 3) for i in range(len(ranked))]
     goal = targets(sizes, weights, float(limit))
-    blocks = [-(-n // block) for n in sizes]
-    seats = round(sum(sizes) / block)
-    upto = [sainte_lague(goal, round(seats * k / shards), [limit * b for b in blocks]) for k in range(shards + 1)]
+    length = [block_of(min(g, n), block) for g, n in zip(goal, sizes, strict=True)]
+    blocks = [-(-n // b) for n, b in zip(sizes, length, strict=True)]
+    upto = [[0] * len(sizes) for _ in range(shards + 1)]
+    for b in sorted(set(length)):
+        tier = [i for i, x in enumerate(length) if x == b]
+        # The targets of all sources add up to their words.
+        seats = round((sum(sizes) if len(tier) == len(sizes) else sum(goal[i] for i in tier)) / b)
+        for k in range(shards + 1):
+            given = sainte_lague([goal[i] for i in tier], round(seats * k / shards), [limit * blocks[i] for i in tier])
+            for i, n in zip(tier, given, strict=True):
+                upto[k][i] = n
     rows = []
     for i, (name, n) in enumerate(ranked):
         a, c = permutation(blocks[i], f"{seed}/{name!r}")
         per = [upto[k + 1][i] - upto[k][i] for k in range(shards)]
-        rows.append((name, i, n, goal[i], max(1, blocks[i]), upto[-1][i], a, c, per))
-    return spark.createDataFrame(rows, "source string, source_rank int, source_size long, target double, blocks long, quota long, a long, c long, shard_quota array<long>")
+        rows.append((name, i, n, goal[i], length[i], max(1, blocks[i]), upto[-1][i], a, c, per))
+    return spark.createDataFrame(rows, "source string, source_rank int, source_size long, target double, block long, blocks long, quota long, a long, c long, shard_quota array<long>")
 
 
 def mix(docs: DataFrame, block: int = 64, shards: int = 8, seed: int = 7, id_col: str = "doc_id",
@@ -115,7 +135,7 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 8, seed: int = 7, id_col
     """``(documents, plan)``: what the mix takes of every document, and the recipe.
 
     The documents have ``id, source, text_hash, size, source_size, target,
-    position, uses, taken``: ``position`` is the document's first word on its
+    block, position, uses, taken``: ``block`` is the length of its source's blocks, ``position`` is the document's first word on its
     source's line, ``uses`` how often each block it touches is taken, in
     order, ``taken`` its words in the mix, repeats counted. At most
     ``3 * blocks`` blocks of a source are awarded, so no document is taken more
@@ -139,8 +159,8 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 8, seed: int = 7, id_col
     known = known.select("d.*", *[f"s.{c}" for c in recipe.columns if c not in ("source", "shard_quota")])
     known = known.withColumn("_seeded", F.xxhash64(F.lit(seed), "id", "text_hash"))
     laid = slots(known, ["source_rank"], ["_seeded", "id", "text_hash"], name="position", size="size")
-    first = F.expr(f"position div {block}")
-    last = F.expr(f"(position + size - 1) div {block}")
+    first = F.expr("position div block")
+    last = F.expr("(position + size - 1) div block")
     where = F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
 
     def used(b):
@@ -153,12 +173,12 @@ def mix(docs: DataFrame, block: int = 64, shards: int = 8, seed: int = 7, id_col
     end = F.col("position") + F.col("size")
 
     def words(u, k):
-        start = (first + k) * F.lit(block).cast("long")
-        return u * (F.least(start + block, end) - F.greatest(start, F.col("position")))
+        start = (first + k) * F.col("block")
+        return u * (F.least(start + F.col("block"), end) - F.greatest(start, F.col("position")))
 
     taken = F.aggregate(F.transform(F.col("uses"), words), F.lit(0).cast("long"), lambda x, y: x + y)
     out = laid.withColumn("uses", uses).withColumn("taken", taken)
-    return out.select("id", "source", "text_hash", "size", "source_size", "target", "position", "uses", "taken"), recipe
+    return out.select("id", "source", "text_hash", "size", "source_size", "target", "block", "position", "uses", "taken"), recipe
 
 
 def mixed_texts(docs: DataFrame, block: int = 1024, shards: int = 8, seed: int = 7, id_col: str = "doc_id",
@@ -178,20 +198,21 @@ def mixed_texts(docs: DataFrame, block: int = 1024, shards: int = 8, seed: int =
     if same:
         left = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_h", source_col).orderBy("_h")))
         right = taken.withColumn("n", F.row_number().over(Window.partitionBy("id", "text_hash", "source").orderBy("position")))
-    right = right.filter("taken > 0").select("id", "text_hash", F.col("source").alias("src"), "n", "position", "uses")
+    right = right.filter("taken > 0").select("id", "text_hash", F.col("source").alias("src"), "n",
+                                             F.col("position").alias("_position"), F.col("uses").alias("_uses"), F.col("block").alias("_block"))
     joined = left.join(right, (left["_h"] == right["text_hash"]) & (left["_n"] == right["n"]) & left["_i"].eqNullSafe(right["id"])
                        & left[source_col].cast("string").eqNullSafe(right["src"]))
     at = docs.columns.index(text_col)
-    picked = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "position", "uses")
+    picked = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "_position", "_uses", "_block")
 
     def run(batches):
         for batch in slices(batches):
             keep, texts = [], []
-            for k, (text, position, uses) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, -2, -1)), strict=True)):
-                for made in passes(text, position, uses, block):
+            for k, (text, position, uses, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, -3, -2, -1)), strict=True)):
+                for made in passes(text, position, uses, size):
                     keep.append(k)
                     texts.append(made)
-            cols = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-2]]
+            cols = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-3]]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
