@@ -123,17 +123,10 @@ class LineRuns:
         return runs.filter(F.col("holders") >= min_holders).select("h1", "h2", "newest")
 
 
-def batches(docs: DataFrame, count: int) -> list[DataFrame]:
-    """Up to ``count`` batches of whole input files; a table without files is one batch.
-
-    Each file is read in one batch only.
-    """
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    n = min(count, len(files))
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[len(files) * k // n : len(files) * (k + 1) // n])
-            for k in range(n)]
+def batches(docs: DataFrame, count: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """``docs`` in ``count`` batches, dealt by a hash of the id."""
+    deal = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(count))
+    return [docs.filter(deal == k) for k in range(count)]
 
 
 def dedup_lines(docs: DataFrame, min_holders: int = 5, min_points: int = MIN_POINTS, batch_count: int = 4,
@@ -148,10 +141,13 @@ def dedup_lines(docs: DataFrame, min_holders: int = 5, min_points: int = MIN_POI
     Repeated rows are documents of their own; if they hold the largest id
     all of them keep the line. A null id is smaller than any other.
     Columns of ``docs`` may have any names. Empty tables give no rows.
+    ``docs`` is read once a batch and once more, so it should be cheap or
+    written, and give the same rows each time. ``parts`` are batches that
+    hold the rows of ``docs``, each row in one, such as one per input file.
     """
     spark = docs.sparkSession
     store = LineRuns(spark, fanout, min_points)
-    for part in parts or batches(docs, batch_count):
+    for part in parts or batches(docs, batch_count, id_col):
         store.add(part, id_col, text_col)
     often = store.frequent(min_holders)
 
