@@ -44,3 +44,40 @@ def test_derived_frames_over_many_files_equal_brute_force(spark, many_files):
     assert ours(many_files.filter("doc_id % 3 = 0")) == brute([r for r in rows if r[0] % 3 == 0])
     assert ours(many_files.union(spark.createDataFrame(more, "doc_id long, text string"))) == brute(rows + more)
     assert ours(many_files.select(F.col("text").alias("words"), F.col("doc_id").alias("key")), id_col="key", text_col="words") == brute(rows)
+
+
+def test_several_batches_tell_new_lines_from_known_ones(spark):
+    parts = [made(10 + k, range(20 * k, 20 * k + 20)) for k in range(5)] + [[(100, LINES[0]), (None, LINES[0])]]
+    frames = [spark.createDataFrame(p, "doc_id long, text string") for p in parts]
+    store, before, total, newest = L.LineRuns(spark, fanout=2), set(), Counter(), {}
+    for part, frame in zip(parts, frames):
+        held = Counter(x for _, t in part for x in set(t.split("\n")))
+        new = store.add(frame).collect()
+        assert sorted(r["holders"] for r in new) == sorted(n for x, n in held.items() if x not in before)
+        before |= set(held)
+        total += held
+        newest |= {x: max([i for i, t in part if i is not None and x in t.split("\n")] + [newest.get(x, -1)]) for x in held}
+        # Every line is in one run.
+        keys = [(r["h1"], r["h2"]) for r in store.runs().collect()]
+        assert len(keys) == len(set(keys)) == len(before)
+    assert len(store.levels) > 2 and store.made > len(parts)
+    often = sorted(r["newest"] for r in store.frequent(5).collect())
+    assert often == sorted(newest[x] for x, n in total.items() if n >= 5)
+    rows = [r for p in parts for r in p if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(df) == ours(df, batch_count=7, fanout=3) == brute(rows)
+
+
+def test_a_table_of_one_file_goes_through_several_runs(spark, monkeypatch):
+    seen, add = [], L.LineRuns.add
+
+    def noted(self, docs, *cols):
+        new = add(self, docs, *cols)
+        seen.append((self.made, new.count()))
+        return new
+
+    monkeypatch.setattr(L.LineRuns, "add", noted)
+    rows = made(3, range(40))
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
+    assert len(seen) == 4 and seen[-1][0] > 4
+    assert sum(n for _, n in seen) == len({x for _, t in rows for x in t.split("\n")})

@@ -1,16 +1,18 @@
 """Line dedup: levelled sorted runs of line hashes (native).
 
 The store is a set of runs, tables sorted by a 128-bit hash of the line key.
-A batch of documents is reduced to its distinct line hashes, merge-anti-joined
-with the runs to tell new lines from known ones, and added as a run of level
-0. When a level holds ``fanout`` runs they are merged into one run of the
-next level, so a corpus of n batches costs O(n log n) merging and a batch
-meets O(log n) runs. Runs live in the shared folder; a lost executor only
-re-reads them.
-
-A run row says how many documents of its batches hold the line and which
-holder has the largest id. Hashes of equal lines are combined before every
-shuffle, so a line in a third of all documents is one row per task.
+A batch of documents is reduced to its distinct line hashes and
+merge-anti-joined with the runs, which tells new lines from known ones. New
+lines are added as a run of level 0, so no two runs share a line; known lines
+are counts that are added to their run's row in the end. When a level holds
+``fanout`` runs they are merged into one run of the next level, so a corpus
+of n batches costs O(n log n) merging and a batch meets O(log n) runs. Runs
+live in the shared folder; a lost executor only re-reads them.
+
+A run row says how many documents of its batch hold the line and which
+holder has the largest id, a count the same of a later batch. Hashes of equal
+lines are combined before every shuffle, so a line in a third of all
+documents is one row per task.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ class LineRuns:
         self.spark, self.fanout, self.min_points = spark, fanout, min_points
         self.path = path or scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.counts: list[str] = []
         self.made = 0
 
     def _write(self, run: DataFrame) -> str:
@@ -58,9 +61,13 @@ class LineRuns:
         run.write.parquet(path)
         return path
 
+    def _read(self, paths: list[str], fresh: bool) -> DataFrame | None:
+        parts = [self.spark.read.parquet(p) for p in paths]
+        return reduce(DataFrame.union, parts).filter(F.col("fresh") == fresh).drop("fresh") if parts else None
+
     def runs(self) -> DataFrame | None:
-        parts = [self.spark.read.parquet(p) for level in self.levels for p in level]
-        return reduce(DataFrame.union, parts) if parts else None
+        """All lines, each in one run: ``h1, h2, holders, newest`` of the batch that brought it."""
+        return self._read([p for level in self.levels for p in level], True)
 
     def hashes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Distinct line hashes of a batch: ``h1, h2, holders, newest``."""
@@ -72,55 +79,50 @@ class LineRuns:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; returns its lines that no earlier batch held: ``h1, h2, holders, newest``.
 
-        The anti-join tells new lines from known ones. Both go into the
-        batch's run, known ones flagged as counts to be merged.
+        Whether a run holds a line decides where it goes: new lines are the
+        batch's run, known ones its counts.
         """
         batch = self.hashes(docs, id_col, text_col)
         known = self.runs()
         if known is None:
-            run = batch.withColumn("fresh", F.lit(True))
+            batch = batch.withColumn("fresh", F.lit(True))
         else:
-            seen = known.filter("fresh").select("h1", "h2")
-            batch = self.spark.read.parquet(self._write(batch.sortWithinPartitions("h1", "h2")))
-            new = batch.join(seen, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            old = batch.join(seen, ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False))
-            run = new.union(old)
-        path = self._write(run.sortWithinPartitions("h1", "h2"))
+            seen = known.select("h1", "h2", F.lit(True).alias("_seen"))
+            batch = batch.join(seen, ["h1", "h2"], "left").withColumn("fresh", F.col("_seen").isNull()).drop("_seen")
+        path = self._write(batch.sortWithinPartitions("h1", "h2"))
+        if known is not None:
+            self.counts.append(path)
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(path)
         self.compact()
-        return self.spark.read.parquet(path).filter("fresh").drop("fresh")
-
-    def merged(self, paths: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.union, [self.spark.read.parquet(p) for p in paths])
-        return rows.groupBy("h1", "h2").agg(F.sum("holders").alias("holders"), F.max("newest").alias("newest"),
-                                            F.max("fresh").alias("fresh"))
-
-    def compact(self, everything: bool = False) -> None:
-        """Merge every level that is full (or all levels) into a run of the next one."""
-        if everything:
-            paths = [p for level in self.levels for p in level]
-            if len(paths) > 1:
-                top = self._write(self.merged(paths).sortWithinPartitions("h1", "h2"))
-                self.levels = [[] for _ in self.levels] + [[top]]
-            return
+        return self._read([path], True)
+
+    def compact(self) -> None:
+        """Merge every level that is full into a run of the next one."""
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self.merged(self.levels[k]).sortWithinPartitions("h1", "h2")))
+                rows = self._read(self.levels[k], True).withColumn("fresh", F.lit(True))
+                self.levels[k + 1].append(self._write(rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2")))
                 self.levels[k] = []
             k += 1
 
     def frequent(self, min_holders: int) -> DataFrame:
         """Lines held by at least ``min_holders`` documents: ``h1, h2, newest``."""
-        self.compact(everything=True)
-        runs = self.runs()
-        if runs is None:
+        lines, counts = self.runs(), self._read(self.counts, False)
+        if lines is None:
             return self.spark.createDataFrame([], "h1 long, h2 long, newest long")
-        return runs.filter(F.col("holders") >= min_holders).select("h1", "h2", "newest")
+        if counts is not None:
+            more = counts.groupBy("h1", "h2").agg(F.sum("holders").alias("_more"), F.max("newest").alias("_newer"))
+            lines = lines.join(more, ["h1", "h2"], "left").withColumn("holders", F.col("holders") + F.coalesce("_more", F.lit(0)))
+            lines = lines.withColumn("newest", F.greatest("newest", "_newer"))
+        often = lines.filter(F.col("holders") >= min_holders).select("h1", "h2", "newest")
+        path = f"{self.path}/often"
+        often.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
 
 def batches(docs: DataFrame, count: int, id_col: str = "doc_id") -> list[DataFrame]:
