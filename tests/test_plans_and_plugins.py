@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001, SF01
+from tuneframe.operators import langid
 from tuneframe.operators import normalize as N
 from tuneframe.operators import repair as R
 from tuneframe.operators import tokens as K
@@ -58,6 +59,21 @@ def test_tokenizer_plugin_is_batched(spark):
     assert a == b
 
 
+def test_detector_plugin_is_batched(spark):
+    def make():
+        words = {"the": "en", "der": "de"}
+
+        def detect(text):
+            return next((words[w] for w in text.split() if w in words), None)
+
+        return detect
+
+    df = spark.createDataFrame([(1, "the cat"), (2, "der Hund"), (3, "???"), (4, None)], "idx long, text string")
+    out = langid.detect_with_udf(df, langid.detector_udf(make))
+    assert "ArrowEvalPython" in plan(out)
+    assert {r["idx"]: r["language"] for r in out.collect()} == {1: "en", 2: "de", 3: None, 4: None}
+
+
 def test_registry_append_and_repair_job(spark, tmp_dir):
     m = N.fold_turns(X.dirty_conversations(spark, SF001))
     rows, summary = R.repair_job(m)

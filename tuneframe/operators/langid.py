@@ -9,13 +9,18 @@ The built-in detector is a character-trigram naive Bayes model:
   model on the trigram (broadcast only when its estimated size is small),
   sum per (text, language), then pick the best language per text.
 
-Whole texts are used; nothing is truncated.
+Whole texts are used; nothing is truncated. Another detector is plugged in
+through :func:`detector_udf` and :func:`detect_with_udf`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tuneframe.functions.joins import join_small, attach_row
 from tuneframe.functions.text import py_strip
@@ -103,6 +108,27 @@ def detect_languages(texts: DataFrame, model: DataFrame, languages: DataFrame, k
     return j.select(key, best["lang"].alias("language"), best["score"].alias("score"))
 
 
+def detector_udf(make_detector: Callable[[], Callable[[str], str | None]]):
+    """U2 plug-in: wrap a detector factory as an Arrow-batched iterator UDF.
+
+    ``make_detector`` runs once per Python worker (not per row); the returned
+    function maps one text to its language or None. A null text counts as empty.
+    """
+    # Annotations are strings in this module, and the UDF's kind is read off them.
+    def detect(batches):
+        found = make_detector()
+        for s in batches:
+            yield s.map(lambda t: found(t or "")).astype(object)
+
+    detect.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(detect, "string")
+
+
+def detect_with_udf(texts: DataFrame, detector, key: str = "idx", text: str = "text") -> DataFrame:
+    """``key, language`` by a plugged-in detector (:func:`detector_udf`)."""
+    return texts.select(key, detector(F.col(text)).alias("language"))
+
+
 def language_distribution(
     records_text: DataFrame,
     model: DataFrame,
