@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.llm import ann, chat, line_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk, toxicity
-from tuneframe.llm.common import table
+from tuneframe.llm import (
+    ann,
+    chat,
+    lexical,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    sharding,
+    suffix_dedup,
+    topk,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
+from tuneframe.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +109,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    codes, books = vector_codes.compress(rows, id_col="vec_id", vec_col="embedding", carry=["label"])
+    path = scratch(spark, "vector-codes")
+    codes.write.parquet(path)
+    out = vector_codes.with_group_error(spark.read.parquet(path), "carry_0", "label_error")
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                      F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+URL_RULES = """VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS r(host, path, verdict)"""
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -106,11 +143,58 @@ QUERIES: dict[str, Query] = {
     "op8_topk_search": op8_topk_search,
     "op9_ann_search": op9_ann_search,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_url_filter": op13_url_filter,
 }
 
 _STRIP = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+def _code_rounds() -> str:
+    """Four rounds of assigning and averaging, then the last assignment, each as two materialised tables."""
+    near = """a{k} AS MATERIALIZED (SELECT v.r, v.part, v.x, min({{'d': v.sq - 2 * list_dot_product(v.x, b.x) + b.sq, 'e': b.entry}}) AS m
+  FROM v JOIN b{k} b ON v.part = b.part GROUP BY v.r, v.part, v.x)"""
+    move = """b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.x, b.x) AS x, list_dot_product(coalesce(s.x, b.x), coalesce(s.x, b.x)) AS sq
+  FROM b{k} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS x FROM (SELECT part, m.e AS entry, i, floor(sum(x[i]) / count(*)) AS c
+    FROM a{k}, (SELECT unnest(range(1, 17)) AS i) GROUP BY part, m.e, i) GROUP BY part, entry) s ON s.part = b.part AND s.entry = b.entry)"""
+    return ",\n".join(x for k in range(5) for x in (near.format(k=k), move.format(k=k, n=k + 1))[: 2 if k < 4 else 1])
+
+
 ORACLE_SQL: dict[str, str] = {
+    # For vectors of 64 components, as the table's are.
+    "op11_vector_codes": f"""
+WITH good AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, part, x, list_dot_product(x, x) AS sq FROM (SELECT r, part, e[16 * part + 1 : 16 * part + 16] AS x
+  FROM good, (SELECT unnest(range(4)) AS part))),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x, sq FROM v WHERE r <= 256),
+{_code_rounds()},
+digest AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, i, x[i] AS c FROM b4, (SELECT unnest(range(1, 17)) AS i))),
+coded AS (SELECT r, lower(string_agg(printf('%02x', m.e), '' ORDER BY part)) AS code, sum(m.d)::BIGINT AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM good JOIN coded USING (r), digest""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+dt AS (SELECT r, doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS tf FROM d GROUP BY ALL),
+dn AS (SELECT r, sum(tf)::HUGEINT AS n FROM dt GROUP BY r),
+g AS (SELECT count(*)::HUGEINT AS big_n, sum(n)::HUGEINT AS big_l FROM dn),
+w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM dt, g GROUP BY t, big_n),
+q AS (SELECT item_id, text, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT item_id, text, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS qf FROM q GROUP BY ALL),
+m AS (SELECT r, 75 + (25 * n * big_n) // big_l AS m FROM dn, g),
+s AS (SELECT item_id, text, r, doc_id, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM qt JOIN dt USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20""",
+    "op13_url_filter": r"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN best USING (r)""",
     "op1_line_dedup": f"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT r, doc_id, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM rows),
