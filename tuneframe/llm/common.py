@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def slices(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def give_back() -> None:
+    """Return what a finished task no longer uses: a worker lives on, and several share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that when every character is ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

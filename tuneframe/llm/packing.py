@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.llm.common import cut
+from tuneframe.llm.common import cut, give_back, slices
 
-CACHE_WORDS = 300_000
-CACHE_PIECES = 300_000
+#: Bytes of words and pieces whose ids a worker keeps.
+CACHE_BYTES = 32 << 20
 
 
 class CapacityTree:
@@ -103,6 +103,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
@@ -111,22 +112,30 @@ class WordEncoder(dict):
         self.safe = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
         self.letter = _byte_letters()
 
+    def keep(self, key: str, ids: bytes) -> None:
+        """Make room for an entry: a key, its ids and about 200 bytes around them."""
+        size = 200 + 4 * len(key) + len(ids)
+        self.held += size
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.pieces.clear()
+            self.held = size
+
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
             letters = piece if piece.isascii() else "".join(self.letter[b] for b in piece.encode())
-            got = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+            self.keep(piece, got)
+            self.pieces[piece] = got
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
         if self.safe(word) and "<|" not in word:
             got = b"".join(map(self.piece, self.cut(word.lower())))
         else:
             got = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.keep(word, got)
         self[word] = got
         return got
 
@@ -155,7 +164,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(5 + ids)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoder.encode(text.as_py() or "") + end
@@ -168,6 +177,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4
             types = [pa.int64()] * 5 + [pa.binary()] * ids
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

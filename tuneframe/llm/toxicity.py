@@ -28,10 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from tuneframe.llm.common import give_back, slices
+
 TOKEN = re.compile(r"[^\W\d_]+")
+
+
+def tokens(text: str | None) -> list[str]:
+    """The words of the text as it is, lower-cased: where lower-casing changes the length, word by word."""
+    text = text or ""
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in TOKEN.findall(text)]
+
+
 PREFIXES = range(3, 8)
 STRIP = 64
-CACHE_WORDS = 200_000
+#: Bytes of words whose scores a task keeps.
+CACHE_BYTES = 16 << 20
 
 
 def features(word: str) -> list[str]:
@@ -169,7 +181,7 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
     model.document = np.array([math.log(rate / (1 - rate)), 0, 0, 0, 0])
     if not pos or not neg:
         return model
-    docs = [TOKEN.findall((t or "").lower()) for t, _, _ in rows]
+    docs = [tokens(t) for t, _, _ in rows]
     toxic = np.array([y for _, y, _ in rows], dtype=bool)
     weight = np.array([w for _, _, w in rows])
 
@@ -295,7 +307,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 800, sample_
 
 
 def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text", spans: bool = True,
-        carry: list[str] | None = None, batch_tokens: int = 400_000) -> DataFrame:
+        carry: list[str] | None = None, batch_tokens: int = 50_000) -> DataFrame:
     """Score every whole text: ``id, score`` and, with ``spans``, the offending ``(start, end)`` code points.
 
     Null and empty texts have no tokens and get the score of an empty
@@ -312,15 +324,20 @@ def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
                          *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
 
     class Scores(dict):
+        held = 0
+
         def __missing__(self, word):
-            if len(self) > CACHE_WORDS:
+            # A short word takes about as much again as the cache's entry for it.
+            self.held += 200 + 4 * len(word)
+            if self.held > CACHE_BYTES:
                 self.clear()
+                self.held = 200 + 4 * len(word)
             s = self[word] = model.token(word)
             return s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores()
-        for batch in batches:
+        for batch in slices(batches):
             scores, found = [], []
             todo: list[tuple[str, list[str]]] = []
             waiting = 0
@@ -344,7 +361,7 @@ def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
 
             for text in batch.column(1):
                 t = text.as_py() or ""
-                words = TOKEN.findall(t.lower())
+                words = tokens(t)
                 todo.append((t if spans else "", words))
                 waiting += len(words)
                 if waiting >= batch_tokens:
@@ -359,30 +376,24 @@ def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
                 cols.append(batch.column(2 + i))
                 names.append(f"carry_{i}")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     return picked.mapInArrow(run, StructType(fields))
 
 
 def offsets(text: str, p: np.ndarray) -> list[dict[str, int]]:
-    """Spans of neighbouring tokens that are more likely toxic than not.
-
-    Lower-casing may change a text's length; tokens then are found again in the text as it is.
-    """
+    """Spans of neighbouring tokens that are more likely toxic than not, as places in the text as it is."""
     hot = np.flatnonzero(p > 0.5)
     if not len(hot):
         return []
-    low = text.lower()
-    source = low if len(low) == len(text) else text
-    tokens = list(TOKEN.finditer(source))
+    places = [m.span() for m in TOKEN.finditer(text)]
     out: list[dict[str, int]] = []
     before = -2
     for k in hot.tolist():
-        if k >= len(tokens):
-            break
-        m = tokens[k]
+        start, end = places[k]
         if k == before + 1:
-            out[-1]["end"] = m.end()
+            out[-1]["end"] = end
         else:
-            out.append({"start": m.start(), "end": m.end()})
+            out.append({"start": start, "end": end})
         before = k
     return out
