@@ -1,111 +1,148 @@
-"""U2 + T9: language detection as Spark aggregation, and the language report.
+"""U2 + T9: language detection in place, and the language report.
 
-The built-in detector is a character-trigram naive Bayes model:
+The built-in detector is a character-trigram naive Bayes model over hashed
+cells, so its size is fixed: ``CELLS`` rows and a column per language.
 
-* fit: explode the trigrams of every labelled text, ``groupBy(trigram,
-  lang)`` (partial aggregation absorbs hot trigrams) -> a sparse model of
-  seen pairs; add-one smoothing is folded into a per-language table;
-* apply: explode the trigrams of the texts to label, equi-join the sparse
-  model on the trigram (broadcast only when its estimated size is small),
-  sum per (text, language), then pick the best language per text.
+* fit: a bounded, documented sample of the labelled texts
+  (``fit_rows`` per language, by the MD5 of the key) is counted where it
+  lies; tasks send one number per cell and language;
+* apply: every text is scored where it lies against the table, which travels
+  once with the function. No row is made per trigram and nothing shuffles.
 
+Weights are integers (1000 times the logarithm, rounded down), so scores are
+sums of integers: equal on every engine, whatever the order of the terms.
 Whole texts are used; nothing is truncated. Another detector is plugged in
 through :func:`detector_udf` and :func:`detect_with_udf`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tuneframe.functions.joins import join_small, attach_row
+from tuneframe.functions.joins import attach_row, join_small
 from tuneframe.functions.text import py_strip
-
-NGRAM = 3
+from tuneframe.operators.ordered import top_k_per_group
+
+CELLS = 1 << 18
+#: Code points of a trigram are weighed by these and added up modulo ``CELLS``.
+CELL_FACTORS = (92_821, 486_187, 1)
+#: Labelled texts per language that the model is fitted on.
+FIT_ROWS = 100
+MAX_LANGUAGES = 64
+SCALE = 1000
+# Texts are taken in pieces of this many code points: memory stays bounded for very long ones.
+PIECE = 1 << 16
 # Fixed value: texts shorter than this (after strip) are not labelled.
 MIN_CHARS = 8
 
 
-def trigrams(text: Column) -> Column:
-    """Overlapping character trigrams of the lower-cased, space-padded text.
+def normal_text(text: Column) -> Column:
+    """Lower-cased, white space collapsed, padded by a space on both sides."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[\x09-\x0D\x20]+", " "), F.lit(" "))
 
-    One linear regex pass: a zero-width look-ahead captures the three
-    characters starting at every position (``substring`` per position would
-    rescan the UTF-8 string from its start each time).
-    """
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\s+", " "), F.lit(" "))
-    return F.regexp_extract_all(t, F.lit(r"(?s)(?=(.{%d}))" % NGRAM), 1)
 
+def cells(text: str) -> Iterator[np.ndarray]:
+    """The cells of a text's overlapping trigrams, piece by piece."""
+    a, b, c = CELL_FACTORS
+    for at in range(0, max(1, len(text) - 2), PIECE):
+        piece = text[at : at + PIECE + 2]
+        code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        if len(code) > 2:
+            yield (code[:-2] * a + code[1:-1] * b + code[2:] * c) % CELLS
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """``weights[cell, language]`` (zero where no language has the cell) and a prior per language."""
+
+    languages: tuple[str, ...]
+    weights: np.ndarray
+    prior: np.ndarray
+
+    def score(self, text: str | None) -> tuple[str | None, int | None]:
+        """The likeliest language and its score; the first by name on ties, none without a known trigram."""
+        total, known = self.prior.copy(), False
+        for at in cells(text or ""):
+            rows = self.weights[at]
+            known = known or bool(rows.any())
+            total += rows.sum(axis=0, dtype=np.int64)
+        if not known:
+            return None, None
+        best = int(total.argmax())
+        return self.languages[best], int(total[best])
+
+    def column(self, text: Column) -> Column:
+        """``struct(language, score)`` of a text column."""
+        model = self
 
-def fit_langid(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Sparse model ``(trigram, lang, c, log_count)`` with ``log_count = log(c + 1)``.
+        def detect(batches):
+            for s in batches:
+                yield pd.DataFrame([model.score(t) for t in s], columns=["language", "score"]).astype({"score": "Int64"})
 
-    Add-one smoothing is ``log((c + 1) / (n_lang + V)) = log_count +
-    log_unseen(lang)``, so only seen (trigram, language) pairs are stored;
-    :func:`language_table` holds the per-language terms.
+        detect.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return pandas_udf(detect, "language string, score long")(normal_text(text))
+
+
+def fit_langid(labelled: DataFrame, key: str = "idx", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
+    """Fit on at most ``fit_rows`` texts of each language, those with the smallest MD5 of ``key``.
+
+    A cell weighs ``floor(1000 * (ln(c + 1) - ln(n + v)))`` for a language
+    that has ``c`` trigrams there and ``n`` in all, with ``v`` the cells that
+    any language has; the prior is ``floor(1000 * ln(share of the texts))``.
+    Null labels and texts take no part.
     """
     lab = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    grams = lab.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("trigram"))
-    counts = grams.groupBy("trigram", "lang").agg(F.count(F.lit(1)).alias("c"))
-    return counts.select("trigram", "lang", "c", F.log(F.col("c") + 1.0).alias("log_count"))
-
-
-def language_table(labelled: DataFrame, model: DataFrame, lang: str = "lang") -> DataFrame:
-    """One row per language: ``log_unseen = -log(n_lang + V)`` and the log prior."""
-    lab = labelled.filter(F.col(lang).isNotNull())
-    per_lang = model.groupBy("lang").agg(F.sum("c").alias("n_lang"))
-    vocab = model.agg(F.countDistinct("trigram").alias("v"))
-    docs = lab.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("d"))
-    total = docs.agg(F.sum("d").alias("dn"))
-    return (
-        attach_row(attach_row(per_lang.join(docs, "lang"), vocab), total)
-        .select(
-            "lang",
-            (-F.log(F.col("n_lang") + F.col("v"))).alias("log_unseen"),
-            F.log(F.col("d") / F.col("dn")).alias("log_prior"),
-        )
-    )
-
-
-def detect_languages(texts: DataFrame, model: DataFrame, languages: DataFrame, key: str = "idx", text: str = "text") -> DataFrame:
-    """``(key, language, score)``; trigrams unseen in every language are ignored.
-
-    score(L) = known * log_unseen(L) + sum over matched trigrams of
-    k * log_count(t, L) + log_prior(L), where ``known`` counts the text's
-    trigrams seen in any language. One sparse join on the trigram, one
-    aggregate per text; the language list (one row per language) is attached
-    as a single array.
-    """
-    grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("trigram"))
-    per_gram = grams.groupBy(key, "trigram").agg(F.count(F.lit(1)).alias("k"))
-    matched = join_small(per_gram, model, on="trigram")
-    known = join_small(per_gram, model.select("trigram").distinct(), on="trigram", how="left_semi")
-    per_text = (
-        matched.groupBy(key, "lang")
-        .agg(F.sum(F.col("k") * F.col("log_count")).alias("s"))
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("_m"))
-        .join(known.groupBy(key).agg(F.sum("k").alias("_known")), key)
-    )
-    langs = languages.agg(F.collect_list(F.struct("lang", "log_unseen", "log_prior")).alias("_langs"))
-    j = attach_row(per_text, langs)
-    scores = F.transform(
-        "_langs",
-        lambda L: F.struct(
-            (
-                F.col("_known") * L["log_unseen"]
-                + F.coalesce(F.element_at(F.col("_m"), L["lang"]), F.lit(0.0))
-                + L["log_prior"]
-            ).alias("score"),
-            L["lang"].alias("lang"),
-        ),
-    )
-    best = F.array_max(scores)
-    return j.select(key, best["lang"].alias("language"), best["score"].alias("score"))
+    lab = lab.select(F.col(lang).alias("lang"), F.md5(F.col(key).cast("string").cast("binary")).alias("_by"), normal_text(F.col(text)).alias("text"))
+    sample = top_k_per_group(lab, ["lang"], [F.col("_by"), F.col("text")], int(fit_rows)).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        docs: dict[str, int] = {}
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                have = found.setdefault(name, np.zeros(CELLS, dtype=np.int64))
+                docs[name] = docs.get(name, 0) + 1
+                for at in cells(t.as_py()):
+                    have += np.bincount(at, minlength=CELLS)
+        for name, have in found.items():
+            used = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * (len(used) + 1), pa.string()), pa.array([-1, *used], pa.int32()), pa.array([docs[name], *have[used]], pa.int64())],
+                names=["lang", "cell", "n"])
+
+    counts = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    languages = tuple(sorted(set(counts["lang"].to_pylist())))
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages: the table holds {MAX_LANGUAGES}")
+    have, docs = np.zeros((CELLS, len(languages)), dtype=np.int64), np.zeros(len(languages), dtype=np.int64)
+    column = np.array([languages.index(x) for x in counts["lang"].to_pylist()], dtype=np.int64)
+    cell, n = counts["cell"].to_numpy(), counts["n"].to_numpy()
+    have[cell[cell >= 0], column[cell >= 0]] = n[cell >= 0]
+    docs[column[cell < 0]] = n[cell < 0]
+    seen = have.any(axis=1)
+    weights = np.zeros(have.shape, dtype=np.int16)
+    log = {v: math.log(v + 1) for v in np.unique(have).tolist()}
+    for k in range(len(languages)):
+        unseen = math.log(int(have[:, k].sum()) + int(seen.sum()))
+        floor = {v: math.floor(SCALE * (x - unseen)) for v, x in log.items()}
+        weights[seen, k] = [floor[v] for v in have[seen, k].tolist()]
+    prior = np.array([math.floor(SCALE * math.log(d / docs.sum())) for d in docs.tolist()], dtype=np.int64)
+    return LanguageModel(languages, weights, prior)
+
+
+def detect_languages(texts: DataFrame, model: LanguageModel, key: str = "idx", text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``(*by, key, language, score)`` of every row; language and score are null without a known trigram."""
+    found = texts.select(*(by or []), key, model.column(F.col(text)).alias("_d"))
+    return found.select(*(by or []), key, "_d.language", "_d.score")
 
 
 def detector_udf(make_detector: Callable[[], Callable[[str], str | None]]):
@@ -131,26 +168,35 @@ def detect_with_udf(texts: DataFrame, detector, key: str = "idx", text: str = "t
 
 def language_distribution(
     records_text: DataFrame,
-    model: DataFrame,
-    languages: DataFrame,
+    model: LanguageModel,
     key: str = "idx",
     text: str = "text",
+    by: list[str] | None = None,
     sample: int | None = None,
     top: int | None = None,
 ) -> DataFrame:
     """Over all texts with at least 8 characters after strip: languages with
-    counts and the number of texts labelled. ``(language, n, sampled)``; none
-    -> no rows. ``sample`` reads the first texts in file order and ``top`` keeps
-    the most frequent languages, where that is asked for.
+    counts and the number of texts labelled. ``(*by, language, n, sampled)``;
+    none -> no rows. ``sample`` reads the first texts of each group in file
+    order and ``top`` keeps its most frequent languages, where that is asked
+    for.
     """
-    head = records_text
+    by = by or []
+    head = records_text.select(*by, key, F.col(text).alias("_t"))
     if sample is not None:
-        head = head.orderBy(key).limit(int(sample))
-    head = head.select(key, py_strip(F.col(text)).alias("_t"))
-    head = head.filter(F.char_length("_t") >= MIN_CHARS)
-    labelled = detect_languages(head.withColumnRenamed("_t", text), model, languages, key, text)
-    counts = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    sampled = labelled.agg(F.count(F.lit(1)).alias("sampled"))
+        head = top_k_per_group(head, by, [F.col(key)], int(sample)) if by else head.orderBy(key).limit(int(sample))
+    head = head.withColumn("_t", py_strip(F.col("_t"))).filter(F.char_length("_t") >= MIN_CHARS)
+    labelled = detect_languages(head, model, key, "_t", by).filter(F.col("language").isNotNull())
+    counts = labelled.groupBy(*by, "language").agg(F.count(F.lit(1)).alias("n"))
+    sampled = counts.groupBy(*by).agg(F.sum("n").alias("sampled"))
     if top is not None:
-        counts = counts.orderBy(F.col("n").desc(), F.col("language")).limit(int(top))
-    return attach_row(counts, sampled).select("language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint"))
+        order = [F.col("n").desc(), F.col("language")]
+        counts = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= int(top))
+    out = join_small(counts, sampled, on=by) if by else attach_row(counts, sampled)
+    return out.select(*by, "language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint").alias("sampled"))
+
+
+def language_map(records: DataFrame, model: LanguageModel, by: list[str] | None = None, key: str = "idx", text: str = "text") -> DataFrame:
+    """T9 as T10 shows it: ``(*by, languages map<string,long>)``, one row per group with a labelled text."""
+    d = language_distribution(records, model, key, text, by)
+    return d.groupBy(*(by or [])).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"))
