@@ -1,11 +1,11 @@
-"""Range-partitioned scans equal per-key windows, also when one key is hot."""
+"""Bucketed scans equal per-key windows, also when one key is hot."""
 
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tuneframe.operators.ordered import asof_join, range_scan, top_k_per_group
+from tuneframe.operators.ordered import asof_join, carry_scan, lag_scan, top_k_per_group
 
 
 def make(spark, n=3000, seed=7):
@@ -19,19 +19,38 @@ def make(spark, n=3000, seed=7):
 
 
 def test_lag_equals_window_on_hot_key(spark):
-    df = make(spark)
-    got = {(r.k, r.t): r.x_prev for r in range_scan(df, ["k"], ["t"], ["x"], "lag", partitions=16).collect()}
+    df = make(spark).unionByName(spark.createDataFrame([(None, 5, 0.5), (None, 900, 0.7), (3, None, 0.1)], "k long, t long, x double"))
     w = Window.partitionBy("k").orderBy("t")
     exp = {(r.k, r.t): r.p for r in df.select("k", "t", F.lag("x").over(w).alias("p")).collect()}
-    assert got == exp
+    for width in (1, 100, 10_000):
+        got = lag_scan(df, ["k"], ["t"], ["x"], width)
+        assert got.columns == ["k", "t", "x", "x_prev"]
+        assert {(r.k, r.t): r.x_prev for r in got.collect()} == exp
 
 
-def test_ffill_equals_last_ignore_nulls(spark):
-    df = make(spark, seed=3)
-    got = {(r.k, r.t): r.x_last for r in range_scan(df, ["k"], ["t"], ["x"], "ffill", partitions=16).collect()}
-    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    exp = {(r.k, r.t): r.p for r in df.select("k", "t", F.last("x", True).over(w).alias("p")).collect()}
-    assert got == exp
+def test_carry_equals_windows(spark):
+    df = make(spark, seed=3).unionByName(spark.createDataFrame([(None, 5, 0.5), (None, 900, None)], "k long, t long, x double"))
+    w = Window.partitionBy("k").orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    exp = {(r.k, r.t): (r.f, r.p, r.n) for r in df.select(
+        "k", "t", F.last("x", True).over(upto).alias("f"), F.lag("x").over(w).alias("p"), F.row_number().over(w).alias("n")).collect()}
+    for width in (1, 70, 10_000):
+        got = carry_scan(df, ["k"], ["t"], width, fill=["x"], last=["x"], position="n")
+        assert {(r.k, r.t): (r.x_last, r.x_prev, r.n) for r in got.collect()} == exp
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+def test_rows_move_once(spark):
+    """The rows of a lag scan pass one shuffle, read twice; nothing is checkpointed."""
+    df = spark.range(2000).selectExpr("id % 3 AS k", "id AS t", "id * 0.5 AS x")
+    plan = exchanges(lag_scan(df, ["k"], ["t"], ["x"], 50))
+    assert "RDDScan" not in plan and "Join" not in plan and "rangepartitioning" not in plan
+    assert "ReusedExchange" in plan or "ReusedQueryStage" in plan or plan.count("ShuffleQueryStage") >= 2
 
 
 def test_asof_join_matches_brute_force(spark):
@@ -40,7 +59,7 @@ def test_asof_join_matches_brute_force(spark):
     right = [(rnd.randint(0, 3), rnd.randint(0, 200), rnd.random()) for _ in range(200)]
     L = spark.createDataFrame(left, "k long, s long").dropDuplicates()
     R = spark.createDataFrame(right, "k long, s long, v double").dropDuplicates(["k", "s"])
-    got = {(r.k, r.s): r.v for r in asof_join(L, R, ["k"], "s", ["v"], partitions=12).collect()}
+    got = {(r.k, r.s): r.v for r in asof_join(L, R, ["k"], "s", ["v"], 17).collect()}
     rr = {(k, s): v for k, s, v in R.collect()}
     for (k, s), v in got.items():
         cands = [(s2, v2) for (k2, s2), v2 in rr.items() if k2 == k and s2 <= s]

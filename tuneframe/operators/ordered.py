@@ -1,113 +1,104 @@
 """Ordered scans within a key that stay distributed when one key is hot.
 
 ``Window.partitionBy(key).orderBy(t)`` puts every row of a key into one task.
-Here rows are range-partitioned on ``(key, t)`` instead, so a key holding a
-third of the data is split over many partitions; the scan runs inside each
-partition and the only cross-partition state is one row per partition (its
-first key, last key and last values), small enough to broadcast back.
-
-Two scans are offered:
-
-* ``lag``:   the previous row's values within the key (nulls kept);
-* ``ffill``: the last non-null value at or before each row within the key
-  (``last(x, ignoreNulls)``), the building block of an as-of join.
-
-The sorted frame is checkpointed so both passes over it see the same
-partition contents even after executor loss.
+Here the order is cut into buckets of a given width, and rows are dealt by
+``(key, bucket)``: a key that holds a third of the data is spread over as
+many tasks as it has buckets. What a bucket needs of earlier ones is one
+edge per bucket and key, so the rows themselves move once and nothing is
+sorted, sampled or checkpointed beforehand.
+
+* :func:`lag_scan`: the previous row's values within the key (nulls kept);
+* :func:`carry_scan`: the last non-null value at or before each row
+  (``last(x, ignoreNulls)``), the position, or both;
+* :func:`asof_join`: the latest right row at or before each left row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.session import materialize, parallelism
 
+def bucket_of(order: str, width: float) -> Column:
+    """The bucket of a numeric order column."""
+    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+
+
+def lag_scan(df: DataFrame, key: list[str], order: list[str], cols: list[str], width: float, suffix: str = "_prev") -> DataFrame:
+    """Add ``<col><suffix>``: the value of the row before within the key, as ``lag`` gives it.
 
-def _sorted(df: DataFrame, key: list[str], order: list[str], partitions: int | None) -> DataFrame:
-    n = partitions or parallelism(df.sparkSession)
-    s = df.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order)
-    return materialize(s.withColumn("_p", F.spark_partition_id()))
+    ``order[0]`` is numeric and is cut into buckets of ``width``. Inside a
+    bucket a window suffices. The first row of a bucket follows the last row
+    of the key's bucket before: the first and last rows of all buckets, two
+    per bucket at most, are put in order among themselves. Both parts read
+    the same shuffle.
+    """
+    b = df.withColumn("_b", bucket_of(order[0], width))
+    w = Window.partitionBy(*key, "_b").orderBy(*order)
+    inside = b.select("*", F.row_number().over(w).alias("_rn"), F.lead(F.lit(1)).over(w).isNull().alias("_end"),
+                      *[F.lag(c).over(w).alias(f"{c}{suffix}") for c in cols])
+    over = Window.partitionBy(*key).orderBy("_b", "_rn")
+    edge = inside.filter((F.col("_rn") == 1) | F.col("_end"))
+    for c in cols:
+        edge = edge.withColumn(f"{c}{suffix}", F.lag(c).over(over))
+    out = inside.filter("_rn > 1").unionByName(edge.filter("_rn = 1"))
+    return out.drop("_b", "_rn", "_end")
 
 
-def range_scan(
+def carry_scan(
     df: DataFrame,
     key: list[str],
     order: list[str],
-    cols: list[str],
-    mode: str = "lag",
-    suffix: str | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Add ``<col><suffix>`` for each of ``cols`` (default suffix ``_prev`` / ``_last``)."""
-    if mode not in ("lag", "ffill"):
-        raise ValueError("mode must be 'lag' or 'ffill'")
-    suffix = "_prev" if suffix is None and mode == "lag" else ("_last" if suffix is None else suffix)
-    s = _sorted(df, key, order, partitions)
-    kst = F.struct(*[F.col(k) for k in key])
-    ost = F.struct(*[F.col(k) for k in key], *[F.col(o) for o in order])
-
-    # 1. Scan inside each partition: a (partition, key) group is bounded by
-    #    the partition, whatever the key's total size.
-    w = Window.partitionBy("_p", *key).orderBy(*order)
-    for c in cols:
-        if mode == "lag":
-            s = s.withColumn(f"_in_{c}", F.lag(c).over(w))
-        else:
-            upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            s = s.withColumn(f"_in_{c}", F.last(c, ignorenulls=True).over(upto))
-    s = s.withColumn("_first", F.row_number().over(w) == 1)
-
-    # 2. One row per partition: first key, last key, values handed on.
-    ends = s.groupBy("_p").agg(F.min_by(kst, ost).alias("_fk"), F.max_by(kst, ost).alias("_lk"))
-    if mode == "lag":
-        last_vals = s.groupBy("_p").agg(*[F.max_by(F.col(c), ost).alias(f"_out_{c}") for c in cols])
-        edges = ends.join(last_vals, "_p")
-    else:
-        # Last non-null value among the rows of the partition's last key
-        # (``max_by`` skips rows whose ordering is null).
-        tail = (
-            s.join(F.broadcast(ends.select("_p", "_lk")), "_p")
-            .filter(kst == F.col("_lk"))
-            .groupBy("_p")
-            .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ost)).alias(f"_own_{c}") for c in cols])
-        )
-        edges = ends.join(tail, "_p", "left")
-        # Partitions ending on key k are contiguous and hold every earlier
-        # row of k, so a running last-non-null over them is what k hands on.
-        run = Window.partitionBy("_lk").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for c in cols:
-            edges = edges.withColumn(f"_out_{c}", F.last(f"_own_{c}", ignorenulls=True).over(run))
-
-    # 3. What flows into partition p: the previous non-empty partition's
-    #    values, when that partition ended on p's first key.
-    prev = Window.orderBy("_p")
-    carry = edges.select(
-        "_p",
-        "_fk",
-        (F.lag("_lk").over(prev) == F.col("_fk")).alias("_cont"),
-        *[F.lag(f"_out_{c}").over(prev).alias(f"_carry_{c}") for c in cols],
-    )
-    out = s.join(F.broadcast(carry), "_p", "left")
-    same_key = F.coalesce(F.col("_cont"), F.lit(False)) & (kst == F.col("_fk"))
-    for c in cols:
-        if mode == "lag":
-            val = F.when(F.col("_first") & same_key, F.col(f"_carry_{c}")).otherwise(F.col(f"_in_{c}"))
-        else:
-            val = F.coalesce(F.col(f"_in_{c}"), F.when(same_key, F.col(f"_carry_{c}")))
-        out = out.withColumn(f"{c}{suffix}", val)
-    drop = ["_p", "_first", "_fk", "_cont"] + [f"_in_{c}" for c in cols] + [f"_carry_{c}" for c in cols]
-    return out.drop(*drop)
-
-
-def asof_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: list[str],
-    order: str,
-    cols: list[str],
-    partitions: int | None = None,
+    width: float,
+    fill: list[str] | None = None,
+    last: list[str] | None = None,
+    position: str | None = None,
+    suffix: str = "_last",
+    sums: dict[str, str] | None = None,
+    tops: dict[str, str] | None = None,
 ) -> DataFrame:
+    """Add ``<col><suffix>`` for ``fill`` (last non-null value at or before the row),
+    ``<col>_prev`` for ``last`` (the row before's value, nulls kept), ``position`` (from 1),
+    and for ``sums`` and ``tops`` (new name -> column) the sum and the maximum up to the row.
+
+    What enters a bucket comes from one row per bucket and key, joined back
+    on ``(key, bucket)``, by which the rows lie dealt already.
+    """
+    fill, last, sums, tops = fill or [], last or [], sums or {}, tops or {}
+    b = df.withColumn("_b", bucket_of(order[0], width))
+    w = Window.partitionBy(*key, "_b").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = b.select("*", F.row_number().over(w).alias("_rn"),
+                    *[F.last(c, ignorenulls=True).over(upto).alias(f"_f_{c}") for c in fill],
+                    *[F.lag(c).over(w).alias(f"_l_{c}") for c in last],
+                    *[F.sum(c).over(upto).alias(f"_s_{n}") for n, c in sums.items()],
+                    *[F.max(c).over(upto).alias(f"_t_{n}") for n, c in tops.items()])
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    ends = [F.count(F.lit(1)).alias("_n")]
+    ends += [F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"_f_{c}") for c in fill]
+    ends += [F.max_by(F.struct(c), at).alias(f"_l_{c}") for c in last]
+    ends += [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_t_{n}") for n, c in tops.items()]
+    edges = b.groupBy(*key, "_b").agg(*ends)
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    into = edges.select(*key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                        *[F.last(f"_f_{c}", ignorenulls=True).over(before)[c].alias(f"_cf_{c}") for c in fill],
+                        *[F.last(f"_l_{c}").over(before)[c].alias(f"_cl_{c}") for c in last],
+                        *[F.sum(f"_s_{n}").over(before).alias(f"_cs_{n}") for n in sums],
+                        *[F.max(f"_t_{n}").over(before).alias(f"_ct_{n}") for n in tops])
+    match = F.col("h._b").eqNullSafe(F.col("i._b"))
+    for k in key:
+        match = match & F.col(f"h.{k}").eqNullSafe(F.col(f"i.{k}"))
+    out = here.alias("h").join(into.alias("i"), match)
+    made = [F.coalesce(F.col(f"_f_{c}"), F.col(f"_cf_{c}")).alias(f"{c}{suffix}") for c in fill]
+    made += [F.when(F.col("_rn") > 1, F.col(f"_l_{c}")).otherwise(F.col(f"_cl_{c}")).alias(f"{c}_prev") for c in last]
+    made += [(F.coalesce(f"_s_{n}", F.lit(0)) + F.coalesce(f"_cs_{n}", F.lit(0))).alias(n) for n in sums]
+    made += [F.greatest(f"_t_{n}", f"_ct_{n}").alias(n) for n in tops]
+    if position:
+        made.append((F.col("_before") + F.col("_rn")).cast("bigint").alias(position))
+    return out.select(*[F.col(f"h.{c}") for c in df.columns], *made)
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: list[str], order: str, cols: list[str], width: float) -> DataFrame:
     """Each left row gets the right row's ``cols`` with the largest ``order``
     ``<=`` its own (per key): union both sides, forward-fill the right
     values over the ordered scan, keep the left rows. Right rows sort before
@@ -123,9 +114,9 @@ def asof_join(
         if c not in r2.columns:
             r2 = r2.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
     u = l2.unionByName(r2.select(*l2.columns))
-    scanned = range_scan(u, key, [order, "_side"], [f"_r_{c}" for c in cols], mode="ffill", suffix="", partitions=partitions)
+    scanned = carry_scan(u, key, [order, "_side"], width, fill=[f"_r_{c}" for c in cols], suffix="_now")
     out = scanned.filter(F.col("_side") == 1)
-    return out.select(*lcols, *[F.col(f"_r_{c}").alias(c) for c in cols])
+    return out.select(*lcols, *[F.col(f"_r_{c}_now").alias(c) for c in cols])
 
 
 # Shares that a group is dealt into before its first rows are taken.
@@ -149,35 +140,3 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int) -> Dat
         df = df.filter(F.col("_r") <= k).drop("_r", "_share")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-
-
-def range_position(df: DataFrame, key: list[str], order: list[str], out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """1-based position of each row within its key under ``order``.
-
-    Same range-partitioned layout as :func:`range_scan`: a row number inside
-    each (partition, key) plus the number of rows the key had in earlier
-    partitions (a running sum over the one-row-per-partition edge table).
-    """
-    s = _sorted(df, key, order, partitions)
-    kst = F.struct(*[F.col(k) for k in key])
-    ost = F.struct(*[F.col(k) for k in key], *[F.col(o) for o in order])
-    w = Window.partitionBy("_p", *key).orderBy(*order)
-    s = s.withColumn("_rn", F.row_number().over(w))
-    ends = s.groupBy("_p").agg(F.min_by(kst, ost).alias("_fk"), F.max_by(kst, ost).alias("_lk"))
-    tail = (
-        s.join(F.broadcast(ends.select("_p", "_lk")), "_p")
-        .filter(kst == F.col("_lk"))
-        .groupBy("_p")
-        .agg(F.count(F.lit(1)).alias("_own"))
-    )
-    edges = ends.join(tail, "_p")
-    run = Window.partitionBy("_lk").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = edges.withColumn("_out", F.sum("_own").over(run))
-    prev = Window.orderBy("_p")
-    carry = edges.select(
-        "_p", "_fk", (F.lag("_lk").over(prev) == F.col("_fk")).alias("_cont"), F.lag("_out").over(prev).alias("_carry")
-    )
-    j = s.join(F.broadcast(carry), "_p", "left")
-    same_key = F.coalesce(F.col("_cont"), F.lit(False)) & (kst == F.col("_fk"))
-    j = j.withColumn(out, (F.col("_rn") + F.when(same_key, F.col("_carry")).otherwise(F.lit(0))).cast("bigint"))
-    return j.drop("_p", "_rn", "_fk", "_cont", "_carry")

@@ -4,9 +4,9 @@
 conversation). This path keeps turns as rows, so even a conversation with
 a third of all turns is processed by many tasks:
 
-* position of each turn: :func:`ordered.range_position` (range-partitioned);
-* previous turn: an equi-join on ``(conv, pos - 1)`` -- the key includes the
-  position, so a hot conversation spreads over all partitions;
+* position and previous role of each turn: :func:`ordered.carry_scan`, which
+  deals a conversation's turns by blocks of turn numbers, so the texts move
+  once and a hot conversation spreads over many tasks;
 * per-conversation flags: ``bool_or`` aggregates (partial, map-side);
 * content hash: an order-aware multiset hash, two exact DECIMAL sums of
   64-bit hashes of ``(position, role, stripped text)``; equal ordered turn
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuneframe.functions.text import CONTROL_CHAR_PATTERN, py_strip
-from tuneframe.operators.ordered import range_position
+from tuneframe.operators.ordered import carry_scan
 from tuneframe.operators.validate import mark_duplicates
 
 HASH_SEEDS = (17, 31)
+# Turn numbers that one window task takes of a conversation.
+TURN_BLOCK = 4096
 
 
 def flag_turns(
@@ -33,7 +35,7 @@ def flag_turns(
     order: str = "turn",
     role: str = "role",
     text: str = "text",
-    partitions: int | None = None,
+    block: int = TURN_BLOCK,
 ) -> DataFrame:
     """Per-conversation flags ``(idx, <categories>, content_hash)``."""
     t = turns.select(
@@ -42,15 +44,13 @@ def flag_turns(
         F.coalesce(F.col(role), F.lit("user")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    t = range_position(t, ["idx"], ["_o"], partitions=partitions)
-    prev = t.select("idx", (F.col("pos") + 1).alias("pos"), F.col("role").alias("prev_role"))
-    t = t.join(prev, ["idx", "pos"], "left")
+    t = carry_scan(t, ["idx"], ["_o"], block, last=["role"], position="pos")
     stripped = py_strip(F.col("text"))
     part = [F.col("pos"), F.col("role"), stripped]
     hashes = [F.sum(F.xxhash64(F.lit(seed), *part).cast("decimal(38,0)")).alias(f"_h{i}") for i, seed in enumerate(HASH_SEEDS)]
     g = t.groupBy("idx").agg(
         F.bool_or((F.col("pos") == 1) & ~F.col("role").isin("system", "user")).alias("_first_bad"),
-        F.bool_or((F.col("prev_role") == F.col("role")) & (F.col("role") != "system")).alias("_adjacent"),
+        F.bool_or((F.col("role_prev") == F.col("role")) & (F.col("role") != "system")).alias("_adjacent"),
         F.bool_or(F.col("role") == "assistant").alias("_has_assistant"),
         F.bool_or((F.col("role") == "assistant") & (stripped == "")).alias("_blank"),
         F.bool_or(F.instr(F.col("text"), "�") > 0).alias("broken_utf8"),
