@@ -74,19 +74,14 @@ def test_detector_plugin_is_batched(spark):
     assert {r["idx"]: r["language"] for r in out.collect()} == {1: "en", 2: "de", 3: None, 4: None}
 
 
-def test_registry_append_and_repair_job(spark, tmp_dir):
-    m = N.fold_turns(X.dirty_conversations(spark, SF001))
-    rows, summary = R.repair_job(m)
-    s = summary.collect()[0]
-    assert rows.count() == s.output_count > 0
-    S.write_jsonl(rows.select("messages"), f"{tmp_dir}/repaired")
-    entry = spark.createDataFrame(
-        [("fixed", f"{tmp_dir}/in", f"{tmp_dir}/repaired", "chatml", s.output_count, "{}", "{}", "1")], S.REGISTRY_SCHEMA
-    )
-    S.register_dataset(f"{tmp_dir}/registry", entry)
-    S.register_dataset(f"{tmp_dir}/registry", entry)
-    assert spark.read.parquet(f"{tmp_dir}/registry").count() == 2
-    assert S.read_jsonl(spark, f"{tmp_dir}/repaired").count() == s.output_count
+def test_registry_keeps_one_row_per_job(spark, tmp_dir):
+    def entry(n):
+        return spark.createDataFrame([("fixed", f"{tmp_dir}/in", f"{tmp_dir}/out", "chatml", 1.0, n, "{}", "{}", None, "1")], S.REGISTRY_SCHEMA)
+
+    S.register_dataset(f"{tmp_dir}/registry", "a", entry(1))
+    S.register_dataset(f"{tmp_dir}/registry", "a", entry(2))
+    S.register_dataset(f"{tmp_dir}/registry", "b", entry(3))
+    assert sorted((r.job_id, r.row_count) for r in S.read_registry(spark, f"{tmp_dir}/registry").collect()) == [("a", 2), ("b", 3)]
 
 
 def test_router_writes_each_kind(spark, tmp_dir):

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.functions.text import has_inst_tags_sql
-from tuneframe.operators.normalize import FORMATS, has
+from tuneframe.operators.normalize import FORMATS, has, is_object
 from tuneframe.functions.joins import attach_row, join_small
 
 
 def _obj_with(item: str, keys: list[str]) -> str:
     ks = " OR ".join(has(item, k) for k in keys)
-    return f"(schema_of_variant({item}) LIKE 'OBJECT%' AND ({ks}))"
+    return f"({is_object(item)} AND ({ks}))"
 
 
 def classify_sql(v: str = "v", raw: str = "raw") -> str:

@@ -69,8 +69,14 @@ def get_truthy(obj: str, key: str) -> str:
     )
 
 
-def _is_object(e: str) -> str:
-    return f"(schema_of_variant({e}) LIKE 'OBJECT%')"
+def is_object(e: str) -> str:
+    """Whether a VARIANT is an object, by its type alone: no member is read."""
+    return f"(try_variant_get({e}, '$', 'struct<>') IS NOT NULL)"
+
+
+def is_empty_object(e: str) -> str:
+    """Whether a VARIANT is ``{{}}``; only the members' names are read."""
+    return f"(coalesce(size(try_variant_get({e}, '$', 'map<string,variant>')), -1) = 0)"
 
 
 def _truthy_scalar_non_list(e: str) -> str:
@@ -108,7 +114,7 @@ def sharegpt_sql(v: str = "v") -> str:
         f"WHEN {has('c', 'content')} THEN coalesce({get_str('c', 'content')}, '') ELSE '' END"
     )
     return (
-        f"coalesce(transform(filter({arr}, c -> {_is_object('c')}), c -> {_msg(role, content)}), {_empty()})"
+        f"coalesce(transform(filter({arr}, c -> {is_object('c')}), c -> {_msg(role, content)}), {_empty()})"
     )
 
 
@@ -119,7 +125,7 @@ def chatml_sql(v: str = "v") -> str:
     roles = ", ".join(_sql_str(r) for r in CHAT_ROLES)
     role = f"CASE WHEN {raw_role} IN ({roles}) THEN {raw_role} ELSE 'user' END"
     content = f"coalesce({get_str('c', 'content')}, '')"
-    return f"coalesce(transform(filter({arr}, c -> {_is_object('c')}), c -> {_msg(role, content)}), {_empty()})"
+    return f"coalesce(transform(filter({arr}, c -> {is_object('c')}), c -> {_msg(role, content)}), {_empty()})"
 
 
 def preference_sql(v: str = "v") -> str:
@@ -131,7 +137,7 @@ def preference_sql(v: str = "v") -> str:
     item_role = f"coalesce({get_str('c', 'role')}, 'assistant')"
     item_content = f"coalesce({get_str('c', 'content')}, '')"
     list_part = (
-        f"transform(filter({chosen_arr}, c -> {_is_object('c')}), c -> {_msg(item_role, item_content)})"
+        f"transform(filter({chosen_arr}, c -> {is_object('c')}), c -> {_msg(item_role, item_content)})"
     )
     chosen_text = f"coalesce({get_str(v, 'chosen')}, '')"
     one_part = f"array({_msg(_sql_str('assistant'), chosen_text)})"
@@ -195,7 +201,7 @@ def raw_text_sql(v: str = "v") -> str:
 
 def unknown_sql(v: str = "v", raw: str = "raw") -> str:
     """The record's own JSON text as one user turn; empty record -> none."""
-    return f"CASE WHEN {v} IS NULL OR schema_of_variant({v}) = 'OBJECT<>' THEN {_empty()} ELSE array({_msg(_sql_str('user'), raw)}) END"
+    return f"CASE WHEN {v} IS NULL OR {is_empty_object(v)} THEN {_empty()} ELSE array({_msg(_sql_str('user'), raw)}) END"
 
 
 def _tags_sql(v: str) -> str:

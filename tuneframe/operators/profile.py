@@ -17,6 +17,7 @@ from tuneframe.functions.messages import content_hash, empty_messages, join_cont
 from tuneframe.functions.text import n_words, words
 from tuneframe.operators.validate import empty_response, role_mismatch
 from tuneframe.functions.joins import attach_row
+from tuneframe.operators.langid import LanguageModel, language_map
 
 # Quality weights.
 EMPTY_WEIGHT, DUP_WEIGHT, ROLE_WEIGHT = 40.0, 30.0, 30.0
@@ -228,8 +229,10 @@ def keyed_counts(rm: DataFrame, by: list[str] | None = None, words_per_record: i
     return t.groupBy(*by, F.col("t.kind").alias("kind"), F.col("t.key").alias("key")).agg(F.count(F.lit(1)).alias("c"))
 
 
-def profile(df: DataFrame, by: list[str] | None = None, words_per_record: int | None = None) -> DataFrame:
-    """One row per group with T1-T8 (T2/T5/T6 as maps).
+def profile(
+    df: DataFrame, by: list[str] | None = None, words_per_record: int | None = None, languages: LanguageModel | None = None
+) -> DataFrame:
+    """One row per group with T1-T8 (T2/T5/T6 as maps), and T9's map with a model of ``languages``.
 
     Without records the one ungrouped row has counts and a quality of 0.
 
@@ -284,7 +287,7 @@ def profile(df: DataFrame, by: list[str] | None = None, words_per_record: int |
     )
     h = F.log2("_wn") - F.col("_ws") / F.col("_wn")
     entropy_score = F.coalesce(F.round(F.when(F.col("_wd") > 1, h / F.log2("_wd")).otherwise(h), 4), F.lit(0.0))
-    return a.select(
+    out = a.select(
         *by,
         n.cast("bigint").alias("num_examples"),
         empty_count.cast("bigint").alias("empty_count"),
@@ -304,3 +307,8 @@ def profile(df: DataFrame, by: list[str] | None = None, words_per_record: int |
         "token_histogram",
         "turn_histogram",
     )
+    if languages is None:
+        return out
+    texts = df.select(*by, "idx", join_content(F.col("messages"), " ").alias("text"))
+    found = language_map(texts, languages, by)
+    return out.join(found, by, "left") if by else attach_row(out, found)

@@ -3,10 +3,11 @@
 fix roles -> merge same-role runs -> drop empty answers -> truncate turns ->
 split oversized -> drop duplicate chunks -> (shuffle). Stages R1-R5 are one
 projection of higher-order functions per record; R6 is one hash aggregate on
-the 32-byte content hash whose ``min_by`` combines map-side, so a hash copied
-a billion times still leaves each task with one candidate. The summary is a
+the 32-byte content hash whose minimum combines map-side, so a hash copied a
+billion times still leaves each task with one candidate. The summary is a
 second aggregate over per-record stage flags (no accumulators: they
-over-count when tasks are retried).
+over-count when tasks are retried). :mod:`tuneframe.jobs` writes the repaired
+dataset and registers it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from tuneframe.functions.messages import MESSAGE_TYPE, content_hash
 from tuneframe.functions.text import WS_CHARS
 from tuneframe.operators.validate import empty_response
-from tuneframe.session import materialize
 from tuneframe.functions.joins import attach_row
 
 
@@ -39,24 +39,40 @@ def _ws_sql() -> str:
     return "'" + WS_CHARS.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bound(m: str, body: str) -> str:
+    """``body`` over ``mm``, with ``m`` stated once: long expressions don't multiply in the plan."""
+    return f"get(transform(array({m}), mm -> {body}), 0)"
+
+
 def fix_roles_expr(m: str) -> str:
     """Drop leading turns whose role is not system/user."""
-    first_ok = f"array_position(transform({m}, x -> x.role IN ('system', 'user')), true)"
-    return f"CASE WHEN {first_ok} = 0 THEN cast(array() AS {MESSAGE_TYPE}) ELSE slice({m}, {first_ok}, size({m}) - {first_ok} + 1) END"
+    first_ok = "array_position(transform(mm, x -> x.role IN ('system', 'user')), true)"
+    rest = f"transform(array({first_ok}), k -> CASE WHEN k = 0 THEN slice(mm, 1, 0) ELSE slice(mm, k, size(mm) - k + 1) END)"
+    return _bound(m, f"get({rest}, 0)")
 
 
 def merge_expr(m: str) -> str:
-    """R2: fold adjacent equal non-system roles, stripping at every merge."""
-    last = "try_element_at(acc, -1)"
-    merged = (
-        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('role', x.role, "
-        f"'content', btrim(concat({last}.content, '\\n', x.content), {_ws_sql()}))))"
-    )
-    return (
-        f"aggregate({m}, cast(array() AS {MESSAGE_TYPE}), (acc, x) -> "
-        f"CASE WHEN size(acc) > 0 AND {last}.role = x.role AND x.role <> 'system' "
-        f"THEN {merged} ELSE concat(acc, array(x)) END)"
+    """R2: merge adjacent equal non-system roles; the merged content is stripped after every step.
+
+    First the positions where a run begins, then one slice and one join per
+    run, linear in the number of turns. Stripping after every step means:
+    blank contents vanish, all others lose their trailing white space when
+    the next one is joined on, and the run its leading one; only a first
+    content that the second follows at once keeps its trailing white space.
+    """
+    ws = _ws_sql()
+    begins = "filter(sequence(1, size(mm)), i -> i = 1 OR mm[i - 1].role = 'system' OR mm[i - 1].role <> mm[i - 2].role)"
+    # A run's role and contents, by the position it begins at and the one the next begins at.
+    run = (
+        "named_struct('role', mm[b - 1].role, 'c', "
+        "transform(slice(mm, b, coalesce(try_element_at(bs, j + 2), size(mm) + 1) - b), x -> x.content))"
     )
+    full = f"filter(r.c, c -> btrim(c, {ws}) <> '')"
+    first = f"btrim(r.c[0], {ws}) <> '' AND btrim(r.c[1], {ws}) <> ''"
+    joined = f"ltrim({ws}, array_join(transform({full}, (c, k) -> CASE WHEN k = 0 AND {first} THEN c ELSE rtrim({ws}, c) END), '\n'))"
+    merged = f"named_struct('role', r.role, 'content', CASE WHEN size(r.c) = 1 THEN r.c[0] ELSE {joined} END)"
+    runs = f"flatten(transform(array({begins}), bs -> transform(transform(bs, (b, j) -> {run}), r -> {merged})))"
+    return _bound(m, f"CASE WHEN size(mm) < 2 THEN mm ELSE {runs} END")
 
 
 def truncate_expr(m: str, n: int) -> str:
@@ -67,22 +83,21 @@ def truncate_expr(m: str, n: int) -> str:
 def split_expr(m: str, n: int) -> str:
     """Consecutive chunks of ``n`` turns."""
     n = int(n)
-    return (
-        f"CASE WHEN size({m}) > {n} THEN transform(sequence(0, size({m}) - 1, {n}), i -> slice({m}, i + 1, {n})) "
-        f"ELSE array({m}) END"
-    )
+    cut = f"transform(sequence(0, size(mm) - 1, {n}), i -> slice(mm, i + 1, {n}))"
+    return _bound(m, f"CASE WHEN size(mm) > {n} THEN {cut} ELSE array(mm) END")
 
 
-def repair_stages(df: DataFrame, opts: RepairOptions = RepairOptions()) -> DataFrame:
+def repair_stages(df: DataFrame, opts: RepairOptions = RepairOptions(), by: list[str] | None = None) -> DataFrame:
     """R1-R5 per record, with the per-record flags the summary counts.
 
-    Returns ``(idx, chunks, roles_fixed, merged, empty_removed, n_truncated,
+    Returns ``(*by, idx, chunks, roles_fixed, merged, empty_removed, n_truncated,
     n_split, usable)``; ``usable`` is false for records that had no messages.
     """
+    by = by or []
     m0 = F.coalesce(
         F.when(~F.coalesce(F.col("norm_error"), F.lit(False)), F.col("messages")), F.expr(f"cast(array() AS {MESSAGE_TYPE})")
     )
-    s = df.select("idx", m0.alias("m0"))
+    s = df.select(*by, "idx", m0.alias("m0"))
     s = s.withColumn("usable", F.size("m0") > 0)
     s = s.withColumn("m1", F.expr(fix_roles_expr("m0")) if opts.fix_roles else F.col("m0"))
     s = s.withColumn("roles_fixed", F.col("usable") & (F.size("m1") != F.size("m0")))
@@ -106,6 +121,7 @@ def repair_stages(df: DataFrame, opts: RepairOptions = RepairOptions()) -> DataF
     s = s.withColumn("n_split", F.greatest(F.size("chunks") - 1, F.lit(0)))
     live = F.col("usable") & ~F.col("empty_removed")
     return s.select(
+        *by,
         "idx",
         "chunks",
         "usable",
@@ -117,18 +133,26 @@ def repair_stages(df: DataFrame, opts: RepairOptions = RepairOptions()) -> DataF
     )
 
 
-def _chunks(stages: DataFrame) -> DataFrame:
+def _chunks(stages: DataFrame, by: list[str] | None = None) -> DataFrame:
     live = stages.filter(F.col("usable") & ~F.col("empty_removed"))
-    return live.select("idx", F.posexplode("chunks").alias("chunk", "messages")).filter(F.size("messages") > 0)
+    return live.select(*(by or []), "idx", F.posexplode("chunks").alias("chunk", "messages")).filter(F.size("messages") > 0)
 
 
-def dedupe_chunks(chunks: DataFrame) -> DataFrame:
-    """First chunk in (idx, chunk) order survives per content hash."""
-    h = chunks.withColumn("_h", content_hash("messages"))
-    best = h.groupBy("_h").agg(
-        F.min_by(F.struct("idx", "chunk", "messages"), F.struct("idx", "chunk")).alias("_b")
-    )
-    return best.select("_b.idx", "_b.chunk", "_b.messages")
+def dedupe_chunks(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """First chunk in (idx, chunk) order survives per content hash.
+
+    Only hashes and places are compared: place is one number, so its minimum
+    per hash combines map-side. What is joined back are the hashes that
+    occur more than once, mostly few: AQE broadcasts them, and messages move
+    only where the list is long (a hot hash is then a skewed partition that
+    AQE splits).
+    """
+    by = by or []
+    place = F.col("idx").cast("decimal(20,0)") * F.lit(2**31) + F.col("chunk")
+    marked = chunks.withColumn("_h", content_hash("messages")).withColumn("_at", place)
+    again = marked.groupBy(*by, "_h").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    out = marked.join(again, [*by, "_h"], "left")
+    return out.filter(F.col("_first").isNull() | (F.col("_at") == F.col("_first"))).select(*chunks.columns)
 
 
 def shuffle_order(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -136,20 +160,33 @@ def shuffle_order(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(int(seed)), "idx", "chunk"), "idx", "chunk")
 
 
-def repair(df: DataFrame, opts: RepairOptions = RepairOptions()) -> DataFrame:
-    """R9 rows: ``(idx, chunk, messages)`` after the whole chain."""
-    out = _chunks(repair_stages(df, opts))
+def repair(df: DataFrame, opts: RepairOptions = RepairOptions(), by: list[str] | None = None) -> DataFrame:
+    """R9 rows: ``(*by, idx, chunk, messages)`` after the whole chain."""
+    return repaired(repair_stages(df, opts, by), opts, by)
+
+
+def repaired(stages: DataFrame, opts: RepairOptions = RepairOptions(), by: list[str] | None = None) -> DataFrame:
+    """The rows of :func:`repair` from the output of :func:`repair_stages`."""
+    out = _chunks(stages, by)
     if opts.remove_duplicates:
-        out = dedupe_chunks(out)
+        out = dedupe_chunks(out, by)
     if opts.shuffle:
         out = shuffle_order(out, opts.shuffle_seed)
     return out
 
 
-def repair_summary(df: DataFrame, opts: RepairOptions = RepairOptions()) -> DataFrame:
-    """One row of counters."""
-    stages = repair_stages(df, opts)
-    rec = stages.agg(
+def repair_summary(df: DataFrame, opts: RepairOptions = RepairOptions(), by: list[str] | None = None) -> DataFrame:
+    """One row of counters per group."""
+    return summary_of(repair_stages(df, opts, by), opts, by)
+
+
+def summary_of(stages: DataFrame, opts: RepairOptions = RepairOptions(), by: list[str] | None = None) -> DataFrame:
+    """R8 from the output of :func:`repair_stages`.
+
+    Without ``by`` there is one row, also for no records.
+    """
+    by = by or []
+    rec = stages.groupBy(*by).agg(
         F.count(F.lit(1)).alias("input_count"),
         F.count_if("roles_fixed").alias("roles_fixed"),
         F.count_if("merged").alias("merged_turns"),
@@ -157,16 +194,13 @@ def repair_summary(df: DataFrame, opts: RepairOptions = RepairOptions()) -> Data
         F.coalesce(F.sum("n_truncated"), F.lit(0)).alias("turns_truncated"),
         F.coalesce(F.sum("n_split"), F.lit(0)).alias("examples_split"),
     )
-    chunks = _chunks(stages)
+    chunks = _chunks(stages, by)
     if opts.remove_duplicates:
-        per_hash = chunks.groupBy(content_hash("messages").alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-        ch = per_hash.agg(
-            F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates_removed"),
-            F.count(F.lit(1)).alias("output_count"),
-        )
+        per_hash = chunks.groupBy(*by, content_hash("messages").alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+        ch = per_hash.groupBy(*by).agg(F.sum(F.col("_c") - 1).alias("duplicates_removed"), F.count(F.lit(1)).alias("output_count"))
     else:
-        ch = chunks.agg(F.lit(0).alias("duplicates_removed"), F.count(F.lit(1)).alias("output_count"))
-    out = attach_row(rec, ch)
+        ch = chunks.groupBy(*by).agg(F.lit(0).alias("duplicates_removed"), F.count(F.lit(1)).alias("output_count"))
+    out = rec.join(ch, by, "left") if by else attach_row(rec, ch)
     cols = [
         "input_count",
         "roles_fixed",
@@ -177,18 +211,8 @@ def repair_summary(df: DataFrame, opts: RepairOptions = RepairOptions()) -> Data
         "examples_split",
     ]
     return out.select(
-        *[F.col(c).cast("bigint").alias(c) for c in cols],
+        *by,
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in cols],
         F.lit(bool(opts.shuffle)).alias("shuffled"),
-        F.col("output_count").cast("bigint").alias("output_count"),
+        F.coalesce("output_count", F.lit(0)).cast("bigint").alias("output_count"),
     )
-
-
-def repair_job(df: DataFrame, opts: RepairOptions = RepairOptions(), min_rows: int = 1):
-    """Repaired rows materialised once (lineage cut), plus the summary.
-
-    Fails when nothing is left, like the reference's repair endpoint.
-    """
-    rows = materialize(repair(df, opts))
-    if rows.isEmpty():
-        raise ValueError("repair left no examples")
-    return rows, repair_summary(df, opts)

@@ -17,8 +17,20 @@ GIB = 1024 * 1024 * 1024
 
 
 def device_rows(snapshots: DataFrame) -> DataFrame:
-    """G1 + G2 (explode): one row per device with converted units."""
-    e = snapshots.select("ts", "host", "cpu_pct", "ram_total", "ram_available", F.explode("gpus").alias("g"))
+    """G1 + G2 (explode): one row per device with converted units.
+
+    Sensors that a snapshot doesn't carry (disk, power limit, fan) are null.
+    """
+    of_host = [c for c in ("disk_used", "disk_total") if c in snapshots.columns]
+    e = snapshots.select("ts", "host", "cpu_pct", "ram_total", "ram_available", *of_host, F.explode("gpus").alias("g"))
+    sensors = e.schema["g"].dataType.names
+
+    def sensor(name: str):
+        return F.col(f"g.{name}").cast("double") if name in sensors else F.lit(None).cast("double")
+
+    def disk(name: str):
+        return (F.col(name) / GIB if name in of_host else F.lit(None).cast("double")).alias(f"{name}_gb")
+
     return e.select(
         "ts",
         "host",
@@ -28,18 +40,24 @@ def device_rows(snapshots: DataFrame) -> DataFrame:
         (F.col("g.memory_used_bytes") / MIB).alias("memory_used_mib"),
         (F.col("g.memory_total_bytes") / MIB).alias("memory_total_mib"),
         (F.col("g.power_mw") / 1000.0).alias("power_w"),
+        (sensor("power_limit_mw") / 1000.0).alias("power_limit_w"),
+        sensor("fan_speed_pct").alias("fan_speed_pct"),
         F.col("g.temperature_c").alias("temperature_c"),
         "cpu_pct",
         ((F.col("ram_total") - F.col("ram_available")) / GIB).alias("ram_used_gb"),
         (F.col("ram_total") / GIB).alias("ram_total_gb"),
+        disk("disk_used"),
+        disk("disk_total"),
     )
 
 
 def latest_devices(devices: DataFrame) -> DataFrame:
-    """Newest reading per (host, device)."""
+    """Newest reading per (host, device).
+
+    One ``max_by`` per column: primitives keep the plan a hash aggregate.
+    """
     cols = [c for c in devices.columns if c not in ("host", "device", "ts")]
-    agg = devices.groupBy("host", "device").agg(F.max_by(F.struct("ts", *cols), "ts").alias("_l"))
-    return agg.select("host", "device", *[F.col(f"_l.{c}").alias(c) for c in ["ts", *cols]])
+    return devices.groupBy("host", "device").agg(F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in cols])
 
 
 def rollup(devices: DataFrame, every: str = "1 minute", watermark: str | None = None) -> DataFrame:

@@ -1,15 +1,17 @@
 """Prompt rendering, token counts, sizing and runtime estimates.
 
-The default tokenizer is whitespace words (a Catalyst expression, no Python).
-A real tokenizer plugs in through :func:`tokenizer_udf`: an iterator-form
-Arrow UDF that loads the tokenizer once per Python worker and encodes whole
-batches. Everything around the token counts (histograms, truncation,
+Prompts are rendered by :func:`render` or by a :class:`ChatTemplate`, which
+becomes one Catalyst expression. The default tokenizer is whitespace words (a
+Catalyst expression, no Python). A real tokenizer plugs in through
+:func:`tokenizer_udf`: an iterator-form Arrow UDF that loads the tokenizer
+once per Python worker and encodes whole batches. Everything around the token counts (histograms, truncation,
 extrapolation, estimates) is a built-in aggregate over one row per record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tuneframe.functions.buckets import TOKEN_BUCKETS, histogram
-from tuneframe.functions.text import words
+from tuneframe.functions.text import py_strip, words
 from tuneframe.functions.joins import attach_row
 
 # Assumed adapter-training throughput and default sequence length.
@@ -26,15 +28,89 @@ DEFAULT_TOKENS_PER_SEC = 2000.0
 DEFAULT_MAX_SEQ_LEN = 2048
 
 
+@dataclass(frozen=True)
+class ChatTemplate:
+    """How a tokenizer's vendor lays out a conversation.
 
-def render(messages: Column, generation_prompt: bool = False, system_prompt: str | None = None) -> Column:
-    """K1/K2: ``role: content`` lines joined by newlines ('' for no messages).
+    ``turns`` maps a role to the text before and after its content; a role
+    that isn't listed is laid out by ``other``, or left out where that is
+    None. With ``system_in_user`` (text before and after) a system message
+    that comes first goes into the first user turn, before its content.
+    ``strip`` trims contents, ``begin`` opens the prompt and ``generation``
+    is what asks for an answer. :meth:`column` turns all that into one
+    expression: a loop over the messages with a test per role.
+    """
 
-    K2 prepends an optional system turn and appends ``\\nassistant:``.
+    turns: dict[str, tuple[str, str]] = field(default_factory=dict)
+    other: tuple[str, str] | None = None
+    begin: str = ""
+    generation: str = ""
+    system_in_user: tuple[str, str] | None = None
+    strip: bool = False
+
+    def column(self, messages: Column, generation_prompt: bool = False) -> Column:
+        """The prompt; empty for no messages, a null role or content counts as empty."""
+        def content(x):
+            c = F.coalesce(x["content"], F.lit(""))
+            return py_strip(c) if self.strip else c
+
+        role = lambda x: F.coalesce(x["role"], F.lit(""))
+        system, rest, first = F.lit(""), messages, F.lit(0)
+        if self.system_in_user is not None:
+            head = F.get(messages, 0)
+            leads = F.coalesce(role(head) == "system", F.lit(False))
+            before, after = self.system_in_user
+            text = F.coalesce(head["content"], F.lit(""))
+            system = F.when(leads, F.concat(F.lit(before), py_strip(text) if self.strip else text, F.lit(after))).otherwise(F.lit(""))
+            rest = F.when(leads, F.slice(messages, 2, F.greatest(F.size(messages) - 1, F.lit(0)))).otherwise(messages)
+            first = F.array_position(F.transform(rest, lambda x: role(x)), "user") - 1
+
+        def lay(pair: tuple[str, str], x, inner):
+            def part(text: str):
+                pieces = [F.lit(t) for t in text.split(ROLE_MARK)]
+                return F.concat(pieces[0], *[c for p in pieces[1:] for c in (role(x), p)])
+
+            return F.concat(part(pair[0]), inner, part(pair[1]))
+
+        def turn(x, i):
+            out = F.lit("") if self.other is None else lay(self.other, x, content(x))
+            for name, pair in reversed(self.turns.items()):
+                inner = content(x)
+                if name == "user" and self.system_in_user is not None:
+                    inner = F.concat(F.when(i == first, system).otherwise(F.lit("")), inner)
+                out = F.when(role(x) == name, lay(pair, x, inner)).otherwise(out)
+            return out
+
+        text = F.concat(F.lit(self.begin), F.array_join(F.transform(rest, turn), ""))
+        if generation_prompt:
+            text = F.concat(text, F.lit(self.generation))
+        return F.when(F.coalesce(F.size(messages), F.lit(0)) < 1, F.lit("")).otherwise(text)
+
+
+# Stands for the role in the texts before and after a content.
+ROLE_MARK = "{role}"
+# Two layouts that are in public use.
+CHATML = ChatTemplate(other=(f"<|im_start|>{ROLE_MARK}\n", "<|im_end|>\n"), generation="<|im_start|>assistant\n")
+INST = ChatTemplate(
+    turns={"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>")},
+    system_in_user=("<<SYS>>\n", "\n<</SYS>>\n\n"),
+    strip=True,
+)
+
+
+def render(
+    messages: Column, generation_prompt: bool = False, system_prompt: str | None = None, template: ChatTemplate | None = None
+) -> Column:
+    """K1/K2: ``role: content`` lines joined by newlines ('' for no messages), or the layout of ``template``.
+
+    K2 prepends an optional system turn and asks for an answer: by
+    ``\\nassistant:``, or as the template does.
     """
     m = messages
     if system_prompt:
         m = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))), m)
+    if template is not None:
+        return template.column(m, generation_prompt)
     text = F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n")
     if generation_prompt:
         text = F.concat(text, F.lit("\nassistant:"))
@@ -61,9 +137,9 @@ def tokenizer_udf(make_encoder: Callable[[], Callable[[str], list[int]]]):
     return encode
 
 
-def token_counts(df: DataFrame, encoder=None) -> DataFrame:
-    """Per record: ``prompt`` and ``n_tokens`` (K1 + K3)."""
-    prompt = render(F.col("messages"))
+def token_counts(df: DataFrame, encoder=None, template: ChatTemplate | None = None) -> DataFrame:
+    """Per record: ``prompt`` and ``n_tokens`` (K1 + K3), by a tokenizer's own ``template`` where it has one."""
+    prompt = render(F.col("messages"), template=template)
     out = df.withColumn("prompt", prompt)
     if encoder is None:
         return out.withColumn("n_tokens", whitespace_token_count(F.col("prompt")))
@@ -186,6 +262,19 @@ def encode_rows(df: DataFrame, vocab: DataFrame, text_col: str = "text", key: st
     return toks.join(vocab, on="token", how="left").select(key, "pos", "id", "token", "is_special")
 
 
+def encoded_prompts(df: DataFrame, encoder, template: ChatTemplate | None = None, generation_prompt: bool = False) -> DataFrame:
+    """K8 with a plug-in tokenizer: ``idx, prompt, ids`` of every record's rendered messages."""
+    prompt = render(F.col("messages"), generation_prompt, template=template)
+    return df.select("idx", prompt.alias("prompt")).withColumn("ids", encoder(F.col("prompt")))
+
+
+def lookup_tokens(vocab: DataFrame, tokens: DataFrame, encoder=None) -> DataFrame:
+    """K9: token text -> ``id`` by the vocabulary, or ``ids`` by a plug-in tokenizer (a text may be several)."""
+    if encoder is not None:
+        return tokens.withColumn("ids", encoder(F.col("token")))
+    return tokens.join(vocab.select("token", "id"), on="token", how="left")
+
+
 def lookup_ids(vocab: DataFrame, ids: DataFrame) -> DataFrame:
     """K9: id -> token text."""
     return ids.join(vocab, on="id", how="left")

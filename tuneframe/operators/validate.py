@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.functions.messages import content_hash
 from tuneframe.functions.text import CONTROL_CHAR_PATTERN, py_strip
-from tuneframe.operators.normalize import has
+from tuneframe.operators.normalize import has, is_empty_object
 
 # Report categories in report order.
 CATEGORIES = [
@@ -76,10 +76,15 @@ def flag_records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Adds boolean columns named after ``CATEGORIES`` plus ``content_hash``.
     """
+    return mark_duplicates(flag_rows(df), by=by)
+
+
+def flag_rows(df: DataFrame) -> DataFrame:
+    """The flags that a record has by itself, V1-V6, and its ``content_hash``: one projection."""
     has_record = "v" in df.columns
     m = F.col("messages")
     empty_record = (
-        F.expr("v IS NULL OR schema_of_variant(v) = 'OBJECT<>'") if has_record else F.lit(False)
+        F.expr(f"v IS NULL OR {is_empty_object('v')}") if has_record else F.lit(False)
     )
     invalid = empty_record | F.coalesce(F.col("norm_error"), F.lit(False)) | m.isNull() | (F.size(m) == 0)
     missing = (
@@ -94,7 +99,7 @@ def flag_records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         invalid.alias("invalid_conversation"),
     )
     ok = ~F.col("invalid_conversation")
-    base = base.select(
+    return base.select(
         *keep,
         "missing_fields",
         "invalid_conversation",
@@ -104,7 +109,6 @@ def flag_records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         (ok & unsupported_tokens(m)).alias("unsupported_tokens"),
         F.when(ok, content_hash(m)).alias("content_hash"),
     )
-    return mark_duplicates(base, by=by)
 
 
 def mark_duplicates(

@@ -1,11 +1,15 @@
 """A dense, file-order record index without a Python RDD.
 
 Rows of one file split sit contiguously in one partition, so
-``monotonically_increasing_id`` is consecutive within a split. One small
-aggregate gives, per split ``(file, block_start)``, its row count and first
-id; a running sum over the splits in file order gives each split's offset.
-That table has one row per input split (bounded by the number of splits,
-not rows), so it is broadcast. ``idx = offset + (id - first id)``.
+``monotonically_increasing_id`` is consecutive within a split. The parsed
+records are written once to the shared checkpoint folder; the index and all
+that follows read them there, so the input is scanned and parsed once. One
+aggregate gives, per split ``(file, block start)``, its row count and first
+id. Offsets come in two levels: a running sum over the splits of each file,
+and one over the files (a row per file, like the file listing that Spark
+keeps anyway). They are joined back by 96-bit hashes of the file and the
+block start; AQE may broadcast them if they turn out small.
+``idx = offset + (id - first id)``.
 """
 
 from __future__ import annotations
@@ -13,37 +17,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuneframe.session import materialize
 
-def with_index(df: DataFrame, within: str | None = None, cap: int | None = None) -> DataFrame:
+SPLIT = ["_f1", "_f2", "_block"]
+
+
+def with_index(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Add ``idx`` (0..n-1 in file order) to a frame carrying ``_file``/``_block``.
 
-    ``within`` names an extra order column inside one split (e.g. the array
-    position of records exploded from one JSON document). ``cap`` keeps the
-    first ``cap`` records (off by default: the reference's row cap was a
-    memory guard, not semantics).
+    The rows of a split must come in their order. ``cap`` keeps the first
+    ``cap`` records (off by default: the reference's row cap was a memory
+    guard, not semantics).
     """
-    if within is not None:
-        # One row per document (``wholetext``): its records are exploded in
-        # order, so the split key is unique per document and ``within``
-        # numbers the records inside it.
-        per = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-        offs = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        out = df.join(F.broadcast(offs.select("_file", "_block", "_off")), ["_file", "_block"])
-        out = out.withColumn("idx", (F.col("_off") + F.col(within)).cast("bigint"))
-        out = out.drop("_off", within)
-    else:
-        keyed = df.withColumn("_mid", F.monotonically_increasing_id())
-        per = keyed.groupBy("_file", "_block").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")
-        )
-        w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-        offs = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        out = keyed.join(F.broadcast(offs.select("_file", "_block", "_first", "_off")), ["_file", "_block"])
-        out = out.withColumn("idx", (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
-        out = out.drop("_mid", "_first", "_off")
-    out = out.drop("_file", "_block")
+    keyed = df.withColumn("_f1", F.xxhash64("_file")).withColumn("_f2", F.hash("_file"))
+    keyed = keyed.withColumn("_at", F.monotonically_increasing_id())
+    keyed = materialize(keyed)
+    per = keyed.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.first("_file").alias("_file"))
+    inside = Window.partitionBy("_f1", "_f2").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = per.groupBy("_f1", "_f2").agg(F.sum("_n").alias("_n"), F.first("_file").alias("_file"))
+    files = files.select("_f1", "_f2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_files"))
+    splits = per.select(*SPLIT, "_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_splits"))
+    offsets = splits.join(files, ["_f1", "_f2"]).select(*SPLIT, (F.col("_files") + F.col("_splits") - F.col("_first")).alias("_off"))
+    out = keyed.join(offsets, SPLIT).withColumn("idx", (F.col("_off") + F.col("_at")).cast("bigint"))
     if cap is not None:
         out = out.filter(F.col("idx") < int(cap))
-    cols = ["idx"] + [c for c in out.columns if c != "idx"]
-    return out.select(*cols)
+    return out.select("idx", *[c for c in df.columns if c not in ("_file", "_block")])

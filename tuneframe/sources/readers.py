@@ -4,14 +4,22 @@ Records stay dynamic: ``v`` is a VARIANT object and ``raw`` its JSON text, so
 a missing key and an explicit null stay different (schema inference would
 merge them). Every reader is a plain ``spark.read`` plus projections; the
 file-order index is added by :func:`tuneframe.sources.index.with_index`.
+JSON documents are sliced into their elements' own text, so ``raw`` keeps key
+order and spacing.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tuneframe.functions.messages import empty_messages
 from tuneframe.functions.text import WS_REGEX
 from tuneframe.session import configure
 from tuneframe.sources.index import with_index
@@ -41,7 +49,8 @@ def records_from_lines(lines: DataFrame, value: str = "value", strict: bool = Fa
     df = lines.select(*others, stripped.alias("_line")).filter(F.col("_line") != "")
     parse = "parse_json(_line)" if strict else "try_parse_json(_line)"
     df = df.select(*others, "_line", F.expr(parse).alias("_v")).filter(F.col("_v").isNotNull())
-    is_obj = F.expr("schema_of_variant(_v) LIKE 'OBJECT%'")
+    # Valid JSON text without white space around it is an object if it begins like one.
+    is_obj = F.left(F.col("_line"), F.lit(1)) == "{"
     wrapped_raw = F.concat(F.lit('{"value":'), F.col("_line"), F.lit("}"))
     return df.select(
         *others,
@@ -57,49 +66,144 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return with_index(records_from_lines(lines, strict=strict))
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def element_slices(doc: str, wrapper_keys: list[str], bare: bool) -> list[tuple[int, int]]:
+    """Where the records of a JSON document begin and end.
+
+    A list holds one per element; an object holds those of the list under
+    the first of ``wrapper_keys`` that has one, else, with ``bare``, itself;
+    any other value holds none. Raises ``ValueError`` for malformed text.
+    """
+    decode = json.JSONDecoder(parse_constant=_no_constant).raw_decode
+
+    def skip(at: int) -> int:
+        return _SPACE.match(doc, at).end()
+
+    def sign(at: int) -> str:
+        return doc[at : at + 1]
+
+    def items(at: int) -> tuple[list[tuple[int, int]], int]:
+        found, at = [], skip(at + 1)
+        while sign(at) != "]" or found:
+            end = decode(doc, at)[1]
+            found.append((at, end))
+            at = skip(end)
+            if sign(at) == "]":
+                break
+            if sign(at) != ",":
+                raise ValueError(f"no comma at {at}")
+            at = skip(at + 1)
+        return found, at + 1
+
+    start = at = skip(0)
+    found: list[tuple[int, int]] = []
+    if sign(at) == "[":
+        found, at = items(at)
+    elif sign(at) == "{":
+        lists: dict[str, list[tuple[int, int]] | None] = {}
+        at = skip(at + 1)
+        while sign(at) != "}" or lists:
+            if sign(at) != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = decode(doc, at)
+            at = skip(at)
+            if sign(at) != ":":
+                raise ValueError(f"no colon at {at}")
+            at = skip(at + 1)
+            # The last of several equal keys counts.
+            lists[key] = None
+            if key in wrapper_keys and sign(at) == "[":
+                lists[key], at = items(at)
+            else:
+                at = decode(doc, at)[1]
+            at = skip(at)
+            if sign(at) == "}":
+                break
+            if sign(at) != ",":
+                raise ValueError(f"no comma at {at}")
+            at = skip(at + 1)
+        at += 1
+        wrapped = [k for k in wrapper_keys if lists.get(k) is not None]
+        found = lists[wrapped[0]] if wrapped else [(start, at)] if bare else []
+    else:
+        at = decode(doc, at)[1]
+    if skip(at) != len(doc):
+        raise ValueError(f"more text at {at}")
+    return found
+
+
+# Sliced elements leave a worker in batches of about this many characters.
+SLICE_CHARS = 1 << 22
+
+
 def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """One JSON document per file: a list, a wrapper object or one record.
 
-    ``wholetext`` makes each file one row (one task per file), so prefer
-    JSONL for large inputs.
+    ``raw`` is the element's own text. A malformed document holds no records
+    (an error when ``strict``). ``wholetext`` makes each file one row (one
+    task per file), so prefer JSONL for large inputs.
     """
     configure(spark)
-    docs = spark.read.text(path, wholetext=True).select(
-        F.expr("make_valid_utf8(value)").alias("_doc"), *_order_cols()
-    )
-    parse = "parse_json(_doc)" if strict else "try_parse_json(_doc)"
-    docs = docs.select("_file", "_block", F.expr(parse).alias("_d"))
-    wrapper_keys = ["data"] if strict else JSON_WRAPPER_KEYS
-    arrays = [f"try_variant_get(_d, '$.{k}', 'array<variant>')" for k in wrapper_keys]
-    items = (
-        f"CASE WHEN schema_of_variant(_d) LIKE 'ARRAY%' THEN try_variant_get(_d, '$', 'array<variant>') "
-        + "".join(f"WHEN {a} IS NOT NULL THEN {a} " for a in arrays)
-        # The trainer's reader takes no single record: an object without the wrapper key holds none.
-        + ("" if strict else "WHEN schema_of_variant(_d) LIKE 'OBJECT%' THEN array(_d) ")
-        + "ELSE array() END"
-    )
-    exploded = docs.select("_file", "_block", F.posexplode(F.expr(items)).alias("_pos", "_v"))
-    is_obj = F.expr("schema_of_variant(_v) LIKE 'OBJECT%'")
-    rec = exploded.select(
-        "_file",
-        "_block",
-        "_pos",
-        F.when(is_obj, F.col("_v")).otherwise(F.expr("to_variant_object(named_struct('value', _v))")).alias("v"),
-    ).withColumn("raw", F.to_json("v"))
-    return with_index(rec, within="_pos")
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: header names fields, every value a string (unquoted empty -> '')."""
+    docs = spark.read.text(path, wholetext=True).select(F.expr("make_valid_utf8(value)").alias("_doc"), *_order_cols())
+    # The trainer's reader takes no single record: an object without the wrapper key holds none.
+    keys, bare = (["data"], False) if strict else (JSON_WRAPPER_KEYS, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, file, block in zip(*[batch.column(i) for i in range(3)], strict=True):
+                text = doc.as_py()
+                try:
+                    places = element_slices(text, keys, bare)
+                except (ValueError, RecursionError):
+                    if strict:
+                        raise
+                    places = []
+                held: list[str] = []
+                size = 0
+                for k, (a, b) in enumerate(places):
+                    held.append(text[a:b])
+                    size += b - a
+                    if size >= SLICE_CHARS or k == len(places) - 1:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(held, pa.string()), pa.array([file.as_py()] * len(held), pa.string()),
+                             pa.array([block.as_py()] * len(held), pa.int64())],
+                            names=["value", "_file", "_block"])
+                        held, size = [], 0
+
+    sliced = docs.mapInArrow(run, "value string, _file string, _block long")
+    return with_index(records_from_lines(sliced, strict=strict))
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S3: header names fields, every value a string (empty -> ''); the fields that a short row lacks are null.
+
+    Spark's reader makes no difference between an empty field and a missing
+    one, but keeps the text of a row that has too few fields: its separators
+    outside quotes tell how many it has. A surplus is left out. Quoted line
+    breaks need the whole file in one task; ``multi_line=False`` splits files.
+    """
     configure(spark)
-    df = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=True, escape='"', quote='"', mode="PERMISSIVE"
-    )
-    fields = [c for c in df.columns]
-    strs = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in fields]
-    s = df.select(F.struct(*strs).alias("_r"), *_order_cols())
+    options = dict(header=True, multiLine=multi_line, escape='"', quote='"', mode="PERMISSIVE")
+    names, kept = spark.read.csv(path, inferSchema=False, **options).columns, "_short_row_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, kept]])
+    df = spark.read.schema(schema).option("columnNameOfCorruptRecord", kept).csv(path, **options)
+    bare = F.regexp_replace(F.col(kept), '"([^"]|"")*"', "")
+    present = F.coalesce(F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1, F.lit(len(names)))
+    fields = [F.coalesce(F.col(f"`{c}`"), F.when(present > i, F.lit(""))).alias(c) for i, c in enumerate(names)]
+    s = df.select(F.struct(*fields).alias("_r"), *_order_cols())
     return with_index(
-        s.select("_file", "_block", F.to_json("_r").alias("raw"), F.expr("to_variant_object(_r)").alias("v"))
+        s.select(
+            "_file",
+            "_block",
+            F.to_json("_r", {"ignoreNullFields": "false"}).alias("raw"),
+            F.expr("to_variant_object(_r)").alias("v"),
+        )
     )
 
 
@@ -168,11 +272,22 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def preview(records: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` (1-1000) records in file order (an index filter, no sort)."""
+def preview(records: DataFrame, n: int = 20, as_: str = "raw") -> DataFrame:
+    """First ``n`` (1-1000) records in file order (an index filter, no sort).
+
+    ``as_="raw"`` shows ``(idx, raw)``, ``as_="chat"`` the messages of each
+    record, by its ``fmt`` column or else by its own keys.
+    """
     if not 1 <= int(n) <= 1000:
         raise ValueError(f"preview shows 1 to 1000 records, not {n}")
-    return records.filter(F.col("idx") < int(n))
+    head = records.filter(F.col("idx") < int(n))
+    if as_ == "raw":
+        return head
+    if as_ == "chat":
+        from tuneframe.operators.normalize import to_messages
+
+        return to_messages(head).select("idx", F.coalesce("messages", empty_messages()).alias("messages"))
+    raise ValueError(f"a preview is raw or chat, not {as_!r}")
 
 
 # ------------------------------------------------------------------ sinks
@@ -193,14 +308,28 @@ REGISTRY_SCHEMA = T.StructType(
         T.StructField("source_path", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("format", T.StringType()),
+        T.StructField("confidence", T.DoubleType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("stats_json", T.StringType()),
         T.StructField("report_json", T.StringType()),
+        T.StructField("repair_json", T.StringType()),
         T.StructField("repaired_from", T.StringType()),
     ]
 )
 
 
-def register_dataset(registry_path: str, entry: DataFrame) -> None:
-    """Append one registry row (a one-row DataFrame built by the caller)."""
-    entry.write.mode("append").parquet(registry_path)
+def register_dataset(registry_path: str, job_id: str, entry: DataFrame) -> None:
+    """One registry row per job, in a folder of the job's own.
+
+    A job that runs again overwrites its row, and a row is seen only once it
+    is written whole; so nothing is registered twice and nothing in halves.
+    """
+    entry.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY_SCHEMA.fields]).coalesce(1).write.mode("overwrite").parquet(
+        f"{registry_path.rstrip('/')}/job_id={job_id}"
+    )
+
+
+def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
+    """The registry's rows with their ``job_id``."""
+    schema = T.StructType([*REGISTRY_SCHEMA.fields, T.StructField("job_id", T.StringType())])
+    return spark.read.schema(schema).parquet(registry_path)

@@ -1,14 +1,18 @@
 """M1, M3, M4, M6, M10 as Structured Streaming queries over run event logs.
 
 * run state (M3 + M4): one streaming aggregate keyed by ``run_id`` in update
-  mode; the same ``max_by``/``count_if`` buffers as the batch fold, so the
-  state store holds one row per run. Each micro-batch's changed runs are
-  appended under ``batch_id=<n>/`` (overwritten on replay, so the sink is
-  idempotent); readers take the newest update per run.
-* gradient alerts (M6): ``applyInPandasWithState`` keeps one double per run
-  (the previous point's grad_norm) and sorts each micro-batch by ``ts``.
-* late / duplicate events (M10): a watermark on event time plus
-  ``dropDuplicatesWithinWatermark``; nothing is dropped for being late.
+  mode; the same folds as the batch operators, so the state store holds one
+  row per run. Each micro-batch's changed runs are appended under
+  ``batch_id=<n>/`` (overwritten on replay, so the sink is idempotent);
+  readers take the newest update per run.
+* gradient alerts (M6): ``transformWithState`` holds the points of a run's
+  hour until the watermark has passed it, compares them in time order and
+  hands its edges on; so a point that arrives late, but not beyond the
+  watermark, is compared with the point it follows, and a run's state is
+  spread over its hours.
+* late and repeated events (M10): each micro-batch is split at the watermark
+  of the batches before; what is older goes to a side output, which a reader
+  merges later. Nothing is lost.
 * routing (M1): ``foreachBatch`` writes each event kind to its own folder.
 * telemetry (G2, G3): the same update sink for the latest reading per device;
   watermark + tumbling windows in append mode for rollups.
@@ -22,23 +26,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tuneframe.operators.runs import (
-    EXPLOSION_ABS,
-    EXPLOSION_RATIO,
-    METRIC_FIELDS,
+    POINT_SECONDS,
+    alert_of,
+    dedupe_events,
+    event_order,
     newest_metric,
-    VANISHING_ABS,
     read_run_events,
+    state_columns,
+    status_columns,
+    status_folds,
     with_event_time,
 )
 
-ALERT_SCHEMA = "run_id long, step long, ts double, grad_norm double, alert string"
-ALERT_STATE = "prev_grad_norm double"
-
+EVENT_KEY = ["run_id", "event", "step", "ts"]
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# List state and timers need the store that Spark ships for them.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """S11 streaming: event files under ``run_<id>/`` folders."""
@@ -49,56 +58,78 @@ def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | N
 
 
 def dedupe_late(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop re-delivered events.
+    """M10 inside a query: drop re-delivered events.
 
     An event is known for ``delay`` after it; one that arrives later than
-    that behind the newest event is dropped. Give the longest delay that the
-    event source can have; :func:`tuneframe.operators.runs.dedupe_events` on
-    the written log keeps every event.
+    that behind the newest event is dropped. :func:`start_event_log` keeps
+    those too.
     """
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
-        ["run_id", "event", "step", "ts"]
-    )
+    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(EVENT_KEY)
+
+
+def _same_event(a: str, b: str):
+    cond = F.lit(True)
+    for c in EVENT_KEY:
+        cond = cond & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return cond
+
+
+def start_event_log(events: DataFrame, sink: str, checkpoint: str, delay: str = "10 minutes", available_now: bool = False) -> StreamingQuery:
+    """Every event once to ``<sink>/events``, split into punctual (``late=false``) and late ones.
+
+    An event is late when it is older than the newest event of the batches
+    before by more than ``delay``. Punctual events are checked against what
+    was written within the delay; late ones can repeat anything and are
+    checked when :func:`merge_late` reads them. A batch writes its own
+    folders, so a replay overwrites them: the events first, then the mark
+    that later batches read.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(EVENT_KEY)
+        newest = None
+        if batch_id > 0:
+            newest = spark.read.parquet(f"{sink}/marks/batch_id={batch_id - 1}").first()["newest"]
+        if newest is not None:
+            mark = F.lit(newest) - F.expr(f"INTERVAL {delay}")
+            rows = rows.withColumn("late", F.coalesce(F.col("event_time") < mark, F.lit(False)))
+            known = read_event_log(spark, sink).filter(~F.col("late") & (F.col("batch_id") < batch_id))
+            known = known.filter(F.col("event_time").isNull() | (F.col("event_time") >= mark)).select(*EVENT_KEY)
+            punctual = rows.filter(~F.col("late")).alias("a").join(known.alias("b"), _same_event("a", "b"), "left_anti")
+            rows = punctual.unionByName(rows.filter("late"))
+        else:
+            rows = rows.withColumn("late", F.lit(False))
+        path = f"{sink}/events/batch_id={batch_id}"
+        rows.write.mode("overwrite").partitionBy("late").parquet(path)
+        written = spark.read.schema(batch.schema).parquet(path).agg(F.greatest(F.max("event_time"), F.lit(newest)).alias("newest"))
+        written.write.mode("overwrite").parquet(f"{sink}/marks/batch_id={batch_id}")
+
+    w = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def read_event_log(spark: SparkSession, sink: str) -> DataFrame:
+    """What :func:`start_event_log` wrote, with ``late`` and ``batch_id``."""
+    # Folder names are texts or numbers for the reader.
+    return spark.read.parquet(f"{sink}/events").withColumn("late", F.col("late").cast("boolean"))
+
+
+def merge_late(log: DataFrame) -> DataFrame:
+    """The whole event log once: punctual events, and those late ones that no other event equals."""
+    late = dedupe_events(log.filter("late"))
+    new = late.alias("a").join(log.filter("NOT late").select(*EVENT_KEY).alias("b"), _same_event("a", "b"), "left_anti")
+    return log.filter("NOT late").unionByName(new)
 
 
 def run_state_aggregate(events: DataFrame) -> DataFrame:
     """M3 + M4 as one aggregate (valid on batch and streaming frames)."""
-    metric = F.col("event") == "metric"
-    terminal = F.col("event").isin("error", "done", "cancelled")
-    agg = events.groupBy("run_id").agg(
-        *newest_metric(F.when(metric, F.col("ts"))),
-        F.max_by(F.col("total_steps"), F.when(metric & (F.col("total_steps") > 0), F.col("ts"))).alias("_total"),
-        F.max_by(F.col("event"), F.when(terminal, F.col("ts"))).alias("_last"),
-        F.max_by(F.col("returncode"), F.when(F.col("event") == "process_exit", F.col("ts"))).alias("_code"),
-        F.max(F.when(F.col("event") == "process_exit", F.col("ts"))).alias("_exit_ts"),
-        F.max_by(F.col("message"), F.when(F.col("event") == "error", F.col("ts"))).alias("_err"),
-        F.max("ts").alias("last_ts"),
-    )
-    total = F.coalesce(F.col("_total"), F.lit(0))
-    step = F.coalesce(F.col("_step"), F.lit(0))
-    status = (
-        F.when(F.col("_last") == "cancelled", "cancelled")
-        .when(F.col("_exit_ts").isNotNull() & (F.col("_code") == 0), "completed")
-        .when(F.col("_exit_ts").isNotNull(), "failed")
-        .when(F.col("_last") == "error", "failed")
-        .when(F.col("_last") == "done", "completed")
-        .otherwise("running")
-    )
-    return agg.select(
-        "run_id",
-        F.col("_step").alias("current_step"),
-        F.col("_epoch").alias("current_epoch"),
-        total.cast("bigint").alias("total_steps"),
-        *[F.col(f"_m_{c}").alias(c) for c in METRIC_FIELDS],
-        F.round(F.when(total > 0, F.least(F.lit(100.0), step * 100.0 / total)).otherwise(F.lit(0.0)), 4).alias(
-            "progress_pct"
-        ),
-        status.alias("status"),
-        F.when(F.col("_last") == "error", F.coalesce(F.col("_err"), F.lit("Unknown training error")))
-        .otherwise(F.col("_err"))
-        .alias("error_message"),
-        "last_ts",
+    at = event_order()
+    agg = events.withColumn("_at", at).withColumn("_metric_at", F.when(F.col("event") == "metric", at)).groupBy("run_id").agg(
+        *newest_metric(F.col("_metric_at")), *status_folds(F.col("_at")), F.max("ts").alias("last_ts")
     )
+    return agg.select("run_id", *state_columns(), *status_columns(), "last_ts")
 
 
 def start_run_state(events: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -111,32 +142,86 @@ def read_run_state(spark: SparkSession, sink: str) -> DataFrame:
     return read_latest_updates(spark, sink, ["run_id"])
 
 
-def _alerts(key, batches: Iterator, state) -> Iterator:
-    import pandas as pd
-
-    prev = state.get[0] if state.exists else None
-    frames = [b for b in batches if not b.empty]
-    rows = []
-    if frames:
-        pts = pd.concat(frames).sort_values("ts", kind="mergesort")
-        for step, ts, g in zip(pts["step"], pts["ts"], pts["grad_norm"]):
-            g = None if pd.isna(g) else float(g)
-            if g is not None:
-                if g > EXPLOSION_ABS and (prev is None or g > prev * EXPLOSION_RATIO):
-                    rows.append((key[0], int(step), float(ts), g, "explosion"))
-                elif g < VANISHING_ABS:
-                    rows.append((key[0], int(step), float(ts), g, "vanishing"))
-            prev = g
-        state.update((prev,))
-    yield pd.DataFrame(rows, columns=["run_id", "step", "ts", "grad_norm", "alert"])
-
-
-def grad_alert_stream(events: DataFrame) -> DataFrame:
-    """M6 streaming: compare each point with the previous one of its run."""
-    pts = events.filter(F.col("event") == "metric").select(
-        "run_id", F.coalesce(F.col("step"), F.lit(0)).cast("bigint").alias("step"), "ts", "grad_norm"
+POINT_STATE = "step long, ts double, grad_norm double"
+POINT_SCHEMA = "run_id long, bucket long, step long, ts double, grad_norm double, grad_norm_prev double, first boolean, last boolean"
+
+
+class HourOfPoints(StatefulProcessor):
+    """Holds a run's points of one bucket of time; gives them out in order once the watermark has passed it.
+
+    Of the points that no alert can come from only the edges are given out.
+    """
+
+    def __init__(self, width: float):
+        self.width = width
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", POINT_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            got = pdf[["step", "ts", "grad_norm"]].astype(object).where(pdf[["step", "ts", "grad_norm"]].notna(), None)
+            self.points.appendList(list(got.itertuples(index=False, name=None)))
+        self.handle.registerTimer(int((key[1] + 1) * self.width * 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.points.get()), columns=["step", "ts", "grad_norm"])
+        self.points.clear()
+        held = held.astype({"step": "int64", "ts": "float64", "grad_norm": "float64"}).sort_values(["ts", "step"], kind="stable", ignore_index=True)
+        held.insert(0, "bucket", key[1])
+        held.insert(0, "run_id", key[0])
+        held["grad_norm_prev"] = held["grad_norm"].shift()
+        held["first"], held["last"] = held.index == 0, held.index == len(held) - 1
+        yield held.astype({"grad_norm": object, "grad_norm_prev": object}).where(held.notna(), None)
+
+    def close(self) -> None:
+        pass
+
+
+def point_stream(events: DataFrame, delay: str = "10 minutes", width: float = POINT_SECONDS) -> DataFrame:
+    """M6 streaming: every point with the one before it in its bucket of time, and the buckets' edges.
+
+    Points are given out when the watermark passes the end of their bucket;
+    those that come more than ``delay`` behind the newest event are left to
+    the late side of :func:`start_event_log`. A point that no one follows
+    and that can't alert inside its bucket stays behind.
+    """
+    pts = events.withWatermark("event_time", delay).filter(F.col("event") == "metric").select(
+        "run_id", F.floor(F.col("ts") / F.lit(width)).cast("bigint").alias("bucket"), "event_time",
+        F.coalesce(F.col("step"), F.lit(0)).cast("bigint").alias("step"), "ts", "grad_norm",
+    )
+    out = pts.groupBy("run_id", "bucket").transformWithStateInPandas(
+        statefulProcessor=HourOfPoints(width), outputStructType=POINT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
-    return pts.groupBy("run_id").applyInPandasWithState(_alerts, ALERT_SCHEMA, ALERT_STATE, "append", "NoTimeout")
+    alert = alert_of(F.col("grad_norm"), F.col("grad_norm_prev"))
+    return out.filter(F.col("first") | F.col("last") | alert.isNotNull())
+
+
+def start_grad_alerts(
+    events: DataFrame, sink: str, checkpoint: str, delay: str = "10 minutes", width: float = POINT_SECONDS, available_now: bool = False
+) -> StreamingQuery:
+    """M6: run :func:`point_stream` into a Parquet folder; :func:`read_grad_alerts` reads the alerts."""
+    conf = events.sparkSession.conf
+    before = conf.get(STATE_PROVIDER)
+    conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        return start_to_table(point_stream(events, delay, width), sink, checkpoint, available_now=available_now)
+    finally:
+        conf.set(STATE_PROVIDER, before)
+
+
+def read_grad_alerts(spark: SparkSession, sink: str) -> DataFrame:
+    """Alerts of all closed buckets: those inside a bucket as they are, the first
+    point of a bucket against the last one of the run's bucket before."""
+    got = spark.read.parquet(sink)
+    edge = got.filter(F.col("first") | F.col("last"))
+    over = Window.partitionBy("run_id").orderBy("bucket", F.col("first").desc())
+    first = edge.withColumn("grad_norm_prev", F.lag("grad_norm").over(over)).filter("first")
+    rows = got.filter("NOT first").unionByName(first)
+    kind = alert_of(F.col("grad_norm"), F.col("grad_norm_prev"))
+    return rows.select("run_id", "step", "ts", "grad_norm", kind.alias("alert")).filter(F.col("alert").isNotNull())
 
 
 def start_router(events: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
