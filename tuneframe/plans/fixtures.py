@@ -202,6 +202,20 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all statuses: run (user, day of the week) with queued, preparing, cancelled and exit events among the others."""
+    ev = run_events(spark, sf_dir)
+    n = F.col("step") % 23
+    kind = F.when(n == 0, "queued").when(n == 1, "preparing").when(n == 2, "started").when(n == 3, "cancelled")
+    kind = kind.when(n.isin(4, 5), "process_exit").when(n == 6, "done").otherwise(F.col("event"))
+    lines = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.col("step") % 60), lambda i: F.concat(i.cast("string"), F.lit("\n"))))
+    out = ev.withColumn("run_id", F.col("run_id") * 7 + F.col("step") % 7).withColumn("event", kind)
+    out = out.withColumn("returncode", F.when(n == 4, (F.col("step") % 2).cast("int")).when((n == 5) & (F.col("step") % 3 > 0), F.lit(0)))
+    out = out.withColumn("message", F.when((F.col("event") == "error") & (F.col("step") % 4 > 0), F.concat(F.lit("e"), F.col("step"))))
+    out = out.withColumn("message", F.when((F.col("event") == "error") & (F.col("step") % 8 == 0), F.lit("")).otherwise(F.col("message")))
+    return out.withColumn("output", F.when((n < 6) & (F.col("step") % 5 > 0) & (F.col("step") % 60 > 0), lines))
+
+
 # ------------------------------------------------------------ catalog, sizing
 
 BASE_TS = "2024-01-01 00:00:00"
@@ -333,6 +347,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(8 * 1024**3).cast("bigint").alias("memory_total_bytes"),
             F.when((eid % 3 == 0) & F.lit(i == 1), F.lit(None).cast("double")).otherwise(v * 1000.0).alias("power_mw"),
             (F.lit(30.0) + v / 10.0).alias("temperature_c"),
+            F.when(eid % 5 > 0, F.lit(350000)).alias("power_limit_mw"),
+            F.when(eid % 7 > 0, (eid % 100).cast("int")).alias("fan_speed_pct"),
         )
 
     return e.select(
@@ -341,5 +357,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v / 5.0).alias("cpu_pct"),
         F.lit(64 * 1024**3).cast("bigint").alias("ram_total"),
         (F.lit(64 * 1024**3) - (v * 1e8).cast("bigint")).cast("bigint").alias("ram_available"),
+        (eid * 1000000).alias("disk_used"),
+        F.lit(2 * 1024**4).cast("bigint").alias("disk_total"),
         F.when(eid % 2 == 0, F.array(gpu(0))).otherwise(F.array(gpu(0), gpu(1))).alias("gpus"),
     )

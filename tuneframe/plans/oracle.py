@@ -17,6 +17,26 @@ def _lit(s: str) -> str:
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in WS_CHARS) + ")"
 CTRL = "'[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'"
 
+# Hashed trigrams of every text, weights of the sample, scores of every text.
+LANGID = r"""
+WITH texts AS (SELECT doc_id, lang, ' ' || regexp_replace(lower(text), '[\x09-\x0D\x20]+', ' ', 'g') || ' ' AS s FROM documents),
+codes AS (SELECT doc_id, list_transform(string_split(s, ''), lambda c: unicode(c)) AS k FROM texts WHERE s IS NOT NULL),
+grams AS (SELECT doc_id, cell, count(*) AS c FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(k) - 1), lambda i: (k[i] * 92821 + k[i + 1] * 486187 + k[i + 2]) % 262144)) AS cell FROM codes)
+  GROUP BY doc_id, cell),
+fitted AS (SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), s) AS r
+  FROM texts WHERE lang IS NOT NULL AND s IS NOT NULL) WHERE r <= 100),
+counts AS (SELECT lang, cell, sum(c) AS c FROM grams JOIN fitted USING (doc_id) GROUP BY lang, cell),
+langs AS (SELECT lang, sum(c) AS n, (SELECT count(DISTINCT cell) FROM counts) AS v FROM counts GROUP BY lang),
+priors AS (SELECT lang, floor(1000 * ln(count(*) / (SELECT count(*) FROM fitted)::DOUBLE)) AS prior FROM fitted GROUP BY lang),
+weights AS (SELECT a.cell, l.lang, floor(1000 * (ln(coalesce(c.c, 0) + 1) - ln(l.n + l.v))) AS w
+  FROM (SELECT DISTINCT cell FROM counts) a, langs l LEFT JOIN counts c ON c.cell = a.cell AND c.lang = l.lang),
+scores AS (SELECT doc_id, w.lang, sum(g.c * w.w) + any_value(p.prior) AS score FROM grams g JOIN weights w USING (cell) JOIN priors p ON p.lang = w.lang
+  GROUP BY doc_id, w.lang),
+best AS (SELECT doc_id, lang, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM scores),
+detected AS (SELECT d.doc_id AS idx, b.lang AS language, CAST(b.score AS BIGINT) AS score FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND r = 1)
+"""
+
 DIRTY = """
 dirty AS (
   SELECT conv_id, turn,
@@ -376,6 +396,9 @@ devices AS (
   SELECT e.ts, e.user_id % 8 AS host, g.i AS device, 'GPU-' || g.i AS name, e.value / 5.0 + g.i AS utilization_pct,
          CAST(trunc(e.value * 1e7) AS BIGINT) / 1048576 AS memory_used_mib, CAST(8192 AS DOUBLE) AS memory_total_mib,
          CASE WHEN e.event_id % 3 = 0 AND g.i = 1 THEN NULL ELSE e.value * 1000.0 / 1000.0 END AS power_w,
+         CASE WHEN e.event_id % 5 > 0 THEN CAST(350 AS DOUBLE) END AS power_limit_w,
+         CASE WHEN e.event_id % 7 > 0 THEN CAST(e.event_id % 100 AS DOUBLE) END AS fan_speed_pct,
+         e.event_id * 1000000 / 1073741824 AS disk_used_gb, CAST(2048 AS DOUBLE) AS disk_total_gb,
          30.0 + e.value / 10.0 AS temperature_c, e.value / 5.0 AS cpu_pct,
          CAST(trunc(e.value * 1e8) AS BIGINT) / 1073741824 AS ram_used_gb, CAST(64 AS DOUBLE) AS ram_total_gb
   FROM events e, (SELECT unnest([0, 1]) AS i) g
@@ -533,6 +556,21 @@ SELECT
   false AS shuffled,
   (SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch) AS output_count"""
 
+    in_ds = "WHERE idx % 10 = ds.dataset"
+    q["repair_summary_by_dataset"] = repair_sql(200, 2) + f""",
+ds AS (SELECT DISTINCT idx % 10 AS dataset FROM fo)
+SELECT dataset,
+  (SELECT CAST(count(*) AS BIGINT) FROM fo {in_ds}) AS input_count,
+  (SELECT CAST(count_if(first_ok IS NULL OR first_ok > 1) AS BIGINT) FROM fo {in_ds}) AS roles_fixed,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT idx FROM isl GROUP BY idx HAVING max(g) < count(*)) {in_ds}) AS merged_turns,
+  (SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) FROM ch {in_ds}) AS duplicates_removed,
+  (SELECT CAST(count(*) AS BIGINT) FROM fo {in_ds}) - (SELECT CAST(count(*) AS BIGINT) FROM keep {in_ds}) AS empty_responses_removed,
+  (SELECT CAST(count_if(cut) AS BIGINT) FROM r4 {in_ds}) AS turns_truncated,
+  (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT idx, count(DISTINCT chunk) AS c FROM r5 GROUP BY idx) {in_ds}) AS examples_split,
+  false AS shuffled,
+  (SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch {in_ds}) AS output_count
+FROM ds"""
+
     fx = "WITH " + FORMATS_SQL.format(ws=WS) + "\n"
     q["detect_format"] = fx + """
 SELECT dataset, coalesce(bvote, 'unknown') AS format,
@@ -728,6 +766,22 @@ SELECT repo_id, param_count,
        NOT (24.0 >= 0.75 * b) AS load_in_4bit,
        b >= 3 AS gradient_checkpointing
 FROM (SELECT repo_id, param_count, param_count / 1e9 AS b FROM models WHERE param_count IS NOT NULL)"""
+    q["fit_estimates"] = cat + """,
+ld AS (SELECT host, device, arg_max(struct_pack(u := memory_used_mib, t := memory_total_mib), ts) AS l
+       FROM devices GROUP BY host, device),
+free AS (SELECT host, device, (l.t - l.u) / 1024.0 AS free_gb FROM ld)
+SELECT repo_id, method, dtype, total_estimated_gb, CAST(count(free_gb) AS BIGINT) AS devices_that_fit, min(free_gb) AS smallest_free_gb
+FROM vram LEFT JOIN free ON vram.total_estimated_gb <= free.free_gb
+GROUP BY repo_id, method, dtype, total_estimated_gb"""
+    q["hparams_chosen"] = cat + """
+SELECT repo_id, param_count, m AS method,
+       CASE WHEN b <= 1.5 THEN 8 WHEN b <= 4 THEN 16 WHEN b <= 9 THEN 32 ELSE 64 END AS lora_r,
+       2 * CASE WHEN b <= 1.5 THEN 8 WHEN b <= 4 THEN 16 WHEN b <= 9 THEN 32 ELSE 64 END AS lora_alpha,
+       CASE WHEN b <= 4 THEN 2e-4 WHEN b <= 9 THEN 1e-4 ELSE 5e-5 END AS learning_rate,
+       1 AS per_device_train_batch_size, 8 AS gradient_accumulation_steps, m = 'qlora' AS load_in_4bit, b >= 3 AS gradient_checkpointing
+FROM (SELECT repo_id, param_count, param_count / 1e9 AS b, CASE param_count % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'qlora'
+        ELSE CASE WHEN 16.0 >= 4 * param_count / 1e9 THEN 'full' WHEN 16.0 >= 0.75 * param_count / 1e9 THEN 'lora' ELSE 'qlora' END END AS m
+      FROM models WHERE param_count IS NOT NULL)"""
     q["telemetry_devices"] = cat + f"SELECT * REPLACE (strftime(ts, {F_TS}) AS ts) FROM devices"
     q["latest_devices"] = cat + f"""
 SELECT host, device, strftime(l.ts, {F_TS}) AS ts, l.u AS utilization_pct, l.p AS power_w, l.r AS ram_used_gb
@@ -742,14 +796,38 @@ FROM rollup"""
     q["telemetry_rollup"] = cat + roll
     q["stream_telemetry_rollup"] = q["telemetry_rollup"]
     q["stream_grad_alerts"] = q["grad_anomaly"]
+    q["stream_late_events"] = rv + """,
+arrived AS (SELECT max(ts) AS newest FROM run_events WHERE step % 50 <> 7)
+SELECT run_id, event, CAST(step AS BIGINT) AS step, ts, step % 50 = 7 AND ts < newest - 97200 AS late FROM run_events, arrived"""
+    # The status machine, event by event in the order of time.
+    q["run_status_lifecycle"] = rv + """,
+life AS (SELECT run_id * 7 + step % 7 AS run_id, ts, step, step % 23 AS n,
+  CASE step % 23 WHEN 0 THEN 'queued' WHEN 1 THEN 'preparing' WHEN 2 THEN 'started' WHEN 3 THEN 'cancelled' WHEN 4 THEN 'process_exit'
+    WHEN 5 THEN 'process_exit' WHEN 6 THEN 'done' ELSE event END AS k FROM run_events),
+ev AS (SELECT run_id, ts, step, {'k': k, 'c': CAST(CASE WHEN n = 4 THEN step % 2 WHEN step % 3 > 0 THEN 0 ELSE 1 END AS BIGINT),
+    'g': CASE WHEN step % 8 = 0 THEN '' WHEN step % 4 = 0 THEN 'Unknown training error' ELSE 'e' || step END,
+    't': CASE WHEN step % 5 > 0 AND step % 60 > 0
+         THEN array_to_string(list_transform(range(greatest(1, step % 60 - 49), step % 60 + 1), lambda i: i || chr(10)), '')
+         ELSE 'Worker process exited with an error.' END,
+    's': '', 'm': CAST(NULL AS VARCHAR)} AS rec FROM life),
+done AS (SELECT run_id, list_reduce(list(rec ORDER BY ts, step), lambda a, x: {'k': x.k, 'c': x.c, 'g': x.g, 't': x.t,
+    's': CASE WHEN x.k IN ('queued', 'preparing', 'cancelled') THEN x.k WHEN x.k = 'started' THEN 'running' WHEN x.k = 'error' THEN 'failed'
+         WHEN x.k = 'done' THEN 'completed' WHEN x.k = 'process_exit' AND a.s <> 'cancelled' THEN CASE x.c WHEN 0 THEN 'completed' ELSE 'failed' END
+         ELSE a.s END,
+    'm': CASE WHEN x.k = 'error' THEN x.g
+         WHEN x.k = 'process_exit' AND a.s <> 'cancelled' AND x.c <> 0 AND coalesce(a.m, '') = '' THEN x.t ELSE a.m END},
+  {'k': '', 'c': CAST(0 AS BIGINT), 'g': '', 't': '', 's': 'running', 'm': CAST(NULL AS VARCHAR)}) AS f FROM ev GROUP BY run_id)
+SELECT run_id, f.s AS status, f.m AS error_message FROM done"""
     q["stream_run_state"] = rv + ",\nls AS (" + q["latest_state"][len(rv):] + "),\nrs AS (" + q["run_status"][len(rv):] + """)
 SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.status FROM ls JOIN rs USING (run_id)"""
 
-    q["langid_documents"] = "SELECT doc_id AS idx, lang AS language FROM documents"
-    q["lang_distribution"] = f"""
-WITH h AS (SELECT lang FROM documents WHERE length(trim(text, {WS})) >= 8)
-SELECT lang AS language, CAST(count(*) AS BIGINT) AS n, (SELECT CAST(count(*) AS BIGINT) FROM h) AS sampled
-FROM h GROUP BY lang"""
+    q["langid_documents"] = f"{LANGID} SELECT idx, language, score FROM detected"
+    for name, by in (("lang_distribution", ""), ("lang_distribution_by_source", "source, ")):
+        over = "PARTITION BY source" if by else ""
+        q[name] = f"""{LANGID}, h AS (SELECT {by}language FROM detected JOIN documents ON doc_id = idx
+  WHERE language IS NOT NULL AND length(trim(text, {WS})) >= 8)
+SELECT {by}language, CAST(count(*) AS BIGINT) AS n, CAST(sum(count(*)) OVER ({over}) AS BIGINT) AS sampled
+FROM h GROUP BY {by}language"""
 
     q["generation_prompts"] = """
 SELECT conv_id AS idx, 'system: You are helpful.' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)
@@ -761,6 +839,27 @@ vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS
 cw AS (SELECT DISTINCT unnest({cw}) AS token FROM conversations)
 SELECT CAST(id AS BIGINT) AS id, token, false AS is_special FROM vocab JOIN cw USING (token)""".format(
         w=_words("text"), cw=_words("text"))
+    q["token_lookup"] = """
+WITH dw AS (SELECT unnest({w}) AS token FROM documents),
+vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id FROM dw GROUP BY token),
+cw AS (SELECT conv_id, turn, unnest({cw}) AS token, unnest(range(len({cw}))) AS pos FROM conversations)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token, CAST(id AS BIGINT) AS id FROM cw LEFT JOIN vocab USING (token)""".format(
+        w=_words("text"), cw=_words("text"))
+    chatml = """string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)"""
+    q["chat_template"] = f"""
+SELECT conv_id AS idx, {chatml} || '<|im_start|>assistant' || chr(10) AS prompt,
+       CAST(octet_length(encode({chatml} || '<|im_start|>assistant' || chr(10))) AS BIGINT) AS n_tokens,
+       hex(encode({chatml} || '<|im_start|>assistant' || chr(10))) AS ids
+FROM conversations GROUP BY conv_id"""
+    # Pairs of turns: a user's with the assistant's after it, the system text inside the first.
+    q["chat_template_inst"] = f"""
+WITH t AS (SELECT conv_id, turn, role, text, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS fu,
+             first_value(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS sys FROM conversations)
+SELECT conv_id AS idx, string_agg(CASE role
+    WHEN 'user' THEN '<s>[INST] ' || CASE WHEN turn = fu AND sys IS NOT NULL THEN '<<SYS>>' || chr(10) || sys || chr(10) || '<</SYS>>' || chr(10) || chr(10)
+      ELSE '' END || trim(text, {WS}) || ' [/INST]'
+    WHEN 'assistant' THEN ' ' || trim(text, {WS}) || ' </s>' ELSE '' END, '' ORDER BY turn) AS prompt
+FROM t GROUP BY conv_id"""
     q["limit_tokens"] = f"""
 SELECT conv_id, turn, CAST(len(list_slice({_words("text")}, 1, 16)) AS BIGINT) AS n_tokens,
        list_slice({_words("text")}, 1, 16)[-1] AS last_token
@@ -785,4 +884,36 @@ SELECT CAST(dense_rank() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS file_idx,
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, text AS content
 FROM conversations"""
     q["validate_by_dataset"] = fx + VALIDATE_BY_DATASET.format(ws=WS, ctrl=CTRL) + "\n" + report_by_dataset()
+    q["ingest_registry"] = f"""
+WITH {DIRTY}
+SELECT 'dirty-1' AS job_id, 'dirty' AS name, 'chatml' AS format, CAST(1 AS DOUBLE) AS confidence,
+       CAST(count(DISTINCT conv_id) AS BIGINT) AS row_count, CAST(NULL AS VARCHAR) AS repaired_from FROM dirty
+UNION ALL
+SELECT 'docs-1', 'docs', 'raw_text', CAST(1 AS DOUBLE), CAST(count(*) AS BIGINT), NULL
+FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents) WHERE trim(line, {WS}) <> ''"""
+    q["ingest_report"] = f"""
+WITH p AS ({q["profile"]}), v AS ({q["validation_report"]})
+SELECT category, "count", issues_found, num_examples_checked, quality_score, duplicate_examples, entropy_score, avg_turns FROM v, p"""
+    q["repair_registry"] = f"""
+SELECT 'dirty-2' AS job_id, 'dirty (repaired)' AS name, 'chatml' AS format, output_count AS row_count, 'dirty-1' AS repaired_from,
+       input_count, roles_fixed, merged_turns, duplicates_removed, empty_responses_removed, turns_truncated, examples_split, output_count,
+       output_count AS num_examples, CAST(0 AS BIGINT) AS duplicate_examples FROM ({q["repair_summary"]})"""
+    q["json_documents"] = """
+SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'user' AS role,
+       '{"source" : "' || source || '",  "doc_id":' || doc_id || ', "a": [1,  2]}' AS content FROM documents"""
+    q["strict_records"] = """
+SELECT CAST(dense_rank() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS file_idx,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, text AS content FROM conversations"""
+    q["norm_errors"] = """
+SELECT conv_id AS idx, conv_id % 8 IN (0, 3, 5) AS norm_error, CASE WHEN conv_id % 8 IN (0, 3, 5) THEN NULL ELSE 0 END AS n_messages
+FROM (SELECT DISTINCT conv_id FROM conversations)"""
+    life = q["run_status_lifecycle"][: q["run_status_lifecycle"].index("ev AS (")].rstrip().rstrip(",")
+    q["event_routes"] = life + """
+SELECT run_id, k AS route, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts FROM life GROUP BY run_id, k"""
+    q["prepare_objectives"] = f"""
+SELECT 'sft' AS objective, split AS part, CAST(count(*) AS BIGINT) AS n FROM ({q["train_eval_split"]}) GROUP BY split
+UNION ALL SELECT 'dpo', 'pair', CAST(count(*) AS BIGINT) FROM ({q["preference_triples"]})
+UNION ALL SELECT 'kto', CAST(label AS VARCHAR), CAST(count(*) AS BIGINT) FROM ({q["kto_unpivot"]}) GROUP BY label"""
+    q["profile_languages"] = f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS num_examples, language, n FROM ({q["lang_distribution"]})"""
     return q

@@ -386,6 +386,12 @@ def q_run_status(spark, sf):
     return M.run_status(X.run_events(spark, sf))
 
 
+@register("run_status_lifecycle")
+def q_run_status_lifecycle(spark, sf):
+    """M4 with queued, preparing, cancelled and exits between the worker's own events."""
+    return M.run_status(X.run_lifecycle(spark, sf))
+
+
 @register("grad_anomaly")
 def q_grad_anomaly(spark, sf):
     return M.grad_alerts(X.run_events(spark, sf)).select("run_id", "step", "grad_norm", "alert")
@@ -542,17 +548,34 @@ def q_vram(spark, sf):
 @register("fit_tiers")
 def q_fit(spark, sf):
     v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
-    return Z.smallest_fit(v, Z.tiers(spark)).select("repo_id", "method", "dtype", "total_estimated_gb", "smallest_tier_gb")
+    return Z.smallest_fit(v).select("repo_id", "method", "dtype", "total_estimated_gb", "smallest_tier_gb")
+
+
+def _fleet(spark, sf):
+    return G.latest_devices(G.device_rows(X.telemetry(spark, sf)))
 
 
 @register("fit_hosts")
 def q_fit_hosts(spark, sf):
     v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
-    dev = G.latest_devices(G.device_rows(X.telemetry(spark, sf)))
-    out = Z.fit_hosts(v, dev)
-    return out.groupBy("host", "device", "method", "dtype").agg(
-        F.count(F.lit(1)).alias("models_that_fit"), F.max("param_count").alias("largest_param_count")
-    )
+    out = Z.fit_devices(v, _fleet(spark, sf)).filter("models_that_fit > 0")
+    return out.select("host", "device", "method", "dtype", "models_that_fit", "largest_param_count")
+
+
+@register("fit_estimates")
+def q_fit_estimates(spark, sf):
+    """Z4 per estimate: the devices that hold it and the smallest of them."""
+    v = Z.vram_matrix(_models(spark, sf), Z.method_dtype_grid())
+    out = Z.fit_hosts(v, _fleet(spark, sf))
+    return out.select("repo_id", "method", "dtype", "total_estimated_gb", "devices_that_fit", "smallest_free_gb")
+
+
+@register("hparams_chosen")
+def q_hparams_chosen(spark, sf):
+    """Z5 with the method given for two models of three."""
+    m = _models(spark, sf).filter(F.col("param_count").isNotNull()).select("repo_id", "param_count")
+    given = F.when(F.col("param_count") % 3 == 0, "full").when(F.col("param_count") % 3 == 1, "qlora")
+    return Z.suggest_hyperparams(m, F.lit(16.0), given).drop("rationale")
 
 
 @register("hparams")
@@ -624,8 +647,25 @@ def q_stream_run_state(spark, sf):
 
 @register("stream_grad_alerts")
 def q_stream_grad_alerts(spark, sf):
-    out = _two_deliveries(spark, sf, lambda ev, o, ck: ST.start_to_table(ST.grad_alert_stream(ev), o, ck))
-    return spark.read.parquet(out).select("run_id", "step", "grad_norm", "alert")
+    """M6 on a stream: the log in shuffled files, then one event far ahead that closes all buckets."""
+    src, ck, out = _scratch(spark, "events"), _scratch(spark, "ckpt"), _scratch(spark, "out")
+    ev = X.run_events(spark, sf)
+    closing = ev.filter("event = 'metric'").orderBy(F.col("ts").desc()).limit(1).withColumn("ts", F.col("ts") + 400 * 86400.0)
+    for part in (ev.repartition(8, F.xxhash64("step")), closing):
+        part.write.mode("append").partitionBy("run_id").json(src)
+        ST.start_grad_alerts(ST.stream_events(spark, src), out, ck, "365 days", 30 * 86400.0, available_now=True).awaitTermination()
+    return ST.read_grad_alerts(spark, out).select("run_id", "step", "grad_norm", "alert")
+
+
+@register("stream_late_events")
+def q_stream_late_events(spark, sf):
+    """M10 on a stream: every 50th event comes again or only after the newest one, up to a day and more late."""
+    src, ck, out = _scratch(spark, "events"), _scratch(spark, "ckpt"), _scratch(spark, "out")
+    ev = X.run_events(spark, sf)
+    for part in (ev.filter("step % 50 <> 7"), ev.filter("step % 50 IN (7, 8)")):
+        part.write.mode("append").partitionBy("run_id").json(src)
+        ST.start_event_log(ST.stream_events(spark, src), out, ck, "27 hours", available_now=True).awaitTermination()
+    return ST.merge_late(ST.read_event_log(spark, out)).select("run_id", "event", "step", "ts", "late")
 
 
 @register("stream_telemetry_rollup")
@@ -652,15 +692,20 @@ def _doc_texts(spark, sf):
 @register("langid_documents")
 def q_langid(spark, sf):
     docs = _doc_texts(spark, sf)
-    model = LI.fit_langid(docs)
-    return LI.detect_languages(docs, model, LI.language_table(docs, model)).select("idx", "language")
+    return LI.detect_languages(docs, LI.fit_langid(docs))
 
 
 @register("lang_distribution")
 def q_lang_distribution(spark, sf):
     docs = _doc_texts(spark, sf)
-    model = LI.fit_langid(docs)
-    return LI.language_distribution(docs, model, LI.language_table(docs, model))
+    return LI.language_distribution(docs, LI.fit_langid(docs))
+
+
+@register("lang_distribution_by_source")
+def q_lang_distribution_by_source(spark, sf):
+    """T9 with ``by``: the languages of every source."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text", "lang", "source")
+    return LI.language_distribution(docs, LI.fit_langid(docs), by=["source"])
 
 
 # ---------------------------------------------------------------- remaining K, P, V by dataset
@@ -683,6 +728,35 @@ def q_vocab_lookup(spark, sf):
     return K.lookup_ids(vocab, ids).select("id", "token", "is_special")
 
 
+@register("token_lookup")
+def q_token_lookup(spark, sf):
+    """K9 the other way: every word of the conversations with its id, null where the vocabulary hasn't it."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text")
+    vocab = K.build_vocabulary(docs, specials=["<pad>", "<eos>"])
+    words = X.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(K.words(F.col("text"))).alias("pos", "token"))
+    return K.lookup_tokens(vocab, words).select("conv_id", "turn", "pos", "token", "id")
+
+
+def _bytes_encoder():
+    return lambda text: list(text.encode())
+
+
+@register("chat_template")
+def q_chat_template(spark, sf):
+    """K1 by a template and K8 by a plug-in tokenizer, here one id per byte."""
+    m = N.fold_turns(X.table(spark, sf, "conversations"))
+    out = K.encoded_prompts(m, K.tokenizer_udf(_bytes_encoder), K.CHATML, generation_prompt=True)
+    as_hex = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2, "0")), "")
+    return out.select("idx", "prompt", F.size("ids").cast("bigint").alias("n_tokens"), as_hex.alias("ids"))
+
+
+@register("chat_template_inst")
+def q_chat_template_inst(spark, sf):
+    """K1 by a template that puts the system text into the first user turn."""
+    m = N.fold_turns(X.table(spark, sf, "conversations"))
+    return m.select("idx", K.render(F.col("messages"), template=K.INST).alias("prompt"))
+
+
 @register("limit_tokens")
 def q_limit_tokens(spark, sf):
     c = X.table(spark, sf, "conversations").select("conv_id", "turn", K.words(F.col("text")).alias("tokens"))
@@ -787,3 +861,139 @@ def q_preview_chat(spark, sf):
     head = preview(read_jsonl(spark, path), 20)
     out = N.explode_messages(N.to_messages(head, "chatml"))
     return out.select(F.col("idx").alias("file_idx"), "pos", "role", "content")
+
+
+# ---------------------------------------------------------------- jobs, routes, strict and broken records
+
+
+def _ingest_dirty(spark, sf):
+    """The dirty conversations as a JSONL file, ingested twice by one job: ``(data, registry)`` folders."""
+    from tuneframe.jobs import ingest
+
+    src, data, registry = (_scratch(spark, n) for n in ("dirty-jsonl", "datasets", "registry"))
+    lines = _dirty_msgs(spark, sf).orderBy("idx").select(F.to_json(F.struct("messages")).alias("value"))
+    lines.write.text(src)
+    for _ in range(2):
+        ingest(spark, src, data, registry, "dirty-1", "dirty", ".jsonl")
+    return data, registry
+
+
+@register("ingest_registry")
+def q_ingest_registry(spark, sf):
+    """Two files of different kinds ingested; a rerun of a job adds no row."""
+    from tuneframe.jobs import ingest
+    from tuneframe.sources.readers import read_registry
+
+    data, registry = _ingest_dirty(spark, sf)
+    src = _scratch(spark, "docs-txt")
+    X.table(spark, sf, "documents").orderBy("doc_id").select("text").write.text(src)
+    ingest(spark, src, data, registry, "docs-1", "docs", "txt")
+    return read_registry(spark, registry).select("job_id", "name", "format", "confidence", "row_count", "repaired_from")
+
+
+@register("ingest_report")
+def q_ingest_report(spark, sf):
+    """T10 and V8 as the registry holds them."""
+    from tuneframe.sources.readers import read_registry
+
+    _, registry = _ingest_dirty(spark, sf)
+    stats = F.from_json("stats_json", "quality_score double, duplicate_examples long, entropy_score double, avg_turns double")
+    report = F.from_json("report_json", "issues_found long, num_examples_checked long, categories array<struct<category:string,count:long>>")
+    row = read_registry(spark, registry).select(stats.alias("s"), report.alias("r"))
+    return row.select("s.*", "r.issues_found", "r.num_examples_checked", F.explode("r.categories").alias("c")).select(
+        "c.category", "c.count", "issues_found", "num_examples_checked", "quality_score", "duplicate_examples", "entropy_score", "avg_turns")
+
+
+@register("repair_registry")
+def q_repair_registry(spark, sf):
+    """The repaired dataset, written, described and registered; run twice."""
+    from tuneframe.jobs import repair_dataset
+    from tuneframe.sources.readers import read_registry
+
+    data, registry = _ingest_dirty(spark, sf)
+    for _ in range(2):
+        repair_dataset(spark, registry, "dirty-1", data, "dirty-2", REPAIR_OPTS)
+    summary = F.from_json("repair_json", "input_count long, roles_fixed long, merged_turns long, duplicates_removed long, "
+                          "empty_responses_removed long, turns_truncated long, examples_split long, output_count long")
+    stats = F.from_json("stats_json", "num_examples long, duplicate_examples long, empty_count long")
+    row = read_registry(spark, registry).filter(F.col("repaired_from").isNotNull())
+    return row.select("job_id", "name", "format", "row_count", "repaired_from", summary.alias("r"), stats.alias("s")).select(
+        "job_id", "name", "format", "row_count", "repaired_from", "r.*", "s.num_examples", "s.duplicate_examples")
+
+
+@register("repair_summary_by_dataset")
+def q_repair_summary_by(spark, sf):
+    """R8 with ``by``: a summary per tenth of the conversations."""
+    m = _dirty_msgs(spark, sf).withColumn("dataset", F.col("idx") % 10)
+    return R.repair_summary(m, REPAIR_OPTS, by=["dataset"])
+
+
+@register("json_documents")
+def q_json_documents(spark, sf):
+    """Documents of a hundred records each, as lists and in wrappers, with keys in an order of their own."""
+    from tuneframe.sources.readers import read_json
+
+    rec = F.concat(F.lit('{"source" : "'), "source", F.lit('",  "doc_id":'), F.col("doc_id").cast("string"), F.lit(', "a": [1,  2]}'))
+    rows = X.table(spark, sf, "documents").select(F.expr("doc_id div 100").alias("part"), "doc_id", rec.alias("rec"))
+    docs = rows.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "rec"))), lambda x: x["rec"]), " ,\n").alias("l"))
+    doc = F.when(F.col("part") % 2 == 0, F.concat(F.lit(" ["), "l", F.lit("] "))).otherwise(
+        F.concat(F.lit('{"meta": {"data": 1}, "records": [ '), "l", F.lit(' ], "n": 1}')))
+    path = _scratch(spark, "documents-json")
+    docs.select("part", doc.alias("value")).write.partitionBy("part").text(path)
+    recs = N.to_messages(read_json(spark, path), "unknown")
+    return N.explode_messages(recs.withColumn("doc_id", F.expr("try_variant_get(v, '$.doc_id', 'bigint')")), ["doc_id"])
+
+
+@register("strict_records")
+def q_strict_records(spark, sf):
+    """The trainer's reader on a JSONL file."""
+    from tuneframe.sources.readers import read_training_records
+
+    path = _scratch(spark, "chatml") + ".jsonl"
+    X.format_lines(spark, sf).filter(F.col("dataset") == "chatml").orderBy("idx").select("value").write.text(path)
+    out = N.explode_messages(N.to_training_messages(read_training_records(spark, path), "chatml"))
+    return out.select(F.col("idx").alias("file_idx"), "pos", "role", "content")
+
+
+@register("norm_errors")
+def q_norm_errors(spark, sf):
+    """Conversations with a number, zero, null, true or text where the list belongs."""
+    from tuneframe.sources.readers import records_from_lines
+
+    kinds = ["7", "0", "null", "true", '"text"', "1.5", "false", "[]"]
+    broken = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("idx") % len(kinds)).cast("int") + 1)
+    lines = _folded_conversations(spark, sf).select("idx", F.concat(F.lit('{"conversations": '), broken, F.lit("}")).alias("value"))
+    return N.to_messages(records_from_lines(lines), "sharegpt").select("idx", "norm_error", F.size("messages").alias("n_messages"))
+
+
+def _folded_conversations(spark, sf):
+    return N.fold_turns(X.table(spark, sf, "conversations"))
+
+
+@register("event_routes")
+def q_event_routes(spark, sf):
+    """M1: every event kind in a frame of its own."""
+    out = None
+    for kind, df in M.route(X.run_lifecycle(spark, sf)).items():
+        part = df.groupBy("run_id").agg(F.lit(kind).alias("route"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("prepare_objectives")
+def q_prepare_objectives(spark, sf):
+    """What each objective trains on."""
+    sft = PR.prepare(_fixture(spark, sf, "chatml"), "sft", "chatml").select(F.lit("sft").alias("objective"), F.col("split").alias("part"))
+    dpo = PR.prepare(_fixture(spark, sf, "preference"), "dpo", "preference").select(F.lit("dpo").alias("objective"), F.lit("pair").alias("part"))
+    kto = PR.prepare(_fixture(spark, sf, "preference"), "kto", "preference").select(
+        F.lit("kto").alias("objective"), F.col("label").cast("string").alias("part"))
+    return sft.unionByName(dpo).unionByName(kto).groupBy("objective", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("profile_languages")
+def q_profile_languages(spark, sf):
+    """T10 with T9: the languages of the profile."""
+    docs = _doc_texts(spark, sf)
+    msgs = N.to_messages(X.documents_as_records(spark, sf))
+    p = P.profile(msgs, languages=LI.fit_langid(docs))
+    return p.select("num_examples", F.explode("languages").alias("language", "n"))
