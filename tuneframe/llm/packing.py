@@ -186,11 +186,14 @@ def place(pieces: DataFrame, window: int = 4096, bucket_tokens: int = 2_000_000)
     """Add ``sequence_id, offset`` to pieces that have ``id, start, length, ids_crc32``.
 
     Buckets follow the corpus' tokens, about ``bucket_tokens`` each; a
-    sequence id is its bucket and its number there. ``pieces`` is read twice.
+    sequence id is its bucket and its number there. Pieces that are equal are
+    dealt apart by their place among the rows. ``pieces`` is read twice and
+    must give the same rows in the same places: a lineage cut.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)).cast("long"))
+    row = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32", row), F.lit(buckets)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
