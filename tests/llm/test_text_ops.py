@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tuneframe.llm import ngram_join as J
@@ -78,6 +79,31 @@ def test_fit_finds_toxic_words_and_spans(spark):
     assert T.tag(df.limit(0), model).count() == 0
 
 
+def test_spans_are_places_in_the_text_as_it_is():
+    p = np.array([0.0, 0, 0, 0.9, 0.9, 0])
+    text = "İstanbul is nice hate stuff bad"
+    (span,) = T.offsets(text, p)
+    assert text[span["start"] : span["end"]] == "hate stuff"
+    assert len(T.tokens(text)) == len(p) and T.tokens("ẞ ΟΔΟΣ É") == ["ß", "οδος", "é"] and T.tokens(None) == []
+    assert T.offsets("a b", np.zeros(2)) == []
+
+
+def test_query_scores_equal_enumeration(spark):
+    """op4's operator on short texts: scores and spans from all labellings of each text."""
+    rows = [("good vile day", 1, 1.0), ("vile vile", 1, 1.0), ("good day", 0, 1.0), ("day after day", 0, 1.0)] * 12
+    model = T.fit(rows)
+    texts = ["vile day", "good vile vile day", "day", "", None, "Vile good 12 day-vile"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in T.tag(df, model).collect():
+        words = T.tokens(texts[r["id"]])
+        own = np.zeros(0)
+        if words:
+            own = brute_chain([model.token(w) for w in words], model.move, model.start)[0]
+        assert r["score"] == pytest.approx(model.score(own), abs=1e-9)
+        hot = [k for k, x in enumerate(own) if x > 0.5]
+        assert sum(len(T.TOKEN.findall((texts[r["id"]] or "")[s["start"] : s["end"]])) for s in r["spans"]) == len(hot)
+
+
 def test_fit_without_a_class():
     assert T.fit([]).score(np.zeros(0)) == pytest.approx(0.5)
     assert T.fit([("a b", 0, 1.0)] * 9).score(np.zeros(3)) < 0.1
@@ -214,3 +240,59 @@ def test_one_of_each_keeps_the_smallest(spark):
     want = {(i, c) for i, _, c in brute_classes(rows, 5, 80) if i == c}
     assert {r["doc_id"] for r in kept} == {i for i, _ in want}
     assert len(kept) == len({(r["doc_id"], r["text"]) for r in kept})
+
+
+def test_pairs_find_every_link():
+    """Two sets of at least the similarity share a signature, for every percent that is taken on; others raise."""
+    rng = random.Random(9)
+    taken = [p for p in range(1, 101) if J.covered(p)]
+    assert set(range(70, 101)) <= set(taken) and min(taken) >= 62
+    for percent in taken:
+        for _ in range(120):
+            n = rng.choice([2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 20, 33, 60])
+            base = [rng.getrandbits(48) for _ in range(3 * n)]
+            x, y = set(base[:n]), set(base[:n])
+            while True:
+                drop, add = rng.random() < 0.5, base[n + rng.randrange(2 * n)]
+                z = set(y)
+                if drop and z:
+                    z.discard(rng.choice(sorted(z)))
+                else:
+                    z.add(add)
+                if not z or 100 * len(x & z) < percent * len(x | z):
+                    break
+                y = z
+            if min(len(x), len(y)) * (100 - percent) < percent:
+                # Sets this small only link with their equals.
+                assert x == y or max(len(x), len(y)) * (100 - percent) >= percent
+                if x != y and min(len(x), len(y)) * (100 - percent) < percent:
+                    assert 100 * len(x & y) < percent * len(x | y)
+                continue
+            rank = {t: rng.choice([0, 150, 250, 255]) if percent % 2 else 255 for t in x | y}
+            a, b = ([np.array(sorted(s), dtype=np.uint64), np.array([rank[t] for t in sorted(s)])] for s in (x, y))
+            assert set(J.signatures(*a, 200, percent).tolist()) & set(J.signatures(*b, 200, percent).tolist()), (percent, n)
+
+
+@pytest.mark.parametrize("percent", [0, 30, 50, 61, 101])
+def test_percents_that_pairs_cannot_answer_raise(spark, percent):
+    with pytest.raises(ValueError, match="percent"):
+        J.classes(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), percent=percent)
+
+
+def test_classes_of_copies_and_near_copies(spark):
+    """A third exact copies, a third near copies, small blocks: brute force, and copies are signed once a task."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(120)]
+    for i in range(120, 240):
+        near = list(base)
+        near[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(near)))
+    rows += [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(240, 360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("node", F.lit(2))
+    got = J.classes(df, words=4, percent=85, block_bytes=20_000).collect()
+    assert sorted((r["id"], r["n_shingles"], r["component"]) for r in got) == sorted(brute_classes(rows, 4, 85))
+    kept = J.one_of_each(df, words=4, percent=85)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component"] for r in got})

@@ -116,6 +116,15 @@ def may_link(bits: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
+def covered(percent: int) -> bool:
+    """Whether pairs find every link: sets of any size that may differ share two frequent tokens more than they miss.
+
+    It holds from 70 on for all sizes; from some size on it holds wherever ``percent ** 2 > 100 * (100 - percent)``.
+    """
+    return percent**2 > 100 * (100 - percent) and all(
+        -(-percent * n // 100) >= n * (100 - percent) // percent + 2 for n in range(1, 2000) if n * (100 - percent) >= percent)
+
+
 def linked(n: int, m: int, both, percent: int):
     """The threshold in whole numbers."""
     return 100 * both >= percent * (n + m - both)
@@ -200,8 +209,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     with each other. An empty table gives no rows.
 
     ``frequent_share`` is the share of documents from which a token counts as
-    frequent; any value gives the same classes.
+    frequent; any value gives the same classes. A ``percent`` that pairs of
+    tokens can't answer whole (under 70) raises.
     """
+    if not 1 <= percent <= 100 or not covered(percent):
+        raise ValueError(f"pairs of tokens don't find every link of {percent} percent")
     spark = docs.sparkSession
     path = scratch(spark, "shingles")
 
@@ -257,9 +269,14 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
+        # Copies of a set are signed once a task, so a signature has no more rows of one node than tasks.
+        done: set[int] = set()
         for batch in slices(batches):
             out, node, size = [], [], []
             for raw, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if x in done:
+                    continue
+                done.add(x)
                 s = unpack48(raw)
                 # Sets this small can only link with their equals, which are the same node.
                 if len(s) * (100 - percent) < percent:
@@ -341,8 +358,13 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
             edges.select(F.col("b").alias("leader"), F.col("a").alias("node"))).distinct().withColumn("tied", F.lit(True))
         big = dealt.filter("not lead").join(several.select("leader"), "leader").join(tied, ["leader", "node"], "left")
         big = big.withColumn("tied", F.coalesce("tied", F.lit(False)))
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        pairs = big.withColumn("other", F.explode(other)).filter("other <> block")
+        # A free document meets all other blocks, a tied one only those that hold a free document.
+        free = cut(big.filter("not tied").select("leader", F.col("block").alias("other")).distinct())
+        if free.count() <= 1_000_000:  # 12 bytes each: a checked bound
+            free = F.broadcast(free)
+        everywhere = big.filter("not tied").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        somewhere = big.filter("tied").join(free, "leader")
+        pairs = everywhere.unionByName(somewhere).filter("other <> block")
         pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
         def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -373,7 +395,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     Texts without words are classes of their own, so all of them stay. Rows
     that repeat the kept id with an equal text stay once; different texts
-    under the kept id all stay.
+    under the kept id all stay. Columns of ``docs`` may have any names.
     """
     found = classes(docs, words, percent, id_col, text_col)
     keep = cut(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")))
@@ -381,5 +403,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     rows, kept = keep.count(), ids.count()
     if kept <= 1_000_000:  # 8 bytes each: a checked bound
         ids = F.broadcast(ids)
-    out = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.alias("d").join(ids.alias("k"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k._id")), "left_semi")
     return out if rows == kept else out.dropDuplicates([id_col, text_col])
