@@ -81,3 +81,19 @@ def test_a_table_of_one_file_goes_through_several_runs(spark, monkeypatch):
     assert ours(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
     assert len(seen) == 4 and seen[-1][0] > 4
     assert sum(n for _, n in seen) == len({x for _, t in rows for x in t.split("\n")})
+
+
+def test_clashing_names_and_odd_texts(spark):
+    line = "this line is long enough to be counted as one of its kind"
+    rows = [(i, t) for i, t in enumerate([line, "a\n" + line, line.upper() + "\nb", "  " + line + "\r", line + "\n" + line, None, "", "\n\n",
+                                          "x" * 100_000 + "\n" + line])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("n_lines", "n_dropped", "N_Dropped_", "id", "row", "gone", "h1", "k", "t", "pos", "a.b"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = L.dedup_lines(df, keep_columns=True)
+    assert out.columns == df.columns + ["n_lines_", "n_dropped__"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {got[0][c] for c in df.columns[2:]} == {"mine"}
+    assert [got[i]["text"] for i in range(8)] == ["", "a", "b", "", "", "", "", "\n\n"]
+    assert got[8]["text"] == rows[8][1] and got[4]["n_dropped__"] == 2 and got[5]["n_lines_"] == 1
+    assert L.dedup_lines(df.limit(0), keep_columns=True).count() == 0

@@ -41,8 +41,8 @@ def line_keys(text: Column, min_points: int = MIN_POINTS) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
 
 class LineRuns:
@@ -137,7 +137,8 @@ def dedup_lines(docs: DataFrame, min_holders: int = 5, min_points: int = MIN_POI
     """Drop lines whose key is held by ``min_holders`` documents, except in the holder with the largest id.
 
     Returns ``id, text, n_lines, n_dropped``, or with ``keep_columns`` the
-    columns of ``docs`` with the new text and the two counts. Texts split at
+    columns of ``docs`` with the new text and the two counts, whose names get
+    underscores behind them while ``docs`` has such columns. Texts split at
     line feeds; a null or empty text is one empty line; a text that loses
     all its lines is empty. Keys under ``min_points`` code points stay.
     Repeated rows are documents of their own; if they hold the largest id
@@ -179,4 +180,10 @@ def dedup_lines(docs: DataFrame, min_holders: int = 5, min_points: int = MIN_POI
     if not keep_columns:
         return out.select("id", kept.alias("text"), "n_lines", "n_dropped")
     cols = [kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*cols, "n_lines", "n_dropped")
+    return out.select(*cols, *[F.col(c).alias(_free_name(c, docs.columns)) for c in ("n_lines", "n_dropped")])
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
