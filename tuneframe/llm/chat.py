@@ -69,7 +69,10 @@ def reconstruct(events: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("_cut", F.max("_branch").over(before))
-    turns = turns.filter(F.col("_cut").isNull() | (F.col("_since") > F.col("_cut")))
+    # Of a turn that was under way before the cut, what was logged after it stays.
+    whole = F.col("_cut").isNull() | (F.col("_since") > F.col("_cut"))
+    turns = turns.withColumn("_parts", F.when(whole, F.col("_parts")).otherwise(F.filter("_parts", lambda p: p["seq"] > F.col("_cut"))))
+    turns = turns.filter(whole | (F.size("_parts") > 0))
     return turns.select(
         "conv_id", "turn", F.coalesce(F.col("_role.role"), F.lit("")).alias("role"),
         F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("text"),
