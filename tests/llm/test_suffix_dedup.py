@@ -144,3 +144,15 @@ def test_leftmost_minimum(n):
     h = rng.integers(0, 5, size=300).astype(np.uint64)
     got = S.window_min_first(h, n)
     assert got.tolist() == [i + int(np.argmin(h[i : i + n])) for i in range(300 - n + 1)]
+
+
+def test_dense_numbers_of_wide_and_skewed_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    ids = [None, low, low + 1, high, high - 1, 0, *range(5000), *range(10**15, 10**15 + 300)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").distinct()
+    want = {i: k for k, i in enumerate(sorted(set(ids), key=lambda i: (i is not None, i or 0)), 1)}
+    for share in (50, 10**6):
+        assert {r["id"]: r["rank"] for r in S._dense(df, share).collect()} == want
+    assert S._dense(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(None,)], "id long")
+    assert [tuple(r) for r in S._dense(one).collect()] == [(None, 1)]

@@ -34,7 +34,7 @@ from contextlib import closing
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.bytehash import Prefix, scramble
@@ -394,11 +394,9 @@ def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_co
     twice = base.select("id").groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
     if twice:
         key = Window.partitionBy("id").orderBy("bytes")
-        base = base.withColumn("_n", F.row_number().over(key)).withColumn("_h", F.xxhash64("id"))
+        base = cut(base.withColumn("_n", F.row_number().over(key)))
         span = base.agg(F.max("_n")).first()[0]
-        firsts = base.select("id").distinct()
-        base = cut(base.drop("_h"))
-        rank = _dense(firsts)
+        rank = _dense(cut(base.select("id").distinct()))
         base = base.alias("b").join(rank.alias("r"), F.col("b.id").eqNullSafe(F.col("r.id"))).select(
             F.col("b.id").alias("id"), "bytes", (F.col("r.rank") * span + F.col("_n")).alias("doc"))
         base = cut(base)
@@ -435,16 +433,36 @@ def dedup_substrings(docs: DataFrame, length: int = 100, anchor: int = 32, id_co
     return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 
-def _dense(ids: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Order-preserving numbers of distinct ids, null first, by ranges of ids."""
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    keyed = ids.withColumn("_b", F.when(F.col("id").isNull(), -1).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width))).cast("int"))
-    per = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}  # at most buckets + 1 rows
-    before, at = [], 0
+def _dense(ids: DataFrame, share: int = 4096) -> DataFrame:
+    """Order-preserving numbers of distinct ids, null first.
+
+    Two levels of ranges: quantiles of the ids cut them into ranges of about
+    ``share`` ids, however the ids lie; a window numbers each range, and the
+    ranges' counts (one row per range) move it up.
+    """
+    n = ids.count()
+    steps = min(10_000, max(1, n // share))
+    shares = [k / steps for k in range(1, steps)] or [0.5]
+    bounds = ids.agg(F.percentile_approx("id", shares, 10 * steps).alias("q")).first()["q"] or []
+    keyed = ids.filter("id IS NOT NULL").withColumn("_b", _below(sorted(set(bounds)), "id"))
+    per = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}  # at most steps rows
+    at = n - sum(per.values())  # the null, if there is one
+    before = []
     for b in sorted(per):
         before.append((b, at))
         at += per[b]
-    side = ids.sparkSession.createDataFrame(before, "_b int, _before long")
+    spark = ids.sparkSession
+    side = spark.createDataFrame(before, "_b int, _before long")
     w = Window.partitionBy("_b").orderBy("id")
-    return keyed.join(F.broadcast(side), "_b").select("id", (F.col("_before") + F.row_number().over(w)).alias("rank"))
+    out = keyed.join(F.broadcast(side), "_b").select("id", (F.col("_before") + F.row_number().over(w)).alias("rank"))
+    return out.union(ids.filter("id IS NULL").select("id", F.lit(1).cast("long").alias("rank")))
+
+
+def _below(bounds: list[int], column: str) -> Column:
+    """How many of the sorted ``bounds`` lie below the column, by halving."""
+    if not bounds:
+        return F.lit(0)
+    listed = "array(" + ", ".join(f"bigint('{b}')" for b in bounds) + ")"
+    step = "lo + shiftleft(1, s)"
+    return F.expr(f"aggregate(sequence({len(bounds).bit_length() - 1}, 0, -1), 0, (lo, s) -> "
+                  f"CASE WHEN {step} <= {len(bounds)} AND element_at({listed}, {step}) < {column} THEN {step} ELSE lo END)")
