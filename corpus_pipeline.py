@@ -21,7 +21,7 @@ MIX_BLOCK = 1024
 
 def _columns(like: DataFrame, df: DataFrame) -> DataFrame:
     """The columns of ``documents`` in their order; ``n_chars`` follows the text."""
-    return df.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*like.columns)
+    return df.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*[F.col(f"`{c}`") for c in like.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
