@@ -71,8 +71,8 @@ def test_vector_codes_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i % 40, [float((i * k) % 11) / 7 - 1 for k in range(1, 7)], i % 3 or None) for i in range(90)]
     good += [(None, [0.5] * 6, None), (1, [0.25] * 6, 1)]
-    odd = [(200, None, 1), (201, [], 1), (202, [nan] * 6, 1), (203, [1.0, inf, 0, 0, 0, 0], 1),
-           (204, [1.0, None, 0, 0, 0, 0], 1), (205, [1.0] * 5, 1)]
+    odd = [(200, None, 1), (201, [], 1), (202, [nan] * 6, 1), (203, [1.0, inf] + [0.0] * 4, 1),
+           (204, [1.0, None] + [0.0] * 4, 1), (205, [1.0] * 5, 1)]
     df = spark.createDataFrame(good + odd, "vec_id long, embedding array<double>, label int")
     df = df.withColumn("id", F.lit("x")).withColumn("code", F.lit(1)).withColumn("carry_0", F.lit(2)).withColumn("_group", F.lit(3))
     out, books = vector_codes.compress(df, entries=16, id_col="vec_id", vec_col="embedding", carry=["label", "id", "_group"])
