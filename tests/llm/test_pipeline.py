@@ -73,12 +73,18 @@ def test_mix_holds_the_words_taken(steps):
     assert dict(got) == want
 
 
-def test_passes_cut_at_blocks():
+def test_passes_cut_at_stretches():
     text = " ".join(f"w{k}" for k in range(10))
-    assert mixing.passes(text, 0, [1, 1, 1], 4) == [text]
-    assert mixing.passes(text, 2, [0, 2, 1], 4) == ["w2 w3 w4 w5 w6 w7 w8 w9", "w2 w3 w4 w5"]
-    assert mixing.passes(text, 0, [1, 0, 1], 4) == ["w0 w1 w2 w3\nw8 w9"]
-    assert mixing.passes("", 0, [], 4) == []
+
+    def take(turn, start, words, shard=0):
+        return {"turn": turn, "start": start, "words": words, "shard": shard}
+
+    assert mixing.passes(text, [take(0, 0, 4), take(0, 4, 4), take(0, 8, 2)]) == [(0, None, text)]
+    assert mixing.passes(text, [take(1, 8, 2), take(0, 0, 10), take(1, 0, 4)]) == [(0, None, text), (1, None, "w0 w1 w2 w3\nw8 w9")]
+    by_shard = mixing.passes(text, [take(0, 0, 4, 3), take(0, 4, 6, 5), take(1, 2, 2, 5)], by_shard=True)
+    assert by_shard == [(0, 3, "w0 w1 w2 w3"), (0, 5, "w4 w5 w6 w7 w8 w9"), (1, 5, "w2 w3")]
+    assert mixing.passes(text, []) == []
+
 
 
 def test_packing_of_the_mix(steps):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Sequence
@@ -43,17 +44,55 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers some megabytes at a time, not ten thousand rows at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batches, rows: int = 256):
-    """Arrow batches in smaller pieces: what a worker holds besides a batch stays small."""
+    """Arrow batches in smaller pieces: what a worker holds besides a batch stays small, and goes back when the task ends."""
+    lean()
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def lean() -> None:
+    """Blocks of a megabyte and more that a worker frees go back to the system at once.
+
+    The C library would raise its own bound to 32 MB and keep as much; several
+    workers share an executor's memory and live on between tasks.
+    """
+    for option in (_MMAP_THRESHOLD, _TRIM_THRESHOLD):
+        if _LIBC is not None:
+            _LIBC.mallopt(option, 1 << 20)
 
 
 def give_back() -> None:
-    """Return what a finished task no longer uses: a worker lives on, and several share an executor's memory."""
+    """Return what a finished task no longer uses."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "mallopt") and hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+# Option numbers of the C library's mallopt.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+_LIBC = _libc()
 
 
 def ascii_lower(col: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.llm.common import scratch, slices, slots
+from tuneframe.llm.common import scratch, slices, slots, small_batches
 
 DOC_BITS, IMPACT_BITS = 14, 20
 BLOCK_DOCS = 1 << DOC_BITS
@@ -239,6 +239,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id",
     reads the documents again.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{doc_text}`").alias("text"))
     asked = items.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text"))
     asked = asked.filter("text <> ''").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tuneframe.llm.common import WORD, cut, slices, slots
+from tuneframe.llm.common import WORD, cut, slices, slots, small_batches
 
 #: Seats that the smallest target is worth at least.
 LEAST_SEATS = 8
@@ -225,6 +225,7 @@ def mixed_texts(docs: DataFrame, block: int = 1024, shards: int = 8, seed: int =
                 cols.append(pa.array(where, pa.int32()))
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
+    small_batches(docs.sparkSession)
     fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
     names = list(docs.columns)
     if shard_col is not None:

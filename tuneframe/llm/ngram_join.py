@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.bytehash import MULT, scramble, word_hashes
-from tuneframe.llm.common import components, cut, scratch, slices
+from tuneframe.llm.common import components, cut, lean, scratch, slices, small_batches
 
 SKETCH_BITS = 22
 BLOCK_BYTES = 6 << 20
@@ -215,6 +215,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     if not 1 <= percent <= 100 or not covered(percent):
         raise ValueError(f"pairs of tokens don't find every link of {percent} percent")
     spark = docs.sparkSession
+    small_batches(spark)
     path = scratch(spark, "shingles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +325,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     bits = lent.select("s.node", "s.tokens").mapInArrow(parities, "node long, bits binary").dropDuplicates(["node"])
 
     def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         return pdf[may_link(pdf["bits"].tolist(), pdf["n"].to_numpy(), percent)].drop(columns="bits")
 
     few = members.filter(F.col("_count") <= PARITY_GROUP).drop("_count").join(bits, "node")
@@ -344,6 +346,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         pdf = pdf.sort_values(["lead", "node"], ascending=[False, True], kind="stable")
         node = pdf["node"].to_numpy()
         links = verify([unpack48(t) for t in pdf["tokens"]], percent, 0) if len(node) > 1 else []
@@ -368,6 +371,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
         def across(pdf: pd.DataFrame) -> pd.DataFrame:
+            lean()
             free = ~pdf["tied"].to_numpy()
             out = []
             if free.any():

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneframe.llm.common import cut, give_back, slices
+from tuneframe.llm.common import cut, slices, small_batches
 
 #: Bytes of words and pieces whose ids a worker keeps.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 
 
 class CapacityTree:
@@ -177,8 +177,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4
             types = [pa.int64()] * 5 + [pa.binary()] * ids
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

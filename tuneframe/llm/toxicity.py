@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tuneframe.llm.common import give_back, slices
+from tuneframe.llm.common import slices, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -316,6 +316,7 @@ def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
     an empty table gives no rows.
     """
     carry = carry or []
+    small_batches(docs.sparkSession)
     fields = [StructField("id", LongType()), StructField("score", DoubleType())]
     if spans:
         fields.append(StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))))
@@ -376,7 +377,6 @@ def tag(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str =
                 cols.append(batch.column(2 + i))
                 names.append(f"carry_{i}")
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        give_back()
 
     return picked.mapInArrow(run, StructType(fields))
 
