@@ -132,3 +132,59 @@ def test_strict_reader_takes_no_bare_object(spark, tmp_dir):
             json.dump(doc, f)
         assert S.read_training_records(spark, path).count() == want
     assert S.read_json(spark, os.path.join(tmp_dir, "bare.json")).count() == 1
+
+
+def test_elements_keep_key_order_and_spacing(spark, tmp_dir):
+    doc = ' [ {"b" : 1,  "a":[1,  2]} ,7,\n"x y",{"é": "\\u00e9"} ] '
+    p = write(f"{tmp_dir}/a/list.json", doc.encode())
+    got = S.read_json(spark, p).orderBy("idx").collect()
+    assert [r.raw for r in got] == ['{"b" : 1,  "a":[1,  2]}', '{"value":7}', '{"value":"x y"}', '{"é": "\\u00e9"}']
+    p = write(f"{tmp_dir}/b/one.json", b'\n{"z": 1 , "data": {"a": 2}}\n')
+    assert [r.raw for r in S.read_json(spark, p).collect()] == ['{"z": 1 , "data": {"a": 2}}']
+
+
+def test_element_slices():
+    def slices(doc, keys=("data", "rows"), bare=True):
+        return [doc[a:b] for a, b in S.element_slices(doc, list(keys), bare)]
+
+    assert slices("[]") == slices(" [ ] ") == slices("3") == slices('{"data": []}') == []
+    assert slices("{}") == ["{}"] and slices("{}", bare=False) == []
+    assert slices('{"rows": [1], "data": [2, 3]}') == ["2", "3"]  # the first wrapper key by preference, not by place
+    assert slices('{"data": [1], "data": 5, "rows": [9]}') == ["9"]  # the last of equal keys counts
+    assert slices('{"data": [[1], {"data": [2]}]}') == ["[1]", '{"data": [2]}']
+    for bad in ("", "[1", "[1,]", "[,1]", '{"a"}', '{"a": 1,}', "[1] 2", "{1: 2}", "[NaN]", '{"data": [1}'):
+        with pytest.raises(ValueError):
+            slices(bad)
+
+
+def test_many_documents_are_indexed_in_file_order(spark, tmp_dir):
+    for f in range(12):
+        write(f"{tmp_dir}/many/{f:02d}.json", json.dumps([{"f": f, "i": i} for i in range(f)]).encode())
+    write(f"{tmp_dir}/many/05b.json", b"[broken")
+    got = recs(S.read_json(spark, f"{tmp_dir}/many"))
+    assert [i for i, _ in got] == list(range(66))
+    assert [(d["f"], d["i"]) for _, d in got] == [(f, i) for f in range(12) for i in range(f)]
+    with pytest.raises(Exception, match="comma|delimiter|Expecting|broken|value"):
+        S.read_json(spark, f"{tmp_dir}/many", strict=True).count()
+
+
+def test_csv_short_rows_have_nulls(spark, tmp_dir):
+    p = write(f"{tmp_dir}/d.csv", b'a,b,c\n1,,3\n1\n1,\n"x, ""y""",2\n1,2,3,4\n,,\n"",,""\n')
+    got = [d for _, d in recs(S.read_csv(spark, p))]
+    assert got == [{"a": "1", "b": "", "c": "3"}, {"a": "1", "b": None, "c": None}, {"a": "1", "b": "", "c": None},
+                   {"a": 'x, "y"', "b": "2", "c": None}, {"a": "1", "b": "2", "c": "3"}, {"a": "", "b": "", "c": ""}, {"a": "", "b": "", "c": ""}]
+
+
+def test_preview_as_chat(spark, tmp_dir):
+    p = write(f"{tmp_dir}/d.jsonl", b'{"instruction": "q", "output": "a"}\n{"text": "t"}\n{"messages": 7}\n')
+    df = S.read_jsonl(spark, p)
+    got = [[(m.role, m.content) for m in r.messages] for r in S.preview(df, 3, as_="chat").orderBy("idx").collect()]
+    assert got == [[("user", "q"), ("assistant", "a")], [("user", "t")], []]
+    with pytest.raises(ValueError, match="raw or chat"):
+        S.preview(df, 3, as_="table")
+
+
+def test_index_scans_the_input_once(spark, tmp_dir):
+    p = write(f"{tmp_dir}/d.jsonl", b'{"a": 1}\n{"a": 2}\n')
+    plan = S.read_jsonl(spark, p)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "parse_json" not in plan

@@ -133,3 +133,40 @@ def test_kto_positives_first(spark):
     )
     k = PR.kto_rows(PR.preference_triples(records_from_lines(lines))).orderBy("ord", "idx").collect()
     assert [(r.completion, r.label) for r in k] == [("c", True), ("r", False)]
+
+
+def brute_merge(turns):
+    out = []
+    for role, content in turns:
+        if out and out[-1][0] == role and role != "system":
+            out[-1] = (role, (out[-1][1] + "\n" + content).strip())
+        else:
+            out.append((role, content))
+    return out
+
+
+def test_merge_equals_the_step_by_step_fold(spark):
+    import random
+
+    rnd = random.Random(5)
+    texts = ["", " ", "a", " a", "a ", " a  ", "\n", "b\n", "\u3000x\u3000", "two\nlines "]
+    rows = [[(rnd.choice(["user", "user", "assistant", "system"]), rnd.choice(texts)) for _ in range(rnd.randint(0, 9))] for _ in range(600)]
+    got = msgs(spark, rows).select("idx", F.expr(R.merge_expr("messages")).alias("m")).collect()
+    assert {r.idx: [tuple(m) for m in r.m] for r in got} == {i: brute_merge(t) for i, t in enumerate(rows)}
+
+
+def test_merge_is_linear(spark):
+    """Ten thousand turns of one role, and a hundred thousand, in about ten times the time."""
+    import time
+
+    def seconds(n):
+        df = msgs(spark, [[("user", f"turn {i} ") for i in range(n)]]).cache()
+        df.count()
+        start = time.monotonic()
+        r = df.select(F.expr(R.merge_expr("messages")).alias("m")).first()
+        took = time.monotonic() - start
+        assert len(r.m) == 1 and r.m[0].content == "turn 0 \n" + "\n".join(f"turn {i}" for i in range(1, n))
+        return took
+
+    seconds(10_000)
+    assert seconds(100_000) < 40 * max(0.25, seconds(10_000))

@@ -38,3 +38,60 @@ def test_read_run_events_skips_malformed(spark, tmp_dir):
     assert got == [(7, "metric"), (7, "started")]
     assert M.dedupe_events(ev.unionByName(ev)).count() == 2
     assert ev.select(F.col("run_id")).distinct().count() == 1
+
+
+def write_events(path, rows):
+    import json
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def test_late_points_are_compared_with_the_point_they_follow(spark, tmp_dir):
+    """Two deliveries, the second with points from among the first's; alerts equal the batch's."""
+    import random
+
+    from tuneframe.streaming import runs as ST
+
+    rnd = random.Random(8)
+    rows = [{"event": "metric", "run_id": k % 3, "ts": 1.7e9 + 40.0 * k, "step": k, "grad_norm": rnd.choice([1e-5, 1.0, 4.0, 11.0, 40.0, None])}
+            for k in range(400)]
+    rnd.shuffle(rows)
+    closing = [{"event": "metric", "run_id": 0, "ts": 1.7e9 + 1e7, "step": 10_000, "grad_norm": 1.0}]
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    for n, part in enumerate((rows[:250], rows[250:], closing)):
+        write_events(f"{src}/run_x/{n}.jsonl", part)
+        ST.start_grad_alerts(ST.stream_events(spark, src), out, ck, "1 day", 3600.0, available_now=True).awaitTermination()
+    got = ST.read_grad_alerts(spark, out)
+    batch = M.grad_alerts(M.read_run_events(spark, src))
+    cols = ["run_id", "step", "grad_norm", "alert"]
+    assert rows_of(got, cols) == rows_of(batch, cols) and got.count() > 50
+
+
+def rows_of(df, cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_late_events_go_to_a_side_output_and_come_back(spark, tmp_dir):
+    from tuneframe.streaming import runs as ST
+
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+
+    def e(ts, step, event="metric"):
+        return {"event": event, "run_id": 1, "ts": ts, "step": step}
+
+    day = 86_400.0
+    batches = [[e(10 * day, 1), e(10 * day, 1), e(10 * day + 60, 2)], [e(10 * day, 1), e(10 * day + 50, 3), e(8.8 * day, 4), e(8.8 * day, 4)],
+               [e(8.8 * day, 4), e(12 * day, 5), e(10 * day + 60, 2)], [e(10 * day + 60, 2), e(11.5 * day, 6)]]
+    for n, part in enumerate(batches):
+        write_events(f"{src}/run_1/{n}.jsonl", part)
+        ST.start_event_log(ST.stream_events(spark, src), out, ck, "24 hours", available_now=True).awaitTermination()
+    log = ST.read_event_log(spark, out)
+    assert sorted(r.step for r in log.filter("NOT late").collect()) == [1, 2, 3, 5, 6]
+    # Late events may repeat each other, or a punctual one, until they are merged.
+    assert sorted(r.step for r in log.filter("late").collect()) == [2, 4, 4]
+    merged = ST.merge_late(log)
+    assert rows_of(merged, ["step", "late"]) == [(1, False), (2, False), (3, False), (4, True), (5, False), (6, False)]
+    assert rows_of(merged, ["run_id", "event", "step", "ts"]) == rows_of(M.dedupe_events(M.read_run_events(spark, src)), ["run_id", "event", "step", "ts"])

@@ -17,7 +17,7 @@ def as_map(df):
 
 def test_turn_flags_equal_fold_flags(spark):
     turns = X.dirty_conversations(spark, SF01)
-    assert as_map(flag_turns(turns, partitions=16)) == as_map(V.flag_records(N.fold_turns(turns)))
+    assert as_map(flag_turns(turns, block=2)) == as_map(V.flag_records(N.fold_turns(turns)))
 
 
 def test_hot_conversation(spark):
@@ -30,6 +30,6 @@ def test_hot_conversation(spark):
             rows.append((c, t * 3, role, f"text {c % 7} {t}"))
     rows += [(1000, t, r, x) for (c, t, r, x) in rows if c == 0]  # exact copy of the hot one
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = as_map(flag_turns(turns, partitions=24))
+    got = as_map(flag_turns(turns, block=128))
     assert got == as_map(V.flag_records(N.fold_turns(turns)))
     assert got[1000][CATS.index("duplicate_samples")] is True

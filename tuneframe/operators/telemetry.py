@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 MIB = 1024 * 1024
 GIB = 1024 * 1024 * 1024
@@ -54,10 +55,20 @@ def device_rows(snapshots: DataFrame) -> DataFrame:
 def latest_devices(devices: DataFrame) -> DataFrame:
     """Newest reading per (host, device).
 
-    One ``max_by`` per column: primitives keep the plan a hash aggregate.
+    One ``max_by`` per sensor. A device's texts (its name) join the key
+    first, so that all readings pass a hash aggregate of numbers, and the
+    newest of a device's names, mostly one, is picked from what is left. A
+    stream knows one aggregate only and takes all columns in it.
     """
+    texts = [f.name for f in devices.schema if f.name not in ("host", "device", "ts") and isinstance(f.dataType, (StringType, BinaryType))]
     cols = [c for c in devices.columns if c not in ("host", "device", "ts")]
-    return devices.groupBy("host", "device").agg(F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in cols])
+
+    def newest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+        return df.groupBy(*keys).agg(F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in values])
+
+    if texts and not devices.isStreaming:
+        devices = newest(devices, ["host", "device", *texts], [c for c in cols if c not in texts])
+    return newest(devices, ["host", "device"], cols)
 
 
 def rollup(devices: DataFrame, every: str = "1 minute", watermark: str | None = None) -> DataFrame:

@@ -146,19 +146,26 @@ def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def mixed_lines(lines: DataFrame) -> DataFrame:
+    """All formats interleaved in one dataset (``idx * 8 + format code``)."""
+    code = F.element_at(F.create_map(*[x for k, c in FORMAT_CODES.items() for x in (F.lit(k), F.lit(c))]), F.col("dataset"))
+    return lines.select(F.lit("mixed").alias("dataset"), (F.col("idx") * 8 + code).alias("idx"), "value")
+
+
+def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed records ``(dataset, idx, raw, v)`` of the mixed dataset alone."""
+    from tuneframe.sources.readers import records_from_lines
+
+    return records_from_lines(mixed_lines(format_lines(spark, sf_dir)))
+
+
 def format_records(spark: SparkSession, sf_dir: str, with_mixed: bool = True) -> DataFrame:
     """Parsed records ``(dataset, idx, raw, v)`` for every format, plus
-    ``mixed``: all of them interleaved (``idx * 8 + format code``)."""
+    ``mixed``: all of them interleaved."""
     from tuneframe.sources.readers import records_from_lines
 
     lines = format_lines(spark, sf_dir)
-    if with_mixed:
-        code = F.element_at(
-            F.create_map(*[x for k, c in FORMAT_CODES.items() for x in (F.lit(k), F.lit(c))]), F.col("dataset")
-        )
-        mixed = lines.select(F.lit("mixed").alias("dataset"), (F.col("idx") * 8 + code).alias("idx"), "value")
-        lines = lines.unionByName(mixed)
-    return records_from_lines(lines)
+    return records_from_lines(lines.unionByName(mixed_lines(lines)) if with_mixed else lines)
 
 
 # ------------------------------------------------------------ run event logs

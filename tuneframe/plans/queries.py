@@ -247,7 +247,7 @@ def q_format_scores(spark, sf):
 def _normalize_query(dataset: str) -> Query:
     def q(spark, sf):
         if dataset == "mixed":
-            recs = _all_formats(spark, sf).filter(F.col("dataset") == "mixed")
+            recs = materialize(X.mixed_records(spark, sf))
         else:
             recs = X.format_records(spark, sf, with_mixed=False).filter(F.col("dataset") == dataset)
         fmt = None if dataset == "mixed" else dataset
