@@ -561,14 +561,14 @@ SELECT
 ds AS (SELECT DISTINCT idx % 10 AS dataset FROM fo)
 SELECT dataset,
   (SELECT CAST(count(*) AS BIGINT) FROM fo {in_ds}) AS input_count,
-  (SELECT CAST(count_if(first_ok IS NULL OR first_ok > 1) AS BIGINT) FROM fo {in_ds}) AS roles_fixed,
-  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT idx FROM isl GROUP BY idx HAVING max(g) < count(*)) {in_ds}) AS merged_turns,
-  (SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) FROM ch {in_ds}) AS duplicates_removed,
+  coalesce((SELECT CAST(count_if(first_ok IS NULL OR first_ok > 1) AS BIGINT) FROM fo {in_ds}), 0) AS roles_fixed,
+  coalesce((SELECT CAST(count(*) AS BIGINT) FROM (SELECT idx FROM isl GROUP BY idx HAVING max(g) < count(*)) {in_ds}), 0) AS merged_turns,
+  coalesce((SELECT CAST(count(*) - count(DISTINCT k) AS BIGINT) FROM ch {in_ds}), 0) AS duplicates_removed,
   (SELECT CAST(count(*) AS BIGINT) FROM fo {in_ds}) - (SELECT CAST(count(*) AS BIGINT) FROM keep {in_ds}) AS empty_responses_removed,
-  (SELECT CAST(count_if(cut) AS BIGINT) FROM r4 {in_ds}) AS turns_truncated,
-  (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT idx, count(DISTINCT chunk) AS c FROM r5 GROUP BY idx) {in_ds}) AS examples_split,
+  coalesce((SELECT CAST(count_if(cut) AS BIGINT) FROM r4 {in_ds}), 0) AS turns_truncated,
+  coalesce((SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT idx, count(DISTINCT chunk) AS c FROM r5 GROUP BY idx) {in_ds}), 0) AS examples_split,
   false AS shuffled,
-  (SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch {in_ds}) AS output_count
+  coalesce((SELECT CAST(count(DISTINCT k) AS BIGINT) FROM ch {in_ds}), 0) AS output_count
 FROM ds"""
 
     fx = "WITH " + FORMATS_SQL.format(ws=WS) + "\n"
