@@ -866,14 +866,14 @@ def q_preview_chat(spark, sf):
 # ---------------------------------------------------------------- jobs, routes, strict and broken records
 
 
-def _ingest_dirty(spark, sf):
-    """The dirty conversations as a JSONL file, ingested twice by one job: ``(data, registry)`` folders."""
+def _ingest_dirty(spark, sf, times: int = 1):
+    """The dirty conversations as a JSONL file, ingested by one job: ``(data, registry)`` folders."""
     from tuneframe.jobs import ingest
 
     src, data, registry = (_scratch(spark, n) for n in ("dirty-jsonl", "datasets", "registry"))
     lines = _dirty_msgs(spark, sf).orderBy("idx").select(F.to_json(F.struct("messages")).alias("value"))
     lines.write.text(src)
-    for _ in range(2):
+    for _ in range(times):
         ingest(spark, src, data, registry, "dirty-1", "dirty", ".jsonl")
     return data, registry
 
@@ -884,7 +884,7 @@ def q_ingest_registry(spark, sf):
     from tuneframe.jobs import ingest
     from tuneframe.sources.readers import read_registry
 
-    data, registry = _ingest_dirty(spark, sf)
+    data, registry = _ingest_dirty(spark, sf, times=2)
     src = _scratch(spark, "docs-txt")
     X.table(spark, sf, "documents").orderBy("doc_id").select("text").write.text(src)
     ingest(spark, src, data, registry, "docs-1", "docs", "txt")
@@ -906,13 +906,12 @@ def q_ingest_report(spark, sf):
 
 @register("repair_registry")
 def q_repair_registry(spark, sf):
-    """The repaired dataset, written, described and registered; run twice."""
+    """The repaired dataset, written, described and registered."""
     from tuneframe.jobs import repair_dataset
     from tuneframe.sources.readers import read_registry
 
     data, registry = _ingest_dirty(spark, sf)
-    for _ in range(2):
-        repair_dataset(spark, registry, "dirty-1", data, "dirty-2", REPAIR_OPTS)
+    repair_dataset(spark, registry, "dirty-1", data, "dirty-2", REPAIR_OPTS)
     summary = F.from_json("repair_json", "input_count long, roles_fixed long, merged_turns long, duplicates_removed long, "
                           "empty_responses_removed long, turns_truncated long, examples_split long, output_count long")
     stats = F.from_json("stats_json", "num_examples long, duplicate_examples long, empty_count long")
