@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.common import cut, slices, small_batches
 
-#: Bytes of words and pieces whose ids a worker keeps.
+#: Bytes that a generation of words, or of pieces, may take; a worker keeps two of each.
 CACHE_BYTES = 24 << 20
 
 
@@ -89,7 +89,31 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class WordEncoder(dict):
+class Kept(dict):
+    """Ids by text, computed when first asked for, in two generations of bounded bytes.
+
+    When the young one is full it becomes the old one; what is asked for
+    again comes back from there. So what is frequent stays, whatever passes.
+    """
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old, self.held = make, {}, 0
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        # A text, its ids and about 200 bytes around them.
+        self.held += 200 + len(text) + len(ids)
+        if self.held > CACHE_BYTES:
+            self.old, self.held = self.copy(), 0
+            self.clear()
+        self[text] = ids
+        return ids
+
+
+class WordEncoder:
     """Token ids of a blank-separated word as little-endian bytes, in a bounded cache.
 
     The vocabulary's pre-tokenizer never joins across a blank, so a text's
@@ -102,45 +126,25 @@ class WordEncoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(self.word), Kept(self.piece)
         # Fixed values of the vocabulary's pre-tokenizer, for lower-case letters of the safe alphabet.
         self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
         self.safe = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
         self.letter = _byte_letters()
 
-    def keep(self, key: str, ids: bytes) -> None:
-        """Make room for an entry: a key, its ids and about 200 bytes around them."""
-        size = 200 + 4 * len(key) + len(ids)
-        self.held += size
-        if self.held > CACHE_BYTES:
-            self.clear()
-            self.pieces.clear()
-            self.held = size
-
     def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            letters = piece if piece.isascii() else "".join(self.letter[b] for b in piece.encode())
-            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
-            self.keep(piece, got)
-            self.pieces[piece] = got
-        return got
-
-    def __missing__(self, word: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(self.letter[b] for b in piece.encode())
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+
+    def word(self, word: str) -> bytes:
         if self.safe(word) and "<|" not in word:
-            got = b"".join(map(self.piece, self.cut(word.lower())))
-        else:
-            got = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.keep(word, got)
-        self[word] = got
-        return got
+            return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 ENCODERS: dict[str, WordEncoder] = {}
