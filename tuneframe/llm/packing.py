@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.common import cut, slices, small_batches
 
-#: Bytes that a generation of words, or of pieces, may take; a worker keeps two of each.
-CACHE_BYTES = 24 << 20
+#: Bytes that a generation of words, or of pieces, may take; a task has two of each, a worker between tasks one.
+CACHE_BYTES = 56 << 20
 
 
 class CapacityTree:
@@ -181,6 +181,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4
             types = [pa.int64()] * 5 + [pa.binary()] * ids
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        encoder.words.old, encoder.pieces.old = {}, {}
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
