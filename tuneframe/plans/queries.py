@@ -616,14 +616,12 @@ def _rollup_out(r):
 def _write_event_log(spark, sf, path, before: bool):
     ev = X.run_events(spark, sf)
     cut = F.col("ts") < F.lit(1705276800.0)  # 2024-01-15 00:00:00 UTC: two deliveries
-    part = ev.filter(cut if before else ~cut)
-    (
-        part.repartition("run_id")
-        .sortWithinPartitions("run_id", "ts")
-        .write.mode("append")
-        .partitionBy("run_id")
-        .json(path)
-    )
+    _deliver(ev.filter(cut if before else ~cut), path)
+
+
+def _deliver(events, path):
+    """One delivery of a log: every line names its run, so there are as many files as tasks and not one per run."""
+    events.repartition(F.xxhash64("step", "ts")).write.mode("append").json(path)
 
 
 def _two_deliveries(spark, sf, run):
@@ -651,8 +649,8 @@ def q_stream_grad_alerts(spark, sf):
     src, ck, out = _scratch(spark, "events"), _scratch(spark, "ckpt"), _scratch(spark, "out")
     ev = X.run_events(spark, sf)
     closing = ev.filter("event = 'metric'").orderBy(F.col("ts").desc()).limit(1).withColumn("ts", F.col("ts") + 400 * 86400.0)
-    for part in (ev.repartition(8, F.xxhash64("step")), closing):
-        part.write.mode("append").partitionBy("run_id").json(src)
+    for part in (ev, closing):
+        _deliver(part, src)
         ST.start_grad_alerts(ST.stream_events(spark, src), out, ck, "365 days", 30 * 86400.0, available_now=True).awaitTermination()
     return ST.read_grad_alerts(spark, out).select("run_id", "step", "grad_norm", "alert")
 
@@ -663,7 +661,7 @@ def q_stream_late_events(spark, sf):
     src, ck, out = _scratch(spark, "events"), _scratch(spark, "ckpt"), _scratch(spark, "out")
     ev = X.run_events(spark, sf)
     for part in (ev.filter("step % 50 <> 7"), ev.filter("step % 50 IN (7, 8)")):
-        part.write.mode("append").partitionBy("run_id").json(src)
+        _deliver(part, src)
         ST.start_event_log(ST.stream_events(spark, src), out, ck, "27 hours", available_now=True).awaitTermination()
     return ST.merge_late(ST.read_event_log(spark, out)).select("run_id", "event", "step", "ts", "late")
 
