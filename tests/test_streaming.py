@@ -95,3 +95,48 @@ def test_late_events_go_to_a_side_output_and_come_back(spark, tmp_dir):
     merged = ST.merge_late(log)
     assert rows_of(merged, ["step", "late"]) == [(1, False), (2, False), (3, False), (4, True), (5, False), (6, False)]
     assert rows_of(merged, ["run_id", "event", "step", "ts"]) == rows_of(M.dedupe_events(M.read_run_events(spark, src)), ["run_id", "event", "step", "ts"])
+
+
+def event_table(spark, tmp_dir, rows):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_dir}/tables/events.parquet")
+    return f"{tmp_dir}/tables"
+
+
+def test_a_delivery_makes_no_file_per_run(spark, tmp_dir, monkeypatch):
+    """300 runs: the log's files are as many as the tasks that write them, and no event is lost."""
+    import datetime
+    import glob
+
+    from tuneframe import session
+
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: f"{tmp_dir}/{name}")
+    at = datetime.datetime(2024, 1, 10)
+    rows = [(i, at + datetime.timedelta(minutes=11 * i), i % 300 if i % 97 else None, ("click", "view", "purchase", "click")[i // 300], float(i % 90), '{"k": 7}')
+            for i in range(1200)]
+    sf = event_table(spark, tmp_dir, rows)
+    cols = ["run_id", "current_step", "total_steps", "loss", "progress_pct", "status"]
+    ev = X.run_events(spark, sf)
+    named = F.coalesce("run_id", F.lit(-1)).alias("run_id")
+    state = Q.REGISTRY["stream_run_state"](spark, sf).select(named, *cols[1:])
+    batch = M.latest_state(ev).alias("a").join(M.run_status(ev).alias("b"), F.col("a.run_id").eqNullSafe(F.col("b.run_id"))).drop(F.col("b.run_id"))
+    assert rows_of(state.na.fill(-1.0, ["loss"]), cols) == rows_of(batch.select(named, *cols[1:]).na.fill(-1.0, ["loss"]), cols)
+    assert len(glob.glob(f"{tmp_dir}/events/**/*.json", recursive=True)) <= 2 * 8
+
+
+def test_point_stream_runs_no_python_and_takes_what_an_open_bucket_still_gets(spark, tmp_dir):
+    """A point behind the watermark counts as long as its bucket is open; points lie in state without a Python worker per run."""
+    from tuneframe.streaming import runs as ST
+
+    def e(ts, step, g):
+        return {"event": "metric", "run_id": 4, "ts": 1.7e9 + ts, "step": step, "grad_norm": g}
+
+    src, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    parts = [[e(100.0, 1, 1.0), e(400.0, 3, 20.0)], [e(200.0, 2, 30.0)], [e(1e6, 9, 1.0)]]
+    assert 1.7e9 // 3600 == (1.7e9 + 400) // 3600
+    for n, part in enumerate(parts):
+        write_events(f"{src}/{n}.jsonl", part)
+        q = ST.start_grad_alerts(ST.stream_events(spark, src), out, ck, "10 seconds", 3600.0, available_now=True)
+        q.awaitTermination()
+        assert "TransformWithState" not in q._jsq.explainInternal(False)
+    assert rows_of(ST.read_grad_alerts(spark, out), ["step", "alert"]) == [(2, "explosion")]

@@ -5,11 +5,11 @@
   row per run. Each micro-batch's changed runs are appended under
   ``batch_id=<n>/`` (overwritten on replay, so the sink is idempotent);
   readers take the newest update per run.
-* gradient alerts (M6): ``transformWithState`` holds the points of a run's
-  hour until the watermark has passed it, compares them in time order and
-  hands its edges on; so a point that arrives late, but not beyond the
-  watermark, is compared with the point it follows, and a run's state is
-  spread over its hours.
+* gradient alerts (M6): a windowed aggregate holds the points of a run's
+  hour until the watermark has passed it; then they are compared in time
+  order and the hour's edges handed on. So a point that arrives late, but
+  before its hour is closed, is compared with the point it follows, and a
+  run's state is spread over its hours.
 * late and repeated events (M10): each micro-batch is split at the watermark
   of the batches before; what is older goes to a side output, which a reader
   merges later. Nothing is lost.
@@ -24,12 +24,9 @@ the batch path instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tuneframe.operators.runs import (
     POINT_SECONDS,
@@ -46,7 +43,7 @@ from tuneframe.operators.runs import (
 
 EVENT_KEY = ["run_id", "event", "step", "ts"]
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-# List state and timers need the store that Spark ships for them.
+# Points that wait for the watermark lie on disk, not in the executors' heap.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -142,59 +139,25 @@ def read_run_state(spark: SparkSession, sink: str) -> DataFrame:
     return read_latest_updates(spark, sink, ["run_id"])
 
 
-POINT_STATE = "step long, ts double, grad_norm double"
-POINT_SCHEMA = "run_id long, bucket long, step long, ts double, grad_norm double, grad_norm_prev double, first boolean, last boolean"
-
-
-class HourOfPoints(StatefulProcessor):
-    """Holds a run's points of one bucket of time; gives them out in order once the watermark has passed it.
-
-    Of the points that no alert can come from only the edges are given out.
-    """
-
-    def __init__(self, width: float):
-        self.width = width
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.points = handle.getListState("points", POINT_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            got = pdf[["step", "ts", "grad_norm"]].astype(object).where(pdf[["step", "ts", "grad_norm"]].notna(), None)
-            self.points.appendList(list(got.itertuples(index=False, name=None)))
-        self.handle.registerTimer(int((key[1] + 1) * self.width * 1000))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.points.get()), columns=["step", "ts", "grad_norm"])
-        self.points.clear()
-        held = held.astype({"step": "int64", "ts": "float64", "grad_norm": "float64"}).sort_values(["ts", "step"], kind="stable", ignore_index=True)
-        held.insert(0, "bucket", key[1])
-        held.insert(0, "run_id", key[0])
-        held["grad_norm_prev"] = held["grad_norm"].shift()
-        held["first"], held["last"] = held.index == 0, held.index == len(held) - 1
-        yield held.astype({"grad_norm": object, "grad_norm_prev": object}).where(held.notna(), None)
-
-    def close(self) -> None:
-        pass
-
-
 def point_stream(events: DataFrame, delay: str = "10 minutes", width: float = POINT_SECONDS) -> DataFrame:
     """M6 streaming: every point with the one before it in its bucket of time, and the buckets' edges.
 
     Points are given out when the watermark passes the end of their bucket;
-    those that come more than ``delay`` behind the newest event are left to
-    the late side of :func:`start_event_log`. A point that no one follows
-    and that can't alert inside its bucket stays behind.
+    those whose bucket is closed when they come are left to the late side of
+    :func:`start_event_log`. A point that no one follows and that can't alert
+    inside its bucket stays behind.
     """
-    pts = events.withWatermark("event_time", delay).filter(F.col("event") == "metric").select(
-        "run_id", F.floor(F.col("ts") / F.lit(width)).cast("bigint").alias("bucket"), "event_time",
-        F.coalesce(F.col("step"), F.lit(0)).cast("bigint").alias("step"), "ts", "grad_norm",
-    )
-    out = pts.groupBy("run_id", "bucket").transformWithStateInPandas(
-        statefulProcessor=HourOfPoints(width), outputStructType=POINT_SCHEMA, outputMode="Append", timeMode="EventTime"
+    span = F.window("event_time", f"{round(width * 1e6)} microseconds")
+    point = F.struct("ts", F.coalesce(F.col("step"), F.lit(0)).cast("bigint").alias("step"), "grad_norm")
+    held = events.withWatermark("event_time", delay).filter(F.col("event") == "metric").groupBy("run_id", span.alias("_w")).agg(
+        F.array_sort(F.collect_list(point)).alias("_p")
     )
+    # A bucket's points in time order, each with the one before.
+    ordered = F.transform("_p", lambda x, i: F.struct(
+        x["step"].alias("step"), x["ts"].alias("ts"), x["grad_norm"].alias("grad_norm"), F.get("_p", i - 1)["grad_norm"].alias("grad_norm_prev"),
+        (i == 0).alias("first"), (i == F.size("_p") - 1).alias("last")))
+    bucket = F.floor(F.unix_micros("_w.start") / F.lit(width * 1e6)).cast("bigint").alias("bucket")
+    out = held.select("run_id", bucket, F.inline(ordered))
     alert = alert_of(F.col("grad_norm"), F.col("grad_norm_prev"))
     return out.filter(F.col("first") | F.col("last") | alert.isNotNull())
 
