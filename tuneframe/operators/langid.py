@@ -3,9 +3,9 @@
 The built-in detector is a character-trigram naive Bayes model over hashed
 cells, so its size is fixed: ``CELLS`` rows and a column per language.
 
-* fit: a bounded, documented sample of the labelled texts
-  (``fit_rows`` per language, by the MD5 of the key) is counted where it
-  lies; tasks send one number per cell and language;
+* fit: the labelled texts are counted where they lie, all of them or
+  ``fit_rows`` per language, by the MD5 of the key; tasks send one number per
+  cell and language;
 * apply: every text is scored where it lies against the table, which travels
   once with the function. No row is made per trigram and nothing shuffles.
 
@@ -92,8 +92,8 @@ class LanguageModel:
         return pandas_udf(detect, "language string, score long")(normal_text(text))
 
 
-def fit_langid(labelled: DataFrame, key: str = "idx", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on at most ``fit_rows`` texts of each language, those with the smallest MD5 of ``key``.
+def fit_langid(labelled: DataFrame, key: str = "idx", text: str = "text", lang: str = "lang", fit_rows: int | None = FIT_ROWS) -> LanguageModel:
+    """Fit on at most ``fit_rows`` texts of each language, those with the smallest MD5 of ``key``; on all with None.
 
     A cell weighs ``floor(1000 * (ln(c + 1) - ln(n + v)))`` for a language
     that has ``c`` trigrams there and ``n`` in all, with ``v`` the cells that
@@ -101,18 +101,26 @@ def fit_langid(labelled: DataFrame, key: str = "idx", text: str = "text", lang:
     Null labels and texts take no part.
     """
     lab = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    lab = lab.select(F.col(lang).alias("lang"), F.md5(F.col(key).cast("string").cast("binary")).alias("_by"), normal_text(F.col(text)).alias("text"))
-    sample = top_k_per_group(lab, ["lang"], [F.col("_by"), F.col("text")], int(fit_rows)).select("lang", "text")
+    lab = lab.select(F.col(lang).alias("lang"), F.md5(F.col(key).cast("string").cast("binary")).alias("_by"), F.col(text).alias("text"))
+    if fit_rows is not None:
+        # The keys alone tell how far the sample goes; only the texts up to there are normalised and put in order.
+        upto = top_k_per_group(lab.select("lang", "_by"), ["lang"], [F.col("_by")], int(fit_rows)).groupBy("lang").agg(F.max("_by").alias("_upto"))
+        lab = lab.join(F.broadcast(upto), "lang").filter(F.col("_by").isNull() | (F.col("_by") <= F.col("_upto"))).drop("_upto")
+    sample = lab.withColumn("text", normal_text(F.col("text")))
+    if fit_rows is not None:
+        sample = top_k_per_group(sample, ["lang"], [F.col("_by"), F.col("text")], int(fit_rows))
+    sample = sample.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                have = found.setdefault(name, np.zeros(CELLS, dtype=np.int64))
+                if name not in found:
+                    found[name] = np.zeros(CELLS, dtype=np.int64)
                 docs[name] = docs.get(name, 0) + 1
                 for at in cells(t.as_py()):
-                    have += np.bincount(at, minlength=CELLS)
+                    np.add.at(found[name], at, 1)
         for name, have in found.items():
             used = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays(

@@ -821,7 +821,8 @@ SELECT run_id, f.s AS status, f.m AS error_message FROM done"""
     q["stream_run_state"] = rv + ",\nls AS (" + q["latest_state"][len(rv):] + "),\nrs AS (" + q["run_status"][len(rv):] + """)
 SELECT ls.run_id, ls.current_step, ls.total_steps, ls.loss, ls.progress_pct, rs.status FROM ls JOIN rs USING (run_id)"""
 
-    q["langid_documents"] = f"{LANGID} SELECT idx, language, score FROM detected"
+    # Fitted on every labelled text, not on some of each language.
+    q["langid_documents"] = f"{LANGID.replace(') WHERE r <= 100)', '))')} SELECT idx, language, score FROM detected"
     for name, by in (("lang_distribution", ""), ("lang_distribution_by_source", "source, ")):
         over = "PARTITION BY source" if by else ""
         q[name] = f"""{LANGID}, h AS (SELECT {by}language FROM detected JOIN documents ON doc_id = idx

@@ -690,7 +690,7 @@ def _doc_texts(spark, sf):
 @register("langid_documents")
 def q_langid(spark, sf):
     docs = _doc_texts(spark, sf)
-    return LI.detect_languages(docs, LI.fit_langid(docs))
+    return LI.detect_languages(docs, LI.fit_langid(docs, fit_rows=None))
 
 
 @register("lang_distribution")
