@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tuneframe.operators import detect as D
 from tuneframe.operators import normalize as N
@@ -85,3 +86,29 @@ def test_training_normaliser_differs(spark):
     view = N.to_messages(r, "sharegpt").collect()[0].messages
     assert [m.role for m in train] == ["tool", "user"]
     assert [m.role for m in view] == ["user", "user"]
+
+
+def test_records_are_parsed_once(spark):
+    """One parse per line, no regex over it; the mixed dataset shares the records of the others."""
+    from tests.conftest import SF001
+    from tuneframe.plans import fixtures as X
+    from tuneframe.sources.readers import records_from_lines
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    odd = ["　\x1c {\"text\": \"a \"}\x85 \n", "   ", "[1] \r\n", "\x0b7", "{\"a\": ", ""]
+    lines = spark.createDataFrame(list(enumerate(odd)), "idx long, value string")
+    recs = records_from_lines(lines)
+    assert [r.raw for r in recs.orderBy("idx").collect()] == ['{"text": "a "}', '{"value":[1]}', '{"value":7}']
+    one = plan(records_from_lines(spark.range(3).select(F.concat(F.lit("["), "id", F.lit("]")).alias("value"))))
+    assert one.count("parseJson") == 1 and "regexp_replace" not in one
+    alone, all_of_them = plan(X.format_records(spark, SF001, with_mixed=False)), plan(X.format_records(spark, SF001))
+    assert all_of_them.count("Relation [") == alone.count("Relation [") and all_of_them.count("parseJson") == 1
+
+
+def test_inst_tags_sql_equals_the_pattern(spark):
+    from tuneframe.functions.text import INST_TAG_PATTERN, has_inst_tags_sql
+
+    texts = ["", "INST]", "[INST]x", "a[/INST]", "<", "<<SYS>>", "x<</SYS>>", "<|a|>", "<|a\n|>", "<| |", "é<|é|>é", "[INST", "[/INST] <|x|>", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = df.select(F.expr(has_inst_tags_sql("x")).alias("a"), F.col("x").rlike(INST_TAG_PATTERN).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]

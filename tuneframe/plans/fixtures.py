@@ -146,10 +146,15 @@ def format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def mixed_lines(lines: DataFrame) -> DataFrame:
-    """All formats interleaved in one dataset (``idx * 8 + format code``)."""
+def _mixed_idx():
+    """A record's place where all formats are interleaved in one dataset (``idx * 8 + format code``)."""
     code = F.element_at(F.create_map(*[x for k, c in FORMAT_CODES.items() for x in (F.lit(k), F.lit(c))]), F.col("dataset"))
-    return lines.select(F.lit("mixed").alias("dataset"), (F.col("idx") * 8 + code).alias("idx"), "value")
+    return F.col("idx") * 8 + code
+
+
+def mixed_lines(lines: DataFrame) -> DataFrame:
+    """All formats interleaved in one dataset."""
+    return lines.select(F.lit("mixed").alias("dataset"), _mixed_idx().alias("idx"), "value")
 
 
 def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,11 +166,15 @@ def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def format_records(spark: SparkSession, sf_dir: str, with_mixed: bool = True) -> DataFrame:
     """Parsed records ``(dataset, idx, raw, v)`` for every format, plus
-    ``mixed``: all of them interleaved."""
+    ``mixed``: all of them interleaved. Each line is derived and parsed once,
+    and its record comes out in both datasets."""
     from tuneframe.sources.readers import records_from_lines
 
-    lines = format_lines(spark, sf_dir)
-    return records_from_lines(lines.unionByName(mixed_lines(lines)) if with_mixed else lines)
+    recs = records_from_lines(format_lines(spark, sf_dir))
+    if not with_mixed:
+        return recs
+    own, mixed = F.struct("dataset", "idx"), F.struct(F.lit("mixed").alias("dataset"), _mixed_idx().alias("idx"))
+    return recs.select(F.inline(F.array(own, mixed)), "raw", "v")
 
 
 # ------------------------------------------------------------ run event logs

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.functions.messages import empty_messages
-from tuneframe.functions.text import WS_REGEX
+from tuneframe.functions.text import WS_REGEX, py_strip
 from tuneframe.session import configure
 from tuneframe.sources.index import with_index
 
@@ -44,11 +44,11 @@ def records_from_lines(lines: DataFrame, value: str = "value", strict: bool = Fa
     are wrapped as ``{"value": x}``.
     """
     text = F.expr(f"make_valid_utf8({value})")
-    stripped = F.regexp_replace(text, f"^{WS_REGEX}|{WS_REGEX}$", "")
     others = [c for c in lines.columns if c != value]
-    df = lines.select(*others, stripped.alias("_line")).filter(F.col("_line") != "")
+    df = lines.select(*others, py_strip(text).alias("_line")).filter(F.col("_line") != "")
     parse = "parse_json(_line)" if strict else "try_parse_json(_line)"
-    df = df.select(*others, "_line", F.expr(parse).alias("_v")).filter(F.col("_v").isNotNull())
+    # Generated rows: the filter stays behind them, so each line is parsed once and not again for the test.
+    df = df.select(*others, F.inline(F.array(F.struct("_line", F.expr(parse).alias("_v"))))).filter(F.col("_v").isNotNull())
     # Valid JSON text without white space around it is an object if it begins like one.
     is_obj = F.left(F.col("_line"), F.lit(1)) == "{"
     wrapped_raw = F.concat(F.lit('{"value":'), F.col("_line"), F.lit("}"))
