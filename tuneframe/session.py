@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # Generated methods above 8 KB of bytecode are not JIT-compiled by the
     # JVM; fall back to per-expression code instead of running them interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Whole texts go to Python workers 4 MB at a time, not ten thousand rows at a time.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
