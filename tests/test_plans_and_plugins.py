@@ -95,3 +95,15 @@ def test_router_writes_each_kind(spark, tmp_dir):
     exp = {r.event: r["count"] for r in ev.groupBy("event").count().collect()}
     assert got == exp
     assert os.path.isdir(f"{tmp_dir}/routed/batch_id=0")
+
+
+def test_encoded_texts_leave_a_worker_in_pieces():
+    """The ids of a batch of texts are not held all at once."""
+    import pandas as pd
+
+    from tuneframe.operators import tokens as K
+
+    enc = K.tokenizer_udf(lambda: lambda t: list(t.encode()))
+    out = list(enc.func(iter([pd.Series(["ab", None] * 500), pd.Series([], dtype=object)])))
+    assert max(len(s) for s in out) <= K.ENCODE_ROWS and sum(len(s) for s in out) == 1000
+    assert out[0].iloc[0] == [97, 98] and out[0].iloc[1] == []

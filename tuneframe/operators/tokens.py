@@ -26,6 +26,8 @@ from tuneframe.functions.joins import attach_row
 # Assumed adapter-training throughput and default sequence length.
 DEFAULT_TOKENS_PER_SEC = 2000.0
 DEFAULT_MAX_SEQ_LEN = 2048
+# Encoded texts leave a Python worker so many at a time: the ids of a batch are far larger than its texts.
+ENCODE_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,8 @@ def tokenizer_udf(make_encoder: Callable[[], Callable[[str], list[int]]]):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = make_encoder()
         for s in batches:
-            yield s.map(lambda t: [int(i) for i in enc(t or "")])
+            for k in range(0, len(s), ENCODE_ROWS):
+                yield s.iloc[k : k + ENCODE_ROWS].map(lambda t: [int(i) for i in enc(t or "")])
 
     return encode
 
