@@ -146,23 +146,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links costs no more than its links. Raises if ``rounds`` do not suffice.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    last = None
     for _ in range(rounds):
         # Large star: every neighbour above a node hangs on the smallest node around it.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.alias("x").join(low.alias("y"), F.col("x.u") == F.col("y.u")).filter(F.col("x.v") > F.col("x.u"))
-        large = large.select(F.col("x.v").alias("u"), F.col("y.m").alias("v")).filter("u <> v").distinct()
+        # No more rows than links; those that repeat go once, below.
+        large = large.select(F.col("x.v").alias("u"), F.col("y.m").alias("v")).filter("u <> v")
         # Small star: a node and its lower neighbours hang on the lowest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.alias("x").join(least.alias("y"), F.col("x.u") == F.col("y.u"))
         pairs = small.select(F.col("x.v").alias("u"), F.col("y.m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = cut(pairs)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if last is not None and tuple(now) == last:
+        # Settled when every node hangs on one node that hangs on none: a further round would change nothing.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if not ends.agg(F.max((F.col("ups") > F.col("least")).cast("int"))).first()[0]:
             break
-        last = tuple(now)
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

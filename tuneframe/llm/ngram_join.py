@@ -256,16 +256,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "c": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
     counted = known.select("tokens").mapInArrow(sketch, "k int, c binary").groupBy("k").applyInPandas(add, "k int, c binary")
-    count = np.zeros(cells, np.int64)
-    for r in counted.toLocalIterator():
-        count[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(zlib.decompress(r["c"]), "<i8")
+    # The driver holds the counters compressed and spreads one part at a time.
+    packed = {r["k"]: bytes(r["c"]) for r in counted.toLocalIterator()}
+
+    def counters(k: int) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(packed[k]), "<i8")
+
     rows = known.count()
     # A cell's mean load is noise that every token in it carries; ranks are bytes, linear around that load.
-    mean = float(count.mean())
+    mean = sum(int(counters(k).sum()) for k in packed) / cells
     border = mean + 8 * math.sqrt(mean + 1) + max(8.0, frequent_share * rows)
     often = 200
-    ranks = np.minimum(count * often / border, 255).astype(np.uint8)
-    del count
+    ranks = np.zeros(cells, np.uint8)
+    for k in packed:
+        ranks[k * part : (k + 1) * part] = np.minimum(counters(k) * often / border, 255).astype(np.uint8)
+    packed.clear()
     shared = spark.sparkContext.broadcast(ranks.tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tuneframe.llm.common import slices, small_batches
+from tuneframe.llm.common import give_back, slices, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -137,8 +137,14 @@ def marginals(score: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.
     fwd, bwd, emit, t = _both_ways(score, first, move, start)
     p = fwd * bwd
     into = emit[:, 1:] * bwd[:, 1:]
-    pair = np.stack([np.stack([fwd[i, :-1] * t[i, j] * into[j] for j in (0, 1)]) for i in (0, 1)])
-    pair = np.where(first[1:], 0.0, pair / pair.sum((0, 1)))
+    # In place: a long chain's pairs are held once.
+    pair = np.empty((2, 2, len(score) - 1))
+    for i in (0, 1):
+        for j in (0, 1):
+            np.multiply(fwd[i, :-1], t[i, j], out=pair[i, j])
+            pair[i, j] *= into[j]
+    pair /= pair.sum((0, 1))
+    pair[:, :, first[1:]] = 0.0
     return p[1] / p.sum(0), pair
 
 
@@ -181,7 +187,10 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
     model.document = np.array([math.log(rate / (1 - rate)), 0, 0, 0, 0])
     if not pos or not neg:
         return model
-    docs = [tokens(t) for t, _, _ in rows]
+    # Words as ids of distinct words from the start: the driver holds each word once.
+    vocab: dict[str, int] = {}
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)], dtype=np.int32) for t, _, _ in rows]
+    listed = list(vocab)
     toxic = np.array([y for _, y, _ in rows], dtype=bool)
     weight = np.array([w for _, _, w in rows])
 
@@ -190,10 +199,9 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
     held: Counter = Counter()
     size = [1.0, 1.0]
     for words, y in zip(docs, toxic, strict=True):
-        count = Counter(words)
         per: Counter = Counter()
-        for w, n in count.items():
-            for f in features(w):
+        for w, n in zip(*(x.tolist() for x in np.unique(words, return_counts=True)), strict=True):
+            for f in features(listed[w]):
                 per[f] += n
         seen[int(y)].update(per)
         size[int(y)] += len(words)
@@ -209,22 +217,14 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
     if not lift:
         return model
 
-    # Tokens as ids of distinct words; only words with a telling feature have more than the bias.
+    # Only words with a telling feature have more than the bias.
     names = sorted(lift)
     number = {f: k for k, f in enumerate(names)}
-    vocab: dict[str, int] = {}
-    active: list[list[int]] = []
-    ids, first = [], []
-    for words in docs:
-        for k, w in enumerate(words):
-            if w not in vocab:
-                vocab[w] = len(vocab)
-                active.append([number[f] for f in features(w) if f in number])
-            ids.append(vocab[w])
-            first.append(k == 0)
-    ids, first = np.array(ids, dtype=np.int64), np.array(first, dtype=bool)
+    active = [[number[f] for f in features(w) if f in number] for w in listed]
+    ids = np.concatenate(docs).astype(np.int64)
     lengths = np.array([len(w) for w in docs])
     owner = np.repeat(np.arange(len(docs)), lengths)
+    first = np.diff(owner, prepend=-1) > 0
     marked = np.array([bool(a) for a in active])
     y = marked[ids] & toxic[owner]
     # Clean documents count as often as they stand for, scaled so that the sum is the sample's size.
@@ -251,7 +251,7 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
         grad = np.zeros_like(theta)
         grad[:n_f] = np.bincount(flat_feat, weights=gap[flat_word], minlength=n_f)
         grad[n_f] = gap.sum()
-        grad[n_f + 1 : n_f + 5] = (gold - (both * w[1:]).sum(2)).ravel()
+        grad[n_f + 1 : n_f + 5] = (gold - np.multiply(both, w[1:], out=both).sum(2)).ravel()
         grad[n_f + 5 :] = gold_start - np.array([(w * (1 - p))[first].sum(), (w * p)[first].sum()])
         grad = grad / scale * 100
         grad[:n_f] -= 0.002 * theta[:n_f]
@@ -278,6 +278,8 @@ def fit(rows: list[tuple[str, int, float]], rounds: int = 40, seed: int = 1) ->
         if np.abs(change).max() < 1e-8:
             break
     model.document = beta
+    del docs, vocab, listed, active, seen, held
+    give_back()
     return model
 
 
