@@ -156,3 +156,18 @@ def test_dense_numbers_of_wide_and_skewed_ids(spark):
     assert S._dense(df.limit(0)).count() == 0
     one = spark.createDataFrame([(None,)], "id long")
     assert [tuple(r) for r in S._dense(one).collect()] == [(None, 1)]
+
+
+def test_a_round_sorts_only_what_is_new(monkeypatch):
+    whole = []
+    kept = S.last_first
+    monkeypatch.setattr(S, "last_first", lambda symbol: whole.append(len(symbol)) or kept(symbol))
+    strings = [b"banana bandana", b"", b"banana", bytes(range(256)), b"aaaaaaa"]
+    owner, at, lcp = S.common_prefixes(strings, 5)
+    # The whole transform is sorted once, to read off whose suffixes they are; not in every round.
+    assert whole == [sum(map(len, strings)) + len(strings)]
+    found = [strings[k][i:] for k, i in zip(owner, at, strict=True)]
+    order = sorted((s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1))
+    assert list(zip(found, owner.tolist(), strict=True)) == order
+    same = [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(found, found[1:])]
+    assert lcp[1:].tolist() == [min(5, n) for n in same]

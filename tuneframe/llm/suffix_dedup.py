@@ -84,9 +84,9 @@ def segments_of(raw: bytes, length: int, anchor: int) -> tuple[np.ndarray, ...]:
 
 
 class ColumnFiles:
-    """The transform and the common prefixes of the order so far, as sequential files: read from one, written to the other."""
+    """The transform, its last-first links and the common prefixes of the order so far, as sequential files: read from one, written to the other."""
 
-    def __init__(self, folder: str, names: tuple[str, ...] = ("symbol", "lcp")):
+    def __init__(self, folder: str, names: tuple[str, ...] = ("symbol", "link", "lcp")):
         self.turn, self.rows = 0, 0
         self.files = {(name, t): open(f"{folder}/{name}{t}", "w+b", buffering=0) for name in names for t in (0, 1)}
 
@@ -112,6 +112,9 @@ class ColumnFiles:
             file.close()
 
 
+MOVED_AT_ONCE = 1 << 14  # links moved up at once: what that takes stays in the processor's cache
+
+
 def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted suffixes of a collection: ``(string, start, common prefix with the one before)``.
 
@@ -119,8 +122,11 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     least r bytes inserts its suffix of length r. The place of a suffix
     follows from the place of the one a byte shorter: it lies behind all
     suffixes with a smaller first byte, and among those with the same first
-    byte in the order of what follows (the last-first mapping), which needs
-    only the counts of that byte in the transform up to there. Ends sort
+    byte in the order of what follows (the last-first mapping). That mapping is
+    kept sorted beside the transform, as pairs of a suffix's first byte and
+    the place of the suffix a byte shorter, so that a round finds the places
+    of its suffixes by halving and moves the rest up; it sorts only what is
+    new. Ends sort
     before any byte, and equal suffixes by string. Common prefixes are
     carried along: that of a new pair is one more than the smallest between
     the two shorter suffixes, and is kept up to ``cap``; only the new
@@ -137,35 +143,42 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     code[present] = np.arange(1, len(present) + 1)
     # Column r holds the r-th byte from the end of each string, 0 beyond its first.
     column = np.zeros((width + 1, m), dtype=kind)
+    bits = int(m + lengths.sum()).bit_length()
+    wide = np.int32 if bits + len(present).bit_length() < 32 else np.int64
+    low = wide((1 << bits) - 1)
     for k, s in enumerate(strings):
         column[: len(s), k] = code[np.frombuffer(s, np.uint8)[::-1]]
     with tempfile.TemporaryDirectory() as folder, closing(ColumnFiles(folder)) as files:
-        # Round 0: the ends. symbol[i] is the byte before suffix i.
-        files.write(symbol=column[0], lcp=np.zeros(m, np.int16))
+        # Round 0: the ends. symbol[i] is the byte before suffix i; an end's link is its own place, below all others.
+        files.write(symbol=column[0], link=np.arange(m, dtype=wide), lcp=np.zeros(m, np.int16))
         live = np.flatnonzero(lengths > 0)
         place = live  # where each live string's latest suffix stands
         for r in range(1, width + 1):
-            symbol, lcp = files.read("symbol", kind), files.read("lcp", np.int16)
-            by_symbol, rank, begun = last_first(symbol)
-            # Every suffix's longer neighbour is inserted already or just now, so ranks among the symbols
-            # give the new order: the m ends, then all others by first byte and the order of their rests.
-            k = rank[place]
-            new_place = m - begun + k
-            total = m - begun + len(symbol)
+            symbol, link, lcp = files.read("symbol", kind), files.read("link", wide), files.read("lcp", np.int16)
+            added = column[r - 1, live].astype(wide) << bits | place.astype(wide)
+            order = np.argsort(added)
+            live, added = live[order], added[order]
+            new = np.searchsorted(link, added) + np.arange(len(added))
+            total = len(symbol) + len(added)
             keep = np.ones(total, bool)
-            keep[new_place] = False
-            out_symbol, out_lcp = np.empty(total, kind), np.empty(total, np.int16)
-            out_symbol[keep], out_lcp[keep] = symbol, lcp
-            out_symbol[new_place] = column[r, live]
-            touched = np.zeros(len(symbol) + 1, bool)
-            touched[k] = touched[k + 1] = True
-            pair = np.flatnonzero(touched[:-1])
-            out_lcp[m - begun + pair] = pair_prefixes(symbol, lcp, by_symbol, begun, pair, cap)
-            files.write(symbol=out_symbol, lcp=out_lcp)
+            keep[new] = False
+            out_symbol, out_link, out_lcp = np.empty(total, kind), np.empty(total, wide), np.empty(total, np.int16)
+            out_symbol[keep], out_link[keep], out_lcp[keep] = symbol, link, lcp
+            out_symbol[new], out_link[new] = column[r, live], added
+            behind = new + 1
+            behind = behind[np.append(behind[:-1] != new[1:], behind[-1:] < total)]
+            pair = np.sort(np.concatenate([new, behind]))
+            out_lcp[pair] = pair_prefixes(lcp, out_link, pair, bits, cap)
+            # Links are places in the order before this round: each moves up by what came in below it.
+            up = np.repeat(np.arange(len(new) + 1, dtype=wide), np.diff(new - np.arange(len(new)), prepend=0, append=len(symbol)))
+            for k in range(0, total, MOVED_AT_ONCE):
+                some = out_link[k : k + MOVED_AT_ONCE]
+                some += up[some & low]
+            files.write(symbol=out_symbol, link=out_link, lcp=out_lcp)
             more = lengths[live] > r
-            live, place = live[more], new_place[more]
+            live, place = live[more], new[more]
         symbol, lcp = files.read("symbol", kind), files.read("lcp", np.int16)
-    _, rank, _ = last_first(symbol)
+    rank = last_first(symbol)
     owner, size = np.empty(len(symbol), np.int64), np.empty(len(symbol), np.int64)
     live = at = np.arange(m)
     for r in range(width + 1):
@@ -175,21 +188,24 @@ def common_prefixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     return owner, lengths[owner] - size, lcp.astype(np.int64)
 
 
-def last_first(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions in the order of their symbols, each position's rank in it, and how many have none (0)."""
-    by_symbol = np.argsort(symbol, kind="stable")
+def last_first(symbol: np.ndarray) -> np.ndarray:
+    """Each position's rank in the order of their symbols: in the finished transform, where the suffix a byte longer stands."""
     rank = np.empty(len(symbol), np.int64)
-    rank[by_symbol] = np.arange(len(symbol))
-    return by_symbol, rank, len(symbol) - int(np.count_nonzero(symbol))
+    rank[np.argsort(symbol, kind="stable")] = np.arange(len(symbol))
+    return rank
 
 
-def pair_prefixes(symbol: np.ndarray, lcp: np.ndarray, by_symbol: np.ndarray, begun: int, pair: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of the suffixes at ranks ``pair`` with those a rank lower: 0 across first bytes."""
+def pair_prefixes(lcp: np.ndarray, link: np.ndarray, pair: np.ndarray, bits: int, cap: int) -> np.ndarray:
+    """Common prefixes of the suffixes at ``pair`` with those a place before: 0 across first bytes.
+
+    ``link`` holds their first bytes and, in the lower ``bits``, places in the shorter order that ``lcp`` belongs to.
+    """
     out = np.zeros(len(pair), np.int16)
-    ok = np.flatnonzero(pair > begun)
-    ok = ok[symbol[by_symbol[pair[ok]]] == symbol[by_symbol[pair[ok] - 1]]]
+    above, own = link[pair - 1], link[pair]
+    ok = np.flatnonzero(above >> bits == own >> bits)
     if len(ok):
-        lo, hi = by_symbol[pair[ok] - 1] + 1, by_symbol[pair[ok]]
+        low = (1 << bits) - 1
+        lo, hi = (above[ok] & low) + 1, own[ok] & low
         # reduceat over pairs of borders; from the last range to the first, so that what lies between costs nothing.
         order = np.argsort(-lo)
         borders = np.empty(2 * len(ok), np.int64)
