@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tuneframe.functions.joins import attach_row, join_small
 from tuneframe.functions.text import py_strip
 from tuneframe.operators.ordered import top_k_per_group
 
@@ -55,9 +54,10 @@ def cells(text: str) -> Iterator[np.ndarray]:
     a, b, c = CELL_FACTORS
     for at in range(0, max(1, len(text) - 2), PIECE):
         piece = text[at : at + PIECE + 2]
-        code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         if len(code) > 2:
-            yield (code[:-2] * a + code[1:-1] * b + code[2:] * c) % CELLS
+            # 32-bit products wrap around at a multiple of CELLS, a power of two.
+            yield ((code[:-2] * np.uint32(a) + code[1:-1] * np.uint32(b) + code[2:] * np.uint32(c)) & np.uint32(CELLS - 1)).astype(np.intp)
 
 
 @dataclass(frozen=True)
@@ -72,9 +72,11 @@ class LanguageModel:
         """The likeliest language and its score; the first by name on ties, none without a known trigram."""
         total, known = self.prior.copy(), False
         for at in cells(text or ""):
-            rows = self.weights[at]
-            known = known or bool(rows.any())
-            total += rows.sum(axis=0, dtype=np.int64)
+            # A row per language: the table lies column by column, and a row's sum runs along memory.
+            rows = self.weights.T.take(at, axis=1)
+            part = rows.sum(axis=1, dtype=np.int64)
+            known = known or bool(part.any()) or bool(rows.any())
+            total += part
         if not known:
             return None, None
         best = int(total.argmax())
@@ -137,7 +139,7 @@ def fit_langid(labelled: DataFrame, key: str = "idx", text: str = "text", lang:
     have[cell[cell >= 0], column[cell >= 0]] = n[cell >= 0]
     docs[column[cell < 0]] = n[cell < 0]
     seen = have.any(axis=1)
-    weights = np.zeros(have.shape, dtype=np.int16)
+    weights = np.zeros(have.shape, dtype=np.int16, order="F")
     log = {v: math.log(v + 1) for v in np.unique(have).tolist()}
     for k in range(len(languages)):
         unseen = math.log(int(have[:, k].sum()) + int(seen.sum()))
@@ -193,14 +195,17 @@ def language_distribution(
     head = records_text.select(*by, key, F.col(text).alias("_t"))
     if sample is not None:
         head = top_k_per_group(head, by, [F.col(key)], int(sample)) if by else head.orderBy(key).limit(int(sample))
-    head = head.withColumn("_t", py_strip(F.col("_t"))).filter(F.char_length("_t") >= MIN_CHARS)
-    labelled = detect_languages(head, model, key, "_t", by).filter(F.col("language").isNotNull())
-    counts = labelled.groupBy(*by, "language").agg(F.count(F.lit(1)).alias("n"))
-    sampled = counts.groupBy(*by).agg(F.sum("n").alias("sampled"))
+    # Generated rows: the filter stays behind them, so each text is made and stripped once and not again for the test.
+    head = head.select(*by, key, F.inline(F.array(F.struct(py_strip(F.col("_t")).alias("_t"))))).filter(F.char_length("_t") >= MIN_CHARS)
+    # Counting leaves out what has no language; a filter ahead of it would ask the detector twice.
+    counts = detect_languages(head, model, key, "_t", by).groupBy(*by, "language").agg(F.count("language").alias("n")).filter("n > 0")
+    # A row per group and language: the total comes from these rows, not from the texts again. A group has a name.
+    for b in by:
+        counts = counts.filter(F.col(b).isNotNull())
+    out = counts.withColumn("sampled", F.sum("n").over(Window.partitionBy(*by)))
     if top is not None:
         order = [F.col("n").desc(), F.col("language")]
-        counts = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= int(top))
-    out = join_small(counts, sampled, on=by) if by else attach_row(counts, sampled)
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= int(top))
     return out.select(*by, "language", F.col("n").cast("bigint").alias("n"), F.col("sampled").cast("bigint").alias("sampled"))
 
 

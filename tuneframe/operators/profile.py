@@ -209,24 +209,38 @@ def keyed_counts(rm: DataFrame, by: list[str] | None = None, words_per_record: i
     its lower-cased words. One ``groupBy(by, kind, key)`` with
     partial aggregation counts them (hot words and hashes combine map-side);
     the statistics are then read off these value distributions.
+
+    Up to the count a tagged key is one string, ``kind key``; a word is its
+    own, as it holds no space. A text is lower-cased and split once: that
+    gives the words one by one, and moves no white space. The keys are a
+    column of their own, so that exploding and counting them is one
+    generated loop.
     """
     by = by or []
-    w = _record_words(words_per_record)
 
     def tag(kind: str, key):
-        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
-
-    empty = F.array().cast("array<struct<kind:string,key:string>>")
-    tags = F.concat(
-        F.array(tag("turns", F.col("n_turns")), tag("tokens", F.col("n_tokens"))),
-        F.when(F.col("is_empty"), F.array(tag("empty", F.lit("")))).otherwise(empty),
-        F.when(F.col("is_role_mismatch"), F.array(tag("role_mismatch", F.lit("")))).otherwise(empty),
-        F.transform("messages", lambda m: tag("role", m["role"])),
-        F.when(F.col("content_hash").isNotNull(), F.array(tag("hash", F.hex("content_hash")))).otherwise(empty),
-        F.transform(w, lambda x: tag("word", F.lower(x))),
+        return F.concat(F.lit(f"{kind} "), key.cast("string"))
+
+    record = rm.select(
+        *by, "n_turns", "is_empty", "is_role_mismatch", "content_hash", "messages",
+        words(F.lower(join_content("messages", " "))).alias("_words"))
+    own = F.array(
+        tag("turns", F.col("n_turns")),
+        tag("tokens", F.size("_words")),
+        F.when(F.col("is_empty"), F.lit("empty ")),
+        F.when(F.col("is_role_mismatch"), F.lit("role_mismatch ")),
+        tag("hash", F.hex("content_hash")),
     )
-    t = rm.select(*by, F.explode(tags).alias("t"))
-    return t.groupBy(*by, F.col("t.kind").alias("kind"), F.col("t.key").alias("key")).agg(F.count(F.lit(1)).alias("c"))
+    roles = F.transform("messages", lambda m: tag("role", m["role"]))
+    w = F.col("_words") if words_per_record is None else F.slice("_words", 1, int(words_per_record))
+    # Every record has keys, so an outer explode adds no row; for an inner one the planner would make all keys twice, to see whether there are any.
+    t = record.select(*by, F.concat(F.array_compact(own), roles, w).alias("_keys")).select(*by, F.explode_outer("_keys").alias("_t"))
+    counts = t.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("c"))
+    # Only a role can be null.
+    tagged = F.instr("_t", " ") > 0
+    kind = F.when(F.col("_t").isNull(), F.lit("role")).when(tagged, F.substring_index("_t", " ", 1)).otherwise(F.lit("word"))
+    key = F.when(tagged, F.expr("substr(_t, instr(_t, ' ') + 1)")).otherwise(F.col("_t"))
+    return counts.select(*by, kind.alias("kind"), key.alias("key"), "c")
 
 
 def profile(
@@ -236,12 +250,16 @@ def profile(
 
     Without records the one ungrouped row has counts and a quality of 0.
 
-    One pass over the records and one shuffle (:func:`keyed_counts`), then a
-    single small aggregate of filtered sums over the counted keys.
+    One pass over the records and one shuffle (:func:`keyed_counts`). Hashes
+    and words are summed up where they were counted, to one row each; what
+    is left, the other keys, goes through a single small aggregate of
+    filtered sums.
     """
     by = by or []
-    kc = keyed_counts(record_metrics(df, by), by, words_per_record)
     kind, key, c = F.col("kind"), F.col("key"), F.col("c")
+    few = F.when(~kind.isin("hash", "word"), key).alias("key")
+    kc = keyed_counts(record_metrics(df, by), by, words_per_record).groupBy(*by, "kind", few).agg(
+        F.sum(c).alias("c"), F.count(F.lit(1)).alias("distinct"), F.sum(c - 1).alias("extra"), F.sum(c * F.log2(c)).alias("clog"))
     num = F.expr("try_cast(key AS double)")
 
     def s(cond):
@@ -268,10 +286,10 @@ def profile(
         s((kind == "role") & (key == "user")).alias("_u"),
         s((kind == "role") & (key == "assistant")).alias("_a"),
         F.map_from_entries(F.collect_list(F.when(kind == "role", F.struct(key, c)))).alias("role_counts"),
-        F.sum(F.when(kind == "hash", c - 1)).alias("_dup"),
+        F.sum(F.when(kind == "hash", F.col("extra"))).alias("_dup"),
         s(kind == "word").alias("_wn"),
-        F.count(F.when(kind == "word", c)).alias("_wd"),
-        F.sum(F.when(kind == "word", c * F.log2(c))).alias("_ws"),
+        F.sum(F.when(kind == "word", F.col("distinct"))).alias("_wd"),
+        F.sum(F.when(kind == "word", F.col("clog"))).alias("_ws"),
         *hist,
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
