@@ -5,7 +5,8 @@ count their own votes per dataset and ship a row per dataset and format.
 Where a ``sample`` is asked for, the first records in file order vote: without
 ``by`` a ``TakeOrdered``, with ``by`` a ``row_number() <= n`` with a partial
 ``WindowGroupLimit``. The winner is joined back to the records (one row per
-dataset) without a driver round trip.
+dataset): a single one without a driver round trip, those of several datasets
+once they are counted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from tuneframe.functions.text import has_inst_tags_sql
 from tuneframe.operators.normalize import FORMATS, has, is_object
-from tuneframe.functions.joins import attach_row, join_small
+from tuneframe.functions.joins import attach_row
+from tuneframe.session import materialize
+
+# Up to so many datasets, of a name and a format each, are broadcast.
+BROADCAST_DATASETS = 1_000_000
 
 
 def _obj_with(item: str, keys: list[str]) -> str:
@@ -90,9 +95,15 @@ def detect_format(records: DataFrame, by: list[str] | None = None, sample: int |
 
 
 def attach_format(records: DataFrame, detected: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Attach the detected format as column ``fmt`` (one row per dataset)."""
+    """Attach the detected format as column ``fmt`` (one row per dataset).
+
+    With ``by`` the detection is evaluated once and its rows are counted: its
+    size as estimated grows with the records that voted, and a join planned
+    by that would shuffle whole records to a task per dataset.
+    """
     by = by or []
     d = detected.select(*by, F.col("format").alias("fmt"))
     if not by:
         return attach_row(records.drop("fmt"), d)
-    return join_small(records.drop("fmt"), d, on=by, how="left")
+    d = materialize(d, free_shuffles=True)
+    return records.drop("fmt").join(F.broadcast(d) if d.count() <= BROADCAST_DATASETS else d, on=by, how="left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tuneframe.functions.messages import content_hash
 from tuneframe.functions.text import CONTROL_CHAR_PATTERN, py_strip
 from tuneframe.operators.normalize import has, is_empty_object
+from tuneframe.session import materialize
 
 # Report categories in report order.
 CATEGORIES = [
@@ -71,12 +72,17 @@ def missing_fields_expr(fmt: str = "fmt", v: str = "v") -> str:
     )
 
 
-def flag_records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def flag_records(df: DataFrame, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """V9: row-level flags for V1-V7 over ``(idx, messages, norm_error[, v, raw, fmt])``.
 
-    Adds boolean columns named after ``CATEGORIES`` plus ``content_hash``.
+    Adds boolean columns named after ``CATEGORIES`` plus ``content_hash``. With
+    ``keep`` only these columns go along, and the rows are evaluated once into
+    the checkpoint folder: V7 and V8 read them several times.
     """
-    return mark_duplicates(flag_rows(df), by=by)
+    rows = flag_rows(df)
+    if keep is not None:
+        rows = materialize(rows.select(*keep, *[c for c in rows.columns if c not in df.columns]), free_shuffles=True)
+    return mark_duplicates(rows, by=by)
 
 
 def flag_rows(df: DataFrame) -> DataFrame:

@@ -766,11 +766,16 @@ def q_limit_tokens(spark, sf):
 
 @register("validate_by_dataset")
 def q_validate_by_dataset(spark, sf):
-    """Ingest path per dataset: detect -> attach format -> normalise -> flag -> report."""
-    recs = _all_formats(spark, sf)
+    """Ingest path per dataset: detect -> attach format -> normalise -> flag -> report.
+
+    The records are derived twice, for the votes and for the flags; kept, they
+    would hold every text four times and more. What is kept are the flags.
+    """
+    recs = X.format_records(spark, sf)
     fmt = D.detect_format(recs, by=["dataset"])
     msgs = N.to_messages(D.attach_format(recs, fmt, by=["dataset"]))
-    flags = V.flag_records(msgs.select("dataset", "idx", "raw", "v", "fmt", "messages", "norm_error"), by=["dataset"])
+    msgs = msgs.select("dataset", "idx", "raw", "v", "fmt", "messages", "norm_error")
+    flags = V.flag_records(msgs, by=["dataset"], keep=["dataset", "idx"])
     return V.validation_report(flags, by=["dataset"])
 
 

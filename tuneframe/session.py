@@ -78,10 +78,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df):
-    """Checkpoint ``df`` eagerly into the shared checkpoint folder (lineage cut)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Whether a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df, free_shuffles: bool = False):
+    """Checkpoint ``df`` eagerly into the shared checkpoint folder (lineage cut).
+
+    With ``free_shuffles`` what this run shuffled is deleted at its end.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not free_shuffles:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        # The setting holds for frames made under it.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
